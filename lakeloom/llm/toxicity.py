@@ -19,8 +19,8 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: The model is fitted on at most so many labelled rows, those with the least hash of doc_id.
 TRAIN_ROWS = 8_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.5
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.5
 CACHED_WORDS = 400_000
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
