@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,35 +17,37 @@ BROADCAST_SEEDS = 200_000
 
 def word_hashes(text: Column) -> Column:
     """Hashes of lower-cased words: runs of letters and digits."""
-    return F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column) -> Column:
-    """One hash for each mask and position, mask by mask; null where the mask reaches past the end."""
+def seeds(frame: DataFrame, words: str, at: str) -> DataFrame:
+    """A row for each mask and word position of the array `words`: its other columns, the position, mask and seed.
 
-    def masked(k: int, mask: tuple[int, ...]) -> Column:
-        def at(_: Column, i: Column) -> Column:
-            picked = [F.get(words, i + o) for o in mask]
-            return F.when(i + mask[-1] < F.size(words), F.xxhash64(F.lit(k), *picked))
+    The words are exploded first and the hashes taken from row to array, so that they are compiled;
+    a higher-order function would interpret them.
+    """
+    others = frame.columns
+    # outer, as else a filter on the array's size is inferred, which hashes all words a second time
+    each = frame.select(*others, F.posexplode_outer(words).alias(at, "__word")).where(F.col(at).isNotNull())
 
-        return F.transform(words, at)
+    def seed(k: int, mask: tuple[int, ...]) -> Column:
+        return F.when(F.col(at) + mask[-1] < F.size(words), F.xxhash64(F.lit(k), "__word", *[F.get(words, F.col(at) + o) for o in mask[1:]]))
 
-    return F.concat(*[masked(k, m) for k, m in enumerate(MASKS)])
+    return each.select(*others, at, F.posexplode(F.array(*[seed(k, m) for k, m in enumerate(MASKS)])).alias("mask", "seed")).where("seed is not null")
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """seed, item_id, item_words and at (word position) of all items."""
+    """seed, mask, item_id, item_words and item_at (word position) of all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.coalesce("text", F.lit(""))).alias("item_words"))
-    rows = items.select("item_id", "item_words", F.posexplode(seeds(F.col("item_words"))).alias("place", "seed")).where("seed is not null")
-    return rows.select("seed", "item_id", "item_words", (F.col("place") % F.size("item_words")).alias("item_at"), (F.col("place") / F.size("item_words")).cast("int").alias("mask"))
+    return seeds(items, "item_words", "item_at")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched_words and item_words: each pair of document and item that overlap.
 
-    All positions of a whole text are hashed under each mask and joined with the items' seeds. Of
-    the hits on one diagonal in a row only the first is verified: the words on that diagonal are
-    compared, and a stretch of PASSAGE_WORDS words (the whole item if shorter) must match in 80 %.
+    All positions of a whole text are hashed under each mask and joined with the items' seeds. Each
+    diagonal that has hits is verified once: the words along it are compared, and a stretch of
+    PASSAGE_WORDS words (the whole item if shorter) must match in 80 %.
 
     The items' seeds are counted first; up to BROADCAST_SEEDS are broadcast, so that documents aren't
     shuffled. Beyond that the seeds of the documents are shuffled without their texts, the hits are
@@ -60,37 +60,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = base.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("words"))
     test = benchmark_seeds(benchmark)
     if test.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        hits = words.select("doc_id", "text_hash", "words", F.posexplode(seeds(F.col("words"))).alias("place", "seed"))
-        hits = hits.where("seed is not null").join(F.broadcast(test), "seed")
+        hits = seeds(words, "words", "at").drop("mask").join(F.broadcast(test), "seed")
     else:
         slim = test.select("seed", "item_id", "item_at", "mask")
-        found = words.select("doc_id", "text_hash", F.size("words").alias("n"), F.posexplode(seeds(F.col("words"))).alias("place", "seed")).where("seed is not null")
-        found = found.join(slim, "seed").select("doc_id", "text_hash", "item_id", "item_at", "mask", "place", "seed")
+        found = seeds(words, "words", "at").select(F.col("doc_id").alias("hit_id"), "text_hash", "at", "seed").join(slim, "seed")
         items = test.groupBy("item_id").agg(F.first("item_words").alias("item_words"))
-        joined = found.withColumnRenamed("doc_id", "hit_id").join(words.dropDuplicates(["doc_id", "text_hash"]), "text_hash").where(F.col("hit_id").eqNullSafe(F.col("doc_id")))
+        joined = found.join(words.dropDuplicates(["doc_id", "text_hash"]), "text_hash").where(F.col("hit_id").eqNullSafe(F.col("doc_id")))
         hits = joined.drop("hit_id").join(items, "item_id")
-    at = F.col("place") % F.size("words")
-    hits = hits.withColumn("shift", at - F.col("item_at"))
-
-    def same(j: Column | int) -> Column:
-        """Whether the words at the item's place j match on the hit's diagonal."""
-        j = F.lit(j) if isinstance(j, int) else j
-        inside = (j >= 0) & (F.col("shift") + j >= 0)
-        return F.when(inside, F.coalesce(F.get("words", F.col("shift") + j) == F.get("item_words", j), F.lit(False))).otherwise(False)
-
-    def continues(mask: tuple[int, ...]) -> Column:
-        """Whether the position before is a hit of the same mask too."""
-        return reduce(lambda a, b: a & b, [same(F.col("item_at") - 1 + o) for o in mask])
-
-    first = reduce(lambda c, km: c.when(F.col("mask") == km[0], ~continues(km[1])), enumerate(MASKS), F.when(F.lit(False), F.lit(True)))
-    size = F.size("item_words")
-    window = F.least(size, F.lit(PASSAGE_WORDS))
-    flags = F.transform(F.sequence(F.lit(0), size - 1), lambda j: same(j).cast("int"))
+    # only the part of the text that lies along the item goes on, once for each diagonal
+    shift, size = F.col("at") - F.col("item_at"), F.size("item_words")
+    skipped = F.greatest(-shift, F.lit(0))
+    along = F.slice("words", F.greatest(shift, F.lit(0)) + 1, size - skipped)
+    diagonals = (
+        hits.select("doc_id", "text_hash", "item_id", "item_words", shift.alias("shift"), along.alias("along"))
+        .groupBy("doc_id", "text_hash", "item_id", "shift")
+        .agg(F.first("along").alias("along"), F.first("item_words").alias("item_words"))
+    )
+    skipped = F.greatest(-F.col("shift"), F.lit(0))
+    flag = F.transform("item_words", lambda w, j: F.coalesce((j >= skipped) & (F.get("along", F.when(j >= skipped, j - skipped)) == w), F.lit(False)).cast("int"))
+    checked = diagonals.select("doc_id", "text_hash", "item_id", flag.alias("flags"), F.least(size, F.lit(PASSAGE_WORDS)).alias("window"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("flags") - F.col("window") + 1), lambda s: total(F.slice("flags", s, F.col("window")))))
-    checked = hits.where(first).select("doc_id", "text_hash", "item_id", flags.alias("flags"), window.alias("window"), size.alias("item_words"))
-    passed = checked.where(best >= F.ceil(F.col("window") * SIMILARITY))
-    return passed.groupBy("doc_id", "text_hash", "item_id").agg(F.max(total("flags")).alias("matched_words"), F.max("item_words").alias("item_words"))
+    pairs = checked.groupBy("doc_id", "text_hash", "item_id").agg(F.max(best - F.ceil(F.col("window") * SIMILARITY)).alias("spare"), F.max(total("flags")).alias("matched_words"), F.max(F.size("flags")).alias("item_words"))
+    return pairs.where("spare >= 0").drop("spare")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
