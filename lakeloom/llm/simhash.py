@@ -17,7 +17,7 @@ from lakeloom.session import Scratch
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Colliding fingerprints are verified pair by pair in groups up to this size; see link_fingerprints.
+#: Colliding fingerprints are compared with each other in groups up to this size; see link_fingerprints.
 PAIRED_UPTO = 256
 
 _ONE = np.uint64(1)
@@ -102,26 +102,36 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[np.ndar
         yield held_v, np.array([0]), np.array([len(held_v)])
 
 
+def _spanning(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fewer links than fingerprints that connect all of them that are linked, by a search from each in turn."""
+    rest = fp
+    while len(rest) > 1:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            at = frontier.pop()
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= RADIUS
+            if near.any():
+                yield np.full(near.sum(), at), rest[near]
+                frontier.extend(rest[near])
+                rest = rest[~near]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among colliding fingerprints; those of larger groups are handed on as (fp, fp)."""
+    """Links that connect colliding fingerprints; those of larger groups are handed on as (fp, fp)."""
     for values, starts, lengths in _runs(batches, "key"):
-        many = lengths >= 2
-        starts, lengths = starts[many], lengths[many]
-        out_a, out_b = [], []
-        small = lengths <= PAIRED_UPTO
-        for n in np.unique(lengths[small]).tolist():
-            rows = values[starts[lengths == n][:, None] + np.arange(n)[None, :]]
-            for i in range(n - 1):
-                a, b = np.repeat(rows[:, i], n - 1 - i), rows[:, i + 1 :].ravel()
-                near = np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
-                near &= a != b
-                out_a.append(a[near])
-                out_b.append(b[near])
-        for s, n in zip(starts[~small].tolist(), lengths[~small].tolist(), strict=True):
-            out_a.append(values[s : s + n])
-            out_b.append(values[s : s + n])
-        if out_a:
-            yield batch(a=pa.array(np.concatenate(out_a)), b=pa.array(np.concatenate(out_b)))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs = starts[lengths == 2]
+        a, b = values[pairs], values[pairs + 1]
+        near = np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+        out.append((a[near], b[near]))
+        for s, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+            if n <= PAIRED_UPTO:
+                out.extend(_spanning(values[s : s + n]))
+            else:
+                out.append((values[s : s + n], values[s : s + n]))
+        links = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])], axis=1), axis=0)
+        if len(links):
+            yield batch(a=pa.array(np.ascontiguousarray(links[:, 0])), b=pa.array(np.ascontiguousarray(links[:, 1])))
 
 
 def _full_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +150,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for values, starts, lengths in _runs(batches, "key"):
         first = np.repeat(values[starts], lengths)
         differ = first != values[: len(first)]
+        if not differ.any():
+            continue
         pairs = np.unique(np.stack([first[differ], values[: len(first)][differ]], axis=1), axis=0)
-        if len(pairs):
-            yield batch(a=pa.array(np.ascontiguousarray(pairs[:, 0])), b=pa.array(np.ascontiguousarray(pairs[:, 1])))
+        yield batch(a=pa.array(np.ascontiguousarray(pairs[:, 0])), b=pa.array(np.ascontiguousarray(pairs[:, 1])))
 
 
 def link_fingerprints(distinct: DataFrame, scratch: Scratch) -> DataFrame:
@@ -151,8 +162,8 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     Emitting a ball of radius 2 of 64 bits takes 2,081 rows a fingerprint, more than the documents
     themselves. So the balls are laid around halves: within 4 bits, one 32-bit half differs in 2 bits
     at most, and balls of radius 1 around it (33 variants) meet in the middle: 66 rows. Fingerprints
-    that share a variant are verified. Where more than PAIRED_UPTO share one, pairs would be too many:
-    those fingerprints emit the whole balls of radius 2, where sharing a variant proves the
+    that share a variant are verified, and linked by a spanning tree rather than in all pairs. Where
+    more than PAIRED_UPTO share one, even verifying pairs would be too much: those fingerprints emit the whole balls of radius 2, where sharing a variant proves the
     distance, and a link to the variant's first fingerprint connects them. Both ways are exact.
     """
     near = arrow_map(distinct, _half_variants, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
