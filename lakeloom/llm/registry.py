@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, language_model, packing, pii, repeats, sharding, simhash, token_counts, toxicity
+from lakeloom.llm import decontamination, language_model, neighbours, packing, pii, repeats, sharding, simhash, token_counts, toxicity
 from lakeloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_language_model": op2_language_model,
+    "op3_neighbours": op3_neighbours,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
