@@ -47,7 +47,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

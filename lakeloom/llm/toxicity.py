@@ -139,3 +139,22 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_documents(docs, train(docs, labels))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model doesn't call toxic, all columns, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        index, weight, bias = shared.value
+        dense = Model(index, weight, bias).dense()
+        limit = math.log(THRESHOLD / (1 - THRESHOLD))
+        for b in batches:
+            clean = []
+            for t in b.column("text"):
+                x = features((t.as_py() or "").encode(), words)
+                clean.append(float(dense[np.unique(x[dense[x] != 0])].sum(dtype=np.float64)) + bias < limit)
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
