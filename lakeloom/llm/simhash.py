@@ -174,7 +174,7 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fingerprint and component_id of every document.
+    """doc_id, text_hash, fingerprint, component_id and root (a number of the component) of every document.
 
     Equal texts, and all texts of equal fingerprint, are one node from the start, so groups of copies
     cost nothing further on. component_id is the smallest doc_id reachable by links of at most 4
@@ -190,5 +190,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(link_fingerprints(nodes.select("fp"), scratch), scratch)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, the one of the smallest doc_id (then text hash); all columns."""
+    found = Scratch(docs.sparkSession, "keep-one").save("found", near_duplicates(docs).select("doc_id", "text_hash", "root"))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__hash"])
+    out = docs.join(kept, same, "left_semi")
+    # repeated rows have one key: only where there are any need the rows be compared again
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return out
+    return out.dropDuplicates(["doc_id", "text"])
