@@ -1,0 +1 @@
+"""Reading nodes, contents and logs; writing embeddings and tables."""
