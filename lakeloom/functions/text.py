@@ -34,6 +34,11 @@ QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 TARGET_TOKENS, MAX_CHARS = 480, 3000
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def java_trim(text: Column) -> Column:
     """Without control characters and spaces (up to U+0020) at either end."""
     return F.regexp_replace(text, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
@@ -63,11 +68,6 @@ def drop_headers(text: Column) -> Column:
     return F.regexp_replace(text, HEADERS, "")
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 def drop_boilerplate(text: Column) -> Column:
     """Without lines (stripped length between 4 and 99) that make up a seventh of ten or more lines, three at least.
 
@@ -138,11 +138,13 @@ def _last_before(text: Column, sign: str, end: Column, window: int) -> Column:
 
 def truncate_to_budget(text: Column) -> Column:
     """At most TARGET_TOKENS by estimate and MAX_CHARS: cut behind a full stop, else at a line end, a space, or hard."""
-    capped = F.substring(text, 1, MAX_CHARS)
-    limit = (chars_per_token(capped) * TARGET_TOKENS).cast("int")
-    stop, line, space = _last_before(capped, ".", limit, 80), _last_before(capped, "\n", limit, 80), _last_before(capped, " ", limit, 40)
-    cut = F.when(stop > 0, stop + 1).when(line > 0, line).when(space > 0, space).otherwise(limit)
-    return F.when(F.length(capped) <= limit, capped).otherwise(F.substring(capped, F.lit(1), cut))
+
+    def cut(capped: Column, limit: Column) -> Column:
+        stop, line, space = _last_before(capped, ".", limit, 80), _last_before(capped, "\n", limit, 80), _last_before(capped, " ", limit, 40)
+        at = F.when(stop > 0, stop + 1).when(line > 0, line).when(space > 0, space).otherwise(limit)
+        return F.when(F.length(capped) <= limit, capped).otherwise(F.substring(capped, F.lit(1), at))
+
+    return _with(F.substring(text, 1, MAX_CHARS), lambda c: _with((chars_per_token(c) * TARGET_TOKENS).cast("int"), lambda n: cut(c, n)))
 
 
 def keyword_terms(query: Column) -> Column:

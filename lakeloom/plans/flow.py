@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,7 +156,7 @@ def audit_cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + AUDIT + "SELECT CASE WHEN event_id IN ('documentCreated','documentModified') THEN 'upsert' WHEN event_id = 'documentSecurityUpdated' THEN 'acl' WHEN event_id = 'other' THEN 'skip' ELSE 'delete' END AS outcome, count(*) AS n FROM a GROUP BY 1")
 def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream of files: each micro-batch is routed and appended to a table."""
-    base = tempfile.mkdtemp(prefix="routing-", dir=None) if "://" not in scratch_root(spark) and not scratch_root(spark).startswith("file:") else f"{scratch_root(spark)}/routing-{spark.sparkContext.applicationId}-{id(object())}"
+    base = f"{scratch_root(spark)}/lakeloom/routing-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
 
