@@ -81,11 +81,14 @@ def ensure_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = page_paths(spark, sf_dir).select("page_id", "path", F.lit(False).alias("is_folder"), F.when(F.col("page_id") % 4 == 0, "Note").otherwise("File").alias("type"), F.when(F.col("page_id") % 9 == 0, "Deleted").otherwise("project").alias("state"))
     marks = nodes.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).where("path <> ''").distinct()
-    marked = marks.select("path", (F.crc32("path") % 3 != 0).alias("indexed"), (F.crc32("path") % 3 == 0).alias("excluded"))
+    marked = marks.select("path", (F.length("path") % 4 != 0).alias("indexed"), (F.length("path") % 4 == 0).alias("excluded"))
     return nodes, marked
 
 
-@query()
+@query("WITH " + PAGES + """, m AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS spot FROM p WHERE regexp_replace(path, '/[^/]*$', '') <> ''),
+s AS (SELECT page_id, path, string_split(path, '/') AS a FROM p WHERE page_id % 4 <> 0 AND page_id % 9 <> 0),
+x AS (SELECT page_id, path, unnest(list_transform(range(len(a) - 1, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS spot FROM s)
+SELECT page_id, path FROM x JOIN m USING (spot) GROUP BY 1, 2 HAVING bool_or(length(spot) % 4 <> 0) AND NOT bool_or(length(spot) % 4 = 0)""")
 def scope_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, marked = _scoped(spark, sf_dir)
     return scope.in_scope(nodes, marked, scope.Scope(roots=("/nowhere",), types=("File",), excluded_states=("deleted",))).select("page_id", "path")
@@ -169,7 +172,10 @@ def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.outcomes(spark.read.parquet(f"{base}/out").select("outcome"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, event_type, user_id AS node_id, ts, epoch_us(ts)::HUGEINT * 10000000 + event_id AS place FROM events),
+k AS (SELECT event_type, node_id, min(place) AS place FROM e GROUP BY 1, 2
+  UNION ALL SELECT k.event_type, k.node_id, min(e.place) FROM k JOIN e ON e.event_type = k.event_type AND e.node_id = k.node_id AND epoch_us(e.ts)::HUGEINT >= k.place // 10000000 + 43200000000 GROUP BY 1, 2)
+SELECT CAST(place % 10000000 AS BIGINT) AS event_id, event_type, node_id FROM k""")
 def event_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("node_id"), F.col("ts").cast("timestamp").alias("ts"))
     return E.drop_repeats(rows, timedelta(hours=12)).select("event_id", "event_type", "node_id")

@@ -295,3 +295,13 @@ def rerank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 20).select("q", "key", "rank", F.col("cosine").alias("score"))
     scores = hits.where("key % 3 <> 0").select("q", "key", (F.col("key") * 7919 % 101).cast("double").alias("rerank_score"))
     return rag.rerank(hits, scores, 8, replace=True)
+
+
+@query("WITH " + SCORED + """h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 12),
+g AS (SELECT q FROM h WHERE score >= 0.25 GROUP BY 1 HAVING count(*) >= 3)
+SELECT q, key, CAST(rank AS INT) AS rank, score FROM h WHERE (score >= 0.25 AND q IN (SELECT q FROM g)) OR q NOT IN (SELECT q FROM g)""")
+def gated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict pass where it is relevant, the broadened one elsewhere."""
+    pool = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 12).select("q", "key", "rank", F.col("cosine").alias("score"))
+    strict = pool.where("score >= 0.25")
+    return rag.retrieve(strict, pool, status.relevance(strict, 0.25, 3))
