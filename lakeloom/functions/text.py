@@ -190,7 +190,7 @@ def stream_delta(chunk: Column, so_far: Column) -> Column:
 
 def rerank_scores(answer: Column, items: Column) -> Column:
     """(index, score) pairs of a model's answer such as "[2] = 7": indices in range, the first of each."""
-    pattern = r"\[?(\d+)\]?\s*[=:]\s*(\d+)"
+    pattern = r"\[?(\d+)\]?\s*[=:]?\s*(\d+)"
     pairs = F.arrays_zip(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)).alias("i"), F.regexp_extract_all(answer, F.lit(pattern), F.lit(2)).alias("s"))
     typed = F.transform(pairs, lambda p: F.struct(p["i"].cast("int").alias("i"), p["s"].cast("double").alias("s")))
     inside = F.filter(typed, lambda p: (p["i"] >= 1) & (p["i"] <= items))

@@ -71,7 +71,7 @@ def process(text: Column, chunks: Column) -> Column:
     """Outcome of the content phase: state and error."""
     blank = text.isNull() | (F.trim(text) == "")
     none = F.coalesce(F.size(chunks), F.lit(0)) < 1
-    return F.struct(F.when(blank | none, "FAILED").otherwise("INDEXED").alias("status"), F.when(blank, "No text extracted").when(none, "No chunks produced").alias("error"))
+    return F.struct(F.when(blank | none, "FAILED").otherwise("INDEXED").alias("status"), F.when(blank, "No extractable text produced").when(none, "No chunks produced from extracted text").alias("error"))
 
 
 def with_status(properties: Column, status: Column, error: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lakeloom.functions import paths as P
 
 # What a status write-back changes.
-STATUS_PROPERTIES = ("cl:syncStatus", "cl:syncError", "cm:modified", "cm:modifier")
-STATUS_ASPECTS = ("cl:syncStatus",)
+STATUS_PROPERTIES = ("cl:syncStatus", "cl:syncStatusValue", "cl:syncError", "cm:modified", "cm:modifier")
+STATUS_ASPECTS = ("cl:syncStatus", "cl:indexed")
 
 
 @dataclass(frozen=True)
@@ -64,12 +64,14 @@ def in_scope(nodes: DataFrame, marked: DataFrame, scope: Scope, folders: bool =
 def only_status_changed(before: Column, after: Column) -> Column:
     """Whether an update differs in nothing but status and audit properties or status aspects.
 
-    before holds what changed: a null field means unchanged; a missing before is a real change.
+    before holds what changed: a null field means unchanged; a missing before is a real change. Without
+    a change of properties aspects aren't compared.
     """
     properties = F.map_filter(before["properties"], lambda k, v: ~k.isin(*STATUS_PROPERTIES) & ~v.eqNullSafe(F.element_at(after["properties"], k)))
     aspects = F.filter(F.array_union(F.array_except(before["aspects"], after["aspects"]), F.array_except(after["aspects"], before["aspects"])), lambda a: ~a.isin(*STATUS_ASPECTS))
     same = lambda f: before[f].isNull() | before[f].eqNullSafe(after[f])
-    return before.isNotNull() & (F.coalesce(F.size(properties), F.lit(0)) < 1) & (F.coalesce(F.size(aspects), F.lit(0)) < 1) & same("name") & same("node_type")
+    none = lambda a: F.coalesce(F.size(a), F.lit(0)) < 1
+    return before.isNotNull() & same("name") & same("node_type") & (before["properties"].isNull() | none(properties) & none(aspects))
 
 
 def looks_like_permission_change(before: Column, after: Column, fields: list[str]) -> Column:

@@ -165,13 +165,18 @@ def glob_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_paths(spark, sf_dir).where(P.matches_glob(F.col("path"), "/*1*"))
 
 
-@query("SELECT doc_id, 'nuxeo:' || source AS full_id, source AS bare_id, 'https://h/' || source || '/' || doc_id AS link FROM documents")
+@query("SELECT doc_id, 'repo:' || source AS full_id, source AS bare_id, 'https://h/' || source || '/' || doc_id AS link FROM documents")
 def source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = P.source_id(F.lit("nuxeo"), F.col("source"))
+    full = P.source_id(F.lit("repo"), F.col("source"))
     link = P.open_link(F.lit("https://h/{repo}/{id}"), {"repo": F.col("source"), "id": F.col("doc_id").cast("string")})
     return table(spark, sf_dir, "documents").select("doc_id", full.alias("full_id"), F.element_at(P.source_id_variants(full), 2).alias("bare_id"), link.alias("link"))
 
 
-@query()
+_HTML = f"regexp_replace(regexp_replace(html, '{N.SKIPPED}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _sign in N.ENTITIES:
+    _HTML = f"replace({_HTML}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_HTML}, '\\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", N.text_of(F.col("html").cast("binary"), F.lit("text/html")).alias("text"))

@@ -9,7 +9,11 @@ from lakeloom.operators.scope import any_of, under
 from lakeloom.operators.search import all_of
 
 # Types that hold text as it is.
-TEXT_TYPES = ("application/json", "application/xml", "application/javascript", "application/x-yaml", "application/sql")
+TEXT_TYPES = ("application/json", "application/xml", "application/javascript")
+
+
+SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def node(nodes: DataFrame, node_id: str) -> DataFrame:
@@ -72,9 +76,9 @@ def text_of(content: Column, mime_type: Column, convert: Column | None = None) -
 
 def html_text(html: Column) -> Column:
     """Without scripts, styles and tags; common entities decoded; one blank between words."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    out = F.regexp_replace(html, SKIPPED, " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, sign in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
