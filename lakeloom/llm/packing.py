@@ -53,8 +53,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.whole = re.compile("|".join([r"\s ", *map(re.escape, sorted(special))]))
-        self.units: dict[str, bytes] = {}
+        self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
+        self.spaced = any(" " in t for t in special)
+        self.units: dict[str, bytes | None] = {}
         vocab = self.tokenizer.get_vocab()
         # ids after which a sentence may end
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -82,11 +83,15 @@ class Encoder:
     def _unit(self, text: str) -> bytes:
         return array("I", self.fast.encode_ordinary(text)).tobytes() if self.fast else self._plain(text)
 
+    def _apart(self, unit: str) -> bool:
+        """Whether a stretch between spaces can be encoded on its own."""
+        return bool(unit) and not unit[-1].isspace() and not (self.special and self.special.search(unit))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.whole.search(text):
-            return self._plain(text)
         first, *rest = text.split(" ")
+        if self.spaced or not self._apart(first):
+            return self._plain(text)
         units = self.units
         if len(units) > CACHED_UNITS:
             units.clear()
@@ -95,8 +100,21 @@ class Encoder:
         except KeyError:
             for u in rest:
                 if u not in units:
-                    units[u] = self._unit(" " + u)
-            return self._unit(first) + b"".join([units[u] for u in rest])
+                    units[u] = self._unit(" " + u) if self._apart(u) else None
+        except TypeError:  # a unit that can't stand alone
+            return self._plain(text)
+        return self._plain(text) if None in (parts := [units[u] for u in rest]) else self._unit(first) + b"".join(parts)
+
+
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for each worker process, with the units it has met: kept beside the library, as this module's
+    own globals are shipped anew with each task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_lakeloom_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def plan_cuts(places: list[int], costs: list[int], window: int = WINDOW) -> list[int]:
@@ -229,7 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 40, encoder.ends)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
