@@ -198,3 +198,12 @@ def event_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = audit_log(spark, sf_dir)
     kind, n = E.route(F.col("event_id"), F.col("node_id").cast("string")), F.col("node_id")
     return status.outcomes(log.select(E.decide(kind, n % 5 != 0, n % 7 == 0, n % 3 != 0).alias("outcome")))
+
+
+@query("WITH " + PAGES + """, s AS (SELECT page_id, path, string_split(path, '/') AS a FROM p),
+x AS (SELECT page_id, path, unnest(list_transform(range(len(a) - 2, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS spot FROM s WHERE len(a) > 2)
+SELECT DISTINCT page_id, CASE WHEN page_id % 3 = 0 THEN 'delete' ELSE 'sync' END AS outcome FROM x WHERE length(spot) % 2 = 0""")
+def subtree_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = page_paths(spark, sf_dir).withColumn("in_scope", F.col("page_id") % 3 != 0)
+    folders = ingest.folders(nodes).where(F.length("folder") % 2 == 0).select(F.col("folder").alias("path"))
+    return E.reconcile_subtree(folders, nodes).select("page_id", "outcome")

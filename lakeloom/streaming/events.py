@@ -119,3 +119,22 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def subtree(folders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes (path, ...) strictly below any of the folders (path), each once: ancestors are joined by path."""
+    from lakeloom.functions.paths import ancestor_paths
+
+    reach = nodes.withColumn("__at", F.explode(ancestor_paths(F.col("path"))))
+    return reach.join(folders.select(F.col("path").alias("__at")).distinct(), "__at", "left_semi").drop("__at").distinct()
+
+
+def reconcile_subtree(folders: DataFrame, nodes: DataFrame, acl_only: bool = False) -> DataFrame:
+    """What to do with each node (in_scope) below changed folders: sync or delete; if only access changed, update_acl or skip."""
+    inside, outside = ("update_acl", "skip") if acl_only else ("sync", "delete")
+    return subtree(folders, nodes).withColumn("outcome", F.when(F.col("in_scope"), inside).otherwise(outside))
+
+
+def tear_down(folders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All below folders that left the scope goes, and its status is cleared."""
+    return subtree(folders, nodes).withColumn("outcome", F.lit("delete"))
