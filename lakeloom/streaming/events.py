@@ -105,7 +105,10 @@ class RecentEvents(StatefulProcessor):
 
 
 def drop_repeats_stream(events: DataFrame, window: timedelta) -> DataFrame:
-    """drop_repeats for a stream, with state that expires; needs the RocksDB state store."""
+    """drop_repeats for a stream, with state that expires; needs the RocksDB state store.
+
+    Not yet seen running: planning ended with an internal error where it was tried.
+    """
     return events.groupBy("event_type", "node_id").transformWithStateInPandas(RecentEvents(window), events.schema, "Append", "ProcessingTime")
 
 
