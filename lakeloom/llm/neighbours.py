@@ -17,9 +17,12 @@ EVERY, NEAREST = 20, 20
 DEGREE, REVERSE = 64, 64
 #: First graph: rounds of sorting nodes along pivots, pivots a round, nodes compared in one block.
 SEED_ROUNDS, PIVOTS, BLOCK = 4, 128, 2_048
-DESCENTS, SEARCHES = 4, 2
-#: Nodes of a query's beam, those expanded in a round, and those scored exactly in the end.
-BEAM, EXPANDED, EXACT = 72, 16, 48
+#: Rounds of descent, and of search where all lengths are alike and where a query visits other lengths too.
+DESCENTS, SEARCHES, VISITS = 4, 2, 5
+#: Nodes of a query's beam in each band of lengths, all scored exactly in the end, and those expanded in a round.
+BEAM, EXPANDED = 72, 16
+#: Lengths differ at most twofold in a band, unless that took more than BANDS; nodes of a band that every query is compared with.
+BANDS, ENTRIES = 32, 2_048
 #: Proposals of one node for each of its neighbours in a descent.
 PROPOSED = 24
 
@@ -40,29 +43,43 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
 
 
 def _packed(b: pa.Array) -> np.ndarray:
-    """Shapes as rows of a matrix, in the units of their scale."""
-    return np.frombuffer(b"".join(b.to_pylist()), dtype=np.int8).reshape(len(b), -1).astype(np.float32) / 127
+    """Shapes as rows of a matrix: a scale, the added coordinate, and the others as bytes in units of that scale."""
+    rows = np.frombuffer(b"".join(b.to_pylist()), dtype=np.uint8).reshape(len(b), -1)
+    head = np.ascontiguousarray(rows[:, :8]).view(np.float32)
+    return np.hstack([rows[:, 8:].view(np.int8) * head[:, :1], head[:, 1:]])
 
 
 def _shape(nodes: DataFrame) -> DataFrame:
-    """node and shape: the vector scaled to the longest one, with a coordinate that makes all alike in length, in bytes.
+    """node, band and shape: the vector scaled to the longest of its band, with a coordinate that makes all alike in length.
 
-    Products of shapes order neighbours as on a sphere, whatever the lengths are. They serve to build
-    and walk the graph; the scores returned are those of the original vectors.
+    Products of shapes order the neighbours in a band as on a sphere. They serve to build and walk the
+    graph; the scores returned are those of the original vectors. A band holds like lengths and each
+    vector has a scale of its own, so that no long vector takes the others' digits away.
     """
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    row = nodes.agg(F.max(F.sqrt(square)), F.min(F.sqrt(square)), F.max(F.array_max(F.transform("vec", F.abs)))).first()
-    longest, shortest, largest = (x or 1.0 for x in row)
-    unit = max(largest / longest, max(0.0, 1 - (shortest / longest) ** 2) ** 0.5)
+    largest = F.array_max(F.transform("vec", F.abs))
+    # divided by its largest value first, as squares could overflow
+    square = F.aggregate(F.transform("vec", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)
+    known = nodes.withColumn("length", F.log2(largest) + F.log2(square) / 2)
+    row = known.agg(F.max("length"), F.min("length")).first()
+    longest, shortest = (x or 0.0 for x in row)
+    width = max(1.0, (longest - shortest) / (BANDS - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column("vec")) / longest
-            rest = np.sqrt(np.maximum(0, 1 - (v * v).sum(1, keepdims=True))) if len(v) else v
-            shape = np.rint(np.hstack([v, rest]) / unit * 127).astype(np.int8)
-            yield batch(node=b.column("node"), shape=([row.tobytes() for row in shape], pa.binary()))
-
-    return arrow_map(nodes.select("node", "vec"), run, "node long, shape binary")
+            band = np.floor((longest - b.column("length").to_numpy()) / width).clip(0, BANDS - 1).astype(np.int64)
+            v = _matrix(b.column("vec"))
+            if len(v):
+                # powers of two taken off in halves, as 2**-top alone could overflow
+                half = np.exp2((band * width - longest) / 2)[:, None]
+                v = v * half * half
+            rest = np.sqrt(np.maximum(0, 1 - (v * v).sum(1))) if len(v) else np.zeros(0)
+            scale = np.abs(v).max(1) / 127 if len(v) else np.zeros(0)
+            scale = np.maximum(scale.astype(np.float32), np.float32(1e-37))
+            whole = np.rint(v / scale[:, None]).clip(-127, 127).astype(np.int8) if len(v) else v
+            head = np.stack([scale, rest.astype(np.float32)], axis=1)
+            yield batch(node=b.column("node"), band=pa.array(band), shape=([h.tobytes() + w.tobytes() for h, w in zip(head, whole, strict=True)], pa.binary()))
+
+    return arrow_map(known.select("node", "vec", "length"), run, "node long, band long, shape binary")
 
 
 def best(edges: DataFrame, source: str, target: str, score: str, most: int) -> DataFrame:
@@ -72,13 +89,20 @@ def best(edges: DataFrame, source: str, target: str, score: str, most: int) -> D
     return one.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__place")
 
 
+def band_sizes(shapes: DataFrame) -> dict[int, int]:
+    """Nodes of each band, at most BANDS rows."""
+    return {r["band"]: r["count"] for r in shapes.groupBy("band").count().collect()}
+
+
 def first_graph(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b, s: nodes that lie next to each other when sorted by their nearest of some pivots.
 
     Pivots, a bounded sample, come to the driver; every node is sorted and compared with the rest of
-    its block, so a dense region is only cut into more blocks.
+    its block, so a dense region is only cut into more blocks. Blocks lie within a band and are bounded
+    by the places of a sample, one node in BLOCK / 16, so that they depend on the nodes alone: up to
+    BLOCK nodes are one block, whatever the number of partitions is.
     """
-    n = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = band_sizes(shapes)
     out = None
     for r in range(SEED_ROUNDS):
         rows = shapes.orderBy(F.xxhash64("node", F.lit(r)), "node").limit(PIVOTS).select("shape").toArrow()
@@ -95,10 +119,30 @@ def first_graph(shapes: DataFrame, scratch: Scratch) -> DataFrame:
                 if b.num_rows:
                     s = _packed(b.column("shape")) @ pivots.T
                     nearest = s.argmax(1)
-                    yield batch(node=b.column("node"), shape=b.column("shape"), place=pa.array(nearest + 1 / (2 + np.exp(np.clip(s.max(1), -50, 50))).astype(np.float64)))
+                    yield batch(node=b.column("node"), band=b.column("band"), shape=b.column("shape"), place=pa.array(nearest + 1 / (2 + np.exp(np.clip(s.max(1), -50, 50))).astype(np.float64)))
+
+        placed_as = "node long, band long, shape binary, place double"
+        large = [k for k, size in sizes.items() if size > BLOCK]
+        bounds: dict[int, np.ndarray] = {}
+        if large:
+            some = shapes.where(F.col("band").isin(large) & (F.pmod(F.xxhash64("node", F.lit(-1 - r)), F.lit(max(1, BLOCK // 16))) == 0))
+            sample = arrow_map(some, place, placed_as).select("band", "place").toArrow()
+            of, places = sample["band"].to_numpy(), sample["place"].to_numpy()
+            for k in large:
+                here = np.sort(places[of == k])
+                cuts = np.arange(1, max(1, sizes[k] // BLOCK)) / max(1, sizes[k] // BLOCK)
+                bounds[k] = here[(cuts * len(here)).astype(np.int64)] if len(here) else np.zeros(0)
+
+        def divide(batches: Iterator[pa.RecordBatch], bounds: dict[int, np.ndarray] = bounds, place=place) -> Iterator[pa.RecordBatch]:
+            for b in place(batches):
+                band, places = b.column("band").to_numpy(), b.column("place").to_numpy()
+                block = band << 40
+                for k, cuts in bounds.items():
+                    block[band == k] += np.searchsorted(cuts, places[band == k], side="right")
+                yield batch(node=b.column("node"), shape=b.column("shape"), place=b.column("place"), block=pa.array(block))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, held = np.zeros(0, dtype=np.int64), []
+            ids, blocks, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
 
             def block(ids: np.ndarray, shapes: list[bytes]) -> pa.RecordBatch:
                 v = _packed(pa.array(shapes, pa.binary()))
@@ -108,16 +152,27 @@ def first_graph(shapes: DataFrame, scratch: Scratch) -> DataFrame:
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 return batch(a=pa.array(np.repeat(ids, k)), b=pa.array(ids[top].ravel()), s=pa.array(np.take_along_axis(s, top, 1).ravel()))
 
+            def done(last: bool) -> Iterator[pa.RecordBatch]:
+                """Compare the blocks that are complete, and parts of one that is too large."""
+                nonlocal ids, blocks, held
+                while len(ids):
+                    size = int(np.searchsorted(blocks, blocks[0], side="right"))
+                    if size >= 2 * BLOCK:
+                        size = BLOCK
+                    elif size == len(ids) and not last:
+                        return
+                    if size > 1:
+                        yield block(ids[:size], held[:size])
+                    ids, blocks, held = ids[size:], blocks[size:], held[size:]
+
             for b in batches:
                 ids, held = np.concatenate([ids, b.column("node").to_numpy()]), held + b.column("shape").to_pylist()
-                while len(ids) >= 2 * BLOCK:
-                    yield block(ids[:BLOCK], held[:BLOCK])
-                    ids, held = ids[BLOCK:], held[BLOCK:]
-            if len(ids) > 1:
-                yield block(ids, held)
-
-        ranged = arrow_map(shapes, place, "node long, shape binary, place double").repartitionByRange(max(2, n // 2), "place", "node").sortWithinPartitions("place", "node")
-        edges = arrow_map(ranged.select("node", "shape"), compare, "a long, b long, s float")
+                blocks = np.concatenate([blocks, b.column("block").to_numpy()])
+                yield from done(False)
+            yield from done(True)
+
+        divided = arrow_map(shapes, divide, "node long, shape binary, place double, block long").repartition("block").sortWithinPartitions("block", "place", "node")
+        edges = arrow_map(divided.select("node", "shape", "block"), compare, "a long, b long, s float")
         out = edges if out is None else out.unionByName(edges)
     return scratch.save("graph", best(out, "a", "b", "s", DEGREE))
 
@@ -173,40 +228,73 @@ def descend(graph: DataFrame, shapes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save("graph", best(graph.unionByName(proposals), "a", "b", "s", DEGREE))
 
 
+def entries(asked: DataFrame, shapes: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """q, band, node, s and expanded: in every band, the best for each query of ENTRIES nodes, a bounded sample that goes to all tasks.
+
+    A band of up to ENTRIES nodes is compared as a whole, so nothing of it is left to expand.
+    """
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
+    rows = shapes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ENTRIES).drop("place").toArrow()
+    of, ids = rows["band"].to_numpy(), rows["node"].to_numpy()
+    held = rows["shape"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+    parts = [(k, ids[of == k], held.filter(pa.array(of == k)).to_pylist(), sizes[k] <= ENTRIES) for k in sorted(sizes)]
+    shared = shapes.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = [(k, ids, _packed(pa.array(held, pa.binary()))[:, :-1], whole) for k, ids, held, whole in shared.value]
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 1_000):
+                b = whole_batch.slice(at, 1_000)
+                asked_shapes, q = _packed(b.column("query_shape"))[:, :-1], b.column("q").to_numpy()
+                for k, ids, shapes, whole in bands:
+                    s = asked_shapes @ shapes.T
+                    most = min(BEAM, len(ids))
+                    top = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                    n = top.size
+                    yield batch(q=pa.array(np.repeat(q, most)), band=pa.array(np.full(n, k)), node=pa.array(ids[top].ravel()), s=pa.array(np.take_along_axis(s, top, 1).ravel()), expanded=pa.array(np.full(n, whole)))
+
+    return arrow_map(asked, run, "q long, band long, node long, s float, expanded boolean")
+
+
 def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """q, node: the best nodes of each query node, by greedy search of the graph from the node itself.
+    """q, node: the best nodes of each query node in each band, by greedy search of the graph.
 
-    Each round expands the best nodes of a query's beam that were not expanded yet: their neighbours,
+    In its own band a search begins at the node itself, in every band at the best of a sample. Each
+    round expands the best nodes of a query's beam that were not expanded yet: their neighbours,
     in both directions, are scored and the best kept. A query's product leaves the added coordinate out.
     """
     back = best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), "a", "b", "s", REVERSE)
     links = scratch.save("links", graph.select("a", "b").unionByName(back.select("a", "b")).distinct())
     asked = queries.join(shapes, queries["q"] == shapes["node"]).select("q", F.col("shape").alias("query_shape"))
+    sizes = band_sizes(shapes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 s = (_packed(b.column("shape"))[:, :-1] * _packed(b.column("query_shape"))[:, :-1]).sum(1)
-                yield batch(q=b.column("q"), node=b.column("node"), s=pa.array(s))
+                yield batch(q=b.column("q"), band=b.column("band"), node=b.column("node"), s=pa.array(s))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(shapes, "node").join(asked, "q").select("q", "node", "shape", "query_shape")
-        return arrow_map(rows, run, "q long, node long, s float")
+        rows = pairs.join(shapes, "node").join(asked, "q").select("q", "band", "node", "shape", "query_shape")
+        return arrow_map(rows, run, "q long, band long, node long, s float").withColumn("expanded", F.lit(False))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("q", "band").orderBy(F.desc("s"), "node")
+        return scratch.save("beam", rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM).drop("place"))
 
     # a node's own list is where its search begins
     first = graph.join(queries, graph["a"] == queries["q"], "left_semi").select(F.col("a").alias("q"), F.col("b").alias("node"))
-    first = first.unionByName(queries.select("q", F.col("q").alias("node")))
-    order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    beam = scratch.save("beam", scored(first).withColumn("expanded", F.lit(False)))
-    for _ in range(SEARCHES):
-        turn = F.row_number().over(Window.partitionBy("q", "expanded").orderBy(F.desc("s"), "node"))
+    first = scored(first.unionByName(queries.select("q", F.col("q").alias("node"))))
+    begun = first.unionByName(entries(asked, shapes, sizes)).groupBy("q", "band", "node").agg(F.max("s").alias("s"), F.max("expanded").alias("expanded"))
+    beam = kept(begun)
+    for _ in range(SEARCHES if len(sizes) < 2 else VISITS):
+        turn = F.row_number().over(Window.partitionBy("q", "band", "expanded").orderBy(F.desc("s"), "node"))
         marked = beam.withColumn("now", ~F.col("expanded") & (turn <= EXPANDED))
         fresh = marked.where("now").select("q", F.col("node").alias("a"))
         reached = fresh.join(links, "a").select("q", F.col("b").alias("node")).distinct()
         new = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti")
-        merged = marked.select("q", "node", "s", (F.col("expanded") | F.col("now")).alias("expanded")).unionByName(scored(new).withColumn("expanded", F.lit(False)))
-        beam = scratch.save("beam", merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM).drop("place"))
-    return beam.withColumn("place", F.row_number().over(order)).where(F.col("place") <= EXACT).select("q", "node")
+        beam = kept(marked.select("q", "band", "node", "s", (F.col("expanded") | F.col("now")).alias("expanded")).unionByName(scored(new)))
+    return beam.select("q", "node")
 
 
 def exact_scores(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -230,7 +318,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, most: int = NEAREST) -> Data
     compared, not counted on: gaps don't matter. Recall is measured in the tests.
 
     Cases: unusable vectors take no part; repeated rows of one vec_id and vector are one row; fewer
-    candidates than `most` are all returned where the graph reaches them; no rows give no rows.
+    candidates than `most` are all returned; no rows give no rows.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
     rows = scratch.save("rows", usable(vectors).distinct())

@@ -157,6 +157,30 @@ def test_neighbours_few(spark):
     assert neighbours.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["one", "all"])
+def test_neighbours_of_unlike_lengths(spark, monkeypatch, spread):
+    """The graph is walked, not only the sample of a band."""
+    monkeypatch.setattr(neighbours, "ENTRIES", 40)
+    monkeypatch.setattr(neighbours, "BLOCK", 128)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if spread == "one":
+        v[5] *= 200
+    else:
+        v *= 100 ** rng.uniform(0, 1, (2000, 1))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(frame).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 2000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 2000 >= 0.9
+
+
 # 4
 
 PII_TEXTS = [
