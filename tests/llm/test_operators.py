@@ -181,6 +181,21 @@ def test_neighbours_of_unlike_lengths(spark, monkeypatch, spread):
     assert hit / 2000 >= 0.9
 
 
+def test_neighbours_whatever_the_partitions(spark):
+    """Few distinct vectors, some with copies: all are returned, though they are fewer than the partitions."""
+    rows = [(i, [float(i % 6 + 1), float(i % 5), 1.0]) for i in range(20)] + [(20 + i, [1.0, 0.0, 1.0]) for i in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = neighbours.nearest(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for q in (0, 20):
+        want = sorted(((-sum(x * y for x, y in zip(v, rows[q][1], strict=True)), i) for i, v in rows if i != q))[:20]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
+
+
 # 4
 
 PII_TEXTS = [
