@@ -22,9 +22,10 @@ OWN_CLASS, HELD_WORDS = 1_000, 100_000
 OWN_CONTEXT = 200
 #: Classes of the other words, by their last letters; states of the text so far.
 TAIL_CLASSES, STATES = 200, 8
-#: The states are found on at most so many training texts (a feature of the model, not a statistic of the corpus).
-STATE_TEXTS = 4_000
-DIMENSION, NOISE, SHARED, BATCH, STEPS, RATE = 24, 20, 10, 2_048, 1_000, 0.2
+#: Passes over all training texts that find the states, and texts whose class counts are laid out at once.
+STATE_ROUNDS, STATE_CHUNK = 15, 1_000
+#: Each step takes the counts of all pairs, and all noise by its expectation.
+DIMENSION, NOISE, STEPS, RATE = 24, 20, 300, 0.05
 COUNTED_WORDS = 300_000
 END = 0  # class of the end of a text
 
@@ -83,21 +84,54 @@ def contexts(classes: np.ndarray, evidence: np.ndarray, context_of: np.ndarray,
     return state * contexts_per_state + context_of[before]
 
 
-def find_states(counts: np.ndarray, seed: int = 7) -> np.ndarray:
-    """A mixture of unigram models over texts' class counts, by expectation-maximisation: log probabilities (classes, states)."""
+def find_states(texts: DataFrame, size: int, seed: int = 7) -> np.ndarray:
+    """A mixture of unigram models over texts' class counts, by expectation-maximisation: log probabilities (classes, states).
+
+    texts has doc_id, text_hash, cls and n (32-bit numbers as bytes) of every training text. Each round is
+    a pass over all; only sums of states x classes come to the driver. The first guess comes from STATES texts.
+    """
+    spark = texts.sparkSession
     generator = np.random.default_rng(seed)
-    texts, classes = counts.shape
-    overall = counts.sum(0) + 1.0
-    if not texts:
-        return np.zeros((classes, STATES))
-    seeds = counts[generator.choice(texts, STATES, replace=texts < STATES)]
+
+    def dense(cls: list[bytes], n: list[bytes]) -> np.ndarray:
+        x = np.zeros((len(cls), size), dtype=np.float32)
+        rows = np.repeat(np.arange(len(cls)), [len(c) // 4 for c in cls])
+        x[rows, np.frombuffer(b"".join(cls), dtype=np.int32)] = np.frombuffer(b"".join(n), dtype=np.int32)
+        return x
+
+    def sums(rate: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(rate)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = shared.value
+            mass = np.zeros((len(weights), size))
+            for whole in batches:
+                for at in range(0, whole.num_rows, STATE_CHUNK):
+                    b = whole.slice(at, STATE_CHUNK)
+                    x = dense(b.column("cls").to_pylist(), b.column("n").to_pylist())
+                    score = (x @ weights.T.astype(np.float32)).astype(np.float64)
+                    score -= score.max(1, keepdims=True)
+                    share = np.exp(score)
+                    share /= share.sum(1, keepdims=True)
+                    mass += share.T.astype(np.float32) @ x
+            at = np.flatnonzero(mass)
+            yield batch(at=pa.array(at), mass=pa.array(mass.ravel()[at]))
+
+        out = np.zeros(len(rate) * size)
+        for r in arrow_map(texts.select("cls", "n"), run, "at long, mass double").groupBy("at").agg(F.sum("mass").alias("mass")).collect():
+            out[r["at"]] = r["mass"]
+        shared.unpersist()
+        return out.reshape(len(rate), size)
+
+    first = texts.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id").limit(STATES).select("cls", "n").collect()
+    if not first:
+        return np.zeros((size, STATES))
+    overall = sums(np.zeros((1, size)))[0] + 1.0
+    seeds = dense([bytes(r["cls"]) for r in first], [bytes(r["n"]) for r in first])
+    seeds = seeds[generator.choice(len(seeds), STATES, replace=len(seeds) < STATES)].astype(np.float64)
     rate = np.log(0.5 * (seeds + 0.01) / (seeds + 0.01).sum(1, keepdims=True) + 0.5 * overall / overall.sum())
-    for _ in range(15):
-        score = counts @ rate.T
-        score -= score.max(1, keepdims=True)
-        share = np.exp(score)
-        share /= share.sum(1, keepdims=True)
-        mass = share.T @ counts + 0.5 * overall / overall.sum() * classes * 0.1
+    for _ in range(STATE_ROUNDS):
+        mass = sums(rate) + 0.5 * overall / overall.sum() * size * 0.1
         rate = np.log(mass / mass.sum(1, keepdims=True))
     return rate.T.copy()
 
@@ -106,9 +140,11 @@ def train_nce(pair_context: np.ndarray, pair_class: np.ndarray, pair_count: np.n
     """log10 p(class | context), normalised, of a log-bilinear model.
 
     A context's vector is the sum of its state's and of its former class's; a class is scored by its
-    own vector's product with it, plus a bias. Noise-contrastive estimation tells pairs drawn from
-    the counts (all of the corpus) from pairs with classes drawn from the unigram distribution. In the
-    end, products in batches over all classes are normalised, so that each context's sum is one.
+    own vector's product with it, plus a bias. Noise-contrastive estimation tells the pairs counted in
+    all of the corpus from pairs with classes of the unigram distribution. Nothing is drawn: a step
+    takes every pair by its count and the noise by its expectation, so its cost hangs on the number of
+    contexts and classes alone. In the end, products over all classes are normalised, so that each
+    context's sum is one.
     """
     generator = np.random.default_rng(seed)
     unigram = np.bincount(pair_class, weights=pair_count, minlength=classes) + 0.5
@@ -118,34 +154,28 @@ def train_nce(pair_context: np.ndarray, pair_class: np.ndarray, pair_count: np.n
     out = generator.normal(0, 0.1, (classes, DIMENSION))
     of_state = generator.normal(0, 0.1, (states, DIMENSION))
     of_class = generator.normal(0, 0.1, (per_state, DIMENSION))
-    sums = [np.full(a.shape, 1e-2) for a in (out, of_state, of_class, bias)]
     if len(pair_count):
-        drawn = np.cumsum(pair_count) / pair_count.sum()
-        noise_steps = np.cumsum(noise)
-        for step in range(STEPS):
-            at = np.minimum(np.searchsorted(drawn, generator.random(BATCH)), len(drawn) - 1)
-            s, c = pair_context[at] // per_state, pair_context[at] % per_state
-            x = of_state[s] + of_class[c]
-            # a batch shares NOISE x SHARED noise classes, which weigh as NOISE
-            fake = np.minimum(np.searchsorted(noise_steps, generator.random(NOISE * SHARED)), classes - 1)
-            real = pair_class[at]
-            p_real = 1 / (1 + np.exp(-np.clip((x * out[real]).sum(1) + bias[real] - log_noise[real], -30, 30)))
-            p_fake = 1 / (1 + np.exp(-np.clip(x @ out[fake].T + bias[fake] - log_noise[fake], -30, 30)))
-            g_real, g_fake = p_real - 1, p_fake / SHARED
-            gx = g_real[:, None] * out[real] + g_fake @ out[fake]
-            rate = RATE * (1 - step / STEPS) + 0.01
-            for table, total, rows, g in (
-                (out, sums[0], np.concatenate([real, fake]), np.concatenate([g_real[:, None] * x, g_fake.T @ x])),
-                (of_state, sums[1], s, gx),
-                (of_class, sums[2], c, gx),
-                (bias, sums[3], np.concatenate([real, fake]), np.concatenate([g_real, g_fake.sum(0)])),
-            ):
-                # rows repeat within a batch: add up first, scatter once
-                order = np.argsort(rows, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-                index, gathered = rows[order][starts], np.add.reduceat(g[order], starts, axis=0)
-                total[index] += gathered**2
-                table[index] -= rate * gathered / np.sqrt(total[index])
+        real = np.bincount(pair_context * classes + pair_class, weights=pair_count, minlength=states * per_state * classes).reshape(-1, classes)
+        seen = np.flatnonzero(real.sum(1))
+        real = (real[seen] / pair_count.sum()).astype(np.float32)
+        both = real + (NOISE * real.sum(1, keepdims=True) * noise).astype(np.float32)
+        s, c = seen // per_state, seen % per_state
+        weights = [out, of_state, of_class, bias]
+        moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
+        for step in range(1, STEPS + 1):
+            x = (of_state[s] + of_class[c]).astype(np.float32)
+            z = x @ out.T.astype(np.float32) + (bias - log_noise).astype(np.float32)
+            # real pairs pull by p - 1, noise pushes by p
+            g = both / (1 + np.exp(-np.clip(z, -30, 30))) - real
+            gx = (g @ out.astype(np.float32)).astype(np.float64)
+            of_s, of_c = np.zeros_like(of_state), np.zeros_like(of_class)
+            np.add.at(of_s, s, gx)
+            np.add.at(of_c, c, gx)
+            rate = RATE * (1 - (step - 1) / STEPS) + 0.001
+            for w, (m, v), d in zip(weights, moments, ((g.T @ x).astype(np.float64), of_s, of_c, g.sum(0, dtype=np.float64)), strict=True):
+                m += 0.1 * (d - m)
+                v += 0.001 * (d * d - v)
+                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-12)
     table = np.empty((states * per_state, classes))
     for s in range(states):
         z = (of_state[s] + of_class) @ out.T + bias
@@ -177,9 +207,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def train(rows: DataFrame, counts: DataFrame) -> Model:
     """The model from training rows (text as bytes) and their word counts.
 
-    To the driver come the OWN_CLASS commonest words, the mass of each class, states' texts as class
-    counts (at most STATE_TEXTS), and counts of (context, class) pairs over all training texts: at
-    most STATES x contexts x classes, some million, whatever the corpus.
+    To the driver come the OWN_CLASS commonest words, the mass of each class, in each round of the
+    states' search a sum for each state and class over all training texts, and counts of (context,
+    class) pairs over them: at most STATES x contexts x classes, some million, whatever the corpus.
     """
     spark = rows.sparkSession
     own = [bytes(r["word"]) for r in counts.orderBy(F.desc("c"), "word").limit(OWN_CLASS).collect()]
@@ -209,25 +239,35 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Classes(own)
         for b in batches:
-            yield batch(x=([np.bincount(local.of(t.as_py().lower().split()), minlength=size).astype(np.float32).tobytes() for t in b.column("text")], pa.binary()))
+            run = [local.of(t.as_py().lower().split()) for t in b.column("text")]
+            counted = [np.bincount(at, minlength=size) for at in run]
+            found = [np.flatnonzero(n) for n in counted]
+            yield batch(
+                doc_id=b.column("doc_id"),
+                text_hash=b.column("text_hash"),
+                cls=([f.astype(np.int32).tobytes() for f in found], pa.binary()),
+                n=([n[f].astype(np.int32).tobytes() for n, f in zip(counted, found, strict=True)], pa.binary()),
+                run=([at.astype(np.int16).tobytes() for at in run], pa.binary()),
+            )
 
-    picked = rows.select("doc_id", "text_hash", "text").orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id").select("text").limit(STATE_TEXTS)
-    sample = arrow_map(picked, classed, "x binary").toArrow()["x"].to_pylist()
-    evidence = find_states(np.frombuffer(b"".join(sample), dtype=np.float32).reshape(-1, size))
-    shared = spark.sparkContext.broadcast((own, evidence))
+    scratch = Scratch(spark, "states")
+    # the texts are split once: their class counts for the states, their runs of classes for the pairs
+    held = scratch.save("classed", arrow_map(rows.select("doc_id", "text_hash", "text"), classed, "doc_id long, text_hash long, cls binary, n binary, run binary"))
+    evidence = find_states(held, size)
+    shared = spark.sparkContext.broadcast(evidence)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words, shares = shared.value
-        local = Classes(own_words)
+        shares = shared.value
         table = np.zeros(STATES * per_state * size, dtype=np.int32)
         for b in batches:
-            for t in b.column("text"):
-                at = local.of(t.as_py().lower().split())
+            for t in b.column("run"):
+                at = np.frombuffer(t.as_py(), dtype=np.int16).astype(np.int64)
                 np.add.at(table, contexts(at, shares, context_of, per_state) * size + np.concatenate([at, [END]]), 1)
         found = np.flatnonzero(table)
         yield batch(pair=pa.array(found), n=pa.array(table[found].astype(np.int64)))
 
-    found = arrow_map(rows.select("text"), pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = arrow_map(held.select("run"), pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    scratch.drop("classed")
     pair, n = found["pair"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(pair)
     table = train_nce(pair[order] // size, pair[order] % size, n[order].astype(np.float64), STATES, per_state, size)

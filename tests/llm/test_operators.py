@@ -121,6 +121,27 @@ def test_language_model_empty(empty):
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_language_model_states_cover_all_texts(spark):
+    """A kind of text that comes late in the order of hashes is among the states' texts, past the first thousands."""
+    from pyspark.sql import functions as F
+
+    text = lambda t: F.lit(t).cast("binary").alias("text")
+    plain = spark.range(5000).select(F.col("id").alias("doc_id"), text("alpha beta"))
+    rare = spark.range(10000, 14000).select(F.col("id").alias("doc_id"), text("gamma gamma"))
+    hashed = lambda d: d.withColumn("text_hash", F.xxhash64("text"))
+    rare = hashed(rare).orderBy(F.xxhash64("doc_id", "text_hash").desc()).limit(100)
+    rows = hashed(plain).unionByName(rare).localCheckpoint()
+    model = language_model.train(rows, language_model.word_counts(rows).localCheckpoint())
+    assert np.exp(model.evidence[1 + model.own.index(b"gamma")].max()) > 0.005
+
+
+def test_language_model_learns_from_rare_pairs():
+    """A pair that some millions of draws would miss moves its context's table."""
+    context, cls, n = np.array([0, 0, 1]), np.array([1, 2, 3]), np.array([1e9, 1e9, 20.0])
+    table = language_model.train_nce(context, cls, n, 1, 2, 4)
+    assert table[1, 3] > table[0, 3] + 1
+
+
 # 3
 
 def test_neighbours(spark):
