@@ -37,8 +37,9 @@ def seeds(frame: DataFrame, words: str, at: str) -> DataFrame:
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """seed, mask, item_id, item_words and item_at (word position) of all items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.coalesce("text", F.lit(""))).alias("item_words"))
+    """seed, mask, item_id, item_hash (of its text), item_words and item_at (word position) of all items."""
+    text = F.coalesce("text", F.lit(""))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("item_hash"), word_hashes(text).alias("item_words"))
     return seeds(items, "item_words", "item_at")
 
 
@@ -51,7 +52,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The items' seeds are counted first; up to BROADCAST_SEEDS are broadcast, so that documents aren't
     shuffled. Beyond that the seeds of the documents are shuffled without their texts, the hits are
-    joined back, and adaptive planning splits hot seeds. Both ways verify alike.
+    joined back, and adaptive planning splits hot seeds. Both ways verify alike: an item is told by its
+    id, null or not, and its text; of several texts of one id the best match is returned.
 
     Cases: null and empty texts match nothing; items of fewer than six words have no seeds and are
     not searched for; repeated rows give one row; no rows on either side give no rows.
@@ -62,27 +64,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if test.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         hits = seeds(words, "words", "at").drop("mask").join(F.broadcast(test), "seed")
     else:
-        slim = test.select("seed", "item_id", "item_at", "mask")
+        slim = test.select("seed", F.col("item_id").alias("hit_item"), "item_hash", "item_at")
         found = seeds(words, "words", "at").select(F.col("doc_id").alias("hit_id"), "text_hash", "at", "seed").join(slim, "seed")
-        items = test.groupBy("item_id").agg(F.first("item_words").alias("item_words"))
+        items = test.groupBy("item_id", "item_hash").agg(F.first("item_words").alias("item_words"))
         joined = found.join(words.dropDuplicates(["doc_id", "text_hash"]), "text_hash").where(F.col("hit_id").eqNullSafe(F.col("doc_id")))
-        hits = joined.drop("hit_id").join(items, "item_id")
+        hits = joined.drop("hit_id").join(items, "item_hash").where(F.col("hit_item").eqNullSafe(F.col("item_id")))
     # only the part of the text that lies along the item goes on, once for each diagonal
     shift, size = F.col("at") - F.col("item_at"), F.size("item_words")
     skipped = F.greatest(-shift, F.lit(0))
     along = F.slice("words", F.greatest(shift, F.lit(0)) + 1, size - skipped)
     diagonals = (
-        hits.select("doc_id", "text_hash", "item_id", "item_words", shift.alias("shift"), along.alias("along"))
-        .groupBy("doc_id", "text_hash", "item_id", "shift")
+        hits.select("doc_id", "text_hash", "item_id", "item_hash", "item_words", shift.alias("shift"), along.alias("along"))
+        .groupBy("doc_id", "text_hash", "item_id", "item_hash", "shift")
         .agg(F.first("along").alias("along"), F.first("item_words").alias("item_words"))
     )
     skipped = F.greatest(-F.col("shift"), F.lit(0))
     flag = F.transform("item_words", lambda w, j: F.coalesce((j >= skipped) & (F.get("along", F.when(j >= skipped, j - skipped)) == w), F.lit(False)).cast("int"))
-    checked = diagonals.select("doc_id", "text_hash", "item_id", flag.alias("flags"), F.least(size, F.lit(PASSAGE_WORDS)).alias("window"))
+    checked = diagonals.select("doc_id", "text_hash", "item_id", "item_hash", flag.alias("flags"), F.least(size, F.lit(PASSAGE_WORDS)).alias("window"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("flags") - F.col("window") + 1), lambda s: total(F.slice("flags", s, F.col("window")))))
-    pairs = checked.groupBy("doc_id", "text_hash", "item_id").agg(F.max(best - F.ceil(F.col("window") * SIMILARITY)).alias("spare"), F.max(total("flags")).alias("matched_words"), F.max(F.size("flags")).alias("item_words"))
-    return pairs.where("spare >= 0").drop("spare")
+    pairs = checked.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.max(best - F.ceil(F.col("window") * SIMILARITY)).alias("spare"), F.max(total("flags")).alias("matched_words"), F.max(F.size("flags")).alias("item_words"))
+    top = pairs.where("spare >= 0").groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched_words", "item_words")).alias("top"))
+    return top.select("doc_id", "text_hash", "item_id", "top.matched_words", "top.item_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -274,6 +274,18 @@ def test_decontamination_beyond_broadcast(spark, sf, monkeypatch):
     assert table_of(decontamination.contaminated(docs, bench), "doc_id", "item_id", "matched_words") == near and near
 
 
+def test_decontamination_of_items_alike_in_id(spark, monkeypatch):
+    """Null ids and several texts under one id: each text is verified, with and without broadcast."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    docs = spark.createDataFrame([(1, f"x {a}"), (2, f"y {b}"), (3, f"z {c}"), (4, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, a), (7, b), (7, c)], "item_id long, text string")
+    want = Counter({(1, None, 30): 1, (2, 7, 30): 1, (3, 7, 30): 1})
+    for most in (decontamination.BROADCAST_SEEDS, 1):
+        monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", most)
+        assert table_of(decontamination.contaminated(docs, bench), "doc_id", "item_id", "matched_words") == want
+        assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [4]
+
+
 # 6
 
 def test_token_counts(docs, rows):
