@@ -40,3 +40,39 @@ def batch(**columns) -> pa.RecordBatch:
     """A record batch of the given arrays or (values, type) pairs."""
     arrays = {k: v if isinstance(v, pa.Array) else pa.array(v[0], v[1]) if isinstance(v, tuple) else pa.array(v) for k, v in columns.items()}
     return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+
+
+#: At most so many keys are told apart as hot and broadcast; each holds more than one in HOT_KEYS of the rows.
+HOT_KEYS = 10_000
+#: Bits of a bitmap, 2 MB whatever the data; fuller ones let more pass.
+BITMAP_BITS = 1 << 24
+
+
+def hot_keys(counted: DataFrame, keys: list[str], count: str, floor: int) -> DataFrame | None:
+    """The keys whose count is above `floor` and above one in HOT_KEYS of all, so never more than HOT_KEYS; None if there are none."""
+    total = counted.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = counted.where(F.col(count) > max(floor, total // HOT_KEYS)).select(*keys)
+    found = hot.toArrow()
+    return counted.sparkSession.createDataFrame(found) if found.num_rows else None
+
+
+def skewed_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join by keys of which `other` has a bounded number of rows each: hot ones by broadcast, so that
+    their rows stay where they are, the others by a shuffle."""
+    if hot is None:
+        return rows.join(other, keys)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, keys, "left_anti").join(other.join(hot, keys, "left_anti"), keys)
+    return cold.unionByName(rows.join(F.broadcast(other.join(hot, keys, "left_semi")), keys))
+
+
+def with_maybe(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows and `maybe`: false only where the key, a 64-bit hash, isn't among `keys`.
+
+    Told by a bitmap of BITMAP_BITS bits, made in Spark and broadcast as its words; the more keys there
+    are the more rows pass, so it spares work and decides nothing.
+    """
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit(BITMAP_BITS - 1)), 6).cast("int")
+    words = keys.select(word.alias("__word"), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    joined = rows.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    return joined.withColumn("maybe", F.expr(f"coalesce(getbit(__bits, cast(`{key}` & 63 as int)) = 1, false)")).drop("__word", "__bits")

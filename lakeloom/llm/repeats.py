@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import arrow_map, batch, raw
+from lakeloom.llm.common import arrow_map, batch, hot_keys, raw, skewed_join, with_maybe
 from lakeloom.session import Scratch
 
-#: Bytes of a repeated string, and of an anchor in it.
-LENGTH, ANCHOR = 400, 64
-#: More distinct surroundings of one anchor than this are settled window by window, see repeated_windows.
-TREE_UPTO = 2_000
+#: Bytes of a repeated string that goes, of one that is reported, and of an anchor in it.
+LENGTH, SHORT, ANCHOR = 400, 256, 48
+#: A passage is a reported run of more words than this.
+WORDS = 50
+#: Distinct surroundings in one tree; larger groups are split by further bytes, into ranges of so many windows.
+GROUP, RANGE = 1_000, 14
+#: Surroundings that a task remembers having sent.
+REMEMBERED = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -38,12 +42,13 @@ class Powers:
 def anchors(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash, first window, last window) of a text's anchors.
 
-    A window is a string of LENGTH bytes; its anchor is the leftmost of the ANCHOR-byte strings in it
+    A window is a string of SHORT bytes; its anchor is the leftmost of the ANCHOR-byte strings in it
     with the least hash. So equal windows have equal anchors at equal places in them, wherever they
-    are, and each window has one anchor. Consecutive windows share theirs.
+    are, and each window has one anchor. Consecutive windows share theirs. A string of LENGTH bytes
+    belongs to the anchor of the window that it begins with.
     """
     n = len(text)
-    if n < LENGTH:
+    if n < SHORT:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
     up, down = powers.upto(n + 1)
@@ -54,7 +59,7 @@ def anchors(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.nda
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     # least of each stretch of `reach` hashes, by doubling; the left one wins ties
-    width = LENGTH - ANCHOR + 1
+    width = SHORT - ANCHOR + 1
     value, at, reach = h, np.arange(len(h), dtype=np.int64), 1
     while reach < width:
         step = min(reach, width - reach)
@@ -88,35 +93,33 @@ def merged(runs: list[Run]) -> list[Run]:
     return out
 
 
-def repeated_runs(lefts: list[bytes], rights: list[bytes]) -> list[list[Run]]:
-    """Which windows of one anchor repeat among distinct surroundings.
+def shared_strings(lefts: list[bytes], rights: list[bytes], least: int) -> list[list[tuple[int, int]]]:
+    """What each of the distinct surroundings of one anchor shares with another one: pairs (l, r) of bytes before and after.
 
     lefts and rights: the bytes before the anchor, and from it on, as far as its windows go. The
-    anchor at distance d from a window's start is in window d. Returned for each: runs of d.
-
-    The rights, sorted, are a suffix array of the anchor's occurrences; a stack scan over the common
+    rights, sorted, are a suffix array of the anchor's occurrences; a stack scan over the common
     prefixes of neighbours gives its interval tree. All occurrences in an interval of depth r go on
     alike for r bytes. What they share to the left is found where the sorted lefts of the interval
     differ: the group is split by its left extensions, and each occurrence keeps the longest it shares
-    with another one. l bytes to the left and r to the right make windows LENGTH - r to l repeat. Every
-    occurrence of an interval is served, not just neighbours in the array.
+    with another one. Pairs of less than `least` bytes in all are left out. Every occurrence of an
+    interval is served, not just neighbours in the array.
     """
     m = len(rights)
     order = sorted(range(m), key=lambda i: rights[i])
     mirrored = [x[::-1] for x in lefts]
     rank = {i: k for k, i in enumerate(sorted(range(m), key=lambda i: mirrored[i]))}
     reach = max(map(len, lefts))
-    runs: list[list[Run]] = [[] for _ in range(m)]
+    pairs: list[list[tuple[int, int]]] = [[] for _ in range(m)]
 
     def close(depth: int, members: list[int]) -> None:
-        if depth + reach < LENGTH:
+        if depth + reach < least:
             return
         members.sort(key=rank.__getitem__)
         for a, b in zip(members, members[1:]):
             shared = common(mirrored[a], mirrored[b])
-            if shared + depth >= LENGTH:
-                runs[a].append((LENGTH - depth, shared))
-                runs[b].append((LENGTH - depth, shared))
+            if shared + depth >= least:
+                pairs[a].append((shared, depth))
+                pairs[b].append((shared, depth))
 
     stack: list[tuple[int, list[int]]] = []
     group = [order[0]]
@@ -137,23 +140,40 @@ def repeated_runs(lefts: list[bytes], rights: list[bytes]) -> list[list[Run]]:
         members.extend(group)
         close(top, members)
         group = members
-    return [merged(r) for r in runs]
+    return pairs
+
+
+def windows_of(pairs: list[tuple[int, int]], length: int, lo: int, hi: int) -> list[Run]:
+    """Which windows between lo and hi repeat. The anchor at distance d from a window's start is in window d;
+    l bytes to the left and r to the right make windows length - r to l repeat."""
+    clipped = [(max(lo, length - r), min(hi, l)) for l, r in pairs]
+    return merged([(a, b) for a, b in clipped if a <= b])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's anchors, those that occur again in it twice, the others once."""
     powers = Powers()
     for b in batches:
-        found = [anchors(t.as_py(), powers)[1] for t in b.column("text")]
+        found = []
+        for t in b.column("text"):
+            values, times = np.unique(anchors(t.as_py(), powers)[1], return_counts=True)
+            found.append(np.repeat(values, np.minimum(times, 2)))
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         values = pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))
         yield batch(doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), anchors=pa.ListArray.from_arrays(pa.array(offsets), values))
 
 
+_ROWS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "anchor": pa.int64(), "digest": pa.binary(), "places": pa.list_(pa.int32()), "near": pa.int32(), "far": pa.int32(), "bytes": pa.binary()}
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, anchor and distinct surroundings; the bytes only the first time that a task meets them."""
     powers, seen = Powers(), set()
-    names = {"doc_id": pa.int64(), "text_hash": pa.int64(), "anchor": pa.int64(), "digest": pa.binary(), "places": pa.list_(pa.int32()), "near": pa.int32(), "far": pa.int32(), "bytes": pa.binary()}
     rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        return batch(**{k: ([r[i] for r in rows], t) for i, (k, t) in enumerate(_ROWS.items())})
+
     for b in batches:
         for doc_id, text_hash, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text"), b.column("wanted"), strict=True):
             text = text.as_py()
@@ -167,136 +187,226 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if (known := classes.get((anchor, digest))) is not None:
                     known[0].append(place)
                 else:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
                     classes[anchor, digest] = [[place], near, far, None if (anchor, digest) in seen else part]
                     seen.add((anchor, digest))
             rows += [(doc_id, text_hash, anchor, digest, *rest) for (anchor, digest), rest in classes.items()]
             if len(rows) >= 10_000:
-                yield batch(**{k: ([r[i] for r in rows], t) for i, (k, t) in enumerate(names.items())})
+                yield flush()
                 rows = []
-    yield batch(**{k: ([r[i] for r in rows], t) for i, (k, t) in enumerate(names.items())})
+    yield flush()
 
 
-_VERDICT = "anchor long, digest binary, runs array<struct<lo:int,hi:int>>"
+_RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+#: Windows of SHORT and of LENGTH bytes that repeat, for surroundings told by anchor and digest.
+_VERDICT = "anchor long, digest binary, length int, runs array<struct<lo:int,hi:int>>"
 
 
-def _verdicts(anchor: int, digests: list[bytes], runs: list[list[Run]]) -> pa.Table:
-    kept = [(d, r) for d, r in zip(digests, runs, strict=True) if r]
-    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    return pa.table({"anchor": pa.array([anchor] * len(kept), pa.int64()), "digest": pa.array([d for d, _ in kept], pa.binary()), "runs": pa.array([[{"lo": a, "hi": b} for a, b in r] for _, r in kept], kind)})
+def _verdicts(rows: list[tuple[int, bytes, int, list[Run]]]) -> pa.RecordBatch:
+    kept = [r for r in rows if r[3]]
+    return batch(anchor=([r[0] for r in kept], pa.int64()), digest=([r[1] for r in kept], pa.binary()), length=([r[2] for r in kept], pa.int32()), runs=([[{"lo": a, "hi": b} for a, b in r[3]] for r in kept], _RUNS))
 
 
-def _tree(table: pa.Table) -> pa.Table:
-    """repeated_runs of one anchor's surroundings."""
-    rows = {r["digest"]: r for r in table.to_pylist()}  # several tasks may have sent the same bytes
-    digests = list(rows)
-    lefts = [rows[d]["bytes"][: rows[d]["far"]] for d in digests]
-    rights = [rows[d]["bytes"][rows[d]["far"] :] for d in digests]
-    runs = repeated_runs(lefts, rights)
-    for d, r in zip(digests, runs, strict=True):
-        if rows[d]["n"] > 1:
-            r[:] = [(rows[d]["near"], rows[d]["far"])]
-        else:
-            r[:] = [(max(lo, rows[d]["near"]), min(hi, rows[d]["far"])) for lo, hi in r if max(lo, rows[d]["near"]) <= min(hi, rows[d]["far"])]
-    return _verdicts(table["anchor"][0].as_py(), digests, runs)
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts of the groups in rows sorted by `key`: those of two to GROUP distinct surroundings.
 
+    length 0 asks for strings of both lengths; lo and hi bound the windows asked for.
+    """
+    key, group = None, {}
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle() -> list[tuple]:
+        if not 1 < len(group) <= GROUP:
+            return []
+        members = list(group.values())
+        asked = members[0]["length"]
+        pairs = shared_strings([m["bytes"][: m["far"]] for m in members], [m["bytes"][m["far"] :] for m in members], asked or SHORT)
+        return [(m["anchor"], m["digest"], length, windows_of(p, length, m["lo"], m["hi"])) for m, p in zip(members, pairs, strict=True) if p for length in ((asked,) if asked else (SHORT, LENGTH))]
+
+    out: list[tuple] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["key"] != key:
+                out += settle()
+                key, group = r["key"], {}
+            # several tasks may have sent the same bytes; a group beyond GROUP is settled elsewhere
+            if len(group) <= GROUP:
+                group.setdefault(r["digest"], r)
+        if len(out) >= 10_000:
+            yield _verdicts(out)
+            out = []
+    yield _verdicts(out + settle())
+
+
+def _digest(*parts: bytes | int) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(p if isinstance(p, bytes) else b"%d," % p)
+    return h.digest()
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings cut into RANGE windows: what all windows of a range have in common makes the smaller group."""
     for b in batches:
+        rows = []
         for r in b.to_pylist():
-            far, part = r["far"], r["bytes"]
-            ds = list(range(r["near"], far + 1))
-            ws = [hashlib.blake2b(part[far - d : far - d + LENGTH], digest_size=16).digest() for d in ds]
-            yield batch(anchor=([r["anchor"]] * len(ds), pa.int64()), digest=([r["digest"]] * len(ds), pa.binary()), n=([r["n"]] * len(ds), pa.int64()), d=(ds, pa.int32()), window=(ws, pa.binary()))
+            part, near, far = r["bytes"], r["near"], r["far"]
+            for length in (SHORT, LENGTH):
+                for lo in range(0, SHORT - ANCHOR + 1, RANGE):
+                    hi = min(lo + RANGE - 1, SHORT - ANCHOR)
+                    a, z = max(lo, near, length - (len(part) - far)), min(hi, far)
+                    if a <= z:
+                        rows.append((r["anchor"], r["digest"], r["n"], length, a, z, _digest(r["anchor"], length, lo, part[far - lo : far + length - hi]), _digest(a, z, part[far - z : far - a + length])))
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield batch(**{k: ([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(("anchor", "digest", "n", "length", "lo", "hi", "key", "sub"), kinds, strict=True))})
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(r["anchor"], r["digest"], r["n"], r["length"], d, _digest(r["length"], d, r["bytes"][r["far"] - d : r["far"] - d + r["length"]])) for r in b.to_pylist() for d in range(r["lo"], r["hi"] + 1)]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield batch(**{k: ([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(("anchor", "digest", "n", "length", "d", "window"), kinds, strict=True))})
+
 
+def _whole(rows: DataFrame, length: int | str, lo, hi) -> DataFrame:
+    size = F.lit(length) if isinstance(length, int) else F.col(length)
+    return rows.select("anchor", "digest", size.alias("length"), F.array(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("runs"))
 
-def repeated_windows(surroundings: DataFrame) -> DataFrame:
-    """Verdicts for anchors of very many distinct surroundings: their windows, one by one, are counted.
 
-    Counting combines before the shuffle, and the join back has one row a window, so no anchor's rows need meet.
+def split_groups(big: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verdicts for anchors of more than GROUP distinct surroundings (anchor, digest, n, near, far, bytes).
+
+    The windows around the anchor are cut into ranges; what the windows of a range have in common, nearly
+    a whole string, makes smaller groups. Those of equal members are settled by their count, others of up
+    to GROUP by trees of their own; in the rest, which only differ near one place, the windows of that
+    range are counted one by one. Counting combines before the shuffle, so no group's rows need meet.
     """
-    windows = arrow_map(surroundings.select("anchor", "digest", "n", "near", "far", "bytes").dropDuplicates(["anchor", "digest"]), _windows, "anchor long, digest binary, n long, d int, window binary")
-    again = windows.groupBy("anchor", "d", "window").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
-    hit = windows.join(again, ["anchor", "d", "window"]).groupBy("anchor", "digest").agg(F.collect_set("d").alias("ds"))
-    return hit.select("anchor", "digest", F.transform("ds", lambda d: F.struct(d.alias("lo"), d.alias("hi"))).alias("runs"))
+    pieces = scratch.save("pieces", arrow_map(big, _cuts, "anchor long, digest binary, n long, length int, lo int, hi int, key binary, sub binary"))
+    # equal pieces are one member of their group; one that occurs once has the one surroundings it stands for
+    one = F.min(F.struct("anchor", "digest", "length", "lo", "hi")).alias("one")
+    subs = scratch.save("subs", pieces.groupBy("key", "sub").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), one).select("key", "sub", "n", "rows", "one.*"))
+    groups = scratch.save("groups", subs.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    again = skewed_join(pieces, subs.where("n > 1").select("key", "sub"), ["key", "sub"], hot_keys(subs, ["key", "sub"], "rows", GROUP))
+    mixed = skewed_join(subs.select("key", "n", "anchor", "digest", "length", "lo", "hi"), groups, ["key"], hot_keys(groups, ["key"], "kinds", GROUP))
+    mixed = scratch.save("mixed", mixed.join(big.select("anchor", "digest", "far", "bytes"), ["anchor", "digest"]))
+    small = mixed.where(F.col("kinds") <= GROUP).repartition("key").sortWithinPartitions("key")
+    windows = scratch.save("windows", arrow_map(mixed.where(F.col("kinds") > GROUP), _windows, "anchor long, digest binary, n long, length int, d int, window binary"))
+    counted = scratch.save("counted", windows.groupBy("anchor", "window").agg(F.sum("n").alias("times"), F.count("*").alias("rows")))
+    found = skewed_join(windows, counted.where("times > 1").select("anchor", "window"), ["anchor", "window"], hot_keys(counted, ["anchor", "window"], "rows", GROUP))
+    return _whole(again, "length", F.col("lo"), F.col("hi")).unionByName(arrow_map(small, _trees, _VERDICT)).unionByName(_whole(found, "length", F.col("d"), F.col("d")))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_hash, begin and stop: bytes covered by windows that also start elsewhere; may overlap."""
+    """doc_id, text_hash and spans (length, begin, stop): bytes covered by strings that also start elsewhere; may overlap."""
     found = scratch.save("anchors", arrow_map(raw(docs), _anchor_rows, "doc_id long, text_hash long, anchors array<long>"))
     each = found.select("doc_id", "text_hash", F.explode("anchors").alias("anchor"))
-    again = each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    wanted = each.join(again, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("wanted"))
-    wanted = wanted.withColumnRenamed("doc_id", "wanted_id")
-    texts = raw(docs).join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "text_hash", "text", "wanted")
-    rows = scratch.save("surroundings", arrow_map(texts, _surroundings, "doc_id long, text_hash long, anchor long, digest binary, places array<int>, near int, far int, bytes binary"))
+    again = scratch.save("again", each.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"))
+    each = found.select("doc_id", "text_hash", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    repeated = skewed_join(each, again.select("anchor"), ["anchor"], hot_keys(again, ["anchor"], "times", GROUP))
+    wanted = scratch.save("wanted", repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("wanted")))
     scratch.drop("anchors")
+    scratch.drop("again")
+    texts = with_maybe(raw(docs), "text_hash", wanted).where("maybe")
+    named = wanted.withColumnRenamed("doc_id", "wanted_id")
+    texts = texts.join(named, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "text_hash", "text", "wanted")
+    rows = scratch.save("surroundings", arrow_map(texts, _surroundings, "doc_id long, text_hash long, anchor long, digest binary, places array<int>, near int, far int, bytes binary"))
+    scratch.drop("wanted")
 
-    classes = rows.groupBy("anchor", "digest").agg(F.sum(F.size("places")).alias("n"), F.first("near").alias("near"), F.first("far").alias("far"))
+    classes = rows.groupBy("anchor", "digest").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("rows"), F.first("near").alias("near"), F.first("far").alias("far"), F.max(F.length("bytes")).alias("size"))
     classes = scratch.save("classes", classes)
-    sizes = classes.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    whole = lambda f: f.select("anchor", "digest", F.array(F.struct(F.col("near").alias("lo"), F.col("far").alias("hi"))).alias("runs"))
-    # an anchor of one surrounding needs no comparison
-    alone = whole(classes.where("n > 1").join(sizes.where("kinds = 1"), "anchor", "left_semi"))
-    several = rows.where("bytes is not null").select("anchor", "digest", "bytes").join(classes.select("anchor", "digest", "n", "near", "far"), ["anchor", "digest"]).join(sizes.where("kinds > 1"), "anchor")
-    trees = several.where(F.col("kinds") <= TREE_UPTO).drop("kinds").groupBy("anchor").applyInArrow(_tree, _VERDICT)
-    verdicts = alone.unionByName(trees).unionByName(repeated_windows(several.where(F.col("kinds") > TREE_UPTO)))
-
-    runs = rows.select("doc_id", "text_hash", "anchor", "digest", "places").join(verdicts, ["anchor", "digest"])
-    each = runs.select("doc_id", "text_hash", "runs", F.explode("places").alias("place")).select("doc_id", "text_hash", "place", F.explode("runs").alias("run"))
-    return each.select("doc_id", "text_hash", (F.col("place") - F.col("run.hi")).alias("begin"), (F.col("place") - F.col("run.lo") + LENGTH).alias("stop"))
-
-
-def _cut(text: bytes, begins: np.ndarray, stops: np.ndarray) -> tuple[bytes, int, int]:
-    """What is left of a text, bytes removed and maximal runs of them."""
+    kinds = scratch.save("kinds", classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    # all windows of surroundings that occur twice repeat; LENGTH bytes need not fit behind the last ones
+    twice = classes.where("n > 1")
+    least = F.greatest("near", F.lit(LENGTH) - (F.col("size") - F.col("far")))
+    verdicts = _whole(twice, SHORT, F.col("near"), F.col("far")).unionByName(_whole(twice.where(least <= F.col("far")), LENGTH, least, F.col("far")))
+    # trees: the bytes of anchors of several surroundings meet by anchor
+    hot = hot_keys(kinds, ["anchor"], "kinds", GROUP)
+    sent = rows.where("bytes is not null").select("anchor", "digest", "near", "far", "bytes")
+    several = with_maybe(sent, "anchor", kinds.where(F.col("kinds") <= GROUP)).where("maybe")
+    several = several if hot is None else several.join(F.broadcast(hot), "anchor", "left_anti")
+    several = several.select(F.col("anchor").alias("key"), "anchor", "digest", F.lit(0).alias("length"), F.col("near").alias("lo"), F.col("far").alias("hi"), "far", "bytes")
+    verdicts = verdicts.unionByName(arrow_map(several.repartition("key").sortWithinPartitions("key"), _trees, _VERDICT))
+    large = kinds.where(F.col("kinds") > GROUP).select("anchor")
+    if not large.isEmpty():
+        counted = skewed_join(classes.select("anchor", "digest", "n"), large, ["anchor"], hot)
+        bytes_of = skewed_join(sent, large, ["anchor"], hot).dropDuplicates(["anchor", "digest"])
+        verdicts = verdicts.unionByName(split_groups(scratch.save("big", bytes_of.join(counted, ["anchor", "digest"])), scratch))
+
+    runs = skewed_join(rows.select("doc_id", "text_hash", "anchor", "digest", "places"), verdicts, ["anchor", "digest"], hot_keys(classes, ["anchor", "digest"], "rows", GROUP))
+    each = runs.select("doc_id", "text_hash", "length", "runs", F.explode("places").alias("place")).select("doc_id", "text_hash", "length", "place", F.explode("runs").alias("run"))
+    span = F.struct("length", (F.col("place") - F.col("run.hi")).alias("begin"), (F.col("place") - F.col("run.lo") + F.col("length")).alias("stop"))
+    spans = scratch.save("spans", each.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans")))
+    for name in ("surroundings", "classes", "kinds", "big", "pieces", "subs", "groups", "mixed", "windows", "counted"):
+        scratch.drop(name)
+    return spans
+
+
+def _joined(begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of what spans cover."""
     if not len(begins):
-        return text, 0, 0
+        return begins, stops
     order = np.argsort(begins, kind="stable")
     b, e = begins[order], np.maximum.accumulate(stops[order])
     fresh = np.concatenate([[True], b[1:] > e[:-1]])
-    starts = b[fresh]
-    ends = e[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(b) - 1]])]
+    return b[fresh], e[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(b) - 1]])]
+
+
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """What is left of a text without the runs."""
     kept, at = [], 0
     for s, t in zip(starts.tolist(), ends.tolist(), strict=True):
         kept.append(text[at:s])
         at = t
     kept.append(text[at:])
-    return b"".join(kept), int((ends - starts).sum()), len(starts)
+    return b"".join(kept)
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_passages long, kept binary"
+
+
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, dtype=np.int64)
+    for b in batches:
+        out = []
+        for t, spans in zip(b.column("text"), b.column("spans"), strict=True):
+            text = t.as_py()
+            length, begin, stop = (spans.values.field(k).to_numpy() for k in range(3)) if spans.is_valid else (none, none, none)
+            starts, ends = _joined(begin[length == LENGTH], stop[length == LENGTH])
+            kept = _cut(text, starts, ends)
+            froms, tos = _joined(begin[length == SHORT], stop[length == SHORT])
+            passages = sum(len(text[s:e].split()) > WORDS for s, e in zip(froms.tolist(), tos.tolist(), strict=True))
+            out.append((len(text), int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest(), int((tos - froms).sum()), passages, kept))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_passages", "kept")
+        yield batch(doc_id=b.column("doc_id"), **{k: ([o[i] for o in out], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (UTF-8 bytes) and kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, n_passages and kept (UTF-8 bytes) of every document.
 
     Every byte covered by a LENGTH-byte string that also starts anywhere else goes; strings are judged
-    on the input. Anchors (about one in 169 bytes) that occur once are dropped by a count; the bytes
-    around the others are compared by anchor. Copies send their bytes once a task.
+    on the input. Shorter repeats are reported and stay: n_repeated are the bytes covered by SHORT-byte
+    strings that also start elsewhere, n_passages the maximal runs of those that hold over WORDS words
+    (some 320 bytes of prose, which LENGTH misses).
+
+    Anchors (about one in 100 bytes) that occur once are dropped by a count; the bytes around the others
+    are compared by anchor, in trees. Copies send their bytes once a task. Texts are shuffled only if a
+    bitmap of fixed size says that they may hold a repeated anchor.
 
-    Shuffles: anchors (8 bytes each with their document's id), the texts twice, and surroundings of
-    repeated anchors. No group of copies or common passage meets in one task: equal surroundings are
-    combined before the shuffle, and anchors with more than TREE_UPTO distinct ones are settled by
-    counting windows.
+    Shuffles: anchors (8 bytes each with their document's id), the texts with repeats twice, and
+    surroundings of repeated anchors. No group of copies or common passage meets in one task: equal
+    surroundings are combined before the shuffle, keys with more than one in HOT_KEYS of the rows are
+    joined by broadcast, and anchors with more than GROUP distinct surroundings are split by further bytes.
 
     Cases: null, empty and short texts lose nothing; repeated rows lose all windows, being copies of
-    each other; no rows give no rows. Cuts may fall within a character, so kept is bytes.
+    each other; no rows give no rows; other columns of docs are ignored, whatever their names. Cuts may
+    fall within a character, so kept is bytes.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    spans = repeated_spans(docs, scratch).groupBy("doc_id", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops")).withColumnRenamed("doc_id", "span_id").withColumnRenamed("text_hash", "span_hash")
-    texts = raw(docs)
-    joined = texts.join(spans, (F.col("text_hash") == F.col("span_hash")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left").select("doc_id", "text", "begins", "stops")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            out = []
-            for t, x, y in zip(b.column("text"), b.column("begins"), b.column("stops"), strict=True):
-                text = t.as_py()
-                out.append((len(text), *_cut(text, x.values.to_numpy() if x.is_valid else none, y.values.to_numpy() if y.is_valid else none)))
-            yield batch(
-                doc_id=b.column("doc_id"),
-                n_bytes=([o[0] for o in out], pa.int64()),
-                n_removed=([o[2] for o in out], pa.int64()),
-                n_spans=([o[3] for o in out], pa.int64()),
-                kept_sha256=([hashlib.sha256(o[1]).hexdigest() for o in out], pa.string()),
-                kept=([o[1] for o in out], pa.binary()),
-            )
-
-    return arrow_map(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = repeated_spans(docs, scratch)
+    texts = with_maybe(raw(docs), "text_hash", spans)
+    zero = F.lit(0).cast("long")
+    whole = texts.where("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), zero.alias("n_repeated"), zero.alias("n_passages"), F.col("text").alias("kept"))
+    named = spans.withColumnRenamed("doc_id", "span_id").withColumnRenamed("text_hash", "span_hash")
+    joined = texts.where("maybe").join(named, (F.col("text_hash") == F.col("span_hash")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
+    return whole.unionByName(arrow_map(joined.select("doc_id", "text", "spans"), _results, _RESULT))
