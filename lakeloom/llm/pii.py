@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -47,10 +48,18 @@ CONTEXT = {
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|pay|karte|carte|tarjeta)\b",
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|cell|telefon|t[eé]l[eé]phone|tel[eé]fono|whatsapp)\b",
 }
+#: Words that speak against any kind there: numbers and names of other things.
+AGAINST = r"(?i)\b(?:order|invoice|isbn|version|section|chapter|figure|serial|sku|part|item|page|ref|reference|id|no)\b[\s.:#]*$"
 CONTEXT_POINTS = 40
+#: Shorter card candidates can't be valid and are dropped at once, as are the many numbers of tables and logs.
+LEAST_CARD = 13
+#: Matches whose places are summed up at once.
+BLOCK = 256
+#: Buckets of a span's shape: its runs of digits and letters, and the signs between them.
+SHAPES = 64
 #: Added spans need so much of the classifier; base spans stay whatever it says.
 ADD_FROM = 0.9
-ROUNDS = 50
+ROUNDS, STEPS = 50, 400
 
 
 def luhn(digits: Column) -> Column:
@@ -65,78 +74,99 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), weigh), F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
-def _valid(kind: str, match: Column) -> Column:
+def _valid(kind: str, match: Column, base: bool) -> Column:
+    """The checks of a kind; those of the wider spellings are their own."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "card":
         return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
-        return F.length(digits).between(9, 15)
+        # area codes and exchanges begin with 2 to 9
+        return F.length(digits).between(9, 15) if base else digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
     if kind == "ip":
         part = r"0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-        return match.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
+        # eight groups that could be times or counters have no letter and no group of three signs
+        return match.rlike(rf"^{part}\.{part}\.{part}\.{part}$") if base else match.rlike("[A-Fa-f]|[0-9]{3}")
     return F.lit(True)
 
 
-def found(text: Column, pattern: str, kind: str, base: bool) -> Column:
-    """All leftmost matches as array<struct>: kind, start, end (code points), valid, and the labelers' votes.
+def _running(lengths: Column) -> Column:
+    """For each of an array's values the sum of those before it, in time linear in its length but for blocks of BLOCK.
 
-    Where the pieces between matches and the matches themselves end gives the places. Votes: 1 for,
-    0 against, -1 abstaining.
+    `lengths` must be a column, not an expression, as it is named within a lambda.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    lengths = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(lengths, start, lambda a, x: F.struct((a["at"] + x["p"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["p"])).alias("starts")))["starts"]
-
-    def span(m: Column, k: Column) -> Column:
-        at = F.get(starts, k)
-        before = F.right(F.get(pieces, k), F.lit(CONTEXT_POINTS))
-        valid = _valid(kind, m)
-        near = before.rlike(CONTEXT[kind])
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            at.alias("start"),
-            (at + F.length(m)).alias("end"),
-            (F.lit(base) & valid).alias("base"),
-            # regex, checksum or range, gazetteer, context
-            F.lit(int(base)).alias("v_regex"),
-            valid.cast("int").alias("v_valid"),
-            m.rlike(GAZETTEER[kind]).cast("int").alias("v_gazetteer"),
-            F.when(near, 1).otherwise(-1).alias("v_context"),
-        )
-
-    return F.transform(matches, span)
-
-
-VOTES = ("v_regex", "v_valid", "v_gazetteer", "v_context")
-_SPAN = "struct<kind:string,start:int,end:int,base:boolean,v_regex:int,v_valid:int,v_gazetteer:int,v_context:int>"
+
+    def before(values: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+        return F.aggregate(values, none, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["list"], F.array(a["at"])).alias("list")))["list"]
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(blocks, before(totals), lambda b, at: F.transform(before(b), lambda x: x + at)))
+
+
+VOTES = ("v_strict", "v_valid", "v_gazetteer", "v_context")
+
+
+def _span(kind: str, base: bool, piece: Column, m: Column, before: Column) -> Column:
+    """A candidate: kind, start, end (code points), whether it is a base span, the labelers' votes (1 for, 0 against, -1 abstaining) and its shape."""
+    at = before + F.length(piece)
+    context = F.right(piece, F.lit(CONTEXT_POINTS))
+    valid = _valid(kind, m, base)
+    shape = F.regexp_replace(F.regexp_replace(m, "[0-9]+", "9"), r"\p{L}+", "a")
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        at.alias("start"),
+        (at + F.length(m)).alias("end"),
+        (F.lit(base) & valid).alias("base"),
+        F.lit(1 if base else -1).alias("v_strict"),
+        valid.cast("int").alias("v_valid"),
+        m.rlike(GAZETTEER[kind]).cast("int").alias("v_gazetteer"),
+        F.when(context.rlike(CONTEXT[kind]), 1).when(context.rlike(AGAINST), 0).otherwise(-1).alias("v_context"),
+        F.pmod(F.xxhash64(shape), F.lit(SHAPES)).cast("int").alias("shape"),
+    )
+
+
+def _candidate(kind: str, base: bool, p: str, m: str, b: str) -> Callable[[Column], Column]:
+    worth = lambda x: F.length(x[m]) >= LEAST_CARD if kind == "card" else F.lit(True)
+    return lambda x: F.when(worth(x), _span(kind, base, x[p], x[m], x[b]))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and spans: all candidates of a text, by kind, then start."""
+    """doc_id, text_hash and spans: all candidates of a text, by kind, then start.
+
+    Each step's arrays are columns of their own, so none is computed again for every match; the time
+    grows with the text and its matches. Texts are split only where a pattern matches.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), text.rlike("[0-9]").alias("__digits"))
-    none = F.array().cast(f"array<{_SPAN}>")
-    parts = []
-    for kind in KINDS:
-        has = F.contains(F.col("text"), F.lit(NEEDS[kind])) if kind in NEEDS else F.col("__digits")
-        parts.append(F.when(has, found(F.col("text"), BASE[kind], kind, True)).otherwise(none))
-        has = F.col("text").rlike(NEEDS_WIDER[kind]) if kind == "email" else F.col("__digits") & F.col("text").rlike(NEEDS_WIDER[kind])
-        parts.append(F.when(has, found(F.col("text"), WIDER[kind], kind, False)).otherwise(none))
-    return rows.select("doc_id", "text_hash", F.concat(*parts).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), text.rlike("[0-9]").alias("digits"))
+    labelers = [(kind, base, (BASE if base else WIDER)[kind]) for kind in KINDS for base in (True, False)]
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    matches, pieces, lengths, before, spans = {}, {}, {}, {}, {}
+    for k, (kind, base, pattern) in enumerate(labelers):
+        m, p, n, b = f"m{k}", f"p{k}", f"n{k}", f"b{k}"
+        if base:
+            has = F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.col("digits")
+        else:
+            has = F.col("text").rlike(NEEDS_WIDER[kind]) if kind == "email" else F.col("digits") & F.col("text").rlike(NEEDS_WIDER[kind])
+        matches[m] = F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none("string"))
+        pieces[p] = F.when(F.size(m) > 0, F.slice(F.split("text", pattern, -1), F.lit(1), F.size(m))).otherwise(none("string"))
+        lengths[n] = F.zip_with(p, m, lambda x, y: F.length(x) + F.length(y))
+        before[b] = F.when(F.size(m) > 0, _running(F.col(n))).otherwise(none("int"))
+        spans[f"s{k}"] = F.filter(F.transform(F.arrays_zip(p, m, b), _candidate(kind, base, p, m, b)), lambda x: x.isNotNull())
+    rows = rows.withColumns(matches).withColumns(pieces).withColumns(lengths).withColumns(before).withColumns(spans)
+    return rows.select("doc_id", "text_hash", F.concat(*spans).alias("spans"))
 
 
 @dataclass
 class Classifier:
-    """Logistic weights for each kind: bias, and each vote's for and against."""
+    """Logistic weights for each kind: bias, each vote's for and against, and the shapes'."""
 
     weights: dict[str, list[float]]
 
     def score(self, span: Column) -> Column:
         out = F.lit(0.0)
         for kind, w in self.weights.items():
-            z = F.lit(w[0])
+            z = F.lit(w[0]) + F.element_at(F.array(*map(F.lit, w[1 + 2 * len(VOTES) :])), span["shape"] + 1)
             for k, vote in enumerate(VOTES):
                 z = z + F.when(span[vote] == 1, F.lit(w[1 + 2 * k])).when(span[vote] == 0, F.lit(w[2 + 2 * k])).otherwise(F.lit(0.0))
             out = F.when(span["kind"] == kind, 1 / (1 + F.exp(-z))).otherwise(out)
@@ -172,27 +202,32 @@ def _em(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], dict[
 
 
 def train(counts: list[Row]) -> Classifier:
-    """Fit on counts of vote patterns over all candidates: EM for soft labels, then a logistic span classifier on them.
+    """Fit on counts of votes and shapes over all candidates: EM on the votes gives soft labels, on which a
+    logistic span classifier learns what votes and shape say.
 
     A kind without candidates gets a bias that admits nothing.
     """
     weights = {}
+    first_shape = 1 + 2 * len(VOTES)
     for kind in KINDS:
-        patterns = [(tuple(r[v] for v in VOTES), r["n"]) for r in counts if r["kind"] == kind]
-        w = [0.0] * (1 + 2 * len(VOTES))
-        if not patterns:
+        rows = [(tuple(r[v] for v in VOTES), r["shape"], r["n"]) for r in counts if r["kind"] == kind]
+        w = [0.0] * (first_shape + SHAPES)
+        if not rows:
             weights[kind] = [-30.0] + w[1:]
             continue
-        _, posterior = _em(patterns)
-        total = sum(n for _, n in patterns)
-        for step in range(400):
-            gradient = [0.0] * len(w)
-            for v, n in patterns:
-                x = [0] + [1 + 2 * k if s == 1 else 2 + 2 * k for k, s in enumerate(v) if s >= 0]
-                p = 1 / (1 + math.exp(-sum(w[i] for i in x)))
+        patterns: dict[tuple[int, ...], int] = {}
+        for v, _, n in rows:
+            patterns[v] = patterns.get(v, 0) + n
+        _, posterior = _em(list(patterns.items()))
+        total = sum(n for *_, n in rows)
+        cases = [([0, *[1 + 2 * k if x == 1 else 2 + 2 * k for k, x in enumerate(v) if x >= 0], first_shape + shape], posterior[v], n / total) for v, shape, n in rows]
+        for _ in range(STEPS):
+            gradient = [1e-4 * a for a in w]
+            for x, label, share in cases:
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] for i in x)))))
                 for i in x:
-                    gradient[i] += (p - posterior[v]) * n / total
-            w = [a - 2.0 * (g + 1e-4 * a) for a, g in zip(w, gradient, strict=True)]
+                    gradient[i] += (p - label) * share
+            w = [a - 2.0 * g for a, g in zip(w, gradient, strict=True)]
         weights[kind] = w
     return Classifier(weights)
 
@@ -201,18 +236,19 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and spans (arrays of kind, start, end by kind as listed, then start).
 
     Labelers (strict pattern; check sum, range or length; gazetteer; words before) vote on every
-    candidate of every text. The counts of their vote patterns, at most 3^4 rows a kind, are all that
-    comes to the driver: EM estimates the labelers' reliabilities from them and a logistic classifier is
-    fitted to its soft labels. Base spans always stay; other candidates are added if the classifier is
-    sure and they overlap no base span. Candidates are written once; the texts are read once.
+    candidate of every text or abstain. The counts of votes and shapes, at most 3^4 x SHAPES rows a kind,
+    are all that comes to the driver: EM estimates the labelers' reliabilities from them and a logistic
+    classifier of votes and shape is fitted to its soft labels. Base spans always stay; other spellings
+    are added if they pass their checks, the classifier is sure and they overlap no base span.
+    Candidates are written once; the texts are read once.
 
     Cases: null and empty texts have no spans; repeated rows get the same spans; equal starts do not
     occur within a kind; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = scratch.save("candidates", candidates(docs))
-    # bounded by the number of patterns, whatever the texts are
-    counts = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", *[f"s.{v}" for v in VOTES]).agg(F.count("*").alias("n")).collect()
+    # bounded by the number of patterns and shapes, whatever the texts are
+    counts = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.shape", *[f"s.{v}" for v in VOTES]).agg(F.count("*").alias("n")).collect()
     model = train(counts)
     base = F.filter("spans", lambda s: s["base"])
     rows = rows.withColumn("base", base)
@@ -235,6 +271,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind in angle brackets; all columns, n_chars kept in step.
 
     Overlapping spans are replaced as one, named after the first. Spans join back by doc_id and text.
+
+    Cases: null texts stay null and empty ones empty; repeated rows are masked alike; other columns stay
+    as they are, whatever their names; no rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found_spans = find_spans(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
