@@ -42,28 +42,32 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
-#: At most so many keys are told apart as hot and broadcast; each holds more than one in HOT_KEYS of the rows.
-HOT_KEYS = 10_000
+#: At most so many keys are told apart as hot; each holds more than one in HOT_KEYS of the rows.
+HOT_KEYS = 1_000
 #: Bits of a bitmap, 2 MB whatever the data; fuller ones let more pass.
 BITMAP_BITS = 1 << 24
 
 
-def hot_keys(counted: DataFrame, keys: list[str], count: str, floor: int) -> DataFrame | None:
-    """The keys whose count is above `floor` and above one in HOT_KEYS of all, so never more than HOT_KEYS; None if there are none."""
+def hot_keys(counted: DataFrame, keys: list[str], count: str, floor: int) -> list[int]:
+    """Hashes of the keys whose count is above `floor` and above one in HOT_KEYS of all, so never more than HOT_KEYS."""
     total = counted.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = counted.where(F.col(count) > max(floor, total // HOT_KEYS)).select(*keys)
-    found = hot.toArrow()
-    return counted.sparkSession.createDataFrame(found) if found.num_rows else None
+    return [r[0] for r in counted.where(F.col(count) > max(floor, total // HOT_KEYS)).select(F.xxhash64(*keys)).collect()]
 
 
-def skewed_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+def among(keys: list[str], hashes: list[int]) -> Column:
+    """Whether the hash of the keys is one of a bounded list."""
+    if not hashes:
+        return F.lit(False)
+    return F.expr(f"xxhash64({', '.join(keys)}) in ({', '.join(f'{h}L' for h in hashes)})")
+
+
+def skewed_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
     """Inner join by keys of which `other` has a bounded number of rows each: hot ones by broadcast, so that
     their rows stay where they are, the others by a shuffle."""
-    if hot is None:
+    if not hot:
         return rows.join(other, keys)
-    hot = F.broadcast(hot)
-    cold = rows.join(hot, keys, "left_anti").join(other.join(hot, keys, "left_anti"), keys)
-    return cold.unionByName(rows.join(F.broadcast(other.join(hot, keys, "left_semi")), keys))
+    warm = among(keys, hot)
+    return rows.where(~warm).join(other.where(~warm), keys).unionByName(rows.where(warm).join(F.broadcast(other.where(warm)), keys))
 
 
 def with_maybe(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import arrow_map, batch, hot_keys, raw, skewed_join, with_maybe
+from lakeloom.llm.common import among, arrow_map, batch, hot_keys, raw, skewed_join, with_maybe
 from lakeloom.session import Scratch
 
 #: Bytes of a repeated string that goes, of one that is reported, and of an anchor in it.
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     hot = hot_keys(kinds, ["anchor"], "kinds", GROUP)
     sent = rows.where("bytes is not null").select("anchor", "digest", "near", "far", "bytes")
     several = with_maybe(sent, "anchor", kinds.where(F.col("kinds") <= GROUP)).where("maybe")
-    several = several if hot is None else several.join(F.broadcast(hot), "anchor", "left_anti")
+    several = several.where(~among(["anchor"], hot))
     several = several.select(F.col("anchor").alias("key"), "anchor", "digest", F.lit(0).alias("length"), F.col("near").alias("lo"), F.col("far").alias("hi"), "far", "bytes")
     verdicts = verdicts.unionByName(arrow_map(several.repartition("key").sortWithinPartitions("key"), _trees, _VERDICT))
     large = kinds.where(F.col("kinds") > GROUP).select("anchor")
@@ -332,11 +332,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         bytes_of = skewed_join(sent, large, ["anchor"], hot).dropDuplicates(["anchor", "digest"])
         verdicts = verdicts.unionByName(split_groups(scratch.save("big", bytes_of.join(counted, ["anchor", "digest"])), scratch))
 
+    verdicts = scratch.save("verdicts", verdicts)
     runs = skewed_join(rows.select("doc_id", "text_hash", "anchor", "digest", "places"), verdicts, ["anchor", "digest"], hot_keys(classes, ["anchor", "digest"], "rows", GROUP))
     each = runs.select("doc_id", "text_hash", "length", "runs", F.explode("places").alias("place")).select("doc_id", "text_hash", "length", "place", F.explode("runs").alias("run"))
     span = F.struct("length", (F.col("place") - F.col("run.hi")).alias("begin"), (F.col("place") - F.col("run.lo") + F.col("length")).alias("stop"))
     spans = scratch.save("spans", each.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans")))
-    for name in ("surroundings", "classes", "kinds", "big", "pieces", "subs", "groups", "mixed", "windows", "counted"):
+    for name in ("surroundings", "classes", "kinds", "big", "pieces", "subs", "groups", "mixed", "windows", "counted", "verdicts"):
         scratch.drop(name)
     return spans
 
