@@ -1,6 +1,7 @@
 """The engine's service surface: one object over a lake's tables.
 
-Each method returns a lazy DataFrame; what the asker may see is a filter of every plan.
+What the asker may see is a filter of every plan. Methods return lazy DataFrames, but questions, a few
+rows, are embedded and read when a search is made.
 """
 
 from __future__ import annotations
@@ -25,32 +26,33 @@ class Lake:
 
     def _asked(self, questions: list[str]) -> DataFrame:
         spark = self.chunks.sparkSession
-        rows = spark.createDataFrame(list(enumerate(questions)), "q int, question string").where(F.trim("question") != "")
+        rows = spark.createDataFrame(list(enumerate(questions)), "q int, question string").where(~T.is_blank(F.col("question")))
         return rows.select("q", V.embed(F.concat(F.lit(T.QUERY_PREFIX), T.sanitize(F.col("question"))), self.embedder).alias("vector"), T.keyword_terms(F.col("question")).alias("terms"))
 
     def _visible(self, asker: acl.Asker, wanted: filters.MetadataFilter | None, source_type: str | None) -> DataFrame:
         seen = acl.permitted(F.col("racl"), F.col("source_id"), asker)
         return self.chunks.where(search.all_of(seen, filters.metadata(wanted) if wanted else None, filters.source_type(source_type)))
 
-    def semantic_search(self, questions: list[str], asker: acl.Asker, most: int = 5, min_score: float = 0.5, wanted: filters.MetadataFilter | None = None, source_type: str | None = None) -> DataFrame:
+    def semantic_search(self, questions: list[str], asker: acl.Asker, most: int = 5, min_score: float | None = None, wanted: filters.MetadataFilter | None = None, source_type: str | None = None) -> DataFrame:
         return search.semantic_search(self._visible(asker, wanted, source_type), self._asked(questions), most, min_score)
 
     def hybrid_search(self, questions: list[str], asker: acl.Asker, most: int = 5, candidates: int = 30, min_score: float | None = None, fusion: str = "rrf", wanted: filters.MetadataFilter | None = None, source_type: str | None = None) -> DataFrame:
         hold = lambda n, default: max(1, min(100, n if n > 0 else default))
         return search.hybrid_search(self._visible(asker, wanted, source_type), self._asked(questions), hold(candidates, 30), hold(most, 5), min_score, fusion)
 
-    def facets(self, value: Column, asker: acl.Asker, most: int = 10) -> DataFrame:
-        return status.facets(self.documents, value, most, acl.permitted(F.col("racl"), F.col("source_id"), asker))
+    def facets(self, value: Column, asker: acl.Asker, most: int = 10, term: str | None = None) -> DataFrame:
+        return status.facets(self.documents, value, most, acl.permitted(F.col("racl"), F.col("source_id"), asker), term)
 
     def node_status(self, nodes: DataFrame) -> DataFrame:
         return status.node_status(nodes, self.documents.select("node_id", "sync_status"))
 
     def rag_context(self, questions: list[str], asker: acl.Asker, most: int = 8, pool: int = 30, trade: float = 0.7, min_score: float = 0.3, min_hits: int = 1, max_chars: int = 12_000) -> DataFrame:
-        """q and context: the strict pass where it is relevant, else a broadened one; diversified and packed."""
+        """q and context: the strict pass, diversified, where it is relevant, else a broadened one if that is, packed; else no row."""
         seen, asked = self._visible(asker, None, None), self._asked(questions)
-        broad = search.ranked(search.pairs(seen, asked), [F.desc("cosine"), F.asc("key")], pool).select("q", "key", "rank", F.col("cosine").alias("score"), "doc_id", "text", "vector")
-        strict = broad.where(F.col("score") >= min_score)
-        hits = rag.mmr(rag.retrieve(strict, broad, status.relevance(strict, min_score, min_hits)), most, trade)
+        found = search.nearest(seen, asked, rag.pool_size(most, pool)).select("q", "key", "rank", F.col("cosine").alias("score"), "doc_id", "text", "vector")
+        strict = rag.mmr(found.where(F.col("score") >= min_score), most, trade)
+        broad = rag.mmr(found, rag.broadened(most, pool), trade)
+        hits = rag.gated(strict, broad, min_score, min_hits)
         named = hits.join(self.documents.select(F.col("node_id").alias("doc_id"), "name"), "doc_id", "left")
         return rag.pack_context(named.withColumn("name", F.coalesce("name", F.col("doc_id").cast("string"))), max_chars)
 

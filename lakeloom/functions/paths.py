@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import is_blank
+
 
 def normal_path(path: Column) -> Column:
     """One leading slash, none doubled or at the end."""
@@ -30,7 +32,12 @@ def ancestor_paths(path: Column, itself: bool = False) -> Column:
 
 def source_id(kind: Column, name: Column) -> Column:
     """type:id, unless blank or prefixed already."""
-    return F.when(name.isNull() | (F.trim(name) == "") | F.contains(name, F.lit(":")), name).otherwise(F.concat_ws(":", kind, name))
+    return F.when(is_blank(name) | F.contains(name, F.lit(":")), name).otherwise(F.concat_ws(":", kind, name))
+
+
+def without_type(name: str, kind: str | None) -> str:
+    """A source id as it was named, without its type's prefix."""
+    return name[len(kind) + 1 :] if kind and name.startswith(kind + ":") else name
 
 
 def source_id_variants(full: Column) -> Column:
@@ -48,5 +55,5 @@ def open_link(template: Column, values: dict[str, Column]) -> Column:
     out = template
     for name, value in values.items():
         slot = F.lit("{" + name + "}")
-        out = F.when(F.contains(out, slot) & (value.isNull() | (F.trim(value) == "")), F.lit(None)).otherwise(F.replace(out, slot, F.coalesce(F.url_encode(value), F.lit(""))))
+        out = F.when(F.contains(out, slot) & is_blank(value), F.lit(None)).otherwise(F.replace(out, slot, F.coalesce(F.url_encode(value), F.lit(""))))
     return F.when(~F.contains(out, F.lit("{")), out)

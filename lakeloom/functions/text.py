@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of the cleaning rules.
-ARTEFACTS = r"\x00|\f|﻿|­|[​-‏]|[  ]"
+ARTEFACTS = r"\x00|\f|\uFEFF|\u00AD|[\u200B-\u200F]|[\u2028\u2029]"
 REPEATED = r"(.)\1{10,}"
 BLANKS = r"[ \t\x0B\f\r]+"
 LEADERS = r"[.·…]{5,}|[-_=]{5,}"
@@ -32,6 +32,8 @@ MIN_TERM, MAX_TERMS = 3, 12
 K1, B, AVERAGE_WORDS = 1.2, 0.75, 100.0
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 TARGET_TOKENS, MAX_CHARS = 480, 3000
+#: What Java counts as white space: none of the no-break spaces.
+WHITE = r"[\t-\r\x1C-\x20\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,6 +41,16 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def is_blank(text: Column) -> Column:
+    """Null, empty or white space alone."""
+    return F.coalesce(text.rlike(rf"\A{WHITE}*+\z"), F.lit(True))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
 def java_trim(text: Column) -> Column:
     """Without control characters and spaces (up to U+0020) at either end."""
     return F.regexp_replace(text, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
@@ -72,17 +84,23 @@ def drop_boilerplate(text: Column) -> Column:
     """Without lines (stripped length between 4 and 99) that make up a seventh of ten or more lines, three at least.
 
     In sorted order a line that occurs n times equals the one n - 1 places on, so one pass finds them.
+    A text without such lines stays as it is.
     """
 
-    def kept(lines: Column) -> Column:
+    def often(lines: Column) -> Column:
         least = F.greatest(F.lit(3), F.floor(F.size(lines) / 7).cast("int"))
-        stripped = F.array_sort(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x).between(4, 99)))
-        repeat = lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + least - 1) == x, F.lit(False))))
-        rest = lambda often: F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x)))
-        return F.array_join(F.transform(_with(_with(stripped, repeat), rest), lambda x: F.concat(x, F.lit("\n"))), "")
+        stripped = F.array_sort(F.filter(F.transform(lines, strip), lambda x: F.length(x).between(4, 99)))
+        return _with(stripped, lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + least - 1) == x, F.lit(False)))))
+
+    def without(lines: Column, some: Column) -> Column:
+        rest = F.filter(lines, lambda x: ~F.array_contains(some, strip(x)))
+        return F.array_join(F.transform(rest, lambda x: F.concat(x, F.lit("\n"))), "")
+
+    def kept(whole: Column) -> Column:
+        lines = F.split(F.regexp_replace(whole, r"\n+\z", ""), "\n", -1)
+        return _with(lines, lambda a: _with(F.when(F.size(a) >= 10, often(a)), lambda some: F.when(F.size(some) > 0, without(a, some)).otherwise(whole)))
 
-    lines = F.split(F.regexp_replace(text, r"\n+\z", ""), "\n", -1)
-    return _with(lines, lambda a: F.when(F.size(a) < 10, text).otherwise(kept(a)))
+    return _with(text, kept)
 
 
 def collapse_blank_lines(text: Column) -> Column:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.paths import without_type
 from lakeloom.operators.search import all_of
 
 KEY = re.compile(r"[A-Za-z0-9_:-]+")
@@ -66,6 +67,8 @@ def source_ids(rows: DataFrame, kind: str | None = None) -> DataFrame:
     return rows.where(all_of(source_type(kind))).select("source_id").distinct()
 
 
-def resolve_sources(named: list[str], of_type: list[str], pinned: list[str], discovered: list[str]) -> list[str]:
-    """The first of these that isn't empty: named in the filter, of the type, configured, discovered."""
-    return next((x for x in (named, of_type, pinned, discovered) if x), [])
+def resolve_sources(named: list[str], of_type: list[str], pinned: list[str], discovered: list[str], kind: str | None = None) -> list[str]:
+    """The first of these that isn't empty: named in the filter, of the type, configured, discovered. Without blanks,
+    repeats and the type's prefix."""
+    clean = lambda names: list(dict.fromkeys(without_type(n.strip(), kind) for n in names if n and n.strip()))
+    return next((x for x in map(clean, (named, of_type, pinned, discovered)) if x), [])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeloom.functions.text import is_blank
+
 
 def stale(incoming: Column, stored: Column) -> Column:
     """Both known and the incoming not newer: ties are stale."""
@@ -56,9 +58,22 @@ def prefer_exact(candidates: DataFrame, key: str, wanted: str, found: str) -> Da
     return latest(candidates, key, [F.desc(F.col(found) == F.col(wanted)), F.asc(found)])
 
 
-def replace_children(stored: DataFrame, fresh: DataFrame, owner: str) -> DataFrame:
-    """All children of the owners in fresh go, whatever their type; fresh ones come."""
-    return stored.join(fresh.select(owner).distinct(), owner, "left_anti").unionByName(fresh)
+def replace_children(stored: DataFrame, fresh: DataFrame, owner: str, owners: DataFrame | None = None) -> DataFrame:
+    """All children of the owners go, whatever their type; fresh ones come. Owners are those of the fresh rows
+    unless they are named, as one that is left without children must be."""
+    named = fresh.select(owner) if owners is None else owners.select(owner)
+    return delete_children(stored, named.distinct(), owner).unionByName(fresh.join(named.distinct(), owner, "left_semi").select(*stored.columns))
+
+
+def delete_children(stored: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
+    """Without all children of the owners."""
+    return stored.join(owners.select(owner), owner, "left_anti").select(*stored.columns)
+
+
+def merge_duplicates(found: DataFrame, wanted: DataFrame, key: str, source: str) -> DataFrame:
+    """One row for each wanted key that is there, of several the one of its exact source, else the first: a bulk lookup."""
+    rows = found.join(wanted.select(key, F.col(source).alias("__wanted")).dropDuplicates([key]), key)
+    return latest(rows, key, [F.desc(F.coalesce(F.col(source) == F.col("__wanted"), F.lit(False))), F.asc(source)]).drop("__wanted")
 
 
 def resolve_paths(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -67,20 +82,49 @@ def resolve_paths(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return one.join(stored.select("path", F.col("node_id").alias("__known")), "path", "left").withColumn("document_id", F.coalesce("__known", "node_id")).drop("__known")
 
 
-def process(text: Column, chunks: Column) -> Column:
-    """Outcome of the content phase: state and error."""
-    blank = text.isNull() | (F.trim(text) == "")
+def process(text: Column, chunks: Column, mime_type: Column, failure: Column | None = None) -> Column:
+    """Outcome of the content phase: status and error. failure: what an extractor, chunker or model that broke down said, else null."""
+    blank = is_blank(text)
     none = F.coalesce(F.size(chunks), F.lit(0)) < 1
-    return F.struct(F.when(blank | none, "FAILED").otherwise("INDEXED").alias("status"), F.when(blank, "No extractable text produced").when(none, "No chunks produced from extracted text").alias("error"))
+    broken = F.lit(None).cast("string") if failure is None else failure
+    error = F.coalesce(broken, F.when(blank, F.concat(F.lit("No extractable text produced for mimeType="), F.coalesce(mime_type, F.lit("null")))).when(none, F.lit("No chunks produced from extracted text")))
+    return F.struct(F.when(error.isNotNull(), "FAILED").otherwise("INDEXED").alias("status"), error.alias("error"))
 
 
 def with_status(properties: Column, status: Column, error: Column) -> Column:
     """A property map with state and error; a blank error goes."""
     rest = F.map_filter(properties, lambda k, v: ~k.isin("syncStatus", "syncError"))
-    new = F.map_filter(F.create_map(F.lit("syncStatus"), status, F.lit("syncError"), F.when(F.trim(error) != "", error)), lambda k, v: v.isNotNull())
+    new = F.map_filter(F.create_map(F.lit("syncStatus"), status, F.lit("syncError"), F.when(~is_blank(error), error)), lambda k, v: v.isNotNull())
     return F.map_concat(rest, new)
 
 
+def described(properties: Column) -> Column:
+    """A node's properties without null values, and the list of their names, which always mirrors the keys."""
+    kept = without_nulls(properties)
+    return F.struct(kept.alias("properties"), F.array_sort(F.map_keys(kept)).alias("names"))
+
+
+def ordered_union(first: Column, *others: Column) -> Column:
+    """What each array holds, once, in order of first appearance: mixins, authorities, ids."""
+    empty = F.array().cast("array<string>")
+    return F.filter(F.array_distinct(F.concat(F.coalesce(first, empty), *[F.coalesce(o, empty) for o in others])), lambda x: x.isNotNull())
+
+
+def write_status(states: DataFrame, changes: DataFrame) -> DataFrame:
+    """The states of source nodes (node_id, status, error) after changes of them (and seq): the last one of a node
+    counts; a null status clears it."""
+    last = latest(changes, "node_id", [F.desc("seq")])
+    kept = states.join(last.select("node_id"), "node_id", "left_anti")
+    return kept.select("node_id", "status", "error").unionByName(last.where("status is not null").select("node_id", "status", F.when(~is_blank(F.col("error")), F.col("error")).alias("error")))
+
+
+def patch(properties: Column, changes: Column) -> Column:
+    """A property map after changes (array of op, key, value): add and replace set a key, remove takes it away; the last of a key counts."""
+    last = F.aggregate(changes, F.create_map().cast("map<string,struct<op:string,key:string,value:string>>"), lambda m, c: F.map_concat(F.map_filter(m, lambda k, v: k != c["key"]), F.create_map(c["key"], c)))
+    kept = F.map_filter(properties, lambda k, v: ~F.array_contains(F.map_keys(last), k))
+    return F.map_concat(kept, F.transform_values(F.map_filter(last, lambda k, v: v["op"] != "remove"), lambda k, v: v["value"]))
+
+
 def without_nulls(properties: Column) -> Column:
     return F.map_filter(properties, lambda k, v: v.isNotNull())
 

@@ -8,7 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from lakeloom.functions.text import strip_list_mark
+from lakeloom.functions.text import is_blank, java_trim, strip_list_mark
+from lakeloom.operators.status import relevance
+
+# Fixed value: the wording of the prompt.
+PROMPT = """Based on the conversation history and document context, answer the current question.
+
+--- CONVERSATION HISTORY ---
+%s
+--- END CONVERSATION HISTORY ---
+
+--- DOCUMENT CONTEXT ---
+%s
+--- END CONTEXT ---
+
+Question: %s
+
+Answer:"""
 
 
 def mmr_order(scores: list[float], vectors: list, k: int, trade: float) -> list[int]:
@@ -46,13 +62,40 @@ def mmr(hits: DataFrame, k: int, trade: float = 0.5) -> DataFrame:
     return hits.groupBy("q").applyInPandas(select, schema)
 
 
-def rerank(hits: DataFrame, scores: DataFrame, most: int = 8, replace: bool = False) -> DataFrame:
-    """hits (q, key, rank, score) by scores from outside (q, key, rerank_score), missing last, then the old order."""
+def rerank(hits: DataFrame, scores: DataFrame | None, most: int = 8, replace: bool = False) -> DataFrame:
+    """hits (q, key, rank, score, ...) by scores from outside (q, key, rerank_score), missing last, then the old order.
+
+    replace: the new score takes the old one's place, and the vector goes, as it no longer explains the
+    score. Without scores (the model failed) the first `most` stay as they are.
+    """
+    if scores is None:
+        return hits.where(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("int"))
     joined = hits.join(scores, ["q", "key"], "left")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("rerank_score"), "rank"))
-    out = joined.withColumn("new_rank", place).where(F.col("new_rank") <= most)
-    score = F.coalesce("rerank_score", "score") if replace else F.col("score")
-    return out.select("q", "key", F.col("new_rank").cast("int").alias("rank"), score.alias("score"))
+    out = joined.withColumn("rank", place.cast("int")).where(F.col("rank") <= most)
+    if replace:
+        out = out.withColumn("score", F.coalesce("rerank_score", "score")).drop("vector")
+    return out.drop("rerank_score")
+
+
+def first_hits(hits: DataFrame, most: int) -> DataFrame:
+    """What takes the place of a diversity selector that is off: the first `most`."""
+    return hits.where(F.col("rank") <= most)
+
+
+def always_relevant(hits: DataFrame) -> DataFrame:
+    """What takes the place of a grader that is off: every query with hits is relevant."""
+    return hits.groupBy("q").agg(F.count("*").alias("good")).withColumn("verdict", F.lit("RELEVANT"))
+
+
+def pool_size(most: int, pool: int = 30, diversify: bool = True) -> int:
+    """How many hits to retrieve: where they are diversified, the pool or more."""
+    return max(pool, most) if diversify else most
+
+
+def broadened(most: int, pool: int = 30) -> int:
+    """How many hits the second pass retrieves, with no least score."""
+    return max(pool, most)
 
 
 def pack_context(hits: DataFrame, max_chars: int, least: int = 100) -> DataFrame:
@@ -69,7 +112,7 @@ def pack_context(hits: DataFrame, max_chars: int, least: int = 100) -> DataFrame
 def last_turns(turns: DataFrame, most: int = 10) -> DataFrame:
     """The last turns of each session, blank ones not counted."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return turns.where(F.trim("text") != "").withColumn("place", place).where(F.col("place") <= max(1, most)).drop("place")
+    return turns.where(~is_blank(F.col("text"))).withColumn("place", place).where(F.col("place") <= max(1, most)).drop("place")
 
 
 def history(turns: DataFrame, most: int = 10) -> DataFrame:
@@ -87,12 +130,62 @@ def unique_variants(variants: DataFrame, most: int = 6) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= most).select("q", F.col("place").cast("int").alias("place"), "text")
 
 
-def retrieve(first: DataFrame, broadened: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The first pass's hits where its verdict is RELEVANT, those of the broadened pass elsewhere."""
-    good = verdicts.where("verdict = 'RELEVANT'").select("q")
-    return first.join(good, "q", "left_semi").unionByName(broadened.join(good, "q", "left_anti"))
+#: How many of each kind of variant are taken, and characters of a drafted passage.
+SUB_QUESTIONS, PARAPHRASES, PASSAGE_CHARS = 4, 3, 1_000
+
+
+def expand(queries: DataFrame, answers: DataFrame, sub_questions: bool = True, hypothetical: bool = True, paraphrases: bool = True, most: int = 8) -> DataFrame:
+    """q, place, label, text and vector_only: the variants to search for, at most `most` of each query.
+
+    queries: q, text. answers: q, kind and answer, what a model said: "sub" and "variant" hold a line
+    for each variant, "hyde" a passage; a missing or null answer is a failed one. In order: the query
+    itself; sub-questions, unless the first line is NONE; the drafted passage, which searches by its
+    vector alone and is embedded as documents are; paraphrases. Texts that came before, letter case
+    aside, and blank ones go, and don't count against the limits. Blank queries have none.
+    """
+    asked = queries.where(F.trim("text") != "").select("q", F.trim("text").alias("text"))
+    rows = asked.select("q", F.lit(0).alias("kind"), F.lit(0).alias("no"), "text")
+    said = answers.where("answer is not null").join(asked.select("q"), "q", "left_semi")
+    bare = F.filter(F.transform(F.split("answer", "\\R"), strip_list_mark), lambda x: x != "")
+    lines = said.select("q", "kind", bare.alias("lines"))
+    kinds = [("sub", 1)] * sub_questions + [("variant", 3)] * paraphrases
+    for kind, place in kinds:
+        some = lines.where(F.col("kind") == kind)
+        if kind == "sub":
+            some = some.where(F.coalesce(F.upper(F.get("lines", F.lit(0))) != "NONE", F.lit(True))).withColumn("lines", F.filter("lines", lambda x: F.upper(x) != "NONE"))
+        rows = rows.unionByName(some.select("q", F.lit(place).alias("kind"), F.posexplode("lines").alias("no", "text")))
+    # of equal texts the first; a passage is told from questions by its kind
+    first = rows.groupBy("q", F.lower("text").alias("low")).agg(F.min(F.struct("kind", "no", "text")).alias("v")).select("q", "v.*")
+    if hypothetical:
+        passage = said.where("kind = 'hyde'").select("q", F.lit(2).alias("kind"), F.lit(0).alias("no"), F.substring(F.trim("answer"), 1, PASSAGE_CHARS).alias("text"))
+        first = first.unionByName(passage.where("text <> ''"))
+    number = F.row_number().over(Window.partitionBy("q", "kind").orderBy("no"))
+    kept = first.withColumn("n", number).where(F.col("n") <= F.element_at(F.array(F.lit(1), F.lit(SUB_QUESTIONS), F.lit(1), F.lit(PARAPHRASES)), F.col("kind") + 1))
+    label = F.when(F.col("kind") == 0, "original").when(F.col("kind") == 1, F.concat(F.lit("sub-"), "n")).when(F.col("kind") == 2, "hyde").otherwise(F.concat(F.lit("variant-"), "n"))
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("kind", "n"))).where(F.col("place") <= most)
+    return placed.select("q", F.col("place").cast("int").alias("place"), label.alias("label"), "text", (F.col("kind") == 2).alias("vector_only"))
+
+
+def gated(strict: DataFrame, broad: DataFrame, min_score: float, min_hits: int = 1) -> DataFrame:
+    """The hits of the strict pass where they are relevant, else those of the broadened pass if that is, else none."""
+    good = lambda hits: relevance(hits, min_score, min_hits).where("verdict = 'RELEVANT'").select("q")
+    first = good(strict)
+    again = good(broad).join(first, "q", "left_anti")
+    return strict.join(first, "q", "left_semi").unionByName(broad.join(again, "q", "left_semi"))
+
+
+def prompt(question: Column, history: Column, context: Column) -> Column:
+    """The user message: history, context and question; fixed wording."""
+    none = F.when(history.isNull() | (java_trim(history) == ""), F.lit("(none)")).otherwise(history)
+    return F.format_string(PROMPT, none, context, question)
+
+
+def sources(hits: DataFrame) -> DataFrame:
+    """q and sources: what an answer rests on, in rank order."""
+    rows = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "score"))).alias("sources"))
+    return rows.select("q", "sources")
 
 
 def question(original: Column, rewritten: Column, has_history: Column) -> Column:
     """A rewritten question, if there is a history and a rewrite."""
-    return F.when(has_history, F.coalesce(F.when(F.trim(rewritten) != "", rewritten), original)).otherwise(original)
+    return F.when(has_history, F.coalesce(F.when(~is_blank(rewritten), rewritten), original)).otherwise(original)

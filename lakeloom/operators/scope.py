@@ -62,7 +62,8 @@ def in_scope(nodes: DataFrame, marked: DataFrame, scope: Scope, folders: bool =
 
 
 def only_status_changed(before: Column, after: Column) -> Column:
-    """Whether an update differs in nothing but status and audit properties or status aspects.
+    """Whether an update differs in nothing but status and audit properties or status aspects: its name, type,
+    content, primary association and primary hierarchy are unchanged.
 
     before holds what changed: a null field means unchanged; a missing before is a real change. Without
     a change of properties aspects aren't compared.
@@ -71,7 +72,7 @@ def only_status_changed(before: Column, after: Column) -> Column:
     aspects = F.filter(F.array_union(F.array_except(before["aspects"], after["aspects"]), F.array_except(after["aspects"], before["aspects"])), lambda a: ~a.isin(*STATUS_ASPECTS))
     same = lambda f: before[f].isNull() | before[f].eqNullSafe(after[f])
     none = lambda a: F.coalesce(F.size(a), F.lit(0)) < 1
-    return before.isNotNull() & same("name") & same("node_type") & (before["properties"].isNull() | none(properties) & none(aspects))
+    return before.isNotNull() & same("name") & same("node_type") & same("content") & same("primary_association") & same("primary_hierarchy") & (before["properties"].isNull() | none(properties) & none(aspects))
 
 
 def looks_like_permission_change(before: Column, after: Column, fields: list[str]) -> Column:

@@ -1,24 +1,32 @@
 """Permission-filtered semantic, keyword and hybrid search.
 
 A search takes chunks (key, doc_id, text, vector array<double>, racl, and what filters need) and
-queries (q, vector, terms, and optionally tokens). Queries are a stated set: they are broadcast in
-blocks of QUERY_BLOCK, chunks are read once a block and never shuffled; what is shuffled are the best
-of each task (grouped limits run before the exchange).
+queries (q, vector, terms, and optionally tokens). Queries are a stated set, at most QUERY_BLOCK: they
+are read once and sent to all tasks. Chunks are read once and never shuffled: each batch is scored by
+one matrix product, and what travels are the best of each batch, cut to the best of each task before
+the exchange.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakeloom.functions import text as T
-from lakeloom.functions import vectors as V
+from lakeloom.session import spread
 
 QUERY_BLOCK = 10_000
-DIGITS = 9
 RRF_K = 60
+MIN_SCORE, VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.5, 0.7, 0.3
+#: Chunks scored at once, and products of chunks and queries held at once.
+ROWS, PRODUCTS = 4_096, 8_000_000
 
 
 def all_of(*conditions: Column | None) -> Column:
@@ -26,14 +34,110 @@ def all_of(*conditions: Column | None) -> Column:
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
 
 
-def pairs(chunks: DataFrame, queries: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Each query with each chunk that it may see, and the cosine of their vectors (rounded, so ties are ties)."""
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search in blocks")
-    named = queries.withColumnRenamed("vector", "query_vector")
-    visible = all_of(F.arrays_overlap("racl", "tokens") if "tokens" in queries.columns else None, condition)
-    # at most QUERY_BLOCK rows, counted above
-    return chunks.join(F.broadcast(named), visible).withColumn("cosine", F.round(V.cosine(F.col("vector"), F.col("query_vector")), DIGITS))
+def _vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray | None]:
+    """Vectors of length one; None for those that are null, empty, zero or hold a null or no number."""
+    out = []
+    for v in column:
+        x = np.asarray(v.as_py(), dtype=np.float64) if v.is_valid and len(v) else None
+        length = 0.0 if x is None else math.sqrt(float((x * x).sum()))
+        out.append(x if length > 0 and math.isfinite(length) else None)
+    return out
+
+
+class _Asked:
+    """The queries, as every task holds them."""
+
+    def __init__(self, queries: DataFrame):
+        rows = queries.limit(QUERY_BLOCK + 1).toArrow()
+        if rows.num_rows > QUERY_BLOCK:
+            raise ValueError(f"more than {QUERY_BLOCK} queries: search in blocks")
+        self.q = rows["q"].combine_chunks()
+        self.vectors = _vectors(rows["vector"])
+        self.terms = rows["terms"].to_pylist() if "terms" in rows.column_names else [[] for _ in self.q]
+        self.tokens = rows["tokens"].to_pylist() if "tokens" in rows.column_names else None
+
+
+def _mask(groups: list[list[str] | None]) -> dict[str, np.ndarray]:
+    """For each word, which of the groups hold it."""
+    out: dict[str, np.ndarray] = {}
+    for k, words in enumerate(groups):
+        for w in words or ():
+            out.setdefault(w, np.zeros(len(groups), dtype=bool))[k] = True
+    return out
+
+
+def _cosines(column: pa.Array, asked: list[np.ndarray | None]) -> np.ndarray:
+    """Cosines of chunks and queries; 0 where either has no vector or their lengths differ.
+
+    Products are taken vector by vector in one order, so that equal vectors have equal scores.
+    """
+    out = np.zeros((len(column), len(asked)))
+    vectors = _vectors(column)
+    for dims in {len(v) for v in asked if v is not None}:
+        rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == dims]
+        cols = [k for k, v in enumerate(asked) if v is not None and len(v) == dims]
+        if rows:
+            a, b = np.stack([vectors[i] for i in rows]), np.stack([asked[k] for k in cols])
+            lengths = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :]
+            out[np.ix_(rows, cols)] = np.einsum("id,kd->ik", a, b) / lengths
+    return out
+
+
+def _holding(texts: pa.Array, terms: list[list[str]]) -> np.ndarray:
+    """Which chunks hold a term of which query, letter case aside."""
+    mask = _mask(terms)
+    out = np.zeros((len(texts), len(terms)), dtype=bool)
+    for i, t in enumerate(texts.to_pylist()):
+        low = (t or "").lower()
+        for term, of in mask.items():
+            if term in low:
+                out[i] |= of
+    return out
+
+
+def _best(scores: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, query) of the best `most` allowed scores of each query; of equal ones the first rows."""
+    shown = np.where(allowed, scores, -np.inf)
+    order = np.argsort(-shown, axis=0, kind="stable")[:most]
+    rows, cols = order.ravel(), np.broadcast_to(np.arange(scores.shape[1]), order.shape).ravel()
+    keep = allowed[rows, cols]
+    return rows[keep], cols[keep]
+
+
+def candidates(chunks: DataFrame, queries: DataFrame, legs: tuple[str, ...], most: int, floor: float | None = None) -> DataFrame:
+    """q, leg, rank, cosine and the chunks' columns: the best `most` of each query by cosine, then key, in each leg.
+
+    Legs: "vector", all chunks that the query may see; "keyword", those that hold one of its terms.
+    """
+    asked = _Asked(queries)
+    q_type = queries.schema["q"].dataType
+    shared = chunks.sparkSession.sparkContext.broadcast(asked)
+    schema = StructType.fromJson(chunks.schema.jsonValue()).add("q", q_type).add("leg", "string").add("cosine", "double")
+    at_once = max(1, min(ROWS, PRODUCTS // max(1, len(asked.q))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        ids = asked.q
+        readers = _mask(asked.tokens) if asked.tokens is not None else {}
+        for whole in batches:
+            for begin in range(0, whole.num_rows if len(ids) else 0, at_once):
+                b = whole.slice(begin, at_once)
+                b = b.take(pa.compute.sort_indices(b.column("key")))
+                score = _cosines(b.column("vector"), asked.vectors)
+                seen = np.ones(score.shape, dtype=bool)
+                if asked.tokens is not None:
+                    for i, racl in enumerate(b.column("racl").to_pylist()):
+                        seen[i] = reduce(np.logical_or, [readers[t] for t in racl or () if t in readers], np.zeros(len(ids), dtype=bool))
+                if floor is not None:
+                    seen &= score >= floor
+                for leg in legs:
+                    rows, cols = _best(score, seen if leg == "vector" else seen & _holding(b.column("text"), asked.terms), most)
+                    if len(rows):
+                        part = b.take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([*part.columns, ids.take(pa.array(cols)), pa.array([leg] * len(rows)), pa.array(score[rows, cols])], names=[*part.schema.names, "q", "leg", "cosine"])
+
+    found = spread(chunks).mapInArrow(run, schema)
+    return ranked(found, [F.desc("cosine"), F.asc("key")], most, by=("q", "leg"))
 
 
 def ranked(rows: DataFrame, order: list[Column], most: int, rank: str = "rank", by: tuple[str, ...] = ("q",)) -> DataFrame:
@@ -41,30 +145,40 @@ def ranked(rows: DataFrame, order: list[Column], most: int, rank: str = "rank",
     return rows.withColumn(rank, place).where(F.col(rank) <= most)
 
 
-def vector_leg(scored: DataFrame, candidates: int) -> DataFrame:
-    return ranked(scored, [F.desc("cosine"), F.asc("key")], candidates)
+def nearest(chunks: DataFrame, queries: DataFrame, most: int, floor: float | None = None) -> DataFrame:
+    """q, rank, cosine and the chunks' columns of each query's nearest chunks."""
+    return candidates(chunks, queries, ("vector",), most, floor).drop("leg")
 
 
-def keyword_leg(scored: DataFrame, candidates: int) -> DataFrame:
-    """Chunks that hold a term: the best by cosine, rescored by term frequency; none without usable terms."""
-    holding = scored.where((F.size("terms") > 0) & T.any_term(F.col("text"), F.col("terms")))
-    window = ranked(holding, [F.desc("cosine"), F.asc("key")], candidates, "window_rank")
-    rescored = window.withColumn("bm25", F.round(T.bm25_tf(F.col("text"), F.col("terms")), DIGITS)).where("bm25 > 0")
-    return ranked(rescored, [F.desc("bm25"), F.asc("window_rank")], candidates)
+def rescored(found: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """Candidates with `score`: the cosine, in the keyword leg the term frequency, by which that leg is ranked anew.
 
+    Chunks whose text has none of the terms go; a query without usable terms has none in that leg.
+    """
+    keyword = F.col("leg") == "keyword"
+    rows = found.join(F.broadcast(queries.select("q", "terms")), "q").withColumn("score", F.when(keyword, T.bm25_tf(F.col("text"), F.col("terms"))).otherwise(F.col("cosine")))
+    rows = rows.where(~keyword | (F.col("score") > 0)).withColumnRenamed("rank", "window_rank")
+    return ranked(rows, [F.when(keyword, F.col("score")).desc(), F.asc("window_rank")], most, by=("q", "leg"))
+
+
+def legs(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Rows of both legs (q, key, rank, and cosine or bm25) as those that fused() takes."""
+    one = lambda f, leg, c: f.select("q", "key", "rank", F.col(c).alias("score"), F.lit(leg).alias("leg"))
+    return one(vector, "vector", "cosine").unionByName(one(keyword, "keyword", "bm25"))
 
-def legs(vector: DataFrame, keyword: DataFrame, by: tuple[str, ...] = ("q",)) -> DataFrame:
-    """One row a query and chunk, with the scores and ranks of either leg."""
-    none = lambda kind: F.lit(None).cast(kind)
-    both = vector.select(*by, "key", F.col("cosine").alias("vs"), F.col("rank").alias("vr"), none("double").alias("ks"), none("int").alias("kr")).unionByName(
-        keyword.select(*by, "key", none("double").alias("vs"), none("int").alias("vr"), F.col("bm25").alias("ks"), F.col("rank").alias("kr"))
-    )
-    return both.groupBy(*by, "key").agg(F.max("vs").alias("vector_score"), F.max("vr").cast("int").alias("vector_rank"), F.max("ks").alias("keyword_score"), F.max("kr").cast("int").alias("keyword_rank"))
+
+def fused(rows: DataFrame) -> DataFrame:
+    """One row a query and chunk of rescored candidates, with the scores and ranks of both legs."""
+    of = lambda c, leg: F.max(F.when(F.col("leg") == leg, F.col(c)))
+    return rows.groupBy("q", "key").agg(
+        of("score", "vector").alias("vector_score"), of("rank", "vector").cast("int").alias("vector_rank"),
+        of("score", "keyword").alias("keyword_score"), of("rank", "keyword").cast("int").alias("keyword_rank"),
+    )
 
 
 def rrf(fused: DataFrame, k: int = RRF_K) -> DataFrame:
     one = lambda c: F.coalesce(1.0 / (F.lit(k) + F.col(c)), F.lit(0.0))
-    return fused.withColumn("score", F.round(one("vector_rank") + one("keyword_rank"), DIGITS))
+    return fused.withColumn("score", one("vector_rank") + one("keyword_rank"))
 
 
 def normalised(score: str, how: str, by: tuple[str, ...] = ("q",)) -> Column:
@@ -78,9 +192,8 @@ def normalised(score: str, how: str, by: tuple[str, ...] = ("q",)) -> Column:
     return F.when(F.col(score).isNotNull(), out).otherwise(F.lit(0.0))
 
 
-def weighted(fused: DataFrame, vector_weight: float = 0.7, keyword_weight: float = 0.3, how: str = "max") -> DataFrame:
-    score = F.lit(vector_weight) * normalised("vector_score", how) + F.lit(keyword_weight) * normalised("keyword_score", how)
-    return fused.withColumn("score", F.round(score, DIGITS))
+def weighted(fused: DataFrame, vector_weight: float = VECTOR_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT, how: str = "max") -> DataFrame:
+    return fused.withColumn("score", F.lit(vector_weight) * normalised("vector_score", how) + F.lit(keyword_weight) * normalised("keyword_score", how))
 
 
 FUSED_ORDER = [F.desc, "score"], [F.asc_nulls_last, "vector_rank"], [F.asc_nulls_last, "keyword_rank"], [F.asc, "key"]
@@ -91,35 +204,56 @@ def best_fused(fused: DataFrame, most: int, min_score: float | None = None, by:
     return ranked(kept, [f(c) for f, c in FUSED_ORDER], most, by=by)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, candidates: int = 30, most: int = 5, min_score: float | None = None, fusion: str = "rrf", normalisation: str = "max", weights: tuple[float, float] = (0.7, 0.3), condition: Column | None = None) -> DataFrame:
-    """q, rank, key, score and the scores and ranks of both legs."""
-    scored = pairs(chunks, queries, condition)
-    fused = legs(vector_leg(scored, candidates), keyword_leg(scored, candidates))
-    fused = rrf(fused) if fusion == "rrf" else weighted(fused, *weights, normalisation)
-    return best_fused(fused, most, min_score).select("q", F.col("rank").cast("int").alias("rank"), "key", "score", "vector_score", "keyword_score", "vector_rank", "keyword_rank")
+def hybrid_search(chunks: DataFrame, queries: DataFrame, candidates_: int = 30, most: int = 5, min_score: float | None = None, fusion: str = "rrf", normalisation: str = "max", weights: tuple[float, float] = (VECTOR_WEIGHT, KEYWORD_WEIGHT), condition: Column | None = None) -> DataFrame:
+    """q, rank, key, score and the scores and ranks of both legs, from one pass over the chunks.
+
+    A min_score of 0 is a floor like others; a weight of 0 stands for the default one.
+    """
+    found = candidates(chunks.where(all_of(condition)), queries, ("vector", "keyword"), candidates_)
+    both = fused(rescored(found, queries, candidates_))
+    both = rrf(both) if fusion == "rrf" else weighted(both, weights[0] or VECTOR_WEIGHT, weights[1] or KEYWORD_WEIGHT, normalisation)
+    return best_fused(both, most, min_score).select("q", F.col("rank").cast("int").alias("rank"), "key", "score", "vector_score", "keyword_score", "vector_rank", "keyword_rank")
+
+
+def least_score(wanted: float | None, default: float = MIN_SCORE) -> float:
+    """A semantic search's floor: the default where none, no number or none above 0 is asked for, at most 1."""
+    if wanted is None or math.isnan(wanted) or wanted <= 0:
+        wanted = default
+    return min(1.0, max(0.0, wanted))
 
 
-def semantic_search(chunks: DataFrame, queries: DataFrame, most: int = 5, min_score: float = 0.5, condition: Column | None = None) -> DataFrame:
-    """q, rank, key, score; most is held between 1 and 50, min_score between 0 and 1."""
-    floor = min(1.0, max(0.0, min_score))
-    scored = pairs(chunks, queries, condition).where(F.col("cosine") >= floor)
-    return ranked(scored, [F.desc("cosine"), F.asc("key")], max(1, min(50, most))).select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score"))
+def semantic_search(chunks: DataFrame, queries: DataFrame, most: int = 5, min_score: float | None = None, condition: Column | None = None) -> DataFrame:
+    """q, rank, key, score; most is held between 1 and 50."""
+    found = nearest(chunks.where(all_of(condition)), queries, max(1, min(50, most)), least_score(min_score))
+    return found.select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score"))
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, candidates: int = 30) -> DataFrame:
-    return keyword_leg(pairs(chunks, queries), candidates).select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("bm25").alias("score"))
+def keyword_search(chunks: DataFrame, queries: DataFrame, candidates_: int = 30) -> DataFrame:
+    """q, rank, key and score, the term frequency: of the nearest chunks that hold a term."""
+    found = rescored(candidates(chunks, queries, ("keyword",), candidates_), queries, candidates_)
+    return found.select("q", F.col("rank").cast("int").alias("rank"), "key", "score")
 
 
-def fuse_variants(hits: DataFrame, most: int, k: int = RRF_K, keep: str = "best") -> DataFrame:
+def fuse_variants(hits: DataFrame, most: int, k: int = RRF_K, keep: str = "best", by: Column | None = None) -> DataFrame:
     """Hits of several variants of one query (q, variant, rank, key, score), by the sum of reciprocal ranks.
 
-    The score kept is the best one of the key (hybrid) or that of its first variant (semantic).
+    The score kept is the best one of the key (hybrid) or that of its first variant (semantic). Queries
+    with hits of one variant alone keep its order. `by` tells hits apart where the key is null, such
+    as the text; without either, each stands for itself.
     """
+    name = F.coalesce(F.col("key").cast("string"), by.cast("string") if by is not None else F.lit(None), F.concat_ws("#", "variant", "rank"))
     kept = F.max("score") if keep == "best" else F.min_by("score", F.struct("variant", "rank"))
-    summed = hits.groupBy("q", "key").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), DIGITS).alias("fused"), kept.alias("score"), F.min(F.struct("variant", "rank")).alias("seen"))
+    # sums of another order differ in the last digits
+    each = F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 12).alias("fused")
+    summed = hits.withColumn("__name", name).groupBy("q", "__name").agg(each, kept.alias("score"), F.min(F.struct("variant", "rank")).alias("seen"), F.first("key").alias("key"))
     return ranked(summed, [F.desc("fused"), F.asc("seen"), F.asc("key")], most).select("q", F.col("rank").cast("int").alias("rank"), "key", "score", "fused")
 
 
+def variant_counts(hits: DataFrame) -> DataFrame:
+    """q, largest and total: the hits of a query's largest variant, and of all."""
+    return hits.groupBy("q", "variant").agg(F.count("*").alias("n")).groupBy("q").agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
+
+
 def enrich(hits: DataFrame, documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Hits with their documents' columns, after the limit; a hit without one keeps its id alone."""
     one = documents.dropDuplicates([doc_id])

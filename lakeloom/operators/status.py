@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def facets(rows: DataFrame, value: Column, most: int = 10, condition: Column | None = None) -> DataFrame:
-    """key and doc_count of the commonest values; `most` between 1 and 100; ties by key."""
+def facets(rows: DataFrame, value: Column, most: int = 10, condition: Column | None = None, term: str | None = None) -> DataFrame:
+    """key and doc_count of the commonest values; `most` between 1 and 100; ties by key.
+
+    term: of the values that hold it, letter case aside; a blank one is none.
+    """
     kept = rows if condition is None else rows.where(condition)
+    if term and term.strip():
+        kept = kept.where(F.contains(F.lower(value.cast("string")), F.lit(term.strip().lower())))
     counted = kept.select(value.cast("string").alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("doc_count"))
     return counted.orderBy(F.desc("doc_count"), "key").limit(max(1, min(100, most)))
 
@@ -40,6 +45,46 @@ def outcomes(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
     return rows.groupBy(outcome).agg(F.count("*").alias("n"))
 
 
+def exists(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Each wanted key and whether any row has it."""
+    there = rows.select(key).distinct().withColumn("present", F.lit(True))
+    return wanted.select(key).distinct().join(there, key, "left").select(key, F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def job_counters(outcomes_: DataFrame) -> DataFrame:
+    """job, discovered, ingested, synced, skipped, failed and state of batch jobs, from each node's outcome.
+
+    outcomes_: job, outcome (created, updated, acl_only, kept, failed, or null while a node waits) and error.
+    A job whose every node failed has failed; one with waiting nodes runs; else it is complete.
+    """
+    of = lambda *names: F.count(F.when(F.col("outcome").isin(*names), 1))
+    counted = outcomes_.groupBy("job").agg(
+        F.count("*").alias("discovered"), of("created", "updated").alias("ingested"), of("created", "updated", "acl_only").alias("synced"), of("kept", "acl_only").alias("skipped"), of("failed").alias("failed"), F.count(F.when(F.col("outcome").isNull(), 1)).alias("waiting"),
+    )
+    state = F.when(F.col("waiting") > 0, "RUNNING").when(F.col("failed") == F.col("discovered"), "FAILED").otherwise("COMPLETED")
+    return counted.withColumn("state", state)
+
+
+def last_jobs(jobs: DataFrame, most: int = 100) -> DataFrame:
+    """The jobs (job, started) begun last: older ones are forgotten."""
+    return jobs.orderBy(F.desc("started"), F.desc("job")).limit(most)
+
+
+def poll_metrics(polls: DataFrame) -> DataFrame:
+    """source, polls, events by outcome, the longest poll and the cursor's lag, in seconds.
+
+    polls: source, began, ended, cursor, processed, failed and skipped of each poll.
+    """
+    seconds = lambda a, b: F.unix_micros(F.col(b).cast("timestamp")) / 1e6 - F.unix_micros(F.col(a).cast("timestamp")) / 1e6
+    last = F.max_by(F.struct("ended", "cursor"), F.struct("ended", "cursor"))
+    counted = polls.groupBy("source").agg(
+        F.count("*").alias("polls"), F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.sum("skipped").alias("skipped"),
+        F.max(seconds("began", "ended")).alias("longest"), last.alias("last"),
+    )
+    lag = F.unix_micros(F.col("last.ended").cast("timestamp")) / 1e6 - F.unix_micros(F.col("last.cursor").cast("timestamp")) / 1e6
+    return counted.withColumn("lag", lag).drop("last")
+
+
 def relevance(hits: DataFrame, min_score: float, min_hits: int = 1) -> DataFrame:
     """RELEVANT where enough hits (one at least) reach the score, else WEAK; by query."""
     enough = F.count(F.when(F.col("score") >= min_score, 1))

@@ -12,107 +12,146 @@ from lakeloom.plans.book import book, table
 
 BOOK, query = book()
 
-TERMS = ((0, ("that", "with")), (1, ("der", "keit")), (2, ("que", "ment")), (3, ("ción", "las")), (4, ("tion", "ing")))
+TERMS = (("that", "with"), ("der", "keit"), ("que", "ment"), ("ción", "las"), ("tion", "ing"))
+#: Rows with an id divisible by this are the queries, asked against all.
+EVERY = 100
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with vectors; readers are the group of the source, and everyone for each fifth."""
+    """All documents; they take the vectors in turn. Readers are the group of the source, and everyone for each fifth."""
     docs = table(spark, sf_dir, "documents")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    vectors = table(spark, sf_dir, "embeddings")
+    many = vectors.count()
+    vectors = vectors.select(F.col("vec_id").alias("turn"), F.col("embedding").cast("array<double>").alias("vector"))
     racl = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("__Everyone__"), F.concat(F.lit("g:GROUP_"), "source"))).otherwise(F.array(F.concat(F.lit("g:GROUP_"), "source")))
-    return docs.join(vectors, "doc_id").select(F.col("doc_id").alias("key"), "doc_id", "text", "lang", "source", racl.alias("racl"), "vector")
+    return docs.withColumn("turn", F.col("doc_id") % many).join(vectors, "turn").select(F.col("doc_id").alias("key"), "doc_id", "text", "lang", "source", racl.alias("racl"), "vector")
 
 
 def asked(spark: SparkSession, sf_dir: str, tokens: bool = True) -> DataFrame:
-    """Five queries: vectors of the first five, terms, and the groups that the asker is in."""
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("vector"))
-    terms = F.coalesce(*[F.when(F.col("q") == q, F.array(*map(F.lit, t))) for q, t in TERMS])
-    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("g:GROUP_src"), ((F.col("q") * 4 + i) % 20).cast("string")))
+    """Queries: vectors, terms in turn, and the groups that the asker is in."""
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("vector"))
+    n = (F.col("q") / EVERY).cast("int")
+    terms = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in TERMS]), n % len(TERMS) + 1)
+    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("g:GROUP_src"), ((n * 4 + i) % 20).cast("string")))
     out = vectors.select("q", "vector", terms.alias("terms"), F.concat(F.array(F.lit("__Everyone__")), groups).alias("tokens"))
     return out if tokens else out.drop("tokens")
 
 
+def shown(rows: DataFrame, *scores: str) -> DataFrame:
+    """Scores to nine digits, as sums of another order may differ in the last ones."""
+    return rows.withColumns({c: F.round(c, 9) for c in scores})
+
+
 CORPUS = """corpus AS (SELECT d.doc_id AS key, d.doc_id, d.text, lower(d.text) AS low, d.lang, d.source, e.embedding::DOUBLE[] AS v
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-terms(q, terms) AS (VALUES (0, ['that','with']), (1, ['der','keit']), (2, ['que','ment']), (3, ['ción','las']), (4, ['tion','ing'])),
-qs AS (SELECT vec_id AS q, embedding::DOUBLE[] AS qv, terms FROM embeddings JOIN terms ON vec_id = q),
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)),
+qs AS (SELECT vec_id AS q, vec_id // 100 AS n, embedding::DOUBLE[] AS qv, [['that','with'], ['der','keit'], ['que','ment'], ['ción','las'], ['tion','ing']][1 + vec_id // 100 % 5] AS terms FROM embeddings WHERE vec_id % 100 = 0),
 """
-ALLOWED = "(c.doc_id % 5 = 0 OR ((CAST(substr(c.source, 4) AS INT) - qs.q * 4) % 20 + 20) % 20 <= 9)"
-SCORED = CORPUS + f"""scored AS (SELECT qs.q, qs.terms, c.key, c.low, c.lang, round(list_cosine_similarity(c.v, qs.qv), 9) AS cosine FROM corpus c, qs WHERE {ALLOWED}),
+ALLOWED = "(c.doc_id % 5 = 0 OR ((CAST(substr(c.source, 4) AS INT) - qs.n * 4) % 20 + 20) % 20 <= 9)"
+SCORED = CORPUS + f"""scored AS (SELECT qs.q, qs.terms, c.key, c.low, c.lang, list_cosine_similarity(c.v, qs.qv) AS cosine FROM corpus c, qs WHERE {ALLOWED}),
 """
-BM25 = "round(list_sum(list_transform({t}, lambda t: ((length(low) - length(replace(low, t, ''))) / length(t)) * 2.2 / (((length(low) - length(replace(low, t, ''))) / length(t)) + 1.2 * (0.25 + 0.75 * len(regexp_split_to_array(regexp_replace(low, '\\s+$', ''), '\\s+')) / 100.0)))) / len({t}), 9)"
+BM25 = "list_sum(list_transform({t}, lambda t: ((length(low) - length(replace(low, t, ''))) / length(t)) * 2.2::DOUBLE / (((length(low) - length(replace(low, t, ''))) / length(t)) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(regexp_split_to_array(regexp_replace(low, '\\s+$', ''), '\\s+')) / 100.0::DOUBLE)))) / len({t})"
 LEGS = f"""vec AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS r FROM scored QUALIFY r <= 30),
 held AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS wr FROM scored WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0 QUALIFY wr <= 30),
 kb AS (SELECT *, {BM25.format(t="terms")} AS bm25 FROM held),
 kw AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bm25 DESC, wr) AS r FROM kb WHERE bm25 > 0 QUALIFY r <= 30),
 fused AS (SELECT coalesce(v.q, k.q) AS q, coalesce(v.key, k.key) AS key, v.cosine AS vector_score, v.r AS vector_rank, k.bm25 AS keyword_score, k.r AS keyword_rank FROM vec v FULL JOIN kw k ON v.q = k.q AND v.key = k.key),
 """
-OUT = """SELECT q, CAST(rank AS INT) AS rank, key, score, vector_score, keyword_score, CAST(vector_rank AS INT) AS vector_rank, CAST(keyword_rank AS INT) AS keyword_rank FROM ranked"""
+OUT = """SELECT q, CAST(rank AS INT) AS rank, key, round(score, 9) AS score, round(vector_score, 9) AS vector_score, round(keyword_score, 9) AS keyword_score, CAST(vector_rank AS INT) AS vector_rank, CAST(keyword_rank AS INT) AS keyword_rank FROM ranked"""
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vector_rank ASC NULLS LAST, keyword_rank ASC NULLS LAST, key) AS rank FROM final{where} QUALIFY rank <= 10)\n"
-RRF = "final AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS score FROM fused),\n"
+RRF = "final AS (SELECT *, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM fused),\n"
+HYBRID = ("score", "vector_score", "keyword_score")
 
 
 @query("WITH " + SCORED + LEGS + RRF + RANKED.format(where=" WHERE score >= 0.01") + OUT)
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, 0.01)
+    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, 0.01), *HYBRID)
 
 
-def _weighted(how: str) -> str:
+def _weighted(how: str, vector: float = 0.7, keyword: float = 0.3) -> str:
     norm = {
         "max": "CASE WHEN {s} IS NULL THEN 0.0 WHEN max({s}) OVER w > 0 THEN {s} / max({s}) OVER w ELSE 0.0 END",
         "minmax": "CASE WHEN {s} IS NULL THEN 0.0 WHEN max({s}) OVER w > min({s}) OVER w THEN ({s} - min({s}) OVER w) / (max({s}) OVER w - min({s}) OVER w) WHEN max({s}) OVER w > 0 THEN 1.0 ELSE 0.0 END",
     }[how]
-    final = f"final AS (SELECT *, round(0.7::DOUBLE * ({norm.format(s='vector_score')}) + 0.3::DOUBLE * ({norm.format(s='keyword_score')}), 9) AS score FROM fused WINDOW w AS (PARTITION BY q)),\n"
+    final = f"final AS (SELECT *, {vector}::DOUBLE * ({norm.format(s='vector_score')}) + {keyword}::DOUBLE * ({norm.format(s='keyword_score')}) AS score FROM fused WINDOW w AS (PARTITION BY q)),\n"
     return "WITH " + SCORED + LEGS + final + RANKED.format(where="") + OUT
 
 
 @query(_weighted("max"))
 def hybrid_weighted_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", normalisation="max")
+    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", normalisation="max"), *HYBRID)
 
 
 @query(_weighted("minmax"))
 def hybrid_weighted_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", normalisation="minmax")
+    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", normalisation="minmax"), *HYBRID)
+
+
+@query(_weighted("max", 0.7, 0.9))
+def hybrid_weight_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weight of 0 in a request stands for the default one."""
+    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", weights=(0.0, 0.9)), *HYBRID)
+
 
+def _semantic(least: float, most: int) -> str:
+    return "WITH " + SCORED + f"r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE cosine >= {least}::DOUBLE QUALIFY rank <= {most}) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r"
 
-@query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE cosine >= 0.05 QUALIFY rank <= 20) SELECT q, CAST(rank AS INT) AS rank, key, cosine AS score FROM r")
+
+@query(_semantic(0.05, 20))
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.semantic_search(chunks(spark, sf_dir), asked(spark, sf_dir), 20, 0.05)
+    return shown(search.semantic_search(chunks(spark, sf_dir), asked(spark, sf_dir), 20, 0.05), "score")
+
 
+@query(_semantic(0.5, 20))
+def semantic_default_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A floor of 0, below it or that is no number stands for the default one."""
+    return shown(search.semantic_search(chunks(spark, sf_dir), asked(spark, sf_dir), 20, 0.0), "score")
 
-@query("WITH " + SCORED + LEGS + "x AS (SELECT 1) SELECT q, CAST(r AS INT) AS rank, key, bm25 AS score FROM kw")
+
+@query("WITH " + SCORED + LEGS + "x AS (SELECT 1) SELECT q, CAST(r AS INT) AS rank, key, round(bm25, 9) AS score FROM kw")
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30)
+    return shown(search.keyword_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30), "score")
 
 
-@query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0 QUALIFY rank <= 10) SELECT q, CAST(rank AS INT) AS rank, key, cosine AS score FROM r")
+@query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0 QUALIFY rank <= 10) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r")
 def chunk_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms as a condition of the vector search."""
-    holding = search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir), T.any_term(F.col("text"), F.col("terms")))
-    return search.ranked(holding, [F.desc("cosine"), F.asc("key")], 10).select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score"))
+    holding = search.candidates(chunks(spark, sf_dir), asked(spark, sf_dir), ("keyword",), 10)
+    return shown(holding.select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score")), "score")
 
 
-VARIANTS = "hits AS (SELECT 0 AS qq, CAST(q AS INT) AS variant, CAST(row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS INT) AS rank, key, cosine AS score FROM scored QUALIFY rank <= 20),\n"
+# Each query with two more variants of it, whose vectors lie a few rows on
+VARIANTS = """vs AS (SELECT qs.q, t.v AS variant, e.embedding::DOUBLE[] AS qv, qs.n FROM qs, range(3) t(v), embeddings e WHERE e.vec_id = (qs.q + t.v * 7) % (SELECT count(*) FROM embeddings)),
+vscored AS (SELECT qs.q, qs.variant, c.key, list_cosine_similarity(c.v, qs.qv) AS cosine FROM corpus c, vs qs WHERE """ + ALLOWED + """),
+hits AS (SELECT q, CAST(variant AS INT) AS variant, CAST(row_number() OVER (PARTITION BY q, variant ORDER BY cosine DESC, key) AS INT) AS rank, key, cosine AS score FROM vscored QUALIFY rank <= 20),
+"""
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 20)
-    return hits.select(F.lit(0).alias("q"), F.col("q").cast("int").alias("variant"), "rank", "key", F.col("cosine").alias("score"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("turn"), F.col("embedding").cast("array<double>").alias("vector"))
+    many = vectors.count()
+    each = asked(spark, sf_dir).drop("vector").withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("turn", (F.col("q") + F.col("variant") * 7) % many)
+    named = each.join(vectors, "turn").withColumn("q", F.struct("q", "variant"))
+    hits = search.nearest(chunks(spark, sf_dir), named.select("q", "vector", "terms", "tokens"), 20)
+    return hits.select("q.q", "q.variant", "rank", "key", F.col("cosine").alias("score"))
 
 
 def _fused(kept: str) -> str:
-    return "WITH " + SCORED + VARIANTS + f"s AS (SELECT qq AS q, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, {kept} AS score, min(variant * 1000 + rank) AS seen FROM hits GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fused DESC, seen, key) AS rank FROM s QUALIFY rank <= 15) SELECT q, CAST(rank AS INT) AS rank, key, score, fused FROM r"
+    return "WITH " + SCORED + VARIANTS + f"s AS (SELECT q, key, round(list_sum(list_sort(list(1.0::DOUBLE / (60 + rank)))), 12) AS fused, {kept} AS score, min(variant * 1000 + rank) AS seen FROM hits GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fused DESC, seen, key) AS rank FROM s QUALIFY rank <= 15) SELECT q, CAST(rank AS INT) AS rank, key, round(score, 9) AS score, round(fused, 9) AS fused FROM r"
 
 
 @query(_fused("max(score)"))
 def multi_variant_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse_variants(_variants(spark, sf_dir), 15, keep="best")
+    return shown(search.fuse_variants(_variants(spark, sf_dir), 15, keep="best"), "score", "fused")
 
 
 @query(_fused("arg_min(score, variant * 1000 + rank)"))
 def multi_variant_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse_variants(_variants(spark, sf_dir), 15, keep="first")
+    return shown(search.fuse_variants(_variants(spark, sf_dir), 15, keep="first"), "score", "fused")
+
+
+@query("WITH " + SCORED + VARIANTS + "h AS (SELECT q, variant, count(*) AS n FROM (SELECT * FROM hits WHERE score >= 0.3) GROUP BY 1, 2) SELECT q, max(n) AS largest, CAST(sum(n) AS BIGINT) AS total FROM h GROUP BY 1")
+def variant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.variant_counts(_variants(spark, sf_dir).where("score >= 0.3"))
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -123,7 +162,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 5) SELECT r.q, CAST(r.rank AS INT) AS rank, r.key AS doc_id, d.lang, d.source FROM r LEFT JOIN documents d ON d.doc_id = r.key")
 def enrich_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 5)
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 5)
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return search.enrich(hits.select("q", F.col("rank").cast("int").alias("rank"), F.col("key").alias("doc_id")), docs).select("q", "rank", "doc_id", "lang", "source")
 
@@ -280,28 +319,54 @@ def node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + SCORED + "r AS (SELECT q, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 10) SELECT q, count(*) FILTER (score >= 0.3) AS good, CASE WHEN count(*) FILTER (score >= 0.3) >= 3 THEN 'RELEVANT' ELSE 'WEAK' END AS verdict FROM r GROUP BY 1")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 10)
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 10)
     return status.relevance(hits.select("q", F.col("cosine").alias("score")), 0.3, 3)
 
 
-@query()
+_MMR = """h AS (SELECT qs.q, c.key, list_cosine_similarity(c.v, qs.qv) AS score, c.v FROM corpus c, qs WHERE """ + ALLOWED + """),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM h QUALIFY rank <= {pool}),
+near AS (SELECT a.q, a.key AS a, b.key AS b, greatest(0.0, list_cosine_similarity(a.v, b.v)) AS near FROM p a JOIN p b ON a.q = b.q),
+walk AS (SELECT q, 1 AS n, [arg_max(key, {trade}::DOUBLE * score - rank * 1e-15)] AS chosen FROM p GROUP BY 1
+  UNION ALL SELECT w.q, w.n + 1, list_append(w.chosen, (SELECT c.key FROM (SELECT p.key, p.rank, {trade}::DOUBLE * p.score - (1 - {trade}::DOUBLE) * (SELECT max(near) FROM near WHERE near.q = w.q AND near.a = p.key AND list_contains(w.chosen, near.b)) AS value FROM p WHERE p.q = w.q AND NOT list_contains(w.chosen, p.key)) c ORDER BY c.value DESC, c.rank LIMIT 1)) FROM walk w WHERE w.n < {k}),
+picked AS (SELECT q, unnest(chosen) AS key, generate_subscripts(chosen, 1) AS rank FROM walk WHERE n = {k})
+"""
+
+
+@query("WITH RECURSIVE " + CORPUS + _MMR.format(pool=30, trade=0.6, k=8) + "SELECT picked.q, CAST(picked.rank AS INT) AS rank, picked.key, round(p.score, 9) AS score FROM picked JOIN p ON p.q = picked.q AND p.key = picked.key")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 30)
-    return rag.mmr(hits.select("q", "rank", "key", F.col("cosine").alias("score"), "vector"), 8, 0.6).select("q", "rank", "key", "score")
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 30)
+    return shown(rag.mmr(hits.select("q", "rank", "key", F.col("cosine").alias("score"), "vector"), 8, 0.6).select("q", "rank", "key", "score"), "score")
 
 
-@query("WITH " + SCORED + "h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20), j AS (SELECT h.*, CASE WHEN key % 3 <> 0 THEN CAST(key * 7919 % 101 AS DOUBLE) END AS rs FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rs DESC NULLS LAST, rank) AS nr FROM j QUALIFY nr <= 8) SELECT q, key, CAST(nr AS INT) AS rank, coalesce(rs, score) AS score FROM r")
+@query("WITH " + SCORED + "h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20), j AS (SELECT h.*, CASE WHEN key % 3 <> 0 THEN CAST(key * 7919 % 101 AS DOUBLE) END AS rs FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rs DESC NULLS LAST, rank) AS nr FROM j QUALIFY nr <= 8) SELECT q, key, CAST(nr AS INT) AS rank, round(coalesce(rs, score), 9) AS score FROM r")
 def rerank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 20).select("q", "key", "rank", F.col("cosine").alias("score"))
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 20).select("q", "key", "rank", F.col("cosine").alias("score"))
     scores = hits.where("key % 3 <> 0").select("q", "key", (F.col("key") * 7919 % 101).cast("double").alias("rerank_score"))
-    return rag.rerank(hits, scores, 8, replace=True)
+    return shown(rag.rerank(hits, scores, 8, replace=True), "score")
 
 
+@query("WITH " + SCORED + "h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20) SELECT q, key, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM h WHERE rank <= 8")
+def rerank_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without scores from the reranker the first hits stay as they are."""
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 20).select("q", "key", "rank", F.col("cosine").alias("score"))
+    return shown(rag.rerank(hits, None, 8, replace=True), "score")
+
+
+# The strict pass asks for 5 hits of 0.3 at least, the broadened one for 12 of any score; 3 of 0.35 make either relevant
 @query("WITH " + SCORED + """h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 12),
-g AS (SELECT q FROM h WHERE score >= 0.25 GROUP BY 1 HAVING count(*) >= 3)
-SELECT q, key, CAST(rank AS INT) AS rank, score FROM h WHERE (score >= 0.25 AND q IN (SELECT q FROM g)) OR q NOT IN (SELECT q FROM g)""")
+x AS (SELECT q, key, score, key * 7919 % 101 AS rs, rank FROM h),
+strict AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rs DESC, rank) AS nr FROM x WHERE score >= 0.3 AND rank <= 5),
+broad AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rs DESC, rank) AS nr FROM x),
+gs AS (SELECT q FROM strict WHERE score >= 0.35 GROUP BY 1 HAVING count(*) >= 3), gb AS (SELECT q FROM broad WHERE score >= 0.35 GROUP BY 1 HAVING count(*) >= 3)
+SELECT q, key, CAST(nr AS INT) AS rank, round(score, 9) AS score FROM strict WHERE q IN (SELECT q FROM gs)
+UNION ALL SELECT q, key, CAST(nr AS INT), round(score, 9) FROM broad WHERE q NOT IN (SELECT q FROM gs) AND q IN (SELECT q FROM gb)""")
 def gated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strict pass where it is relevant, the broadened one elsewhere."""
-    pool = search.ranked(search.pairs(chunks(spark, sf_dir), asked(spark, sf_dir)), [F.desc("cosine"), F.asc("key")], 12).select("q", "key", "rank", F.col("cosine").alias("score"))
-    strict = pool.where("score >= 0.25")
-    return rag.retrieve(strict, pool, status.relevance(strict, 0.25, 3))
+    """Retrieve, rerank, grade; one broadened pass where that is weak, and nothing where it still is."""
+
+    def reranked(hits: DataFrame) -> DataFrame:
+        hits = hits.select("q", "key", "rank", F.col("cosine").alias("score"))
+        return rag.rerank(hits, hits.select("q", "key", (F.col("key") * 7919 % 101).cast("double").alias("rerank_score")), 12)
+
+    pool = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), rag.broadened(5, 12))
+    strict = pool.where("cosine >= 0.3 and rank <= 5")
+    return shown(rag.gated(reranked(strict), reranked(pool), 0.35, 3), "score")

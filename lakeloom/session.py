@@ -25,6 +25,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "lakel
     return spark
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A frame dealt to all cores if it is so small that its scan has fewer partitions than there are.
+
+    For work that is heavy for its bytes. What is dealt is bounded: less than one full partition of a
+    scan for each core; larger tables stay where they are.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    return frame.repartition(cores) if read < full * cores else frame
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -34,6 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lakeloom-")
         context.setCheckpointDir(named)
     return named.rstrip("/")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.functions.paths import ancestor_paths, parent_path
+from lakeloom.functions.text import is_blank
 from lakeloom.operators.scope import any_of, under
 from lakeloom.operators.search import all_of
 
@@ -30,10 +32,20 @@ def children(nodes: DataFrame, parent_id: str, skip: int = 0, most: int | None =
     return rows if most is None else rows.orderBy("name", "node_id").offset(skip).limit(most)
 
 
-def descendants(nodes: DataFrame, folder: str, excluded_aspects: tuple[str, ...] = ()) -> DataFrame:
-    """Files below a folder, without those that carry an excluded aspect."""
+def descendants(nodes: DataFrame, folder: str, excluded_aspects: tuple[str, ...] = (), recursive: bool = True, excluded: DataFrame | None = None) -> DataFrame:
+    """Files below a folder, or right in it, without those that carry an excluded aspect.
+
+    excluded: paths of folders marked as excluded, checked against each file's ancestors whatever the scan said.
+    """
     rows = nodes.where(~F.col("is_folder") & F.startswith(F.col("path"), F.lit(folder.rstrip("/") + "/")))
-    return rows.where(~F.arrays_overlap("aspects", F.array(*map(F.lit, excluded_aspects)))) if excluded_aspects else rows
+    if not recursive:
+        rows = rows.where(parent_path(F.col("path")) == folder.rstrip("/"))
+    if excluded_aspects:
+        rows = rows.where(~F.coalesce(F.arrays_overlap("aspects", F.array(*map(F.lit, excluded_aspects))), F.lit(False)))
+    if excluded is not None:
+        hit = rows.select("path", F.explode(ancestor_paths(F.col("path"))).alias("at")).join(excluded.select(F.col("path").alias("at")), "at", "left_semi")
+        rows = rows.join(hit.select("path").distinct(), "path", "left_anti").select(*nodes.columns)
+    return rows
 
 
 def discover(nodes: DataFrame, roots: tuple[str, ...] = (), types: tuple[str, ...] = (), excluded_states: tuple[str, ...] = (), condition: Column | None = None) -> DataFrame:
@@ -50,16 +62,18 @@ def discover(nodes: DataFrame, roots: tuple[str, ...] = (), types: tuple[str, ..
     )
 
 
-def tree(nodes: DataFrame, root_id: str, depth: int = 100) -> DataFrame:
-    """All nodes below one where only parents are known, level by level within Spark."""
-    nodes.createOrReplaceTempView("__lakeloom_nodes")
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE walk(node_id, level) AS (
-             SELECT node_id, 1 FROM __lakeloom_nodes WHERE parent_id = :root
-             UNION ALL SELECT n.node_id, w.level + 1 FROM __lakeloom_nodes n JOIN walk w ON n.parent_id = w.node_id WHERE w.level < :depth)
-           SELECT n.* FROM __lakeloom_nodes n JOIN walk USING (node_id)""",
-        args={"root": root_id, "depth": depth},
-    )
+def tree(nodes: DataFrame, root_id: str, depth: int | None = None) -> DataFrame:
+    """All nodes below one where only parents are known, level by level: one join each, until a level has none.
+
+    depth: as many levels at most. A cycle ends where it comes back to a node.
+    """
+    level = nodes.where(F.col("parent_id") == root_id).select("node_id")
+    seen, number = None, 0
+    while number != depth and not level.isEmpty():
+        seen = level if seen is None else seen.unionByName(level)
+        seen, number = seen.checkpoint(), number + 1
+        level = nodes.join(level.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id").join(seen, "node_id", "left_anti").checkpoint()
+    return nodes.limit(0) if seen is None else nodes.join(seen, "node_id", "left_semi")
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
@@ -87,5 +101,5 @@ def read_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Access-change messages (value: JSON) that are complete, and the others, for a dead-letter table."""
     schema = "eventType string, sourceType string, nodeId string, recursive boolean, reason string, occurredAt string"
     parsed = raw.withColumn("m", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    good = F.coalesce(F.trim("m.eventType") != "", F.lit(False)) & F.coalesce(F.trim("m.sourceType") != "", F.lit(False)) & F.coalesce(F.trim("m.nodeId") != "", F.lit(False))
+    good = ~is_blank(F.col("m.eventType")) & ~is_blank(F.col("m.sourceType")) & ~is_blank(F.col("m.nodeId"))
     return parsed.where(good).select("m.*"), parsed.where(~good).select("value")
