@@ -130,9 +130,9 @@ def extracted_text_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.mirror_text(F.col("text")).alias("mirrored"))
 
 
-@query("SELECT conv_id, turn, substr(text, 11) AS delta FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE substr(text, 11) END AS delta FROM conversations")
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    so_far = F.substring("text", 1, 10)
+    so_far = F.when(F.col("turn") % 3 == 0, F.lit("another answer")).otherwise(F.substring("text", 1, 10))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.stream_delta(F.col("text"), so_far).alias("delta"))
 
 

@@ -197,9 +197,9 @@ def dual_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owned(spark, sf_dir).where(acl.permitted(F.col("racl"), F.col("source_id"), who)).select("doc_id", "source_id")
 
 
-@query("SELECT doc_id FROM documents WHERE 1 = 0")
+@query("SELECT doc_id, false AS seen FROM documents")
 def acl_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return owned(spark, sf_dir).where(acl.permitted(F.col("racl"), F.col("source_id"), acl.Asker())).select("doc_id")
+    return owned(spark, sf_dir).select("doc_id", acl.permitted(F.col("racl"), F.col("source_id"), acl.Asker()).alias("seen"))
 
 
 @query("""WITH a AS (SELECT doc_id AS node_id, p AS pos, CASE WHEN p = 2 THEN 'GROUP_EVERYONE' ELSE ['ann','GROUP_dev','bob'][1 + (doc_id + p) % 3] END AS principal, (doc_id + p) % 4 <> 0 AS granted,

@@ -5,13 +5,21 @@ Each function on events works on batch and streaming frames alike unless it says
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from lakeloom.functions.paths import ancestor_paths, matches_glob
+from lakeloom.functions.text import is_blank
+from lakeloom.operators import ingest
+from lakeloom.operators.scope import any_of
 
 # What the audit log calls its events.
 UPSERTS, DELETES, SECURITY = ("documentCreated", "documentModified"), ("documentTrashed", "documentRemoved"), ("documentSecurityUpdated",)
@@ -20,7 +28,7 @@ UPSERTS, DELETES, SECURITY = ("documentCreated", "documentModified"), ("document
 def route(event_id: Column, node_id: Column) -> Column:
     """upsert, acl, delete or skip."""
     kind = F.when(event_id.isin(*UPSERTS), "upsert").when(event_id.isin(*SECURITY), "acl").when(event_id.isin(*DELETES), "delete").otherwise("skip")
-    return F.when(node_id.isNull() | (F.trim(node_id) == ""), "skip").otherwise(kind)
+    return F.when(is_blank(node_id), "skip").otherwise(kind)
 
 
 def decide(kind: Column, present: Column, is_folder: Column, in_scope: Column) -> Column:
@@ -29,6 +37,77 @@ def decide(kind: Column, present: Column, is_folder: Column, in_scope: Column) -
     return F.when(kind == "delete", "delete").when(kind == "upsert", live.otherwise("sync")).when(kind == "acl", live.otherwise("update_acl")).otherwise("skip")
 
 
+def decide_live(kind: Column, present: Column, is_folder: Column, in_scope: Column, indexed: Column, excluded: Column) -> Column:
+    """What to do about an event of a repository's topic (kind: state, delete, acl, scope), given the node as it is now.
+
+    state: a node that is gone or out of scope is deleted, another synced. acl: a folder's subtree, unless
+    it is excluded; a file out of scope is deleted. scope, of folders alone: out of scope, all below is
+    torn down; marked itself, all below is synced; else nothing changes.
+    """
+    acl = F.when(~present, "filtered").when(is_folder, F.when(excluded, "filtered").otherwise("acl_subtree")).when(in_scope, "update_acl").otherwise("delete")
+    scope = F.when(~present | ~is_folder, "filtered").when(~in_scope, "tear_down").when(indexed, F.when(excluded, "filtered").otherwise("sync_subtree")).otherwise("filtered")
+    state = F.when(present & in_scope, "sync").otherwise("delete")
+    return F.when(kind == "delete", "delete").when(kind == "state", state).when(kind == "acl", acl).when(kind == "scope", scope).otherwise("filtered")
+
+
+def live_decisions(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """events (event_id, kind, node_id, at) with the node's path and `decision`: one join by node.
+
+    nodes: node_id, path, is_folder, in_scope, indexed (marked itself), excluded (itself or an ancestor).
+    Events without a node id are filtered.
+    """
+    joined = events.join(nodes.withColumn("__present", F.lit(True)), "node_id", "left")
+    sure = lambda c: F.coalesce(F.col(c), F.lit(False))
+    made = decide_live(F.col("kind"), sure("__present"), sure("is_folder"), sure("in_scope"), sure("indexed"), sure("excluded"))
+    return joined.select("event_id", "kind", "node_id", "at", "path", F.when(is_blank(F.col("node_id").cast("string")), "filtered").otherwise(made).alias("decision"))
+
+
+def live_effects(decisions: DataFrame, nodes: DataFrame, excluded_globs: tuple[str, ...] = ()) -> DataFrame:
+    """node_id, event_id, at and action: what each decision does to each node (sync, update_acl, delete or skip).
+
+    A decision about a subtree reaches every file below the folder: files of excluded paths and excluded
+    ones are skipped, others synced or, out of scope, deleted; access alone is only changed in scope; a
+    tear-down deletes all. Ancestors are joined by path, so the cost is one row a file and folder above it.
+    """
+    one = decisions.where(F.col("decision").isin("sync", "update_acl", "delete")).select("node_id", "event_id", "at", F.col("decision").alias("action"))
+    many = decisions.where(F.col("decision").isin("sync_subtree", "acl_subtree", "tear_down")).select(F.col("path").alias("__at"), "event_id", "at", "decision")
+    below = nodes.where(~F.col("is_folder")).withColumn("__at", F.explode(ancestor_paths(F.col("path")))).join(many, "__at")
+    passed = F.col("excluded") | any_of(*[matches_glob(F.col("path"), g) for g in excluded_globs])
+    synced = F.when(passed, "skip").when(F.col("in_scope"), "sync").otherwise("delete")
+    shared = F.when(passed | ~F.col("in_scope"), "skip").otherwise("update_acl")
+    action = F.when(F.col("decision") == "tear_down", "delete").when(F.col("decision") == "sync_subtree", synced).otherwise(shared)
+    return one.unionByName(below.select("node_id", "event_id", "at", action.alias("action")))
+
+
+def last_actions(effects: DataFrame) -> DataFrame:
+    """node_id, at and action: what is left to do to each node, the last of its actions that isn't a skip.
+
+    An access change after a sync or before one is part of it.
+    """
+    real = effects.where("action <> 'skip'")
+    last = real.groupBy("node_id").agg(F.max(F.struct("at", "event_id", "action")).alias("last"), F.max(F.when(F.col("action") != "update_acl", F.struct("at", "event_id", "action"))).alias("whole"))
+    action = F.when((F.col("last.action") == "update_acl") & (F.col("whole.action") == "sync"), "sync").otherwise(F.col("last.action"))
+    return last.select("node_id", "last.at", action.alias("action"))
+
+
+def apply_actions(stored: DataFrame, actions: DataFrame, nodes: DataFrame, modified: str, acl: tuple[str, ...]) -> DataFrame:
+    """The stored documents (node_id, `modified`, access and other columns) after the actions, nodes being the source's rows.
+
+    Syncs and deletions are guarded by times: a document stored strictly after a deletion stays.
+    """
+    of = lambda name: actions.where(F.col("action") == name).select("node_id", "at")
+    out = ingest.delete(stored, of("delete").withColumnRenamed("at", "deleted_at"), "node_id", modified)
+    out = ingest.sync(out, nodes.join(of("sync").select("node_id"), "node_id", "left_semi"), "node_id", modified, acl).drop("outcome")
+    return ingest.update_acl(out, nodes.join(of("update_acl").select("node_id"), "node_id", "left_semi"), "node_id", acl)
+
+
+def live_counters(decisions: DataFrame) -> DataFrame:
+    """kind, received, filtered and processed: nodes found out of scope count as filtered, though they are deleted."""
+    gone = (F.col("decision") == "delete") & F.col("path").isNotNull() & (F.col("kind") != "delete")
+    left = (F.col("decision") == "filtered") | gone
+    return decisions.groupBy("kind").agg(F.count("*").alias("received"), F.count(F.when(left, 1)).alias("filtered"), F.count(F.when(~left, 1)).alias("processed"))
+
+
 def event_time(*times: Column) -> Column:
     """The first known of a node's, a resource's and the event's time."""
     return F.coalesce(*times)
@@ -80,36 +159,73 @@ def drop_repeats(events: DataFrame, window: timedelta) -> DataFrame:
     return keyed.mapInPandas(fold, events.schema).unionByName(events.where("node_id is null"))
 
 
-class RecentEvents(StatefulProcessor):
-    """Streaming: by key, the time of the last event kept; forgotten after the window."""
+def _millis(t: pd.Timestamp) -> int:
+    return int(t.timestamp() * 1000)
 
-    def __init__(self, window: timedelta):
-        self.window = window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp", ttlDurationMs=int(self.window.total_seconds() * 1000) or None)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()
-        last = pd.Timestamp(last[0]) if last is not None else None
-        for b in rows:
-            b = b.sort_values("ts")
-            keep = accepted(b["ts"].tolist(), self.window, last)
-            if any(keep):
-                last = b["ts"][keep].iloc[-1]
-                self.last.update((last.to_pydatetime(),))
-            yield b[keep]
-
-    def close(self) -> None:
-        pass
+def _keep_until(state: GroupState, moment: int) -> None:
+    """State goes once the watermark has passed a moment (milliseconds)."""
+    state.setTimeoutTimestamp(max(moment, state.getCurrentWatermarkMs() + 1))
 
 
 def drop_repeats_stream(events: DataFrame, window: timedelta) -> DataFrame:
-    """drop_repeats for a stream, with state that expires; needs the RocksDB state store.
+    """drop_repeats for a stream: by key, the state is the time of the last event kept.
 
-    Not yet seen running: planning ended with an internal error where it was tried.
+    It goes once the watermark, `window` behind the latest event, has passed its window; whatever comes
+    then is no repeat. Events older than the last one kept are judged as repeats of it.
+    """
+    seconds = max(1, int(window.total_seconds()))
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        keep = accepted(rows["ts"].tolist(), window, last)
+        if any(keep):
+            last = rows["ts"][keep].iloc[-1]
+        state.update((last.to_pydatetime(),))
+        _keep_until(state, _millis(last) + 1000 * seconds)
+        yield rows[keep]
+
+    known = events.where("node_id is not null").withWatermark("ts", f"{seconds} seconds")
+    kept = known.groupBy("event_type", "node_id").applyInPandasWithState(fold, events.schema, "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.unionByName(events.where("node_id is null"))
+
+
+def memory_stream(turns: DataFrame, most: int = 10, ttl: timedelta = timedelta(minutes=30)) -> DataFrame:
+    """Conversation memory of a stream of turns (session, ts, seq, role, text): a row for each with `held`, the turns
+    remembered after it, and `block`, those as lines of User: and Assistant:.
+
+    A session ends when it is left alone for longer than `ttl`; any access, also that of a blank turn,
+    which isn't remembered, keeps it alive. The role "reset" empties it. The state is the last `most`
+    turns and the time of the last access, and goes once the watermark has passed that by `ttl`.
     """
-    return events.groupBy("event_type", "node_id").transformWithStateInPandas(RecentEvents(window), events.schema, "Append", "ProcessingTime")
+    schema = StructType([*turns.schema.fields, StructField("held", IntegerType()), StructField("block", StringType())])
+    seconds = int(ttl.total_seconds())
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values(["ts", "seq"])
+        last, lines = (pd.Timestamp(state.get[0]), json.loads(state.get[1])) if state.exists else (None, [])
+        held, blocks = [], []
+        for ts, role, text in zip(rows["ts"], rows["role"], rows["text"]):
+            if role == "reset" or (last is not None and ts > last + ttl):
+                lines = []
+            if role != "reset" and text and text.strip():
+                lines = [*lines, ("User: " if role == "user" else "Assistant: ") + text.strip()][-most:]
+            last = ts if last is None else max(last, ts)
+            held.append(len(lines))
+            blocks.append("\n".join(lines))
+        state.update((last.to_pydatetime(), json.dumps(lines)))
+        _keep_until(state, _millis(last) + 1000 * seconds + 1)
+        yield rows.assign(held=held, block=blocks)
+
+    timed = turns.withWatermark("ts", f"{max(1, seconds)} seconds")
+    return timed.groupBy("session").applyInPandasWithState(fold, schema, "last timestamp, lines string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(turns: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -126,8 +242,6 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
 
 def subtree(folders: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes (path, ...) strictly below any of the folders (path), each once: ancestors are joined by path."""
-    from lakeloom.functions.paths import ancestor_paths
-
     reach = nodes.withColumn("__at", F.explode(ancestor_paths(F.col("path"))))
     return reach.join(folders.select(F.col("path").alias("__at")).distinct(), "__at", "left_semi").drop("__at").distinct()
 

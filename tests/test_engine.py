@@ -23,7 +23,8 @@ def test_lake(spark):
     assert lake.hybrid_search(["budget"], Asker()).count() == 0
     assert lake.semantic_search(["  "], anyone).count() == 0
     assert {r["key"]: r["doc_count"] for r in lake.facets(F.col("source_id"), insider).collect()} == {"s": 2, "t": 1}
-    context = lake.rag_context(["budget report"], insider, most=2).first()["context"]
+    context = lake.rag_context(["budget report"], insider, most=2, min_score=0.01).first()["context"]
     assert context.startswith("[Source 1: ") and "budget" in context
+    assert lake.rag_context(["budget report"], insider, min_score=0.99).count() == 0
     incoming = documents.where("node_id = 'd1'").withColumn("name", F.lit("new"))
     assert {r["outcome"] for r in lake.ingest(incoming).collect()} == {"acl_only", "kept"}

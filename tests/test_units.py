@@ -26,7 +26,7 @@ def hits(spark, rows, leg):
 
 
 def test_rrf_of_both_legs(spark):
-    fused = search.rrf(search.legs(hits(spark, [(0, "doc1::e1", 0.9, 1), (0, "doc2::e2", 0.7, 2)], "v"), hits(spark, [(0, "doc2::e2", 0.8, 1), (0, "doc3::e3", 0.6, 2)], "k")))
+    fused = search.rrf(search.fused(search.legs(hits(spark, [(0, "doc1::e1", 0.9, 1), (0, "doc2::e2", 0.7, 2)], "v"), hits(spark, [(0, "doc2::e2", 0.8, 1), (0, "doc3::e3", 0.6, 2)], "k"))))
     rows = {r["key"]: r for r in search.best_fused(fused, 10).collect()}
     assert len(rows) == 3 and rows["doc2::e2"]["rank"] == 1
     assert rows["doc2::e2"]["score"] == pytest.approx(1 / 62 + 1 / 61, abs=1e-8)
@@ -34,11 +34,11 @@ def test_rrf_of_both_legs(spark):
 
 
 def test_weighted_fusion(spark):
-    both = search.legs(hits(spark, [(0, "a", 0.8, 1)], "v"), hits(spark, [(0, "a", 1.0, 1)], "k"))
+    both = search.fused(search.legs(hits(spark, [(0, "a", 0.8, 1)], "v"), hits(spark, [(0, "a", 1.0, 1)], "k")))
     assert search.weighted(both).first()["score"] == pytest.approx(1.0)
-    lone = search.weighted(search.legs(hits(spark, [(0, "a", 1.0, 1), (0, "b", 0.5, 2)], "v"), hits(spark, [], "k")))
+    lone = search.weighted(search.fused(search.legs(hits(spark, [(0, "a", 1.0, 1), (0, "b", 0.5, 2)], "v"), hits(spark, [], "k"))))
     assert sorted(r["score"] for r in lone.collect()) == pytest.approx([0.35, 0.7])
-    ends = search.weighted(search.legs(hits(spark, [(0, "a", 0.9, 1), (0, "b", 0.3, 2)], "v"), hits(spark, [], "k")), 1.0, 0.0, "minmax")
+    ends = search.weighted(search.fused(search.legs(hits(spark, [(0, "a", 0.9, 1), (0, "b", 0.3, 2)], "v"), hits(spark, [], "k"))), 1.0, 0.0, "minmax")
     assert sorted(r["score"] for r in ends.collect()) == pytest.approx([0.0, 1.0])
 
 
@@ -224,10 +224,95 @@ def test_plans(spark, sf):
 
     plan = lambda f: f._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"))
-    scored = search.vector_leg(search.pairs(chunks(spark, sf), asked(spark, sf)), 5)
+    scored = search.nearest(chunks(spark, sf), asked(spark, sf), 5)
     assert "WindowGroupLimit" in plan(scored)
 
 
 def test_hashing_embedder():
     v = V.HashingEmbedder(8)(["a b", ""])
     assert np.linalg.norm(v[0]) == pytest.approx(1) and not v[1].any()
+
+
+def test_least_scores():
+    assert search.least_score(None) == search.least_score(0.0) == search.least_score(-1) == search.least_score(float("nan")) == 0.5
+    assert search.least_score(0.2) == 0.2 and search.least_score(3) == 1.0
+
+
+def test_search_without_vectors_and_readers(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0], ["r"], "x"), ("b", None, ["r"], "x y"), ("c", [1.0], ["r"], "y"), ("d", [0.0, 1.0], None, "x"), ("e", [float("nan"), 1.0], ["r"], None)], "key string, vector array<double>, racl array<string>, text string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], ["y"], ["r"]), (2, [0.0, 0.0], [], ["z"])], "q int, vector array<double>, terms array<string>, tokens array<string>")
+    found = search.nearest(chunks, asked, 9)
+    assert [(r["q"], r["rank"], r["key"], r["cosine"]) for r in found.orderBy("q", "rank").collect()] == [(1, 1, "a", 1.0), (1, 2, "b", 0.0), (1, 3, "c", 0.0), (1, 4, "e", 0.0)]
+    assert sorted(r["key"] for r in search.keyword_search(chunks, asked).collect()) == ["b", "c"]
+    assert search.nearest(chunks, asked.limit(0), 9).count() == 0 and search.nearest(chunks.limit(0), asked, 9).count() == 0
+
+
+def test_blank_is_what_java_says(spark):
+    blank = lambda x: one(spark, T.is_blank(F.lit(x).cast("string")))
+    assert blank(None) and blank("") and blank(" \n\t\u2003") and not blank("\u00a0") and not blank(" a ")
+
+
+def test_boilerplate_stays_without_repeats(spark):
+    text = "\n".join(f"line {k}" for k in range(12)) + "\n\n"
+    assert one(spark, T.drop_boilerplate(F.lit(text))) == text
+    assert one(spark, T.drop_boilerplate(F.lit("\u2003same line\n" * 5 + text))) == "".join(f"line {k}\n" for k in range(12))
+
+
+def test_gate_gives_nothing_where_all_is_weak(spark):
+    rows = lambda *scores: spark.createDataFrame([(q, f"k{i}", i + 1, s) for q, ss in enumerate(scores) for i, s in enumerate(ss)], "q int, key string, rank int, score double")
+    strict, broad = rows([0.9, 0.8], [0.4], [0.1]), rows([0.9, 0.8, 0.1], [0.9, 0.8], [0.1, 0.1])
+    kept = rag.gated(strict, broad, 0.7, 2)
+    assert {q: kept.where(f"q = {q}").count() for q in range(3)} == {0: 2, 1: 2, 2: 0}
+
+
+def test_expansion_of_failed_answers(spark):
+    queries = spark.createDataFrame([(1, " What is it? "), (2, "  "), (3, "Only")], "q int, text string")
+    answers = spark.createDataFrame([(1, "sub", "NONE\nnot taken"), (1, "hyde", None), (1, "variant", "1. what is it?\n2) Other\n- other\n* Third"), (2, "variant", "x")], "q int, kind string, answer string")
+    found = [(r["q"], r["place"], r["label"], r["text"]) for r in rag.expand(queries, answers).orderBy("q", "place").collect()]
+    assert found == [(1, 1, "original", "What is it?"), (1, 2, "variant-1", "Other"), (1, 3, "variant-2", "Third"), (3, 1, "original", "Only")]
+
+
+def test_windows_cover_their_text():
+    text = "ab cde " * 200
+    for most, overlap in ((50, 10), (64, 63), (7, 0)):
+        found = chunking.windows(text, most, overlap)
+        assert found[0][1] == 0 and found[-1][2] == len(text) and all(b - a <= most for _, a, b in found)
+        assert {b[1] - a[1] for a, b in zip(found, found[1:])} <= {max(most // 2, most - overlap)}
+    assert chunking.windows("", 10, 2) == [] and chunking.windows("x" * 25, 10, 2) == [("x" * 10, 0, 10), ("x" * 10, 8, 18), ("x" * 9, 16, 25)]
+    assert chunking.tail("one two three four five six", 24) == "two three four five six"
+    assert chunking.tail("short", 10) == "" == chunking.tail("x y", 1)
+
+
+def test_group_expansion_of_unknown_users(spark):
+    askers = spark.createDataFrame([(1, "ann", "s"), (2, None, "s"), (3, "bob", "t")], "q int, user string, source_id string")
+    members = spark.createDataFrame([("ann", "s", "dev"), ("ann", "s", "GROUP_ops"), ("ann", "t", "other"), ("ann", "s", " ")], "user string, source_id string, group string")
+    tokens = {r["q"]: r["tokens"] for r in acl.asker_tokens(askers, members).collect()}
+    assert tokens[1] == ["__Everyone__", "g:GROUP_EVERYONE_#_s", "g:GROUP_dev_#_s", "g:GROUP_ops_#_s", "u:ann_#_s"]
+    assert tokens[2] == ["__Everyone__"] and tokens[3] == ["__Everyone__", "g:GROUP_EVERYONE_#_t", "u:bob_#_t"]
+
+
+def test_applied_actions_are_guarded(spark):
+    stored = spark.createDataFrame([("a", 5, "old", "x"), ("b", 9, "old", "x"), ("c", 1, "old", "x")], "node_id string, modified_at int, name string, acl string")
+    nodes = spark.createDataFrame([("a", 6, "new", "y", False), ("c", 1, "new", "y", False), ("d", 1, "new", "y", False)], "node_id string, modified_at int, name string, acl string, is_folder boolean")
+    actions = spark.createDataFrame([("a", 7, "sync"), ("b", 8, "delete"), ("c", 7, "update_acl"), ("d", 7, "sync")], "node_id string, at int, action string")
+    out = {r["node_id"]: (r["name"], r["acl"]) for r in E.apply_actions(stored, actions, nodes, "modified_at", ("acl",)).collect()}
+    assert out == {"a": ("new", "y"), "b": ("old", "x"), "c": ("old", "y"), "d": ("new", "y")}
+
+
+def test_readers_are_not_denied(spark):
+    aces = spark.createDataFrame([("n", 0, "ann", "Read", False, " "), ("n", 1, "GROUP_EVERYONE", "Read", True, None)], "node_id string, pos int, principal string, permission string, granted boolean, status string")
+    who = spark.createDataFrame([("n", "ann"), ("n", "GROUP_EVERYONE"), ("m", "bob")], "node_id string, principal string")
+    assert {r["node_id"]: r["readers"] for r in acl.readers(who, aces).collect()} == {"n": ["GROUP_EVERYONE"], "m": []}
+
+
+def test_descendants_of_one_level(spark):
+    nodes = spark.createDataFrame([("/a/x", False, ["k"]), ("/a/b/y", False, None), ("/a/b", True, None), ("/a/c/z", False, [])], "path string, is_folder boolean, aspects array<string>")
+    names = lambda f: {r["path"] for r in f.collect()}
+    assert names(N.descendants(nodes, "/a", recursive=False)) == {"/a/x"}
+    assert names(N.descendants(nodes, "/a/", ("k",))) == {"/a/b/y", "/a/c/z"}
+    assert names(N.descendants(nodes, "/a", excluded=nodes.where("path = '/a/b'").select("path"))) == {"/a/x", "/a/c/z"}
+
+
+def test_sources_by_precedence():
+    assert filters.resolve_sources([" "], ["alf:one", "one", "two"], ["p"], [], "alf") == ["one", "two"]
+    assert filters.resolve_sources([], [], [], ["z"]) == ["z"]
