@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import arrow_map, batch, raw, remainder
@@ -204,6 +204,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def held_words(counts: DataFrame) -> dict[bytes, int]:
+    """The commonest words with their counts: those with a class of their own, and of the others all from a count on
+    that at most HELD_WORDS reach. No task sends more than the driver keeps."""
+    reached = F.sum("words").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+    least = counts.groupBy("c").agg(F.count("*").alias("words")).withColumn("reached", reached).where(F.col("reached") <= HELD_WORDS).agg(F.min("c")).first()[0]
+    found = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(OWN_CLASS).collect()}
+    if least is not None:
+        top = counts.where(F.col("c") >= least).toArrow()
+        found |= zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)
+    return found
+
+
 def train(rows: DataFrame, counts: DataFrame) -> Model:
     """The model from training rows (text as bytes) and their word counts.
 
@@ -300,8 +312,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     n_all, distinct = int(total["n"]) + ends, int(total["v"]) + (ends > 0)
     log_base = math.log10(n_all + 0.5 * (distinct + 1))
     model = train(training, counts)
-    top = counts.orderBy(F.desc("c"), "word").limit(HELD_WORDS).toArrow()
-    held = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    held = held_words(counts)
     # plain arrays, as broadcasts are pickled by reference; bounded by OWN_CLASS, STATES and HELD_WORDS
     shared = spark.sparkContext.broadcast((model.own, model.table, model.evidence, model.class_mass, model.context_of, held))
     end_base = math.log10(ends + 0.5)

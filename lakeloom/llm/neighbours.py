@@ -17,8 +17,10 @@ EVERY, NEAREST = 20, 20
 DEGREE, REVERSE = 64, 64
 #: First graph: rounds of sorting nodes along pivots, pivots a round, nodes compared in one block.
 SEED_ROUNDS, PIVOTS, BLOCK = 4, 128, 2_048
-#: Rounds of descent, and of search where all lengths are alike and where a query visits other lengths too.
-DESCENTS, SEARCHES, VISITS = 4, 2, 5
+#: Descents go on until at most this share of the graph's edges is new, or so many rounds were made.
+SETTLED, DESCENTS = 0.01, 12
+#: Rounds of search where all lengths are alike, and where a query visits other lengths too.
+SEARCHES, VISITS = 2, 5
 #: Nodes of a query's beam in each band of lengths, all scored exactly in the end, and those expanded in a round.
 BEAM, EXPANDED = 72, 16
 #: Lengths differ at most twofold in a band, unless that took more than BANDS; nodes of a band that every query is compared with.
@@ -28,13 +30,11 @@ PROPOSED = 24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec (array<double>): without null, zero or non-finite vectors, nor those of another length than most."""
+    """vec_id and vec (array<double>): without null or zero vectors, nor those that hold a null or no finite number."""
     vec = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("vec", lambda x: x != 0))
-    common = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    return rows.where(F.size("vec") == (common["dims"] if common else 0))
+    return rows.where(finite & F.exists("vec", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -83,8 +83,8 @@ def _shape(nodes: DataFrame) -> DataFrame:
 
 
 def best(edges: DataFrame, source: str, target: str, score: str, most: int) -> DataFrame:
-    """The best `most` different targets of each source; each task drops the others before the shuffle."""
-    one = edges.groupBy(source, target).agg(F.max(score).alias(score))
+    """The best `most` different targets of each source; each task drops the others before the shuffle. An edge that was there before isn't fresh."""
+    one = edges.groupBy(source, target).agg(F.max(score).alias(score), F.min("fresh").alias("fresh"))
     order = Window.partitionBy(source).orderBy(F.desc(score), target)
     return one.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__place")
 
@@ -174,12 +174,14 @@ def first_graph(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         divided = arrow_map(shapes, divide, "node long, shape binary, place double, block long").repartition("block").sortWithinPartitions("block", "place", "node")
         edges = arrow_map(divided.select("node", "shape", "block"), compare, "a long, b long, s float")
         out = edges if out is None else out.unionByName(edges)
-    return scratch.save("graph", best(out, "a", "b", "s", DEGREE))
+    return scratch.save("graph", best(out.withColumn("fresh", F.lit(1)), "a", "b", "s", DEGREE))
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by u: the neighbours v of one node propose each other, if near enough to be of use."""
+    """Of rows sorted by u: the neighbours v of one node propose each other, if near enough to be of use; those that
+    both were there before have met already."""
     us, vs, worst, shapes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), []
+    fresh = np.zeros(0, dtype=bool)
 
     def groups(upto: int) -> pa.RecordBatch | None:
         starts = np.flatnonzero(np.concatenate([[True], us[1:upto] != us[: upto - 1]]))
@@ -191,6 +193,8 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             s = v[i:j] @ v[i:j].T
             np.fill_diagonal(s, -np.inf)
+            old = ~fresh[i:j]
+            s[np.ix_(old, old)] = -np.inf
             k = min(PROPOSED, j - i - 1)
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             value = np.take_along_axis(s, top, 1)
@@ -204,10 +208,11 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         us, vs, worst = np.concatenate([us, b.column("u").to_numpy()]), np.concatenate([vs, b.column("v").to_numpy()]), np.concatenate([worst, b.column("worst").to_numpy()])
         shapes = shapes + b.column("shape").to_pylist()
+        fresh = np.concatenate([fresh, b.column("fresh").to_numpy() > 0])
         if len(us) and (upto := int(np.searchsorted(us, us[-1]))):
             if (made := groups(upto)) is not None:
                 yield made
-            us, vs, worst, shapes = us[upto:], vs[upto:], worst[upto:], shapes[upto:]
+            us, vs, worst, shapes, fresh = us[upto:], vs[upto:], worst[upto:], shapes[upto:], fresh[upto:]
     if len(us) and (made := groups(len(us))) is not None:
         yield made
 
@@ -216,16 +221,18 @@ def descend(graph: DataFrame, shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """One round of NN-descent: neighbours and reverse neighbours of a node are joined with each other.
 
     A node brings its worst score along, so only what improves a list is proposed. Reverse lists keep
-    the nearest, so a node that is everybody's neighbour joins no more than others.
+    the nearest, so a node that is everybody's neighbour joins no more than others. Nodes whose
+    neighbours all met before are left out, so later rounds move less.
     """
     worst = graph.groupBy("a").agg(F.when(F.count("*") >= DEGREE, F.min("s")).otherwise(F.lit(-1e9)).cast("float").alias("worst"))
-    forward = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "s")
-    back = best(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "s"), "u", "v", "s", REVERSE)
-    pairs = forward.unionByName(back).select("u", "v").distinct()
+    forward = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "s", "fresh")
+    back = best(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "s", "fresh"), "u", "v", "s", REVERSE)
+    pairs = forward.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    pairs = pairs.withColumn("any", F.max("fresh").over(Window.partitionBy("u"))).where("any > 0").drop("any")
     known = shapes.join(worst, shapes["node"] == worst["a"], "left").select(F.col("node").alias("v"), "shape", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"))
-    joined = pairs.join(known, "v").select("u", "v", "worst", "shape").repartition("u").sortWithinPartitions("u")
-    proposals = arrow_map(joined, _local_join, "a long, b long, s float")
-    return scratch.save("graph", best(graph.unionByName(proposals), "a", "b", "s", DEGREE))
+    joined = pairs.join(known, "v").select("u", "v", "worst", "shape", "fresh").repartition("u").sortWithinPartitions("u")
+    proposals = arrow_map(joined, _local_join, "a long, b long, s float").withColumn("fresh", F.lit(1))
+    return scratch.save("graph", best(graph.withColumn("fresh", F.lit(0)).unionByName(proposals), "a", "b", "s", DEGREE))
 
 
 def entries(asked: DataFrame, shapes: DataFrame, sizes: dict[int, int]) -> DataFrame:
@@ -263,7 +270,7 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, scratch: Scr
     round expands the best nodes of a query's beam that were not expanded yet: their neighbours,
     in both directions, are scored and the best kept. A query's product leaves the added coordinate out.
     """
-    back = best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), "a", "b", "s", REVERSE)
+    back = best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "fresh"), "a", "b", "s", REVERSE)
     links = scratch.save("links", graph.select("a", "b").unionByName(back.select("a", "b")).distinct())
     asked = queries.join(shapes, queries["q"] == shapes["node"]).select("q", F.col("shape").alias("query_shape"))
     sizes = band_sizes(shapes)
@@ -317,16 +324,29 @@ def nearest(vectors: DataFrame, every: int = EVERY, most: int = NEAREST) -> Data
     task; in the end each node found gives its smallest ids. All rows are indexed. Ids are
     compared, not counted on: gaps don't matter. Recall is measured in the tests.
 
-    Cases: unusable vectors take no part; repeated rows of one vec_id and vector are one row; fewer
-    candidates than `most` are all returned; no rows give no rows.
+    Cases: unusable vectors take no part; products exist between vectors of one length alone, so each
+    length has a graph of its own; repeated rows of one vec_id and vector are one row; fewer
+    candidates than `most` are all returned; no rows give no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
     rows = scratch.save("rows", usable(vectors).distinct())
+    lengths = [r["n"] for r in rows.groupBy(F.size("vec").alias("n")).count().orderBy("n").collect()]
+    parts = [_nearest(rows if len(lengths) == 1 else rows.where(F.size("vec") == n), every, most) for n in lengths or [0]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _nearest(rows: DataFrame, every: int, most: int) -> DataFrame:
+    scratch = Scratch(rows.sparkSession, "neighbours")
     nodes = scratch.save("nodes", rows.groupBy("vec").agg(F.min("vec_id").alias("node")))
     shapes = scratch.save("shapes", _shape(nodes))
     graph = first_graph(shapes, scratch)
     for _ in range(DESCENTS):
         graph = descend(graph, shapes, scratch)
+        if (graph.agg(F.avg("fresh")).first()[0] or 0.0) <= SETTLED:
+            break
     owned = rows.join(nodes, "vec").select("vec_id", "node")
     order = Window.partitionBy("node").orderBy("vec_id")
     members = owned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1).drop("place")

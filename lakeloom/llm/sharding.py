@@ -63,11 +63,40 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, partitions: int | None
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Write the rows of docs as Parquet under path/shard=K and return the assignment."""
+    """Write the rows of docs as Parquet under path/shard=K, as many of each text to each shard as assigned, and return the assignment.
+
+    Rows meet their shards by doc_id and text. A cut falls within the repeated rows of one text at most, so
+    no more than shards - 1 texts lie in several; their rows are numbered, in each task, then over the tasks'
+    totals.
+
+    Cases: null texts and ids and repeated rows are written like others; a column of docs named shard
+    makes the folders' name shard_; other columns are kept, whatever their names; no rows write no files.
+    """
+    scratch = Scratch(docs.sparkSession, "write-shards")
     assigned = assign_shards(docs, shards)
-    key = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    places = assigned.groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard")).withColumnRenamed("doc_id", "place_id")
-    keyed = docs.withColumn("place_crc32", key)
-    joined = keyed.join(places, keyed["doc_id"].eqNullSafe(places["place_id"]) & (keyed["place_crc32"] == places["text_crc32"]))
-    joined.drop("place_id", "place_crc32", "text_crc32").write.partitionBy("shard").parquet(path)
+    key = [F.col("doc_id").cast("long").alias("__id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("__crc")]
+    places = scratch.save("places", assigned.groupBy(F.col("doc_id").alias("__at_id"), F.col("text_crc32").alias("__at_crc"), "shard").agg(F.count("*").alias("__n")))
+    folder = "shard"
+    while folder in docs.columns:
+        folder += "_"
+    spans = places.groupBy("__at_id", "__at_crc").agg(F.min("shard").alias(folder), F.array_sort(F.collect_list(F.struct("shard", "__n"))).alias("__spans"))
+    keyed = docs.withColumns({"__id": key[0], "__crc": key[1]})
+    same = F.col("__id").eqNullSafe(F.col("__at_id")) & (F.col("__crc") == F.col("__at_crc"))
+    joined = keyed.join(spans, same).drop("__at_id", "__at_crc")
+    plain = joined.where(F.size("__spans") == 1).drop("__id", "__crc", "__spans")
+    # at most shards - 1 keys; their rows are numbered where they are
+    split = joined.where(F.size("__spans") > 1).drop(folder).withColumn("__row", F.monotonically_increasing_id())
+    if not split.isEmpty():
+        split = scratch.save("split", split)
+        part = F.shiftright("__row", 33)
+        totals = split.groupBy("__id", "__crc", part.alias("__part")).agg(F.count("*").alias("__rows"))
+        before = F.sum("__rows").over(Window.partitionBy("__id", "__crc").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = totals.select(F.col("__id").alias("__at_id"), F.col("__crc").alias("__at_crc"), "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+        number = F.row_number().over(Window.partitionBy("__id", "__crc", "__part").orderBy("__row"))
+        numbered = split.withColumn("__part", part).withColumn("__no", number).withColumnRenamed("__part", "__of").join(F.broadcast(starts), same & (F.col("__of") == F.col("__part")))
+        # the shard whose rows of this text reach past the number
+        place = F.col("__before") + F.col("__no")
+        upto = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("s")), lambda a, x: F.struct((a["n"] + x["__n"]).alias("n"), F.coalesce(a["s"], F.when(place <= a["n"] + x["__n"], x["shard"])).alias("s")))["s"]
+        plain = plain.unionByName(numbered.withColumn(folder, upto).select(*docs.columns, folder))
+    plain.write.partitionBy(folder).parquet(path)
     return assigned

@@ -195,12 +195,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, the one of the smallest doc_id (then text hash); all columns."""
+    """One row of docs for each component, the one of the smallest doc_id (then text hash); all columns.
+
+    Cases: null, empty and blank texts are near-duplicates of each other, so one of them stays; null ids
+    come last; of repeated rows the one whose other columns come first as JSON stays; no rows give no rows;
+    other columns are kept, whatever their names.
+    """
     found = Scratch(docs.sparkSession, "keep-one").save("found", near_duplicates(docs).select("doc_id", "text_hash", "root"))
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__hash"])
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(text) == kept["__hash"])
     out = docs.join(kept, same, "left_semi")
     # repeated rows have one key: only where there are any need the rows be compared again
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id", "text"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = out.groupBy(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__hash")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return one.select("__row.*")

@@ -145,7 +145,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model doesn't call toxic, all columns, in one pass without a shuffle."""
+    """The rows of docs that the model doesn't call toxic, all columns, in one pass without a shuffle.
+
+    Cases: null and empty texts have the score of the bias; repeated rows stay or go together; no rows give
+    no rows; other columns are kept, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
