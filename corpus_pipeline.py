@@ -16,22 +16,47 @@ from lakeloom.session import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold by a classifier of the labelled ones.
+
+    Cases: null and empty texts are scored like others and stay unless the bias alone is toxic; null ids
+    are not labelled; repeated rows stay or go together; no rows give no rows; all columns are kept.
+    """
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest id.
+
+    Cases: null, empty and blank texts are one group; of repeated rows one stays; null ids come last; no
+    rows give no rows; all columns are kept.
+    """
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no item of the benchmark.
+
+    Cases: null and empty texts stay; repeated rows stay or go together; no rows give no rows, and an
+    empty benchmark keeps all; all columns are kept.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by their kinds.
+
+    Cases: null and empty texts stay as they are; repeated rows are masked alike; no rows give no rows;
+    all columns are kept, and n_chars follows the text.
+    """
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1,024 ids, in place of documents.
+
+    Cases: a null or empty text is the one id that ends it; repeated rows are packed each; texts longer
+    than a sequence span several; no rows give no rows; other columns are ignored.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
