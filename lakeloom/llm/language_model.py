@@ -64,6 +64,34 @@ class Classes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+class Index(dict):
+    """Number of each word: those with known counts first, then new ones as they are met, as many as COUNTED_WORDS or
+    one text needs. By number: `cls`, a word's class, `log`, log10 of its count (0 for new ones), and `names` of new ones."""
+
+    def __init__(self, held: dict[bytes, int], classes: Classes):
+        super().__init__((w, k) for k, w in enumerate(held))
+        self.held, self.many, self.names, self.classes = held, len(held), [], classes
+        room = self.many + COUNTED_WORDS
+        self.cls, self.log = np.zeros(room, dtype=np.int32), np.zeros(room)
+        self.cls[: self.many] = [classes[w] for w in held]
+        self.log[: self.many] = np.log10(np.fromiter(held.values(), dtype=np.float64, count=self.many) + 0.5)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.many + len(self.names)
+        self.names.append(word)
+        self.cls[number] = self.classes.first_tail + tail_class(word)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if self.many + len(self.names) + len(words) > len(self.cls):
+            self.clear()
+            self.update((w, k) for k, w in enumerate(self.held))
+            self.names = []
+            if (room := self.many + len(words)) > len(self.cls):
+                self.cls, self.log = np.resize(self.cls, room), np.concatenate([self.log, np.zeros(room - len(self.log))])
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
 @dataclass
 class Model:
     own: list[bytes]
@@ -320,38 +348,34 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *parts, held = shared.value
         model = Model(*parts)
-        local = Classes(model.own)
-        first_tail = local.first_tail
+        index = Index(held, Classes(model.own))
         per_state = OWN_CONTEXT + 41
-        logs = {w: math.log10(c + 0.5) for w, c in held.items()}
-        own_log = np.array([0.0] + [logs[w] for w in model.own] + [0.0] * TAIL_CLASSES)
         for b in batches:
             names = ("doc_id", "text_hash", "held_out")
             keys = [b.column(n).to_pylist() for n in names]
             out: list[tuple] = []
-            rare: list[tuple] = []
+            rare: list[tuple[int, list[bytes], np.ndarray]] = []
+            waiting = 0
             for k, t in enumerate(b.column("text")):
                 words = t.as_py().lower().split()
-                at = local.of(words)
+                number = index.of(words)
+                at = index.cls[number]
                 context = contexts(at, model.evidence, model.context_of, per_state)
                 logp = float(model.table[context, np.concatenate([at, [END]])].sum(dtype=np.float64))
-                # log10(c + 0.5): own classes by table, other held words by dictionary, the rest by a join
-                plain, known = float(own_log[at].sum()), int((at < first_tail).sum())
-                others: Counter[bytes] = Counter()
-                for j in np.flatnonzero(at >= first_tail).tolist():
-                    w = words[j]
-                    if (v := logs.get(w)) is not None:
-                        plain += v
-                        known += 1
-                    else:
-                        others[w] += 1
+                # log10(c + 0.5): words with known counts by number, the others, each once a text, by a join
+                plain = float(index.log[number].sum())
+                others, times = np.unique(number[number >= index.many], return_counts=True)
+                known = len(words) - int(times.sum())
                 logp += plain - float(model.class_mass[at].sum())
                 out.append((keys[0][k], keys[1][k], keys[2][k], len(words) + 1, known + (ends > 0), plain + end_base - (len(words) + 1) * log_base, logp))
-                rare += [(keys[0][k], keys[1][k], w, n) for w, n in others.items()]
-                if len(rare) > 100_000:
-                    yield rare_rows(rare)
-                    rare = []
-            yield rare_rows(rare)
+                if len(others):
+                    rare.append((k, [index.names[i] for i in (others - index.many).tolist()], times))
+                    waiting += len(others)
+                if waiting > 100_000:
+                    yield rare_rows(rare, b)
+                    rare, waiting = [], 0
+            if rare:
+                yield rare_rows(rare, b)
             yield batch(
                 # text rows go through the same join; no word has a space, so they match nothing and spread
                 word=([b"%d %d" % (o[1], k) for k, o in enumerate(out)], pa.binary()),
@@ -362,11 +386,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
 
-    def rare_rows(rare: list[tuple]) -> pa.RecordBatch:
-        m = len(rare)
-        fill = {k: pa.nulls(m, t) if t == pa.bool_() else pa.array(np.zeros(m), pa.float64()).cast(t) for k, t in kinds.items()}
-        fill |= {"doc_id": pa.array([r[0] for r in rare], pa.int64()), "text_hash": pa.array([r[1] for r in rare], pa.int64())}
-        return batch(word=([r[2] for r in rare], pa.binary()), n=([r[3] for r in rare], pa.int64()), copies=pa.array(np.zeros(m, dtype=np.int64)), **fill)
+    def rare_rows(rare: list[tuple[int, list[bytes], np.ndarray]], b: pa.RecordBatch) -> pa.RecordBatch:
+        """Words of texts (row in the batch, words, times); all else is null."""
+        of = pa.array(np.repeat([r[0] for r in rare], [len(r[1]) for r in rare]))
+        n = pa.array(np.concatenate([r[2] for r in rare]))
+        fill = {k: pa.nulls(len(n), t) for k, t in kinds.items()} | {k: b.column(k).take(of) for k in ("doc_id", "text_hash")}
+        return batch(word=([w for r in rare for w in r[1]], pa.binary()), n=n, copies=pa.nulls(len(n), pa.int64()), **fill)
 
     parts = arrow_map(rows, score, "word binary, n long, copies long, doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, base double, score double")
     joined = parts.join(counts, "word", "left")
@@ -375,9 +400,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         F.sum("copies").alias("copies"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + gain).alias("base"),
-        F.sum(F.col("score") + gain).alias("score"),
+        F.sum(F.coalesce("n_known", F.lit(0)) + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.coalesce("base", F.lit(0.0)) + gain).alias("base"),
+        F.sum(F.coalesce("score", F.lit(0.0)) + gain).alias("score"),
     )
     # repeated rows were added up: share out again
     each = lambda c: (F.col(c) / F.col("copies"))
