@@ -57,10 +57,19 @@ def in_scope(nodes: DataFrame, marked: DataFrame, scope: Scope, folders: bool =
     if scope.excluded_states and "state" in nodes.columns:
         keep = keep & ~F.coalesce(F.lower("state").isin(*[s.lower() for s in scope.excluded_states]), F.lit(False))
     if scope.excluded_aspects and "aspects" in nodes.columns:
-        keep = keep & ~F.arrays_overlap("aspects", F.array(*map(F.lit, scope.excluded_aspects)))
+        keep = keep & ~F.coalesce(F.arrays_overlap("aspects", F.array(*map(F.lit, scope.excluded_aspects))), F.lit(False))
     return rows.where(keep).select(*nodes.columns)
 
 
+def traversable(nodes: DataFrame, scope: Scope) -> DataFrame:
+    """The folders that a scan goes down into, by technical exclusions alone: an excluded aspect or path. What lies
+    below decides by itself whether it is in scope; in_scope(folders=True) is the narrower answer."""
+    keep = F.col("is_folder") & ~any_of(*[P.matches_glob(F.col("path"), g) for g in scope.excluded_globs])
+    if scope.excluded_aspects and "aspects" in nodes.columns:
+        keep = keep & ~F.coalesce(F.arrays_overlap("aspects", F.array(*map(F.lit, scope.excluded_aspects))), F.lit(False))
+    return nodes.where(keep)
+
+
 def only_status_changed(before: Column, after: Column) -> Column:
     """Whether an update differs in nothing but status and audit properties or status aspects: its name, type,
     content, primary association and primary hierarchy are unchanged.

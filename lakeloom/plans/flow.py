@@ -102,6 +102,29 @@ def scope_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.in_scope(nodes, none, scope.Scope(roots=("/",), types=("File",), excluded_states=("deleted",), excluded_globs=("*7*",))).where("length(path) > 1").select("page_id")
 
 
+FOLDERS = PAGES + """, seg AS (SELECT page_id, path, string_split(path, '/') AS a FROM p),
+fold AS (SELECT DISTINCT unnest(list_transform(range(len(a) - 2, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS path FROM seg WHERE len(a) > 2),
+"""
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("folder").alias("path")
+    return ingest.folders(page_paths(spark, sf_dir)).select(path, F.lit(True).alias("is_folder"), F.lit("Folder").alias("type"), F.when(F.length("folder") % 5 == 0, F.array(F.lit("hidden"))).alias("aspects"))
+
+
+@query("WITH " + FOLDERS + """m AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS spot FROM p WHERE regexp_replace(path, '/[^/]*$', '') <> ''),
+up AS (SELECT path, unnest(list_transform(range(len(a) - 1, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS spot FROM (SELECT path, string_split(path, '/') AS a FROM fold))
+SELECT path FROM up JOIN m USING (spot) WHERE length(path) % 5 <> 0 GROUP BY 1 HAVING bool_or(length(spot) % 4 <> 0) AND NOT bool_or(length(spot) % 4 = 0)""")
+def scope_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, marked = _scoped(spark, sf_dir)
+    return scope.in_scope(_folders(spark, sf_dir), marked, scope.Scope(roots=("/nowhere",), types=("File",), excluded_aspects=("hidden",)), folders=True).select("path")
+
+
+@query("WITH " + FOLDERS + "x AS (SELECT 1) SELECT path FROM fold WHERE NOT contains(path, '7') AND length(path) % 5 <> 0")
+def scope_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.traversable(_folders(spark, sf_dir), scope.Scope(excluded_globs=("*7*",), excluded_aspects=("hidden",))).select("path")
+
+
 @query("SELECT event_id FROM events WHERE event_id % 9 NOT IN (0, 7, 8)")
 def status_only_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of nine events three change nothing but status; the others the title, name, content, association, place or an aspect, or lack the former image."""

@@ -316,3 +316,21 @@ def test_descendants_of_one_level(spark):
 def test_sources_by_precedence():
     assert filters.resolve_sources([" "], ["alf:one", "one", "two"], ["p"], [], "alf") == ["one", "two"]
     assert filters.resolve_sources([], [], [], ["z"]) == ["z"]
+
+
+def test_refused_texts_are_shortened():
+    """A model that takes 300 characters, and says how many tokens it counted only where they are many."""
+    calls = []
+
+    def model(texts):
+        calls.append(texts)
+        for t in texts:
+            if len(t) > 300:
+                raise V.TooLarge(len(t) if len(t) > 1_000 else None)
+        return np.array([[float(len(t))] for t in texts])
+
+    got = V.Resilient(model)(["short", "word " * 400, "x" * 700]).ravel().tolist()
+    assert got[0] == 5 and 100 < got[1] <= 300 and got[2] == 175
+    assert V.shortened("a. b" * 10, None).endswith(".") and len(V.shortened("y" * 5_000, 100)) < 5_000
+    with pytest.raises(V.TooLarge):
+        V.Resilient(lambda texts: (_ for _ in ()).throw(V.TooLarge()))(["abc"])
