@@ -19,8 +19,8 @@ DEGREE, REVERSE = 64, 64
 SEED_ROUNDS, PIVOTS, BLOCK = 4, 128, 2_048
 #: Descents go on until at most this share of the graph's edges is new, or so many rounds were made.
 SETTLED, DESCENTS = 0.01, 12
-#: Rounds of search where all lengths are alike, and where a query visits other lengths too.
-SEARCHES, VISITS = 2, 5
+#: Rounds of search go on until at most SETTLED of the nearest nodes of the beams are new, or so many were made.
+SEARCHES = 12
 #: Nodes of a query's beam in each band of lengths, all scored exactly in the end, and those expanded in a round.
 BEAM, EXPANDED = 72, 16
 #: Lengths differ at most twofold in a band, unless that took more than BANDS; nodes of a band that every query is compared with.
@@ -82,11 +82,21 @@ def _shape(nodes: DataFrame) -> DataFrame:
     return arrow_map(known.select("node", "vec", "length"), run, "node long, band long, shape binary")
 
 
-def best(edges: DataFrame, source: str, target: str, score: str, most: int) -> DataFrame:
-    """The best `most` different targets of each source; each task drops the others before the shuffle. An edge that was there before isn't fresh."""
-    one = edges.groupBy(source, target).agg(F.max(score).alias(score), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy(source).orderBy(F.desc(score), target)
-    return one.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__place")
+def best(edges: DataFrame) -> DataFrame:
+    """a, b, s, fresh and place: the DEGREE best targets of each node, from one exchange. An edge that was there before isn't fresh."""
+    one = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DEGREE)
+
+
+def reversed_edges(graph: DataFrame) -> DataFrame:
+    """u, v and fresh: of the nodes v that list u, the REVERSE that have it in the first places of their lists.
+
+    By places, not by nearness: a node that few others list, whose own neighbours are in everybody's
+    lists, is still one of those that its nearest neighbours join and lead to.
+    """
+    order = Window.partitionBy("b").orderBy("place", F.desc("s"), "a")
+    return graph.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= REVERSE).select(F.col("b").alias("u"), F.col("a").alias("v"), "fresh")
 
 
 def band_sizes(shapes: DataFrame) -> dict[int, int]:
@@ -174,7 +184,7 @@ def first_graph(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         divided = arrow_map(shapes, divide, "node long, shape binary, place double, block long").repartition("block").sortWithinPartitions("block", "place", "node")
         edges = arrow_map(divided.select("node", "shape", "block"), compare, "a long, b long, s float")
         out = edges if out is None else out.unionByName(edges)
-    return scratch.save("graph", best(out.withColumn("fresh", F.lit(1)), "a", "b", "s", DEGREE))
+    return scratch.save("graph", best(out.withColumn("fresh", F.lit(1))))
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,19 +230,18 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def descend(graph: DataFrame, shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """One round of NN-descent: neighbours and reverse neighbours of a node are joined with each other.
 
-    A node brings its worst score along, so only what improves a list is proposed. Reverse lists keep
-    the nearest, so a node that is everybody's neighbour joins no more than others. Nodes whose
+    A node brings its worst score along, so only what improves a list is proposed. Reverse lists are
+    bounded, so a node that is everybody's neighbour joins no more than others. Nodes whose
     neighbours all met before are left out, so later rounds move less.
     """
     worst = graph.groupBy("a").agg(F.when(F.count("*") >= DEGREE, F.min("s")).otherwise(F.lit(-1e9)).cast("float").alias("worst"))
-    forward = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "s", "fresh")
-    back = best(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "s", "fresh"), "u", "v", "s", REVERSE)
-    pairs = forward.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    forward = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "fresh")
+    pairs = forward.unionByName(reversed_edges(graph)).repartition("u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
     pairs = pairs.withColumn("any", F.max("fresh").over(Window.partitionBy("u"))).where("any > 0").drop("any")
     known = shapes.join(worst, shapes["node"] == worst["a"], "left").select(F.col("node").alias("v"), "shape", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"))
     joined = pairs.join(known, "v").select("u", "v", "worst", "shape", "fresh").repartition("u").sortWithinPartitions("u")
     proposals = arrow_map(joined, _local_join, "a long, b long, s float").withColumn("fresh", F.lit(1))
-    return scratch.save("graph", best(graph.withColumn("fresh", F.lit(0)).unionByName(proposals), "a", "b", "s", DEGREE))
+    return scratch.save("graph", best(graph.select("a", "b", "s", F.lit(0).alias("fresh")).unionByName(proposals)))
 
 
 def entries(asked: DataFrame, shapes: DataFrame, sizes: dict[int, int]) -> DataFrame:
@@ -268,10 +277,11 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, scratch: Scr
 
     In its own band a search begins at the node itself, in every band at the best of a sample. Each
     round expands the best nodes of a query's beam that were not expanded yet: their neighbours,
-    in both directions, are scored and the best kept. A query's product leaves the added coordinate out.
+    in both directions, are scored and the best kept, until the beams' nearest hardly change, so larger
+    tables are searched longer. A query's product leaves the added coordinate out.
     """
-    back = best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "fresh"), "a", "b", "s", REVERSE)
-    links = scratch.save("links", graph.select("a", "b").unionByName(back.select("a", "b")).distinct())
+    back = reversed_edges(graph).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    links = scratch.save("links", graph.select("a", "b").unionByName(back).repartition("a").distinct())
     asked = queries.join(shapes, queries["q"] == shapes["node"]).select("q", F.col("shape").alias("query_shape"))
     sizes = band_sizes(shapes)
 
@@ -283,24 +293,27 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, scratch: Scr
 
     def scored(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(shapes, "node").join(asked, "q").select("q", "band", "node", "shape", "query_shape")
-        return arrow_map(rows, run, "q long, band long, node long, s float").withColumn("expanded", F.lit(False))
+        return arrow_map(rows, run, "q long, band long, node long, s float").withColumn("expanded", F.lit(False)).withColumn("fresh", F.lit(1))
 
     def kept(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("q", "band").orderBy(F.desc("s"), "node")
-        return scratch.save("beam", rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM).drop("place"))
+        return scratch.save("beam", rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM))
 
     # a node's own list is where its search begins
     first = graph.join(queries, graph["a"] == queries["q"], "left_semi").select(F.col("a").alias("q"), F.col("b").alias("node"))
     first = scored(first.unionByName(queries.select("q", F.col("q").alias("node"))))
-    begun = first.unionByName(entries(asked, shapes, sizes)).groupBy("q", "band", "node").agg(F.max("s").alias("s"), F.max("expanded").alias("expanded"))
-    beam = kept(begun)
-    for _ in range(SEARCHES if len(sizes) < 2 else VISITS):
+    begun = first.drop("fresh").unionByName(entries(asked, shapes, sizes)).groupBy("q", "band", "node").agg(F.max("s").alias("s"), F.max("expanded").alias("expanded"))
+    beam = kept(begun.withColumn("fresh", F.lit(1)))
+    for _ in range(SEARCHES):
         turn = F.row_number().over(Window.partitionBy("q", "band", "expanded").orderBy(F.desc("s"), "node"))
         marked = beam.withColumn("now", ~F.col("expanded") & (turn <= EXPANDED))
         fresh = marked.where("now").select("q", F.col("node").alias("a"))
         reached = fresh.join(links, "a").select("q", F.col("b").alias("node")).distinct()
         new = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti")
-        beam = kept(marked.select("q", "band", "node", "s", (F.col("expanded") | F.col("now")).alias("expanded")).unionByName(scored(new)))
+        known = marked.select("q", "band", "node", "s", (F.col("expanded") | F.col("now")).alias("expanded"), F.lit(0).alias("fresh"))
+        beam = kept(known.unionByName(scored(new)))
+        if (beam.where(F.col("place") <= NEAREST).agg(F.avg("fresh")).first()[0] or 0.0) <= SETTLED:
+            break
     return beam.select("q", "node")
 
 
