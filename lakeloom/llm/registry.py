@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, language_model, neighbours, packing, pii, repeats, sharding, simhash, token_counts, toxicity
+from lakeloom.llm import alignment, decontamination, language_model, neighbours, packing, pii, repeats, resampling, secrets, sharding, simhash, token_counts, toxicity
 from lakeloom.llm.common import table
 
 
@@ -57,6 +57,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.token_alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_language_model": op2_language_model,
@@ -68,5 +81,39 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
+    "op12_resampling": op12_resampling,
+    "op13_secrets": op13_secrets,
 }
-ORACLES: dict[str, str] = {}
+#: crc32 has no function there: the table of its 256 steps is made first, and every distinct feature's bytes run through it.
+RESAMPLING_SQL = r"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+rows AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM rows),
+feats AS (
+  SELECT side, r, unnest(w) AS f FROM words
+  UNION ALL SELECT side, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1
+),
+cells AS (SELECT side, r, f, count(*) AS n FROM feats GROUP BY ALL),
+vocab AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM cells)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM vocab, tab
+),
+sums AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM cells JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, totals),
+weights AS (SELECT r, sum(n * gain) AS total, sum(n) AS n FROM cells JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+         coalesce(floor(total::DOUBLE / n), 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE side = 0
+),
+ranked AS (SELECT doc_id, n_words, n_features, weight, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS all_rows FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= all_rows * 25 // 100 THEN place END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_words < 20
+"""
+ORACLES: dict[str, str] = {"op12_resampling": RESAMPLING_SQL}
