@@ -1,7 +1,7 @@
 """Merges of incoming nodes into the stored documents, by DataFrame algebra.
 
-Every merge takes the stored table and the incoming rows and returns the new table; writing it
-elsewhere and switching is up to the caller, so a table is never overwritten while read.
+Every merge takes the stored table and the incoming rows and returns the new table; the last functions commit
+merges to a table of sources.committed, so that readers see all of one or nothing.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeloom.functions.text import is_blank
+from lakeloom.sources.committed import CommittedTable, Version
 
 
 def stale(incoming: Column, stored: Column) -> Column:
@@ -23,14 +24,44 @@ def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def sync(stored: DataFrame, incoming: DataFrame, key: str, modified: str, acl: tuple[str, ...]) -> DataFrame:
+def _turns(incoming: DataFrame, key: str, modified: str, turn: str | None) -> DataFrame:
+    """Incoming rows with `__turn`, their place among those of a key: by `turn`, else by time."""
+    if turn is not None:
+        return incoming.withColumn("__turn", F.struct(F.col(turn)))
+    return incoming.withColumn("__turn", F.struct(F.col(modified), F.xxhash64(*[c for c, t in incoming.dtypes if not t.startswith("map")])))
+
+
+def fold_incoming(incoming: DataFrame, key: str, modified: str, acl: tuple[str, ...], turn: str | None = None) -> DataFrame:
+    """One row a key that does to any stored row what syncing the rows in turn does.
+
+    The first of the newest rows gives the content, as later ones of its time are stale; but a row without a time
+    replaces whatever is there and is replaced by whatever follows. The last row in turn, stale or not, gives the access
+    columns. All are maxima, so hot keys are folded before they are shuffled.
+    """
+    rows = _turns(incoming, key, modified, turn)
+    cols = incoming.columns
+    whole = F.struct(*cols)
+    # rows after the last one without a time; of those the first of the newest
+    timeless = rows.where(F.col(modified).isNull()).groupBy(key).agg(F.max("__turn").alias("__null_turn"), F.max_by(whole, "__turn").alias("__null_row")).withColumnRenamed(key, "__key")
+    joined = rows.join(timeless, rows[key].eqNullSafe(F.col("__key")), "left")
+    after = F.col("__null_turn").isNull() | (F.col("__turn") > F.col("__null_turn"))
+    newest = joined.where(after & F.col(modified).isNotNull()).groupBy(key, modified).agg(F.min_by(whole, "__turn").alias("__row")).groupBy(key).agg(F.max_by("__row", modified).alias("__row"))
+    ends = joined.groupBy(key).agg(F.max_by(F.struct(*acl), "__turn").alias("__acl"), F.first("__null_row", ignorenulls=True).alias("__null_row"))
+    folded = ends.join(newest.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k")), "left").withColumn("__row", F.coalesce("__row", "__null_row"))
+    return folded.select(*[(F.col(f"__acl.{c}") if c in acl else F.col(f"__row.{c}")).alias(c) for c in cols], F.col("__null_row").isNotNull().alias("__timeless"))
+
+
+def sync(stored: DataFrame, incoming: DataFrame, key: str, modified: str, acl: tuple[str, ...], turn: str | None = None) -> DataFrame:
     """Upsert: newer rows replace, stale ones only refresh the access columns, new ones are added. One join by key.
 
-    Columns are those of stored; outcome says created, updated, acl_only or kept.
+    Incoming rows of one key are synced in turn: by the column `turn`, else by their time. Columns are those of stored;
+    outcome says created, updated, acl_only or kept.
     """
-    left, right = stored.select(*[F.col(c).alias(f"s_{c}") for c in stored.columns]), incoming.select(*[F.col(c).alias(f"i_{c}") for c in stored.columns])
+    folded = fold_incoming(incoming.select(*stored.columns, *([turn] if turn and turn not in stored.columns else [])), key, modified, acl, turn)
+    left, right = stored.select(*[F.col(c).alias(f"s_{c}") for c in stored.columns]), folded.select(*[F.col(c).alias(f"i_{c}") for c in stored.columns], "__timeless")
     joined = left.join(right, F.col(f"s_{key}") == F.col(f"i_{key}"), "full_outer")
-    old = stale(F.col(f"i_{modified}"), F.col(f"s_{modified}"))
+    # what follows a row without a time is newer than it, whatever is stored
+    old = stale(F.col(f"i_{modified}"), F.col(f"s_{modified}")) & ~F.col("__timeless")
     outcome = F.when(F.col(f"i_{key}").isNull(), "kept").when(F.col(f"s_{key}").isNull(), "created").when(old, "acl_only").otherwise("updated")
     rows = joined.withColumn("outcome", outcome)
     pick = lambda c: F.when(F.col("outcome") == "kept", F.col(f"s_{c}")).when((F.col("outcome") == "acl_only") & F.lit(c not in acl), F.col(f"s_{c}")).otherwise(F.col(f"i_{c}"))
@@ -44,9 +75,19 @@ def delete(stored: DataFrame, deletions: DataFrame, key: str, modified: str) ->
     return stored.join(gone, hit, "left_anti")
 
 
-def update_acl(stored: DataFrame, incoming: DataFrame, key: str, acl: tuple[str, ...]) -> DataFrame:
-    """New access columns for rows that are there; missing files are created with metadata alone, missing folders are not."""
+def update_acl(stored: DataFrame, incoming: DataFrame, key: str, acl: tuple[str, ...], turn: str | None = None) -> DataFrame:
+    """New access columns for rows that are there; missing files are created with metadata alone, missing folders are not.
+
+    Of several incoming rows of a key the last one in the order of `turn` (else of its values) gives the access
+    columns, and the first file a missing row's others: what comes in turn finds it there.
+    """
     cols = stored.columns
+    place = F.struct(F.col(turn)) if turn else F.struct(F.xxhash64(*[c for c, t in incoming.dtypes if not t.startswith("map")]))
+    row = F.struct(*[c for c in incoming.columns])
+    first = F.min_by(F.when(~F.col("is_folder"), row), F.when(~F.col("is_folder"), place))
+    one = incoming.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*acl), place).alias("__acl"), first.alias("__first"), F.max_by(row, place).alias("__last"))
+    kept = F.coalesce("__first", "__last")
+    incoming = one.select(*[(F.col(f"__acl.{c}") if c in acl else kept[c]).alias(c) for c in incoming.columns])
     left, right = stored.select(*[F.col(c).alias(f"s_{c}") for c in cols]), incoming.select(*[F.col(c).alias(f"i_{c}") if c in incoming.columns else F.lit(None).cast(stored.schema[c].dataType).alias(f"i_{c}") for c in cols], "is_folder")
     joined = left.join(right, F.col(f"s_{key}") == F.col(f"i_{key}"), "full_outer").where(F.col(f"s_{key}").isNotNull() | ~F.col("is_folder"))
     there, new = F.col(f"s_{key}").isNotNull(), F.col(f"i_{key}").isNotNull()
@@ -139,3 +180,26 @@ def folders(paths: DataFrame) -> DataFrame:
 def conform(frame: DataFrame, schema: StructType) -> DataFrame:
     """A frame with the columns of a schema that it lacks added as nulls: schemas only grow."""
     return frame.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in frame.columns})
+
+
+def commit_sync(table: CommittedTable, incoming: DataFrame, modified: str, acl: tuple[str, ...], turn: str | None = None, batch: tuple[str, int] | None = None) -> Version:
+    """sync, committed; only the buckets of the incoming keys are read and written."""
+    key = table.version().key
+    return table.change(incoming, lambda stored: sync(stored, incoming, key, modified, acl, turn).drop("outcome"), "sync", batch)
+
+
+def commit_delete(table: CommittedTable, deletions: DataFrame, modified: str, batch: tuple[str, int] | None = None) -> Version:
+    key = table.version().key
+    return table.change(deletions, lambda stored: delete(stored, deletions, key, modified), "delete", batch)
+
+
+def commit_acl(table: CommittedTable, incoming: DataFrame, acl: tuple[str, ...], turn: str | None = None, batch: tuple[str, int] | None = None) -> Version:
+    key = table.version().key
+    return table.change(incoming, lambda stored: update_acl(stored, incoming, key, acl, turn), "update_acl", batch)
+
+
+def commit_children(table: CommittedTable, fresh: DataFrame, owners: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Version:
+    """replace_children, committed, for a table whose key is the owner."""
+    key = table.version().key
+    named = fresh if owners is None else owners
+    return table.change(named.select(key), lambda stored: replace_children(stored, fresh, key, named), "replace_children", batch)

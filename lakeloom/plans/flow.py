@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators import acl, ingest, rag, scope, status
 from lakeloom.plans.book import book, table
 from lakeloom.plans.lexical import PAGES, page_paths
-from lakeloom.sources import audit
 from lakeloom.session import scratch_root
+from lakeloom.sources import audit
+from lakeloom.sources.committed import CommittedTable
 from lakeloom.streaming import events as E
 
 BOOK, query = book()
@@ -40,6 +41,26 @@ def staleness_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sync(stored, incoming, "node_id", "modified_at", ("acl",))
 
 
+REPEATED = """v AS (SELECT user_id AS node_id, CASE WHEN event_id % 101 = 1 THEN NULL ELSE ts END AS modified_at, event_type AS name, CAST(event_id AS VARCHAR) AS acl, event_id FROM events),
+stored AS (SELECT * FROM v WHERE event_id % 2 = 0 AND node_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY modified_at DESC, event_id DESC) = 1),
+t AS (SELECT *, max(CASE WHEN modified_at IS NULL THEN event_id END) OVER (PARTITION BY node_id) AS p, max(event_id) OVER (PARTITION BY node_id) AS ends FROM v WHERE event_id % 2 = 1 AND node_id % 5 <> 0),
+w AS (SELECT node_id, modified_at, name, p, CAST(ends AS VARCHAR) AS acl FROM t WHERE p IS NULL OR event_id >= p QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY modified_at DESC NULLS LAST, event_id) = 1),
+j AS (SELECT coalesce(s.node_id, w.node_id) AS node_id, s.node_id AS sn, w.node_id AS wn, s.modified_at AS sm, w.modified_at AS wm, s.name AS sname, w.name AS wname, s.acl AS sacl, w.acl AS wacl,
+  s.node_id IS NOT NULL AND w.node_id IS NOT NULL AND w.p IS NULL AND sm IS NOT NULL AND wm IS NOT NULL AND NOT wm > sm AS old FROM stored s FULL JOIN w ON s.node_id = w.node_id)
+"""
+
+
+@query("WITH " + REPEATED + "SELECT node_id, CASE WHEN wn IS NULL OR old THEN sm ELSE wm END AS modified_at, CASE WHEN wn IS NULL OR old THEN sname ELSE wname END AS name, CASE WHEN wn IS NULL THEN sacl ELSE wacl END AS acl FROM j")
+def committed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a user's odd events synced in turn, some without a time, into a committed table that is read back."""
+    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("node_id"), F.when(F.col("event_id") % 101 != 1, F.col("ts")).alias("modified_at"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("acl"), "event_id")
+    stored = ingest.latest(v.where("event_id % 2 = 0 and node_id % 3 <> 0"), "node_id", [F.desc("modified_at"), F.desc("event_id")]).drop("event_id")
+    lake = CommittedTable.create(spark, f"{scratch_root(spark)}/lakeloom/merge-{uuid.uuid4().hex}", stored.schema, "node_id", 16)
+    lake.overwrite(stored)
+    ingest.commit_sync(lake, v.where("event_id % 2 = 1 and node_id % 5 <> 0"), "modified_at", ("acl",), "event_id")
+    return lake.read()
+
+
 @query("WITH " + VERSIONS + "SELECT s.node_id, s.modified_at FROM stored s WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.node_id = s.node_id AND NOT s.modified_at > i.modified_at)")
 def delete_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, incoming = _versions(spark, sf_dir)
@@ -299,8 +320,8 @@ def facets_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages and the folders above them as nodes; a page is out of scope if its id divides by three, folders by the length of their path
 NODES = PAGES + """, seg AS (SELECT page_id, path, string_split(path, '/') AS a FROM p),
 fold AS (SELECT DISTINCT unnest(list_transform(range(len(a) - 2, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS path FROM seg WHERE len(a) > 2),
-nodes AS (SELECT 'p' || page_id AS node_id, path, false AS is_folder, page_id % 3 <> 0 AS in_scope, false AS indexed, page_id % 11 = 0 AS excluded FROM p UNION ALL SELECT 'f' || path, path, true, length(path) % 3 <> 0, length(path) % 2 = 0, length(path) % 7 = 0 FROM fold),
-ev AS (SELECT event_id, ['state','acl','scope','delete','state','acl','scope'][1 + event_id % 7] AS kind, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 OR f.path IS NULL OR event_id % 7 = 3 THEN 'p' || (event_id % 300) ELSE 'f' || f.path END AS node_id, ts AS t FROM events LEFT JOIN (SELECT page_id, '/' || array_to_string(a[2:len(a) - 1], '/') AS path FROM seg WHERE len(a) > 2) f ON f.page_id = event_id % 300),
+nodes AS (SELECT 'p' || page_id AS node_id, path, false AS is_folder, page_id % 3 <> 0 AS in_scope, false AS indexed, page_id % 11 = 0 OR page_id % 13 = 0 AS excluded, page_id % 13 = 0 AS hidden, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (page_id % 31) AS m FROM p UNION ALL SELECT 'f' || path, path, true, length(path) % 3 <> 0, length(path) % 2 = 0, length(path) % 7 = 0, false, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (length(path) % 31) FROM fold),
+ev AS (SELECT event_id, ['state','acl','scope','delete','state','acl','scope'][1 + event_id % 7] AS kind, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 OR f.path IS NULL OR event_id % 7 = 3 THEN 'p' || (event_id % total) ELSE 'f' || f.path END AS node_id, ts AS t FROM events CROSS JOIN (SELECT count(*) AS total FROM p) LEFT JOIN (SELECT page_id, '/' || array_to_string(a[2:len(a) - 1], '/') AS path FROM seg WHERE len(a) > 2) f ON f.page_id = event_id % total),
 dec AS (SELECT ev.*, n.path, n.is_folder, n.in_scope, CASE WHEN ev.node_id IS NULL THEN 'filtered' WHEN kind = 'delete' THEN 'delete'
   WHEN kind = 'state' THEN CASE WHEN n.in_scope THEN 'sync' ELSE 'delete' END
   WHEN kind = 'acl' THEN CASE WHEN n.node_id IS NULL THEN 'filtered' WHEN n.is_folder THEN CASE WHEN n.excluded THEN 'filtered' ELSE 'acl_subtree' END WHEN n.in_scope THEN 'update_acl' ELSE 'delete' END
@@ -312,14 +333,19 @@ dec AS (SELECT ev.*, n.path, n.is_folder, n.in_scope, CASE WHEN ev.node_id IS NU
 def _live(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     paths = page_paths(spark, sf_dir)
     n, size = F.col("page_id"), F.length("folder")
-    files = paths.select(F.concat(F.lit("p"), n.cast("string")).alias("node_id"), "path", F.lit(False).alias("is_folder"), (n % 3 != 0).alias("in_scope"), F.lit(False).alias("indexed"), (n % 11 == 0).alias("excluded"))
-    dirs = ingest.folders(paths).select(F.concat(F.lit("f"), F.col("folder")).alias("node_id"), F.col("folder").alias("path"), F.lit(True).alias("is_folder"), (size % 3 != 0).alias("in_scope"), (size % 2 == 0).alias("indexed"), (size % 7 == 0).alias("excluded"))
+    files = paths.select(F.concat(F.lit("p"), n.cast("string")).alias("node_id"), "path", F.lit(False).alias("is_folder"), (n % 3 != 0).alias("in_scope"), F.lit(False).alias("indexed"), ((n % 11 == 0) | (n % 13 == 0)).alias("excluded"), (n % 13 == 0).alias("hidden"), (n % 31).alias("day"))
+    dirs = ingest.folders(paths).select(F.concat(F.lit("f"), F.col("folder")).alias("node_id"), F.col("folder").alias("path"), F.lit(True).alias("is_folder"), (size % 3 != 0).alias("in_scope"), (size % 2 == 0).alias("indexed"), (size % 7 == 0).alias("excluded"), F.lit(False).alias("hidden"), (size % 31).alias("day"))
     e = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, ("state", "acl", "scope", "delete", "state", "acl", "scope"))), (1 + e % 7).cast("int"))
     above = paths.select(n.alias("__page"), F.regexp_replace("path", "/[^/]*$", "").alias("__folder")).where("__folder <> ''")
-    events = table(spark, sf_dir, "events").withColumn("__page", e % 300).join(above, "__page", "left")
-    node = F.when(e % 5 == 0, None).when((e % 4 == 0) | F.col("__folder").isNull() | (e % 7 == 3), F.concat(F.lit("p"), (e % 300).cast("string"))).otherwise(F.concat(F.lit("f"), F.col("__folder")))
-    return events.select("event_id", kind.alias("kind"), node.alias("node_id"), F.col("ts").cast("timestamp").alias("at")), files.unionByName(dirs)
+    total = paths.count()
+    events = table(spark, sf_dir, "events").withColumn("__page", e % total).join(above, "__page", "left")
+    node = F.when(e % 5 == 0, None).when((e % 4 == 0) | F.col("__folder").isNull() | (e % 7 == 3), F.concat(F.lit("p"), (e % total).cast("string"))).otherwise(F.concat(F.lit("f"), F.col("__folder")))
+    return events.select("event_id", kind.alias("kind"), node.alias("node_id"), F.col("ts").cast("timestamp").alias("at")), files.unionByName(dirs).withColumn("modified_at", _day(F.col("day"))).drop("day")
+
+
+def _day(n: Column) -> Column:
+    return F.timestamp_seconds(F.lit(1_704_067_200) + n * 86_400)  # from 2024-01-01 on
 
 
 @query("WITH " + NODES + "SELECT kind, count(*) AS received, count(*) FILTER (decision = 'filtered' OR (decision = 'delete' AND kind <> 'delete' AND path IS NOT NULL)) AS filtered, count(*) FILTER (NOT (decision = 'filtered' OR (decision = 'delete' AND kind <> 'delete' AND path IS NOT NULL))) AS processed FROM dec GROUP BY 1")
@@ -328,10 +354,13 @@ def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.live_counters(E.live_decisions(events, nodes))
 
 
-@query("WITH " + NODES + """, up AS (SELECT 'p' || page_id AS node_id, path, unnest(list_transform(range(len(a) - 2, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS spot FROM seg WHERE len(a) > 2),
+EFFECTS = """, up AS (SELECT 'p' || page_id AS node_id, path, unnest(list_transform(range(len(a) - 2, 0, -1), lambda n: '/' || array_to_string(a[2:n + 1], '/'))) AS spot FROM seg WHERE len(a) > 2),
 eff AS (SELECT node_id, event_id, t, decision AS action FROM dec WHERE decision IN ('sync', 'update_acl', 'delete')
-  UNION ALL SELECT n.node_id, d.event_id, d.t, CASE WHEN decision = 'tear_down' THEN 'delete' WHEN n.excluded OR contains(n.path, '77') OR (decision = 'acl_subtree' AND NOT n.in_scope) THEN 'skip' WHEN decision = 'acl_subtree' THEN 'update_acl' WHEN n.in_scope THEN 'sync' ELSE 'delete' END FROM dec d JOIN up ON up.spot = d.path JOIN nodes n ON n.node_id = up.node_id WHERE decision IN ('sync_subtree', 'acl_subtree', 'tear_down')),
-ended AS (SELECT node_id, max(t) AS t, arg_max(action, epoch_us(t)::HUGEINT * 10000000 + event_id) AS la, arg_max(action, epoch_us(t)::HUGEINT * 10000000 + event_id) FILTER (action <> 'update_acl') AS wa FROM eff WHERE action <> 'skip' GROUP BY 1)
+  UNION ALL SELECT n.node_id, d.event_id, d.t, CASE WHEN decision = 'tear_down' THEN 'delete' WHEN contains(n.path, '77') THEN 'skip' WHEN decision = 'acl_subtree' THEN 'update_acl' WHEN n.excluded THEN 'skip' ELSE 'sync' END FROM dec d JOIN up ON up.spot = d.path JOIN nodes n ON n.node_id = up.node_id WHERE NOT n.hidden AND decision IN ('sync_subtree', 'acl_subtree', 'tear_down'))
+"""
+
+
+@query("WITH " + NODES + EFFECTS + """, ended AS (SELECT node_id, max(t) AS t, arg_max(action, epoch_us(t)::HUGEINT * 10000000 + event_id) AS la, arg_max(action, epoch_us(t)::HUGEINT * 10000000 + event_id) FILTER (action <> 'update_acl') AS wa FROM eff WHERE action <> 'skip' GROUP BY 1)
 SELECT node_id, t AS "at", CASE WHEN la = 'update_acl' AND wa = 'sync' THEN 'sync' ELSE la END AS action FROM ended""")
 def live_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a log of live events leaves to do to each node, subtrees expanded."""
@@ -339,6 +368,30 @@ def live_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.last_actions(E.live_effects(E.live_decisions(events, nodes), nodes, ("*77*",)))
 
 
+@query("WITH RECURSIVE " + NODES + EFFECTS + """, turn AS (SELECT node_id, action, t, row_number() OVER (PARTITION BY node_id ORDER BY t, event_id) AS k FROM eff WHERE action <> 'skip'),
+fresh AS (SELECT node_id, is_folder, m, 'new' AS name, 'y' AS acl FROM nodes),
+st AS (SELECT f.node_id, 0::BIGINT AS k, page_id IS NOT NULL AS present, CASE WHEN page_id IS NOT NULL THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (page_id * 7 % 31) END AS m, CASE WHEN page_id IS NOT NULL THEN 'old' END AS name, CASE WHEN page_id IS NOT NULL THEN 'x' END AS acl
+    FROM fresh f LEFT JOIN (SELECT page_id, 'p' || page_id AS node_id FROM p WHERE page_id % 2 = 0) s ON s.node_id = f.node_id
+  UNION ALL SELECT st.node_id, turn.k,
+    CASE WHEN action = 'delete' THEN present AND st.m > t WHEN action = 'sync' THEN true ELSE present OR NOT f.is_folder END,
+    CASE WHEN action = 'delete' THEN st.m WHEN action = 'sync' THEN CASE WHEN present AND NOT f.m > st.m THEN st.m ELSE f.m END ELSE CASE WHEN present THEN st.m ELSE f.m END END,
+    CASE WHEN action = 'delete' THEN st.name WHEN action = 'sync' THEN CASE WHEN present AND NOT f.m > st.m THEN st.name ELSE f.name END ELSE CASE WHEN present THEN st.name ELSE f.name END END,
+    CASE WHEN action = 'delete' THEN st.acl ELSE f.acl END
+  FROM st JOIN turn ON turn.node_id = st.node_id AND turn.k = st.k + 1 JOIN fresh f ON f.node_id = st.node_id)
+SELECT node_id, m AS modified_at, name, acl FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY k DESC) = 1) WHERE present""")
+def live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live events as a stream of three micro-batches, each committed to a table of documents; the SQL takes event by event."""
+    events, nodes = _live(spark, sf_dir)
+    base = f"{scratch_root(spark)}/lakeloom/live-{uuid.uuid4().hex}"
+    source = nodes.withColumns({"name": F.lit("new"), "acl": F.lit("y")})
+    number = F.regexp_extract("node_id", "^p([0-9]+)$", 1).try_cast("long")
+    stored = source.where(number % 2 == 0).select("node_id", _day(number * 7 % 31).alias("modified_at"), F.lit("old").alias("name"), F.lit("x").alias("acl"))
+    lake = CommittedTable.create(spark, f"{base}/table", stored.schema, "node_id", 16)
+    lake.overwrite(stored)
+    E.live_stream(_in_turn(events, base, order="at"), lake, lambda: source, "modified_at", ("acl",), f"{base}/checkpoint", excluded_globs=("*77*",))
+    return lake.read()
+
+
 # Streams, run to their end and read back
 
 KINDS = "CASE event_type {} END"
@@ -388,14 +441,17 @@ k AS (SELECT event_type, node_id, min(place) AS place FROM e GROUP BY 1, 2
 SELECT CAST(place % 10000000 AS BIGINT) AS event_id, event_type, node_id FROM k"""
 
 
-def _in_turn(rows: DataFrame, base: str, parts: int = 3) -> DataFrame:
-    """A table as a stream of files in the order of time, one in each micro-batch."""
+FILES = 4
+
+
+def _in_turn(rows: DataFrame, base: str, parts: int = 3, order: str = "ts") -> DataFrame:
+    """A table as a stream of files in the order of time, FILES in each micro-batch."""
     spark = rows.sparkSession
-    ends = rows.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.001)
-    place = sum((F.unix_micros("ts") > int(e)).cast("int") for e in ends)
+    ends = rows.select(F.unix_micros(order).alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.001)
+    place = sum((F.unix_micros(order) > int(e)).cast("int") for e in ends)
     for k in range(parts):
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        rows.where(place == k).repartition(FILES).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{base}/in")
 
 
 def _run(stream: DataFrame, base: str) -> DataFrame:

@@ -20,6 +20,8 @@ from lakeloom.functions.paths import ancestor_paths, matches_glob
 from lakeloom.functions.text import is_blank
 from lakeloom.operators import ingest
 from lakeloom.operators.scope import any_of
+from lakeloom.session import Scratch
+from lakeloom.sources.committed import CommittedTable, Version
 
 # What the audit log calls its events.
 UPSERTS, DELETES, SECURITY = ("documentCreated", "documentModified"), ("documentTrashed", "documentRemoved"), ("documentSecurityUpdated",)
@@ -62,21 +64,30 @@ def live_decisions(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("event_id", "kind", "node_id", "at", "path", F.when(is_blank(F.col("node_id").cast("string")), "filtered").otherwise(made).alias("decision"))
 
 
+SUBTREES = ("sync_subtree", "acl_subtree", "tear_down")
+
+
 def live_effects(decisions: DataFrame, nodes: DataFrame, excluded_globs: tuple[str, ...] = ()) -> DataFrame:
     """node_id, event_id, at and action: what each decision does to each node (sync, update_acl, delete or skip).
 
-    A decision about a subtree reaches every file below the folder: files of excluded paths and excluded
-    ones are skipped, others synced or, out of scope, deleted; access alone is only changed in scope; a
-    tear-down deletes all. Ancestors are joined by path, so the cost is one row a file and folder above it.
+    A decision about a subtree reaches the files below the folder that can be found: not those that are `hidden`
+    (marked as excluded themselves, or of an excluded aspect). Whoever decides has looked at the folder, so no file's
+    own scope is asked again: files of excluded paths are skipped, those that are excluded by a folder in between too where
+    all is synced, but not where access alone changes; the others are synced or get their access. A tear-down deletes
+    all that can be found.
+
+    Of a folder's decisions of a kind the last one counts, as the others do the same before it; so a row comes
+    out for each file, folder above it and kind, however many events there are.
     """
     one = decisions.where(F.col("decision").isin("sync", "update_acl", "delete")).select("node_id", "event_id", "at", F.col("decision").alias("action"))
-    many = decisions.where(F.col("decision").isin("sync_subtree", "acl_subtree", "tear_down")).select(F.col("path").alias("__at"), "event_id", "at", "decision")
-    below = nodes.where(~F.col("is_folder")).withColumn("__at", F.explode(ancestor_paths(F.col("path")))).join(many, "__at")
-    passed = F.col("excluded") | any_of(*[matches_glob(F.col("path"), g) for g in excluded_globs])
-    synced = F.when(passed, "skip").when(F.col("in_scope"), "sync").otherwise("delete")
-    shared = F.when(passed | ~F.col("in_scope"), "skip").otherwise("update_acl")
+    last = decisions.where(F.col("decision").isin(*SUBTREES)).groupBy(F.col("path").alias("__at"), "decision").agg(F.max(F.struct("at", "event_id")).alias("__last"))
+    found = ~F.col("hidden") if "hidden" in nodes.columns else F.lit(True)
+    below = nodes.where(~F.col("is_folder") & found).withColumn("__at", F.explode(ancestor_paths(F.col("path")))).join(last, "__at")
+    passed = any_of(*[matches_glob(F.col("path"), g) for g in excluded_globs])
+    synced = F.when(passed | F.col("excluded"), "skip").otherwise("sync")
+    shared = F.when(passed, "skip").otherwise("update_acl")
     action = F.when(F.col("decision") == "tear_down", "delete").when(F.col("decision") == "sync_subtree", synced).otherwise(shared)
-    return one.unionByName(below.select("node_id", "event_id", "at", action.alias("action")))
+    return one.unionByName(below.select("node_id", "__last.event_id", "__last.at", action.alias("action")))
 
 
 def last_actions(effects: DataFrame) -> DataFrame:
@@ -90,15 +101,74 @@ def last_actions(effects: DataFrame) -> DataFrame:
     return last.select("node_id", "last.at", action.alias("action"))
 
 
-def apply_actions(stored: DataFrame, actions: DataFrame, nodes: DataFrame, modified: str, acl: tuple[str, ...]) -> DataFrame:
-    """The stored documents (node_id, `modified`, access and other columns) after the actions, nodes being the source's rows.
+def node_steps(effects: DataFrame) -> DataFrame:
+    """One row a node: the five steps that leave a stored document as all its effects in turn would.
+
+    deleted_before (time of the latest deletion before the last sync), synced, shared_before (access changed between that and
+    the last deletion), deleted_after (time of the latest deletion behind the last sync) and shared_after. Nodes are as they are
+    now, so syncs before the last one and access changes before it leave no trace.
+    """
+    real = effects.where("action <> 'skip'").select("node_id", "action", "at", F.struct("at", "event_id").alias("place"))
+    last = real.groupBy(F.col("node_id").alias("__node")).agg(F.max(F.when(F.col("action") == "sync", F.col("place"))).alias("__sync"), F.max(F.when(F.col("action") == "delete", F.col("place"))).alias("__delete"))
+    joined = real.join(last, F.col("node_id") == F.col("__node"))
+    behind = F.col("__sync").isNull() | (F.col("place") > F.col("__sync"))
+    gone, shared = F.col("action") == "delete", (F.col("action") == "update_acl") & behind
+    return joined.groupBy("node_id").agg(
+        F.max(F.when(gone & ~behind, F.col("at"))).alias("deleted_before"),
+        F.bool_or(F.col("action") == "sync").alias("synced"),
+        F.bool_or(F.coalesce(shared & (F.col("place") < F.col("__delete")), F.lit(False))).alias("shared_before"),
+        F.max(F.when(gone & behind, F.col("at"))).alias("deleted_after"),
+        F.bool_or(shared & (F.col("__delete").isNull() | (F.col("place") > F.col("__delete")))).alias("shared_after"),
+    )
+
+
+def apply_steps(stored: DataFrame, steps: DataFrame, nodes: DataFrame, modified: str, acl: tuple[str, ...]) -> DataFrame:
+    """The stored documents (node_id, `modified`, access and other columns) after node_steps, nodes being the source's rows.
 
     Syncs and deletions are guarded by times: a document stored strictly after a deletion stays.
     """
-    of = lambda name: actions.where(F.col("action") == name).select("node_id", "at")
-    out = ingest.delete(stored, of("delete").withColumnRenamed("at", "deleted_at"), "node_id", modified)
-    out = ingest.sync(out, nodes.join(of("sync").select("node_id"), "node_id", "left_semi"), "node_id", modified, acl).drop("outcome")
-    return ingest.update_acl(out, nodes.join(of("update_acl").select("node_id"), "node_id", "left_semi"), "node_id", acl)
+    gone = lambda rows, c: ingest.delete(rows, steps.where(F.col(c).isNotNull()).select("node_id", F.col(c).alias("deleted_at")), "node_id", modified)
+    of = lambda c: nodes.join(steps.where(F.col(c)).select("node_id"), "node_id", "left_semi")
+    out = ingest.sync(gone(stored, "deleted_before"), of("synced"), "node_id", modified, acl).drop("outcome")
+    out = gone(ingest.update_acl(out, of("shared_before"), "node_id", acl), "deleted_after")
+    return ingest.update_acl(out, of("shared_after"), "node_id", acl)
+
+
+def apply_actions(stored: DataFrame, actions: DataFrame, nodes: DataFrame, modified: str, acl: tuple[str, ...]) -> DataFrame:
+    """The stored documents after last_actions: as apply_steps, where nothing but the last action is known."""
+    is_ = lambda name: F.col("action") == name
+    never = F.when(F.lit(False), F.col("at"))
+    steps = actions.select("node_id", never.alias("deleted_before"), is_("sync").alias("synced"), F.lit(False).alias("shared_before"), F.when(is_("delete"), F.col("at")).alias("deleted_after"), is_("update_acl").alias("shared_after"))
+    return apply_steps(stored, steps, nodes, modified, acl)
+
+
+def apply_live_batch(table: CommittedTable, events: DataFrame, nodes: DataFrame, modified: str, acl: tuple[str, ...], excluded_globs: tuple[str, ...] = (), batch: tuple[str, int] | None = None) -> Version:
+    """A batch of live events, committed to a table of documents keyed by node_id as one version.
+
+    nodes: the source as it is now, with node_id, path, is_folder, in_scope, indexed, excluded, perhaps hidden, and the
+    documents' columns. Steps are written before the merge, as several of its parts read them.
+    """
+    version = table.version()
+    if batch and version.batches.get(batch[0], -1) >= batch[1]:
+        return version
+    scratch = Scratch(table.spark, "live")
+    steps = scratch.save("steps", node_steps(live_effects(live_decisions(events, nodes), nodes, excluded_globs)))
+    stored_columns = StructType.fromJson(json.loads(version.schema)).fieldNames()
+    source = nodes.select(*dict.fromkeys([*stored_columns, "is_folder"]))
+    try:
+        return table.change(steps, lambda stored: apply_steps(stored, steps, source.join(steps.select("node_id"), "node_id", "left_semi"), modified, acl), "live", batch)
+    finally:
+        scratch.drop("steps")
+
+
+def live_stream(events: DataFrame, table: CommittedTable, nodes: Callable[[], DataFrame], modified: str, acl: tuple[str, ...], checkpoint: str, name: str = "live", excluded_globs: tuple[str, ...] = ()) -> StreamingQuery:
+    """A topic of live events (event_id, kind, node_id, at) followed into a table of documents.
+
+    Each micro-batch is joined with the source as `nodes` reads it at that time, and committed under the stream's name and the
+    batch's number: one that is run again after a failure between commit and checkpoint changes nothing, so the table
+    holds each event's effect exactly once. All that is there is processed; start it again for what comes.
+    """
+    return run_available(events, lambda batch, number: apply_live_batch(table, batch, nodes(), modified, acl, excluded_globs, (name, number)), checkpoint)
 
 
 def live_counters(decisions: DataFrame) -> DataFrame:
