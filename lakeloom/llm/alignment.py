@@ -17,7 +17,7 @@ from lakeloom.llm.packing import Encoder, byte_alphabet
 from lakeloom.session import Scratch
 
 #: Units whose alignment a worker keeps, and the bytes of text that are aligned at once.
-CACHED_UNITS, BLOCK_BYTES = 1_000_000, 4 << 20
+CACHED_UNITS, BLOCK_BYTES = 500_000, 4 << 20
 STEP = 4096
 MARK = "▁"
 #: What a block of documents may take in DuckDB, within one task.
@@ -285,6 +285,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
     return arrow_map(texts(docs), run, ALIGNED + (", groups string" if keep_groups else ""))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller ones, as the links of a batch are unfolded at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _links(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All links of a batch, and where each row's end."""
     parts = b.column("links").to_pylist()
@@ -296,9 +303,11 @@ def pair_counts(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(pair, a_id, b_id, n): how many links of `align`'s table hold each pair. Each task counts its own first, to a row a pair; Spark merges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared_aligner(a_path, b_path).v.pairs
+        aligner = shared_aligner(a_path, b_path)
+        aligner.clear()  # the texts are aligned, and only the pairs' numbers are needed from here on
+        pairs = aligner.v.pairs
         total = np.zeros(len(pairs), dtype=np.int64)
-        for b in batches:
+        for b in _slices(batches):
             total += np.bincount(_links(b)[0], minlength=len(pairs))
         seen = np.flatnonzero(total)
         yield batch(pair=pa.array(seen, pa.int64()), a_id=pa.array(pairs[seen, 0]), b_id=pa.array(pairs[seen, 1]), n=pa.array(total[seen]))
@@ -325,7 +334,7 @@ def score_links(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, best = sent.value
-        for b in batches:
+        for b in _slices(batches):
             links, ends = _links(b)
             of = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[links])])[np.concatenate([[0], ends])])
             yield batch(**{c: b.column(c) for c in kept}, n_best=pa.array(of(best), pa.int64()), count_sum=pa.array(of(count), pa.int64()))
