@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,14 +35,22 @@ def all_of(*conditions: Column | None) -> Column:
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
 
 
-def _vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray | None]:
-    """Vectors of length one; None for those that are null, empty, zero or hold a null or no number."""
-    out = []
-    for v in column:
-        x = np.asarray(v.as_py(), dtype=np.float64) if v.is_valid and len(v) else None
-        length = 0.0 if x is None else math.sqrt(float((x * x).sum()))
-        out.append(x if length > 0 and math.isfinite(length) else None)
-    return out
+def _usable(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By number of dimensions: places, rows as a matrix, and lengths of the vectors that have one: not those that are
+    null, empty, zero or hold a null or no number."""
+    size = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    start = np.cumsum(size) - size
+    for dims in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == dims)
+        matrix = flat.reshape(-1, dims) if len(rows) * dims == len(flat) else flat[start[rows][:, None] + np.arange(dims)]
+        length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+        good = np.isfinite(length) & (length > 0)
+        yield dims, rows[good], matrix[good], length[good]
+
+
+#: Products of whole matrices may differ from exact ones by so much at most.
+SLACK = 1e-9
 
 
 class _Asked:
@@ -52,7 +61,7 @@ class _Asked:
         if rows.num_rows > QUERY_BLOCK:
             raise ValueError(f"more than {QUERY_BLOCK} queries: search in blocks")
         self.q = rows["q"].combine_chunks()
-        self.vectors = _vectors(rows["vector"])
+        self.vectors = {dims: rest for dims, *rest in _usable(rows["vector"].combine_chunks())}
         self.terms = rows["terms"].to_pylist() if "terms" in rows.column_names else [[] for _ in self.q]
         self.tokens = rows["tokens"].to_pylist() if "tokens" in rows.column_names else None
 
@@ -66,21 +75,32 @@ def _mask(groups: list[list[str] | None]) -> dict[str, np.ndarray]:
     return out
 
 
-def _cosines(column: pa.Array, asked: list[np.ndarray | None]) -> np.ndarray:
-    """Cosines of chunks and queries; 0 where either has no vector or their lengths differ.
+class _Cosines:
+    """Cosines of chunks and queries; 0 where either has no vector or their numbers of dimensions differ.
 
-    Products are taken vector by vector in one order, so that equal vectors have equal scores.
+    All of them come from one matrix product for each number of dimensions. `exact` takes those of pairs again, vector by
+    vector in one order, so that equal vectors have equal scores.
     """
-    out = np.zeros((len(column), len(asked)))
-    vectors = _vectors(column)
-    for dims in {len(v) for v in asked if v is not None}:
-        rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == dims]
-        cols = [k for k, v in enumerate(asked) if v is not None and len(v) == dims]
-        if rows:
-            a, b = np.stack([vectors[i] for i in rows]), np.stack([asked[k] for k in cols])
-            lengths = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))[None, :]
-            out[np.ix_(rows, cols)] = np.einsum("id,kd->ik", a, b) / lengths
-    return out
+
+    def __init__(self, column: pa.Array, asked: _Asked):
+        self.all = np.zeros((len(column), len(asked.q)))
+        self.sides = []
+        for dims, rows, a, a_length in _usable(column):
+            if dims in asked.vectors and len(rows):
+                cols, b, b_length = asked.vectors[dims]
+                self.all[np.ix_(rows, cols)] = (a / a_length[:, None]) @ (b / b_length[:, None]).T
+                at_row, at_col = np.full(len(column), -1), np.full(len(asked.q), -1)
+                at_row[rows], at_col[cols] = np.arange(len(rows)), np.arange(len(cols))
+                self.sides.append((at_row, a, a_length, at_col, b, b_length))
+
+    def exact(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for at_row, a, a_length, at_col, b, b_length in self.sides:
+            i, k = at_row[rows], at_col[cols]
+            both = np.flatnonzero((i >= 0) & (k >= 0))
+            i, k = i[both], k[both]
+            out[both] = np.einsum("ij,ij->i", a[i], b[k]) / (a_length[i] * b_length[k])
+        return out
 
 
 def _holding(texts: pa.Array, terms: list[list[str]]) -> np.ndarray:
@@ -95,46 +115,57 @@ def _holding(texts: pa.Array, terms: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _best(scores: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, query) of the best `most` allowed scores of each query; of equal ones the first rows."""
-    shown = np.where(allowed, scores, -np.inf)
-    order = np.argsort(-shown, axis=0, kind="stable")[:most]
-    rows, cols = order.ravel(), np.broadcast_to(np.arange(scores.shape[1]), order.shape).ravel()
-    keep = allowed[rows, cols]
-    return rows[keep], cols[keep]
+def _best(cosines: _Cosines, allowed: np.ndarray, most: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (row, query) and exact cosines of the best `most` allowed pairs of each query; of equal ones the first rows."""
+    shown = np.where(allowed, cosines.all, -np.inf)
+    if len(shown) > most:
+        allowed = allowed & (shown >= np.partition(shown, len(shown) - most, axis=0)[len(shown) - most] - SLACK)
+    rows, cols = np.nonzero(allowed)
+    score = cosines.exact(rows, cols)
+    if floor is not None:
+        rows, cols, score = (x[score >= floor] for x in (rows, cols, score))
+    order = np.lexsort((rows, -score, cols))
+    rows, cols, score = rows[order], cols[order], score[order]
+    place = np.arange(len(cols)) - np.searchsorted(cols, cols)
+    return rows[place < most], cols[place < most], score[place < most]
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, legs: tuple[str, ...], most: int, floor: float | None = None) -> DataFrame:
+def candidates(chunks: DataFrame, queries: DataFrame, legs: tuple[str, ...], most: int, floor: float | None = None, probed: dict[int, np.ndarray] | None = None) -> DataFrame:
     """q, leg, rank, cosine and the chunks' columns: the best `most` of each query by cosine, then key, in each leg.
 
-    Legs: "vector", all chunks that the query may see; "keyword", those that hold one of its terms.
+    Legs: "vector", all chunks that the query may see; "keyword", those that hold one of its terms. probed: by the
+    chunks' column `list`, which of the queries look there; all where it is None.
     """
     asked = _Asked(queries)
     q_type = queries.schema["q"].dataType
-    shared = chunks.sparkSession.sparkContext.broadcast(asked)
+    shared = chunks.sparkSession.sparkContext.broadcast((asked, probed))
     schema = StructType.fromJson(chunks.schema.jsonValue()).add("q", q_type).add("leg", "string").add("cosine", "double")
     at_once = max(1, min(ROWS, PRODUCTS // max(1, len(asked.q))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        asked, probed = shared.value
         ids = asked.q
         readers = _mask(asked.tokens) if asked.tokens is not None else {}
+        nobody = np.zeros(len(ids), dtype=bool)
         for whole in batches:
             for begin in range(0, whole.num_rows if len(ids) else 0, at_once):
                 b = whole.slice(begin, at_once)
                 b = b.take(pa.compute.sort_indices(b.column("key")))
-                score = _cosines(b.column("vector"), asked.vectors)
-                seen = np.ones(score.shape, dtype=bool)
+                cosines = _Cosines(b.column("vector"), asked)
+                seen = np.ones(cosines.all.shape, dtype=bool)
                 if asked.tokens is not None:
                     for i, racl in enumerate(b.column("racl").to_pylist()):
-                        seen[i] = reduce(np.logical_or, [readers[t] for t in racl or () if t in readers], np.zeros(len(ids), dtype=bool))
+                        seen[i] = reduce(np.logical_or, [readers[t] for t in racl or () if t in readers], nobody)
+                if probed is not None:
+                    at, of = np.unique(b.column("list").to_numpy(), return_inverse=True)
+                    seen &= np.stack([probed.get(x, nobody) for x in at.tolist()])[of]
                 if floor is not None:
-                    seen &= score >= floor
+                    seen &= cosines.all >= floor - SLACK
                 for leg in legs:
-                    rows, cols = _best(score, seen if leg == "vector" else seen & _holding(b.column("text"), asked.terms), most)
+                    rows, cols, score = _best(cosines, seen if leg == "vector" else seen & _holding(b.column("text"), asked.terms), most, floor)
                     if len(rows):
                         part = b.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([*part.columns, ids.take(pa.array(cols)), pa.array([leg] * len(rows)), pa.array(score[rows, cols])], names=[*part.schema.names, "q", "leg", "cosine"])
+                        yield pa.RecordBatch.from_arrays([*part.columns, ids.take(pa.array(cols)), pa.array([leg] * len(rows)), pa.array(score)], names=[*part.schema.names, "q", "leg", "cosine"])
 
     found = spread(chunks).mapInArrow(run, schema)
     return ranked(found, [F.desc("cosine"), F.asc("key")], most, by=("q", "leg"))
@@ -255,6 +286,14 @@ def variant_counts(hits: DataFrame) -> DataFrame:
 
 
 def enrich(hits: DataFrame, documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Hits with their documents' columns, after the limit; a hit without one keeps its id alone."""
-    one = documents.dropDuplicates([doc_id])
-    return hits.join(one, doc_id, "left")
+    """Hits with their documents' columns, after the limit; a hit without one keeps its id alone.
+
+    The hits are few, so it is documents that are reduced to theirs, where they lie, before one row of each is picked:
+    the first by its values, as a struct.
+    """
+    wanted = hits.select(F.col(doc_id).alias("__wanted")).distinct()
+    found = documents.join(F.broadcast(wanted), F.col(doc_id) == F.col("__wanted"), "left_semi")
+    others = [c for c in documents.columns if c != doc_id]
+    sortable = [c for c in others if "map<" not in dict(documents.dtypes)[c]]
+    one = found.groupBy(doc_id).agg(F.min_by(F.struct(*others), F.struct(*sortable) if sortable else F.lit(0)).alias("__row"))
+    return hits.join(one, doc_id, "left").select(*hits.columns, *[F.col(f"__row.{c}").alias(c) for c in others])

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
 from lakeloom.functions import vectors as V
 from lakeloom.operators import acl, filters, rag, search, status
+from lakeloom.operators.term_index import TermIndex
+from lakeloom.operators.vector_index import VectorIndex
 from lakeloom.plans.book import book, table
+from lakeloom.session import scratch_root
 
 BOOK, query = book()
 
@@ -112,6 +117,20 @@ def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search.keyword_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30), "score")
 
 
+@query("WITH " + SCORED + LEGS + "x AS (SELECT 1) SELECT q, CAST(r AS INT) AS rank, key, round(bm25, 9) AS score FROM kw")
+def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of trigrams, built here."""
+    index = TermIndex.build(chunks(spark, sf_dir), f"{scratch_root(spark)}/lakeloom/terms-{uuid.uuid4().hex}")
+    return shown(index.keyword_search(asked(spark, sf_dir), 30), "score")
+
+
+@query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r")
+def semantic_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest chunks through an inverted file of vectors, built here, searched until no list can hold a nearer one."""
+    index = VectorIndex.build(chunks(spark, sf_dir), f"{scratch_root(spark)}/lakeloom/vectors-{uuid.uuid4().hex}")
+    return shown(index.nearest(asked(spark, sf_dir), 20).select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score")), "score")
+
+
 @query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0 QUALIFY rank <= 10) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r")
 def chunk_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms as a condition of the vector search."""

@@ -130,6 +130,13 @@ class CommittedTable:
         paths = [f"{self.root}/data/{f}/{BUCKET}={b}" for b, f in version.folders.items() if buckets is None or b in buckets]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def rows_of(self, keys: DataFrame, number: int | None = None) -> DataFrame:
+        """The rows of some keys; only the buckets that hold any of them are read. Their numbers come to the driver."""
+        version = self.version(number)
+        wanted = keys.select(version.key).where(F.col(version.key).isNotNull())
+        buckets = [r[0] for r in wanted.select(self._bucket(version, version.key)).distinct().collect()]
+        return self._rows(version, buckets).join(wanted.distinct(), version.key, "left_semi")
+
     def _bucket(self, version: Version, key: str):
         return F.pmod(F.xxhash64(key), F.lit(version.buckets)).cast("string")
 
