@@ -482,10 +482,11 @@ def memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + AUDIT + "SELECT id, event_id, node_id FROM a WHERE log_date > TIMESTAMP '2024-01-05 00:00:00'")
 def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit log through its own source: pages of a thousand, the cursor in the checkpoint."""
+    """The audit log through its own source: files by time, about a thousand entries or a row group in a page, the cursor in the checkpoint."""
     audit.register(spark)
     base = f"{scratch_root(spark)}/lakeloom/audit-{uuid.uuid4().hex}"
-    audit_log(spark, sf_dir).withColumn("log_date", F.col("log_date").cast("timestamp_ntz")).write.parquet(f"{base}/in")
+    log = audit_log(spark, sf_dir).withColumn("log_date", F.col("log_date").cast("timestamp_ntz"))
+    log.repartitionByRange("log_date").sortWithinPartitions("log_date", "id").write.option("parquet.block.size", 1 << 20).parquet(f"{base}/in")
     start = 1_704_412_800_000_000  # 2024-01-05, in microseconds
     stream = spark.readStream.format("audit_log").option("path", f"{base}/in").option("page", 1000).option("start", start).load()
     query = stream.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")).option("checkpointLocation", f"{base}/checkpoint").start()

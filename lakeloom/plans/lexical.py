@@ -269,10 +269,23 @@ def glob_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_paths(spark, sf_dir).where(P.matches_glob(F.col("path"), "/*1*"))
 
 
-@query("SELECT doc_id, 'repo:' || source AS full_id, source AS bare_id, 'https://h/' || source || '/' || doc_id AS link FROM documents")
+def _sql_encoded(value: str, kept: str) -> str:
+    out = f"url_encode({value})"
+    for sign in kept:
+        out = f"replace({out}, '%{ord(sign):02X}', '{sign * 2 if sign == chr(39) else sign}')"
+    return out
+
+
+NAMES = "d AS (SELECT doc_id, 'repo:' || source AS full_id, source, '/' || lang || ' docs/é & co/' || source AS path, trim(substr(regexp_replace(text, '[\\x00-\\x20]+', ' ', 'g'), 1, 16)) AS name FROM documents)"
+
+
+@query("WITH " + NAMES + f"""SELECT doc_id, full_id, source AS bare_id, CASE WHEN name <> '' THEN 'https://h/' || source || {_sql_encoded("path || '/' || name", "!$&'()*+,;=:@/")} || '?id=' || doc_id || '&n=' || {_sql_encoded("name", "!$&'()*+,;=:@")} END AS link FROM d""")
 def source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and links of documents whose folders and names, the begin of their text, have blanks, accents and other signs."""
     full = P.source_id(F.lit("repo"), F.col("source"))
-    link = P.open_link(F.lit("https://h/{repo}/{id}"), {"repo": F.col("source"), "id": F.col("doc_id").cast("string")})
+    name = F.trim(F.substring(F.regexp_replace("text", r"[\x00-\x20]+", " "), 1, 16))
+    values = P.link_values(F.col("doc_id").cast("string"), full, F.concat(F.lit("/"), "lang", F.lit(" docs/é & co/"), "source"), name)
+    link = P.open_link(F.lit("https://h/{sourceId}{documentPath}?id={nodeId}&n={sourceName}"), values, ("nodeId",))
     return table(spark, sf_dir, "documents").select("doc_id", full.alias("full_id"), F.element_at(P.source_id_variants(full), 2).alias("bare_id"), link.alias("link"))
 
 

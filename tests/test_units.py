@@ -138,6 +138,13 @@ def test_paths(spark):
     assert one(spark, P.parent_path(F.lit("/a/b/"))) == "/a"
     assert one(spark, P.matches_glob(F.lit("/x/tmp/y"), "*/tmp/*")) and not one(spark, P.matches_glob(F.lit("/x/y"), "*/tmp/*"))
     assert one(spark, P.open_link(F.lit("h/{a}/{b}"), {"a": F.lit("1 2")})) is None
+    assert one(spark, P.open_link(F.lit("h/{a}"), {"a": F.lit("1 2"), "b": F.lit(" ")}, ("b",))) is None
+    assert one(spark, P.open_link(F.lit("h/{a}"), {"a": F.lit(" 1 2 ")})) == "h/1 2" and one(spark, P.open_link(F.lit(" "), {})) is None
+    assert one(spark, P.encode_path(F.lit("/a b/c d"))) == "/a%20b/c%20d" and one(spark, P.encode_segment(F.lit("a/ü{+}"))) == "a%2F%C3%BC%7B+%7D"
+    assert one(spark, P.encode_path(F.lit(" "))) is None and one(spark, P.encode_path(F.lit("/x^\U0001f600"))) == "/x%5E%F0%9F%98%80"
+    assert one(spark, P.own_id(F.lit("a:b:c"))) == "b:c" and one(spark, P.own_id(F.lit("a:"))) == "a:" and one(spark, P.own_id(F.lit(" "))) is None
+    links = P.link_values(F.lit("n"), F.lit("t:s"), F.lit("/p q/"), F.lit("r"), F.lit(" "))
+    assert one(spark, P.open_link(F.lit("{sourceId}{documentPath}#{fullSourceId}"), links)) == "s/p%20q/r#t:s"
     assert one(spark, P.source_id(F.lit("t"), F.lit("x"))) == "t:x" and one(spark, P.source_id(F.lit("t"), F.lit("y:x"))) == "y:x"
 
 
