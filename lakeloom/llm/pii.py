@@ -267,6 +267,70 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: Code points of a piece of text in which spans are replaced, so that no span looks at the whole text.
+PIECE = 2_048
+
+
+def _reach(ends: Column) -> Column:
+    """For each of an array's values the largest of those before it, 0 for the first; as _running, by blocks."""
+
+    def before(values: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+        return F.aggregate(values, none, lambda a, x: F.struct(F.greatest(a["at"], x).alias("at"), F.concat(a["list"], F.array(a["at"])).alias("list")))["list"]
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / BLOCK).cast("int")), lambda b: F.slice(ends, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.flatten(F.zip_with(blocks, before(F.transform(blocks, F.array_max)), lambda b, at: F.transform(before(b), lambda x: F.greatest(x, at))))
+
+
+def _first_from(spans: Column, place: Column) -> Column:
+    """How many of the spans, ordered by start, start before a place: by halving."""
+    bounds = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def halve(b: Column, _: Column) -> Column:
+        middle = F.floor((b["low"] + b["high"]) / 2).cast("int")
+        before = (b["low"] < b["high"]) & (F.get(spans, middle)["start"] < place)
+        return F.struct(F.when(before, middle + 1).otherwise(b["low"]).alias("low"), F.when(before | (b["low"] >= b["high"]), b["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int")), bounds, halve)["low"]
+
+
+def replace_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
+    """`text` with each of `spans` (an array of start, end, kind; null: none) replaced by its kind in angle brackets.
+
+    Overlapping spans are one, named after the first. The text is cut to pieces once and each span is replaced in the
+    pieces that it touches, so the time grows with text and spans, not with their product. Columns named __* are used.
+    """
+    heads = F.filter(F.zip_with("__sorted", "__reach", lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("reach"))), lambda s: s["start"] >= s["reach"])
+    merged = F.transform("__heads", lambda h, k: F.struct(h["start"].alias("start"), F.coalesce(F.get("__heads", k + 1)["reach"], F.array_max("__ends")).alias("end"), h["kind"].alias("kind")))
+    some = F.size(F.coalesce(spans, F.array())) > 0
+
+    def piece(part: Column, number: Column) -> Column:
+        base = number * PIECE
+        low, high = F.get("__first", number), F.get("__first", number + 1)
+        reached = F.when(low > 0, F.greatest(F.get("__merged", low - 1)["end"] - base, F.lit(0))).otherwise(F.lit(0))
+        start = F.struct(reached.alias("at"), F.lit("").alias("out"))
+
+        def put(a: Column, s: Column) -> Column:
+            fresh = F.concat(a["out"], F.substring(part, a["at"] + 1, s["start"] - base - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.struct((s["end"] - base).alias("at"), fresh.alias("out"))
+
+        return F.aggregate(F.slice("__merged", low + 1, high - low), start, put, lambda a: F.concat(a["out"], F.substring(part, a["at"] + 1, F.lit(PIECE))))
+
+    steps = [
+        ("__sorted", F.when(some, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))),
+        ("__ends", F.transform("__sorted", lambda s: s["end"])),
+        ("__reach", _reach(F.col("__ends"))),
+        ("__heads", heads),
+        ("__merged", merged),
+        ("__parts", F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))),
+        ("__first", F.transform(F.sequence(F.lit(0), F.size("__parts")), lambda n: _first_from(F.col("__merged"), n * PIECE))),
+        (text, F.when(some, F.array_join(F.transform("__parts", piece), "")).otherwise(F.col(text))),
+    ]
+    for name, column in steps:
+        rows = rows.withColumn(name, column)
+    return rows.drop(*[name for name, _ in steps[:-1]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind in angle brackets; all columns, n_chars kept in step.
 
@@ -277,17 +341,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found_spans = find_spans(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    found_spans = found_spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("__spans"))
+    found_spans = found_spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     joined = docs.join(found_spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    whole = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate("__spans", start, put, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    out = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), done).otherwise(whole))
+    out = replace_spans(joined, "text", "__spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
