@@ -15,6 +15,7 @@ from lakeloom.session import scratch_root
 from lakeloom.sources import audit
 from lakeloom.sources.committed import CommittedTable
 from lakeloom.streaming import events as E
+from lakeloom.streaming import metrics
 
 BOOK, query = book()
 
@@ -497,6 +498,29 @@ def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*").select("id", "event_id", "node_id")
 
 
+@query("WITH " + AUDIT + ", o AS (SELECT CASE WHEN event_id IN ('documentCreated','documentModified') THEN 'upsert' WHEN event_id = 'documentSecurityUpdated' THEN 'acl' WHEN event_id = 'other' THEN 'skip' ELSE 'delete' END AS outcome FROM a) SELECT 'received' AS counter, count(*) AS n FROM o UNION ALL SELECT outcome, count(*) FROM o GROUP BY 1")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of the audit stream counted by itself while its rows passed, told by its progress."""
+    audit.register(spark)
+    base = f"{scratch_root(spark)}/lakeloom/metrics-{uuid.uuid4().hex}"
+    log = audit_log(spark, sf_dir).withColumn("log_date", F.col("log_date").cast("timestamp_ntz"))
+    log.repartitionByRange("log_date").sortWithinPartitions("log_date", "id").write.parquet(f"{base}/in")
+    progress = metrics.Progress("audit")
+    spark.streams.addListener(progress)
+    try:
+        routed = spark.readStream.format("audit_log").option("path", f"{base}/in").option("page", 2000).load().withColumn("outcome", E.route(F.col("event_id"), F.col("node_id").cast("string")))
+        told = metrics.counted_stream(routed, "audit", F.col("outcome"), ("upsert", "acl", "delete", "skip"))
+        running = told.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+        progress.wait(running)
+    finally:
+        spark.streams.removeListener(progress)
+    return spark.createDataFrame([(k, v) for k, v in progress.totals().items() if v], "counter string, n long")
+
+
 @query("SELECT user_id AS node_id, bool_or(event_id % 4 = 0) AS recursive, arg_min(event_type, event_id) AS reason FROM events GROUP BY 1")
 def acl_request_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("node_id"), (F.col("event_id") % 4 == 0).alias("recursive"), F.col("event_type").alias("reason"), F.col("event_id").alias("seq"))

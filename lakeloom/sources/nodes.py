@@ -9,6 +9,7 @@ from lakeloom.functions.paths import ancestor_paths, parent_path
 from lakeloom.functions.text import is_blank
 from lakeloom.operators.scope import any_of, under
 from lakeloom.operators.search import all_of
+from lakeloom.session import Scratch
 
 # Types that hold text as it is.
 TEXT_TYPES = ("application/json", "application/xml", "application/javascript")
@@ -63,17 +64,28 @@ def discover(nodes: DataFrame, roots: tuple[str, ...] = (), types: tuple[str, ..
 
 
 def tree(nodes: DataFrame, root_id: str, depth: int | None = None) -> DataFrame:
-    """All nodes below one where only parents are known, level by level: one join each, until a level has none.
+    """All nodes below one where only parents are known, in as many rounds as the logarithm of the levels.
 
-    depth: as many levels at most. A cycle ends where it comes back to a node.
+    Every node points to its parent and knows how far that is; each round lets it point to where that node points, so
+    distances double. A node whose pointer has met the root is below it; one whose pointer runs out isn't. What is still
+    open after rounds for a chain of all nodes runs in a cycle without the root. depth: as many levels at most.
+    Of a round a row a node travels, and one number comes to the driver.
     """
-    level = nodes.where(F.col("parent_id") == root_id).select("node_id")
-    seen, number = None, 0
-    while number != depth and not level.isEmpty():
-        seen = level if seen is None else seen.unionByName(level)
-        seen, number = seen.checkpoint(), number + 1
-        level = nodes.join(level.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id").join(seen, "node_id", "left_anti").checkpoint()
-    return nodes.limit(0) if seen is None else nodes.join(seen, "node_id", "left_semi")
+    scratch = Scratch(nodes.sparkSession, "tree")
+    at_root = F.col("parent_id") == root_id
+    start = nodes.where(F.col("node_id") != root_id).select("node_id", F.when(~at_root, F.col("parent_id")).alias("at"), F.lit(1).cast("long").alias("steps"), F.when(at_root, F.lit(1).cast("long")).alias("level"))
+    state = scratch.save("state", start)
+    n, left = state.agg(F.count("*"), F.count("at")).first()
+    for _ in range(max(1, n).bit_length() + 1):
+        if not left:
+            break
+        aim = state.select(F.col("node_id").alias("at"), F.col("at").alias("__at"), F.col("steps").alias("__steps"), F.col("level").alias("__level"))
+        open_ = state.where(F.col("at").isNotNull()).join(aim, "at", "left")
+        moved = open_.select("node_id", F.col("__at").alias("at"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("steps") + F.col("__level")).alias("level"))
+        state = scratch.save("state", state.where(F.col("at").isNull()).unionByName(moved))
+        left = state.agg(F.count("at")).first()[0]
+    below = state.where(F.col("at").isNull() & F.col("level").isNotNull())
+    return nodes.join((below if depth is None else below.where(F.col("level") <= depth)).select("node_id"), "node_id", "left_semi")
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:

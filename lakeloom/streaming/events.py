@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,6 +207,19 @@ def accepted(times: list[pd.Timestamp], window: timedelta, last: pd.Timestamp |
     return out
 
 
+def jumps(times: np.ndarray, window: timedelta, last: np.datetime64 | None = None) -> list[int]:
+    """Places of the accepted ones of ascending times: from each to the first that is out of its window."""
+    step = np.timedelta64(int(window.total_seconds() * 1_000_000), "us")
+    if window <= timedelta(0):
+        return list(range(len(times)))
+    out: list[int] = []
+    at = 0 if last is None else int(np.searchsorted(times, last + step))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + step))
+    return out
+
+
 def drop_repeats(events: DataFrame, window: timedelta) -> DataFrame:
     """Batch: events (event_type, node_id, ts, event_id) without those within the window of the last kept of their key.
 
@@ -215,16 +229,18 @@ def drop_repeats(events: DataFrame, window: timedelta) -> DataFrame:
     keyed = events.where("node_id is not null").repartition("event_type", "node_id").sortWithinPartitions("event_type", "node_id", "ts", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[tuple, pd.Timestamp] = {}
+        key, last = None, None
         for b in batches:
-            keep = []
-            for kind, node, ts in zip(b["event_type"], b["node_id"], b["ts"]):
-                key = (kind, node)
-                fresh = accepted([ts], window, last.get(key))[0]
-                if fresh:
-                    last = {key: ts}  # sorted by key: only the current one matters
-                keep.append(fresh)
-            yield b[keep]
+            kept = []
+            for k, rows in b.groupby(["event_type", "node_id"], sort=False, dropna=False).indices.items():
+                # sorted by key: only the one that a batch ends with goes on
+                last = last if k == key else None
+                key = k
+                times = b["ts"].to_numpy()[rows]
+                fresh = jumps(times, window, last)
+                kept += [rows[i] for i in fresh]
+                last = times[fresh[-1]] if fresh else last
+            yield b.iloc[sorted(kept)]
 
     return keyed.mapInPandas(fold, events.schema).unionByName(events.where("node_id is null"))
 
@@ -264,6 +280,86 @@ def drop_repeats_stream(events: DataFrame, window: timedelta) -> DataFrame:
     return kept.unionByName(events.where("node_id is null"))
 
 
+ARRIVED = "__arrived"
+
+
+def _arriving(rows: DataFrame, arrived: Column | None) -> DataFrame:
+    return rows.withColumn(ARRIVED, (F.current_timestamp() if arrived is None else arrived).cast("timestamp"))
+
+
+def _keep_for(state: GroupState, length: timedelta) -> None:
+    """State goes once the machine's clock has gone on by a length, at the first batch after that."""
+    state.setTimeoutDuration(max(1, int(length.total_seconds() * 1000)))
+
+
+def drop_repeats_arriving(events: DataFrame, window: timedelta, arrived: Column | None = None) -> DataFrame:
+    """A stream of events (event_type, node_id, event_id, ...) without those that arrive less than `window` after the last kept of their key,
+    whatever times they bear.
+
+    `arrived` is the clock: the time of the micro-batch unless it is given. At exactly `window` an event is kept. Events of
+    a null or blank node are never repeats; a window of none keeps all. State goes by the machine's clock, whether or
+    not events of any key come, and what is decided hangs on the times of arrival alone. As the clock alone can end state, such
+    a stream never runs dry: give it a trigger of some seconds and stop it.
+    """
+    if window <= timedelta(0):
+        return events
+    fields = list(events.columns)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values([ARRIVED, "event_id"])
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        keep = accepted(rows[ARRIVED].tolist(), window, last)
+        if any(keep):
+            last = rows[ARRIVED][keep].iloc[-1]
+        state.update((last.to_pydatetime(),))
+        _keep_for(state, max(timedelta(milliseconds=1), last + window - rows[ARRIVED].iloc[-1]))
+        yield rows[keep][fields]
+
+    named = ~is_blank(F.col("node_id").cast("string"))
+    keyed = _arriving(events.where(named), arrived).withColumn("__kind", F.coalesce("event_type", F.lit("unknown"))).groupBy("__kind", "node_id")
+    kept = keyed.applyInPandasWithState(fold, events.schema, "last timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.unionByName(events.where(~named))
+
+
+def memory_arriving(turns: DataFrame, most: int = 10, ttl: timedelta = timedelta(minutes=30), arrived: Column | None = None) -> DataFrame:
+    """memory_stream by the time of arrival: a session that was left alone for longer than `ttl` by the clock begins anew; at exactly `ttl` it goes on.
+
+    Turns that arrive together are taken by seq. State goes by the machine's clock.
+    """
+    fields = list(turns.columns)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values([ARRIVED, "seq"])
+        last, lines = (pd.Timestamp(state.get[0]), json.loads(state.get[1])) if state.exists else (None, [])
+        held, blocks, last, lines = remembered(rows[ARRIVED], rows["role"], rows["text"], last, lines, most, ttl)
+        state.update((last.to_pydatetime(), json.dumps(lines)))
+        _keep_for(state, ttl + timedelta(milliseconds=1))
+        yield rows[fields].assign(held=held, block=blocks)
+
+    schema = StructType([*turns.schema.fields, StructField("held", IntegerType()), StructField("block", StringType())])
+    return _arriving(turns, arrived).groupBy("session").applyInPandasWithState(fold, schema, "last timestamp, lines string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def remembered(times, roles, texts, last: pd.Timestamp | None, lines: list[str], most: int, ttl: timedelta) -> tuple[list[int], list[str], pd.Timestamp, list[str]]:
+    """Turns in order, after a state of the last access and the lines held: how many are held after each, as what block, and the new state."""
+    held, blocks = [], []
+    for ts, role, text in zip(times, roles, texts):
+        if role == "reset" or (last is not None and ts > last + ttl):
+            lines = []
+        if role != "reset" and text and text.strip():
+            lines = [*lines, ("User: " if role == "user" else "Assistant: ") + text.strip()][-most:]
+        last = ts if last is None else max(last, ts)
+        held.append(len(lines))
+        blocks.append("\n".join(lines))
+    return held, blocks, last, lines
+
+
 def memory_stream(turns: DataFrame, most: int = 10, ttl: timedelta = timedelta(minutes=30)) -> DataFrame:
     """Conversation memory of a stream of turns (session, ts, seq, role, text): a row for each with `held`, the turns
     remembered after it, and `block`, those as lines of User: and Assistant:.
@@ -281,15 +377,7 @@ def memory_stream(turns: DataFrame, most: int = 10, ttl: timedelta = timedelta(m
             return
         rows = pd.concat(batches).sort_values(["ts", "seq"])
         last, lines = (pd.Timestamp(state.get[0]), json.loads(state.get[1])) if state.exists else (None, [])
-        held, blocks = [], []
-        for ts, role, text in zip(rows["ts"], rows["role"], rows["text"]):
-            if role == "reset" or (last is not None and ts > last + ttl):
-                lines = []
-            if role != "reset" and text and text.strip():
-                lines = [*lines, ("User: " if role == "user" else "Assistant: ") + text.strip()][-most:]
-            last = ts if last is None else max(last, ts)
-            held.append(len(lines))
-            blocks.append("\n".join(lines))
+        held, blocks, last, lines = remembered(rows["ts"], rows["role"], rows["text"], last, lines, most, ttl)
         state.update((last.to_pydatetime(), json.dumps(lines)))
         _keep_until(state, _millis(last) + 1000 * seconds + 1)
         yield rows.assign(held=held, block=blocks)
