@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeloom.functions.text import is_blank
-from lakeloom.sources.committed import CommittedTable, Version
+from lakeloom.sources.committed import CommittedTable, Version, additions, grown, shaped
 
 
 def stale(incoming: Column, stored: Column) -> Column:
@@ -178,8 +178,12 @@ def folders(paths: DataFrame) -> DataFrame:
 
 
 def conform(frame: DataFrame, schema: StructType) -> DataFrame:
-    """A frame with the columns of a schema that it lacks added as nulls: schemas only grow."""
-    return frame.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in frame.columns})
+    """A frame in the form of a schema: what it lacks, at any depth, is added as nulls, in the schema's order; what it has
+    beyond the schema stays behind its columns. Schemas only grow: another type is refused."""
+    additions(schema, frame.schema)
+    have = {f.name: f.dataType for f in frame.schema}
+    columns = [(shaped(F.col(f"`{f.name}`"), have[f.name], grown(f.dataType, have[f.name])) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
+    return frame.select(*columns, *[F.col(f"`{c}`") for c in frame.columns if c not in schema.fieldNames()])
 
 
 def commit_sync(table: CommittedTable, incoming: DataFrame, modified: str, acl: tuple[str, ...], turn: str | None = None, batch: tuple[str, int] | None = None) -> Version:

@@ -62,6 +62,19 @@ def committed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read()
 
 
+@query("""SELECT doc_id AS node_id, lang AS props_lang, CASE WHEN doc_id % 3 = 1 THEN source END AS props_source, CASE WHEN doc_id % 3 = 1 THEN n_chars END AS first_chars, CASE WHEN doc_id % 3 = 1 THEN doc_id % 7 = 0 END AS checked FROM documents WHERE doc_id % 3 < 2""")
+def evolved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose nested schema grows between two changes; old and new files read as one."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("node_id"), F.struct("lang").alias("props"), F.array(F.struct(F.lit(0).alias("page"))).alias("parts"))
+    new = docs.where("doc_id % 3 = 1").select(F.col("doc_id").alias("node_id"), F.struct("source", "lang").alias("props"), F.array(F.struct(F.lit(0).alias("page"), "n_chars")).alias("parts"), (F.col("doc_id") % 7 == 0).alias("checked"))
+    lake = CommittedTable.create(spark, f"{scratch_root(spark)}/lakeloom/evolved-{uuid.uuid4().hex}", old.schema, "node_id", 8)
+    lake.overwrite(old)
+    lake.evolve(new.schema)
+    lake.change(new, lambda stored: stored.unionByName(ingest.conform(new, stored.schema)))
+    return lake.read().select("node_id", F.col("props.lang").alias("props_lang"), F.col("props.source").alias("props_source"), F.col("parts")[0]["n_chars"].alias("first_chars"), "checked")
+
+
 @query("WITH " + VERSIONS + "SELECT s.node_id, s.modified_at FROM stored s WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.node_id = s.node_id AND NOT s.modified_at > i.modified_at)")
 def delete_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, incoming = _versions(spark, sf_dir)

@@ -13,13 +13,61 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 BUCKET = "__bucket"
 
 
+def _shown(kind: DataType) -> str:
+    return kind.simpleString()
+
+
+def additions(old: DataType, new: DataType, at: str = "") -> list[tuple[str, str]]:
+    """Fields of `new` that `old` lacks, by their paths (element and value stand for those of arrays and maps), and their types.
+
+    What `old` has beyond `new` stays and is no difference. A field whose type differs otherwise is refused: types never change.
+    """
+    here = lambda name: f"{at}.{name}" if at else name
+    if isinstance(old, StructType) and isinstance(new, StructType):
+        out = []
+        for f in new:
+            out += additions(old[f.name].dataType, f.dataType, here(f.name)) if f.name in old.fieldNames() else [(here(f.name), _shown(f.dataType))]
+        return out
+    if isinstance(old, ArrayType) and isinstance(new, ArrayType):
+        return additions(old.elementType, new.elementType, here("element"))
+    if isinstance(old, MapType) and isinstance(new, MapType):
+        return additions(old.keyType, new.keyType, here("key")) + additions(old.valueType, new.valueType, here("value"))
+    if _shown(old) != _shown(new):
+        raise TypeError(f"{at or 'the schema'} is {_shown(old)} and can't become {_shown(new)}")
+    return []
+
+
+def grown(old: DataType, new: DataType) -> DataType:
+    """`old` with all additions of `new` behind its own fields, at every depth; what is added may be null."""
+    if isinstance(old, StructType) and isinstance(new, StructType):
+        kept = [StructField(f.name, grown(f.dataType, new[f.name].dataType) if f.name in new.fieldNames() else f.dataType, f.nullable) for f in old]
+        return StructType(kept + [StructField(f.name, f.dataType, True) for f in new if f.name not in old.fieldNames()])
+    if isinstance(old, ArrayType) and isinstance(new, ArrayType):
+        return ArrayType(grown(old.elementType, new.elementType), old.containsNull)
+    if isinstance(old, MapType) and isinstance(new, MapType):
+        return MapType(grown(old.keyType, new.keyType), grown(old.valueType, new.valueType), old.valueContainsNull)
+    return old
+
+
+def shaped(value: Column, have: DataType, want: DataType) -> Column:
+    """A value with the fields that it lacks as nulls, in the order of the wanted type, at every depth."""
+    if isinstance(want, StructType) and isinstance(have, StructType):
+        fields = [(shaped(value[f.name], have[f.name].dataType, f.dataType) if f.name in have.fieldNames() else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(want, ArrayType) and isinstance(have, ArrayType):
+        return F.transform(value, lambda x: shaped(x, have.elementType, want.elementType))
+    if isinstance(want, MapType) and isinstance(have, MapType):
+        return F.transform_values(value, lambda k, v: shaped(v, have.valueType, want.valueType))
+    return value.cast(want)
+
+
 class Conflict(RuntimeError):
     """Another writer committed first; the change has to be made again on its version."""
 
@@ -148,8 +196,11 @@ class CommittedTable:
         folder = uuid.uuid4().hex
         where = f"{self.root}/data/{folder}"
         schema = StructType.fromJson(json.loads(version.schema))
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], self._bucket(version, version.key).alias(BUCKET))
-        shaped.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(where)
+        have = {f.name: f.dataType for f in rows.schema}
+        if lost := additions(schema, rows.schema):
+            raise ValueError(f"the table has no {lost[0][0]}: let it evolve first")
+        columns = [(shaped(F.col(f"`{f.name}`"), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
+        rows.select(*columns).withColumn(BUCKET, self._bucket(version, version.key)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(where)
         written = [n.split("=", 1)[1] for n in self.storage.names(where) if n.startswith(f"{BUCKET}=")]
         if touched is not None and not set(written) <= set(touched):
             raise ValueError("a change made rows of keys that it did not name")
@@ -180,6 +231,22 @@ class CommittedTable:
             return self._commit(Version(**(version.__dict__ | {"number": version.number + 1, "operation": operation, "batches": version.batches | {batch[0]: batch[1]}}))) if batch else version
         return self._write(version, make(self._rows(version, touched)), touched, operation, batch)
 
+    def evolve(self, wanted: StructType | str) -> list[tuple[str, str]]:
+        """Let the schema grow by what `wanted` has beyond it, at any depth, and return that; no data are rewritten.
+
+        Files of former versions lack the new fields and are read with nulls there. Fields are only added: what `wanted`
+        leaves out stays, and another type is refused. The committed schema is compared again: nothing may be left to add.
+        """
+        version = self.version()
+        old = StructType.fromJson(json.loads(version.schema))
+        new = self.spark.createDataFrame([], wanted).schema
+        added = additions(old, new)
+        if added:
+            self._commit(Version(**(version.__dict__ | {"number": version.number + 1, "schema": grown(old, new).json(), "operation": "evolve"})))
+        if left := additions(self.read().schema, new):
+            raise RuntimeError(f"{left[0][0]} was not added")
+        return added
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete commits but the last `keep` and all data that none of those name; not while a change is being written."""
         numbers = self.versions()

@@ -271,3 +271,31 @@ def test_a_restarted_stream_goes_on(spark, tmp_path):
     assert content(lake.read()) == [("p1", at(3), "new", "y")]
     run("two")
     assert lake.version().number == number
+
+
+OLD = "k string, props struct<a: int, deep: struct<x: int>>, parts array<struct<p: int>>, tags map<string, struct<t: int>>"
+NEW = "k string, added double, props struct<b: string, deep: struct<y: array<int>, x: int>>, parts array<struct<q: string, p: int>>, tags map<string, struct<t: int, u: int>>"
+
+
+def test_a_schema_grows_at_every_depth(spark, tmp_path):
+    lake = CommittedTable.create(spark, f"{tmp_path}/t", OLD, "k", 4)
+    lake.overwrite(spark.createDataFrame([("a", (1, (2,)), [(3,)], {"m": (4,)}), ("b", None, None, None)], OLD))
+    added = lake.evolve(NEW)
+    assert added == [("added", "double"), ("props.b", "string"), ("props.deep.y", "array<int>"), ("parts.element.q", "string"), ("tags.value.u", "int")]
+    assert lake.evolve(NEW) == [] and lake.version().number == 3
+    fresh = spark.createDataFrame([("c", 0.5, ("s", ([7], 8)), [("q", 9)], {"m": (1, 2)})], NEW)
+    lake.change(fresh, lambda rows: rows.unionByName(ingest.conform(fresh, rows.schema)))
+    got = {r["k"]: r.asDict(True) for r in lake.read().collect()}
+    assert got["a"] == {"k": "a", "props": {"a": 1, "deep": {"x": 2, "y": None}, "b": None}, "parts": [{"p": 3, "q": None}], "tags": {"m": {"t": 4, "u": None}}, "added": None}
+    assert got["b"] == {"k": "b", "props": None, "parts": None, "tags": None, "added": None}
+    assert got["c"] == {"k": "c", "props": {"a": None, "deep": {"x": 8, "y": [7]}, "b": "s"}, "parts": [{"p": 9, "q": "q"}], "tags": {"m": {"t": 1, "u": 2}}, "added": 0.5}
+
+
+def test_types_never_change_and_nothing_is_lost(spark, tmp_path):
+    lake = CommittedTable.create(spark, f"{tmp_path}/t", OLD, "k", 4)
+    for bad in ("k string, props struct<a: string>", "k string, parts struct<p: int>", "k int"):
+        with pytest.raises(TypeError):
+            lake.evolve(bad)
+    with pytest.raises(ValueError, match="props.b"):
+        lake.overwrite(spark.createDataFrame([], NEW.replace("added double, ", "")))
+    assert lake.versions() == [1] and lake.evolve("k string") == []
