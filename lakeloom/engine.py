@@ -23,6 +23,13 @@ class Lake:
     documents: DataFrame
     chunks: DataFrame
     embedder: V.Embedder
+    #: A hybrid search is refused where it is switched off.
+    hybrid_enabled: bool = True
+
+    def __post_init__(self) -> None:
+        # texts that the model refuses are shortened and tried again
+        if not isinstance(self.embedder, V.Resilient):
+            self.embedder = V.Resilient(self.embedder)
 
     def _asked(self, questions: list[str]) -> DataFrame:
         spark = self.chunks.sparkSession
@@ -36,9 +43,14 @@ class Lake:
     def semantic_search(self, questions: list[str], asker: acl.Asker, most: int = 5, min_score: float | None = None, wanted: filters.MetadataFilter | None = None, source_type: str | None = None) -> DataFrame:
         return search.semantic_search(self._visible(asker, wanted, source_type), self._asked(questions), most, min_score)
 
-    def hybrid_search(self, questions: list[str], asker: acl.Asker, most: int = 5, candidates: int = 30, min_score: float | None = None, fusion: str = "rrf", wanted: filters.MetadataFilter | None = None, source_type: str | None = None) -> DataFrame:
+    def hybrid_search(self, questions: list[str], asker: acl.Asker, most: int = 5, candidates: int = 30, min_score: float | None = None, fusion: str = "rrf", normalisation: str = "max", weights: tuple[float, float] = (search.VECTOR_WEIGHT, search.KEYWORD_WEIGHT), wanted: filters.MetadataFilter | None = None, source_type: str | None = None) -> DataFrame:
+        """q, rank, key, score and the scores and ranks of both legs; fusion is rrf or weighted, normalisation max or minmax."""
+        if not self.hybrid_enabled:
+            raise ValueError("hybrid search is switched off")
+        if fusion not in ("rrf", "weighted") or normalisation not in ("max", "minmax"):
+            raise ValueError(f"unknown fusion {fusion} or normalisation {normalisation}")
         hold = lambda n, default: max(1, min(100, n if n > 0 else default))
-        return search.hybrid_search(self._visible(asker, wanted, source_type), self._asked(questions), hold(candidates, 30), hold(most, 5), min_score, fusion)
+        return search.hybrid_search(self._visible(asker, wanted, source_type), self._asked(questions), hold(candidates, 30), hold(most, 5), min_score, fusion, normalisation, weights)
 
     def facets(self, value: Column, asker: acl.Asker, most: int = 10, term: str | None = None) -> DataFrame:
         return status.facets(self.documents, value, most, acl.permitted(F.col("racl"), F.col("source_id"), asker), term)
@@ -46,6 +58,11 @@ class Lake:
     def node_status(self, nodes: DataFrame) -> DataFrame:
         return status.node_status(nodes, self.documents.select("node_id", "sync_status"))
 
+    def folder_status(self, files: DataFrame) -> DataFrame:
+        """Counts and the worst state of each folder, from its files (folder_id, node_id, own_status)."""
+        nodes = files.groupBy("node_id").agg(F.max("own_status").alias("own_status"))
+        return status.folder_status(files.select("folder_id", "node_id").distinct().join(self.node_status(nodes), "node_id"))
+
     def rag_context(self, questions: list[str], asker: acl.Asker, most: int = 8, pool: int = 30, trade: float = 0.7, min_score: float = 0.3, min_hits: int = 1, max_chars: int = 12_000) -> DataFrame:
         """q and context: the strict pass, diversified, where it is relevant, else a broadened one if that is, packed; else no row."""
         seen, asked = self._visible(asker, None, None), self._asked(questions)
@@ -61,9 +78,26 @@ class Lake:
         return ingest.sync(self.documents, incoming, "node_id", "modified_at", acl_columns)
 
     def reconcile_permissions(self, incoming: DataFrame, acl_columns: tuple[str, ...] = ("racl",)) -> DataFrame:
-        return ingest.update_acl(self.documents, incoming, "node_id", acl_columns)
-
-    def chunk(self, texts: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig()) -> DataFrame:
-        """Chunks of texts (doc_id, text) with their vectors."""
-        rows = chunking.chunk_documents(texts, config)
+        """The documents with the access of incoming nodes (is_folder, and `failure` where the source could not be asked)."""
+        known = incoming.where(F.col("failure").isNull()) if "failure" in incoming.columns else incoming
+        return ingest.update_acl(self.documents, known, "node_id", acl_columns)
+
+    def reconciliation_counts(self, incoming: DataFrame, stale_ids: DataFrame | None = None) -> DataFrame:
+        """One row of what a reconciliation does: updated, created, deleted, skipped and failed nodes.
+
+        incoming as above. stale_ids: nodes that the source doesn't have any more (node_id), whose documents go.
+        """
+        failure = F.col("failure") if "failure" in incoming.columns else F.lit(None).cast("string")
+        there = self.documents.select("node_id").distinct().withColumn("__there", F.lit(True))
+        one = incoming.groupBy("node_id").agg(F.max("is_folder").alias("is_folder"), F.max(failure).alias("failure")).join(there, "node_id", "left")
+        outcome = F.when(F.col("failure").isNotNull(), "failed").when(F.col("__there"), "updated").when(F.col("is_folder"), "skipped").otherwise("created")
+        rows = one.select(outcome.alias("outcome"))
+        if stale_ids is not None:
+            gone = stale_ids.select("node_id").distinct().join(there, "node_id", "left")
+            rows = rows.unionByName(gone.select(F.when(F.col("__there"), "deleted").otherwise("skipped").alias("outcome")))
+        return rows.agg(*[F.count(F.when(F.col("outcome") == n, 1)).alias(n) for n in ("updated", "created", "deleted", "skipped", "failed")])
+
+    def chunk(self, texts: DataFrame, strategy: chunking.Strategy = chunking.Adaptive()) -> DataFrame:
+        """Chunks of cleaned texts (doc_id, text) by any strategy, with their vectors."""
+        rows = chunking.chunks(texts.select("doc_id", T.clean(F.col("text")).alias("text")), strategy)
         return rows.withColumn("vector", V.embed(F.col("text"), self.embedder))

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def facets(rows: DataFrame, value: Column, most: int = 10, condition: Column | None = None, term: str | None = None) -> DataFrame:
-    """key and doc_count of the commonest values; `most` between 1 and 100; ties by key.
+    """key and doc_count of the commonest values: 10 if `most` isn't positive, 100 at most; ties by key.
 
-    term: of the values that hold it, letter case aside; a blank one is none.
+    An array counts each of its values once a row. term: of the values that hold it, letter case aside; a blank one is none.
     """
-    kept = rows if condition is None else rows.where(condition)
+    kept = (rows if condition is None else rows.where(condition)).select(value.alias("key"))
+    if isinstance(kept.schema["key"].dataType, ArrayType):
+        kept = kept.select(F.explode(F.array_distinct("key")).alias("key"))
+    kept = kept.select(F.col("key").cast("string").alias("key")).where("key is not null")
     if term and term.strip():
-        kept = kept.where(F.contains(F.lower(value.cast("string")), F.lit(term.strip().lower())))
-    counted = kept.select(value.cast("string").alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("doc_count"))
-    return counted.orderBy(F.desc("doc_count"), "key").limit(max(1, min(100, most)))
+        kept = kept.where(F.contains(F.lower("key"), F.lit(term.strip().lower())))
+    counted = kept.groupBy("key").agg(F.count("*").alias("doc_count"))
+    return counted.orderBy(F.desc("doc_count"), "key").limit(min(100, most) if most > 0 else 10)
 
 
 def folder_status(rows: DataFrame) -> DataFrame:

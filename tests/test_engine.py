@@ -2,10 +2,13 @@
 
 from datetime import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.engine import Lake
-from lakeloom.functions.vectors import HashingEmbedder
+from lakeloom.functions.vectors import HashingEmbedder, TooLarge
+from lakeloom.operators import chunking, status
 from lakeloom.operators.acl import Asker, Principal
 
 
@@ -28,3 +31,57 @@ def test_lake(spark):
     assert lake.rag_context(["budget report"], insider, min_score=0.99).count() == 0
     incoming = documents.where("node_id = 'd1'").withColumn("name", F.lit("new"))
     assert {r["outcome"] for r in lake.ingest(incoming).collect()} == {"acl_only", "kept"}
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    documents = spark.createDataFrame([("d1", ["a"], "INDEXED"), ("d2", ["a"], "FAILED")], "node_id string, racl array<string>, sync_status string")
+    chunks = spark.createDataFrame([("d1::0", "d1", "budget of spring", [1.0, 0.0], "s", ["__Everyone__"]), ("d2::0", "d2", "trains", [0.0, 1.0], "s", ["__Everyone__"])], "key string, doc_id string, text string, vector array<double>, source_id string, racl array<string>")
+
+    def model(texts):
+        if any(len(t) > 4_000 for t in texts):
+            raise TooLarge()
+        return np.array([[1.0, float("train" in t)] for t in texts])
+
+    return Lake(documents, chunks, model)
+
+
+def test_hybrid_options(small):
+    asker = Asker((Principal("s", "ann"),))
+    first = lambda **how: small.hybrid_search(["trains"], asker, fusion="weighted", **how).orderBy("rank").first()
+    assert first(weights=(0.1, 0.9))["key"] == "d2::0" and first(normalisation="minmax")["score"] <= 1.0
+    with pytest.raises(ValueError):
+        small.hybrid_search(["trains"], asker, fusion="other")
+    with pytest.raises(ValueError, match="switched off"):
+        Lake(small.documents, small.chunks, small.embedder, hybrid_enabled=False).hybrid_search(["trains"], asker)
+
+
+def test_refused_texts_are_embedded_shortened(spark, small):
+    long = spark.createDataFrame([("d", "word " * 2_000)], "doc_id string, text string")
+    cut = small.chunk(long, chunking.Fixed(9_000, 0)).collect()
+    assert len(cut) == 2 and all(r["vector"] == [1.0, 0.0] for r in cut)
+
+
+def test_folder_status_and_reconciliation(spark, small):
+    files = spark.createDataFrame([("f", "d1", None), ("f", "d2", None), ("f", "d3", None), ("g", "d1", None)], "folder_id string, node_id string, own_status string")
+    assert {r["folder_id"]: (r["total"], r["failed"], r["pending"], r["status"]) for r in small.folder_status(files).collect()} == {"f": (3, 1, 1, "FAILED"), "g": (1, 0, 0, "INDEXED")}
+    incoming = spark.createDataFrame([("d1", ["b"], False, None), ("d2", ["b"], False, "timeout"), ("d9", ["b"], False, None), ("dir", ["b"], True, None)], "node_id string, racl array<string>, is_folder boolean, failure string")
+    stale = spark.createDataFrame([("d2",), ("d7",)], "node_id string")
+    assert small.reconciliation_counts(incoming, stale).first().asDict() == {"updated": 1, "created": 1, "deleted": 1, "skipped": 2, "failed": 1}
+    assert {r["node_id"]: r["racl"] for r in small.reconcile_permissions(incoming).collect()} == {"d1": ["b"], "d2": ["a"], "d9": ["b"]}
+
+
+def test_array_facets(spark):
+    rows = spark.createDataFrame([(["x", "y", "x"],), (["y", None],), (None,), ([],)], "tags array<string>")
+    assert [tuple(r) for r in status.facets(rows, F.col("tags")).collect()] == [("y", 2), ("x", 1)]
+    assert [tuple(r) for r in status.facets(rows, F.col("tags"), 0, term="X").collect()] == [("x", 1)]
+    assert status.facets(spark.range(30), F.col("id"), 0).count() == 10
+
+
+def test_strategies_through_one_surface(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 12").select("doc_id", "text")
+    key = lambda f: {(r["doc_id"], r["index"], r["text"], r["start"], r["end"]) for r in f.collect()}
+    for strategy in (chunking.Fixed(120, 30), chunking.Adaptive(), lambda t: [(w, 0, len(w)) for w in (t or "").split()[:3]]):
+        cut = chunking.chunk_function(strategy)
+        lateral = docs.alias("d").lateralJoin(cut(F.col("d.text").outer()).alias("c")).select("d.doc_id", "c.index", "c.text", "c.start", "c.end")
+        assert key(lateral) == key(chunking.chunks(docs, strategy)) != set()
