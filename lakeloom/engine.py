@@ -99,5 +99,5 @@ class Lake:
 
     def chunk(self, texts: DataFrame, strategy: chunking.Strategy = chunking.Adaptive()) -> DataFrame:
         """Chunks of cleaned texts (doc_id, text) by any strategy, with their vectors."""
-        rows = chunking.chunks(texts.select("doc_id", T.clean(F.col("text")).alias("text")), strategy)
+        rows = chunking.chunks(texts, strategy, T.clean(F.col("text")))
         return rows.withColumn("vector", V.embed(F.col("text"), self.embedder))
