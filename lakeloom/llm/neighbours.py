@@ -1,32 +1,56 @@
-"""Nearest neighbours by inner product, over a graph built by NN-descent."""
+"""Nearest neighbours by inner product, over a graph built by NN-descent.
+
+Nodes are numbered along pivots, so that a unit of numbers is a neighbourhood. Lists of links travel
+as one value a node; a task has the lists of a unit, and each vector that they name comes to it once.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import arrow_map, batch
 from lakeloom.session import Scratch
 
 EVERY, NEAREST = 20, 20
-#: Neighbours kept for a node, and reverse ones joined with them.
-DEGREE, REVERSE = 64, 64
-#: First graph: rounds of sorting nodes along pivots, pivots a round, nodes compared in one block.
-SEED_ROUNDS, PIVOTS, BLOCK = 4, 128, 2_048
-#: Descents go on until at most this share of the graph's edges is new, or so many rounds were made.
+#: First graph: rounds of sorting nodes along pivots, and pivots a round.
+SEED_ROUNDS, PIVOTS = 4, 128
+#: Nodes of a unit, whose lists one task joins, and queries of one.
+UNIT, ASKED = 4_096, 512
+#: Descents go on until at most this share of the graph's links is new, or so many rounds were made.
 SETTLED, DESCENTS = 0.01, 12
-#: Rounds of search where all lengths are alike, and where a query visits other lengths too.
-SEARCHES, VISITS = 2, 5
-#: Nodes of a query's beam in each band of lengths, all scored exactly in the end, and those expanded in a round.
-BEAM, EXPANDED = 72, 16
-#: Lengths differ at most twofold in a band, unless that took more than BANDS; nodes of a band that every query is compared with.
-BANDS, ENTRIES = 32, 2_048
-#: Proposals of one node for each of its neighbours in a descent.
-PROPOSED = 24
+#: Rounds of search.
+SEARCHES = 4
+#: Lengths differ at most twofold in a band, unless that took more than BANDS.
+BANDS = 32
+#: Proposals of one node for each of its neighbours in a descent, and links that are put in order at once.
+PROPOSED, AT_ONCE = 24, 1_000_000
+
+LINK = np.dtype([("b", "<i8"), ("s", "<f4"), ("new", "u1")])
+LISTS = "node long, links binary"
+#: A node in a query's beam.
+SEEN = np.dtype([("node", "<i8"), ("s", "<f4"), ("band", "u1"), ("expanded", "u1")])
+BEAMS = "part long, q long, beam binary"
+
+
+def degree(nodes: int) -> int:
+    """Neighbours kept for a node and reverse ones joined with them: 4 for each doubling of the nodes, 32 at least."""
+    return max(32, round(4 * math.log2(max(2, nodes))))
+
+
+def block_size(nodes: int) -> int:
+    """Nodes compared with each other in the first graph: four times the root of all, 2,048 at most."""
+    return min(2_048, math.ceil(4 * math.sqrt(nodes)))
+
+
+def entry_count(nodes: int) -> int:
+    """Nodes of a band that every query is compared with: the root of its nodes and 8, 16,384 at most."""
+    return min(16_384, 8 + math.isqrt(nodes))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -82,239 +106,421 @@ def _shape(nodes: DataFrame) -> DataFrame:
     return arrow_map(known.select("node", "vec", "length"), run, "node long, band long, shape binary")
 
 
-def best(edges: DataFrame, source: str, target: str, score: str, most: int) -> DataFrame:
-    """The best `most` different targets of each source; each task drops the others before the shuffle. An edge that was there before isn't fresh."""
-    one = edges.groupBy(source, target).agg(F.max(score).alias(score), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy(source).orderBy(F.desc(score), target)
-    return one.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__place")
-
-
 def band_sizes(shapes: DataFrame) -> dict[int, int]:
     """Nodes of each band, at most BANDS rows."""
-    return {r["band"]: r["count"] for r in shapes.groupBy("band").count().collect()}
+    return {r["band"]: r["count"] for r in shapes.groupBy("band").count().orderBy("band").collect()}
 
 
-def first_graph(shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, s: nodes that lie next to each other when sorted by their nearest of some pivots.
+def numbered(rows: DataFrame, by: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """rows and `number`, their place from 0 in the order of `by`, which tells all rows apart.
 
-    Pivots, a bounded sample, come to the driver; every node is sorted and compared with the rest of
-    its block, so a dense region is only cut into more blocks. Blocks lie within a band and are bounded
-    by the places of a sample, one node in BLOCK / 16, so that they depend on the nodes alone: up to
-    BLOCK nodes are one block, whatever the number of partitions is.
+    Sorted in ranges; only the ranges' sizes, one for each partition of a shuffle, go to all tasks.
     """
-    sizes = band_sizes(shapes)
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = scratch.save(name, ranges.withColumn("__at", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__at", 33))
+    sizes = kept.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__before"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(starts), "__range").withColumn("number", F.col("__before") + within).drop("__at", "__range", "__before")
+
+
+def _unpacked(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The row that each packed item is of, and the items."""
+    held = column.to_pylist()
+    items = np.frombuffer(b"".join(held), dtype=dtype)
+    return np.repeat(np.arange(len(held)), [len(h) // dtype.itemsize for h in held]), items
+
+
+def _starts(owner: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, dtype=np.int64)
+
+
+def _lists(owner: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Sorted owners and the packed items of each."""
+    starts = _starts(owner)
+    ends = np.concatenate([starts, [len(owner)]]).astype(np.int32) * np.int32(items.dtype.itemsize)
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(items.tobytes())])
+    return owner[starts], packed
+
+
+def _places(owner: np.ndarray) -> np.ndarray:
+    starts = _starts(owner)
+    return np.arange(len(owner)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(owner)]])))
+
+
+def _best(owner: np.ndarray, links: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best `most` different links of each owner, sorted; a link that was there before isn't new."""
+    order = np.lexsort((links["new"], links["b"], owner))
+    owner, links = owner[order], links[order]
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (links["b"][1:] != links["b"][:-1])
+    owner, links = owner[first], links[first]
+    order = np.lexsort((links["b"], -links["s"], owner))
+    owner, links = owner[order], links[order]
+    keep = _places(owner) < most
+    return owner[keep], links[keep]
+
+
+def _links(a: np.ndarray, b: np.ndarray, s: np.ndarray, new: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    links = np.zeros(len(a), dtype=LINK)
+    links["b"], links["s"], links["new"] = b, s, new
+    return a, links
+
+
+def unit(node: str) -> Column:
+    return F.expr(f"{node} div {UNIT}").alias("part")
+
+
+def merged(lists: DataFrame, most: int) -> DataFrame:
+    """The best links of each node out of all its lists. A list is cut at every batch, so that a node in very many lists is no burden."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=LINK)
+        for b in batches:
+            row, items = _unpacked(b.column("links"), LINK)
+            owner, links = _best(np.concatenate([owner, b.column("node").to_numpy()[row]]), np.concatenate([links, items]), most)
+            if len(owner) and (cut := int(np.searchsorted(owner, owner[-1]))):
+                node, packed = _lists(owner[:cut], links[:cut])
+                yield batch(node=pa.array(node), links=packed)
+                owner, links = owner[cut:], links[cut:]
+        if len(owner):
+            node, packed = _lists(owner, links)
+            yield batch(node=pa.array(node), links=packed)
+
+    return arrow_map(lists.repartition(unit("node")).sortWithinPartitions("node"), run, LISTS)
+
+
+def placed(shapes: DataFrame, key: str, r: int) -> DataFrame:
+    """shapes and `place`, along a chain of pivots; these are a bounded sample that comes to the driver."""
+    rows = shapes.orderBy(F.xxhash64(key, F.lit(r)), key).limit(PIVOTS).select("shape").toArrow()
+    pivots = _packed(rows["shape"].combine_chunks()) if rows.num_rows else np.zeros((0, 1), dtype=np.float32)
+    chain, left = [], list(range(len(pivots)))
+    while left:  # each pivot next to one near it
+        at = max(left, key=lambda k: float(pivots[k] @ pivots[chain[-1]])) if chain else left[0]
+        chain.append(at)
+        left.remove(at)
+    pivots = pivots[chain]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = _packed(b.column("shape")) @ pivots.T
+                place = s.argmax(1) + 1 / (2 + np.exp(np.clip(s.max(1), -50, 50))).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], [*b.schema.names, "place"])
+
+    kept = shapes.select(key, "band", "shape")
+    return arrow_map(kept, run, f"{key} long, band long, shape binary, place double")
+
+
+def first_graph(shapes: DataFrame, sizes: dict[int, int], scratch: Scratch) -> DataFrame:
+    """node and links: nodes that lie next to each other when sorted by their nearest of some pivots.
+
+    Blocks are runs of that order within a band, so a dense region is only cut into more of them, and
+    depend on the nodes alone, whatever the number of partitions is.
+    """
+    nodes = sum(sizes.values())
+    most, size = max(1, degree(nodes) // 2), block_size(nodes)
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.sort_by("node")
+        ids = block["node"].to_numpy()
+        v = _packed(block["shape"].combine_chunks())
+        s = v @ v.T
+        np.fill_diagonal(s, -np.inf)
+        k = min(most, len(ids) - 1)
+        if k < 1:
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.binary())})
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        node, packed = _lists(*_best(*_links(np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()), k))
+        return pa.table({"node": pa.array(node), "links": packed})
+
     out = None
     for r in range(SEED_ROUNDS):
-        rows = shapes.orderBy(F.xxhash64("node", F.lit(r)), "node").limit(PIVOTS).select("shape").toArrow()
-        pivots = _packed(rows["shape"].combine_chunks()) if rows.num_rows else np.zeros((0, 1), dtype=np.float32)
-        chain, left = [], list(range(len(pivots)))
-        while left:  # each pivot next to one near it
-            at = max(left, key=lambda k: float(pivots[k] @ pivots[chain[-1]])) if chain else left[0]
-            chain.append(at)
-            left.remove(at)
-        pivots = pivots[chain]
-
-        def place(batches: Iterator[pa.RecordBatch], pivots: np.ndarray = pivots) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    s = _packed(b.column("shape")) @ pivots.T
-                    nearest = s.argmax(1)
-                    yield batch(node=b.column("node"), band=b.column("band"), shape=b.column("shape"), place=pa.array(nearest + 1 / (2 + np.exp(np.clip(s.max(1), -50, 50))).astype(np.float64)))
-
-        placed_as = "node long, band long, shape binary, place double"
-        large = [k for k, size in sizes.items() if size > BLOCK]
-        bounds: dict[int, np.ndarray] = {}
-        if large:
-            some = shapes.where(F.col("band").isin(large) & (F.pmod(F.xxhash64("node", F.lit(-1 - r)), F.lit(max(1, BLOCK // 16))) == 0))
-            sample = arrow_map(some, place, placed_as).select("band", "place").toArrow()
-            of, places = sample["band"].to_numpy(), sample["place"].to_numpy()
-            for k in large:
-                here = np.sort(places[of == k])
-                cuts = np.arange(1, max(1, sizes[k] // BLOCK)) / max(1, sizes[k] // BLOCK)
-                bounds[k] = here[(cuts * len(here)).astype(np.int64)] if len(here) else np.zeros(0)
-
-        def divide(batches: Iterator[pa.RecordBatch], bounds: dict[int, np.ndarray] = bounds, place=place) -> Iterator[pa.RecordBatch]:
-            for b in place(batches):
-                band, places = b.column("band").to_numpy(), b.column("place").to_numpy()
-                block = band << 40
-                for k, cuts in bounds.items():
-                    block[band == k] += np.searchsorted(cuts, places[band == k], side="right")
-                yield batch(node=b.column("node"), shape=b.column("shape"), place=b.column("place"), block=pa.array(block))
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, blocks, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
-
-            def block(ids: np.ndarray, shapes: list[bytes]) -> pa.RecordBatch:
-                v = _packed(pa.array(shapes, pa.binary()))
-                s = v @ v.T
-                np.fill_diagonal(s, -np.inf)
-                k = min(DEGREE, len(ids) - 1)
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                return batch(a=pa.array(np.repeat(ids, k)), b=pa.array(ids[top].ravel()), s=pa.array(np.take_along_axis(s, top, 1).ravel()))
-
-            def done(last: bool) -> Iterator[pa.RecordBatch]:
-                """Compare the blocks that are complete, and parts of one that is too large."""
-                nonlocal ids, blocks, held
-                while len(ids):
-                    size = int(np.searchsorted(blocks, blocks[0], side="right"))
-                    if size >= 2 * BLOCK:
-                        size = BLOCK
-                    elif size == len(ids) and not last:
-                        return
-                    if size > 1:
-                        yield block(ids[:size], held[:size])
-                    ids, blocks, held = ids[size:], blocks[size:], held[size:]
-
-            for b in batches:
-                ids, held = np.concatenate([ids, b.column("node").to_numpy()]), held + b.column("shape").to_pylist()
-                blocks = np.concatenate([blocks, b.column("block").to_numpy()])
-                yield from done(False)
-            yield from done(True)
-
-        divided = arrow_map(shapes, divide, "node long, shape binary, place double, block long").repartition("block").sortWithinPartitions("block", "place", "node")
-        edges = arrow_map(divided.select("node", "shape", "block"), compare, "a long, b long, s float")
-        out = edges if out is None else out.unionByName(edges)
-    return scratch.save("graph", best(out.withColumn("fresh", F.lit(1)), "a", "b", "s", DEGREE))
-
-
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by u: the neighbours v of one node propose each other, if near enough to be of use; those that
-    both were there before have met already."""
-    us, vs, worst, shapes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), []
-    fresh = np.zeros(0, dtype=bool)
-
-    def groups(upto: int) -> pa.RecordBatch | None:
-        starts = np.flatnonzero(np.concatenate([[True], us[1:upto] != us[: upto - 1]]))
-        ends = np.concatenate([starts[1:], [upto]])
-        v = _packed(pa.array(shapes[:upto], pa.binary()))
-        found = []
-        for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
-            if j - i < 2:
-                continue
-            s = v[i:j] @ v[i:j].T
-            np.fill_diagonal(s, -np.inf)
-            old = ~fresh[i:j]
-            s[np.ix_(old, old)] = -np.inf
-            k = min(PROPOSED, j - i - 1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            value = np.take_along_axis(s, top, 1)
-            good = value > worst[i:j, None]
-            rows = np.broadcast_to(np.arange(i, j)[:, None], top.shape)[good]
-            found.append((vs[rows], vs[i + top[good]], value[good]))
-        if not found:
-            return None
-        return batch(a=pa.array(np.concatenate([f[0] for f in found])), b=pa.array(np.concatenate([f[1] for f in found])), s=pa.array(np.concatenate([f[2] for f in found])))
+        order = shapes.withColumn("number", F.col("node")) if not r else numbered(placed(shapes, "node", r), ["band", "place", "node"], "order", scratch)
+        at, first = F.lit(None).cast("long"), 0
+        for band, held in sizes.items():  # at most BANDS
+            blocks = max(1, held // size)
+            at = F.when(F.col("band") == band, F.least(F.expr(f"(number - {first}) div {size}"), F.lit(blocks - 1)) + (band << 40)).otherwise(at)
+            first += held
+        lists = scratch.save(f"seeds{r}", order.select("node", "shape", at.alias("block")).groupBy("block").applyInArrow(compare, LISTS))
+        out = lists if out is None else out.unionByName(lists)
+    return scratch.save("graph", merged(out, degree(nodes)))
 
-    for b in batches:
-        us, vs, worst = np.concatenate([us, b.column("u").to_numpy()]), np.concatenate([vs, b.column("v").to_numpy()]), np.concatenate([worst, b.column("worst").to_numpy()])
-        shapes = shapes + b.column("shape").to_pylist()
-        fresh = np.concatenate([fresh, b.column("fresh").to_numpy() > 0])
-        if len(us) and (upto := int(np.searchsorted(us, us[-1]))):
-            if (made := groups(upto)) is not None:
-                yield made
-            us, vs, worst, shapes, fresh = us[upto:], vs[upto:], worst[upto:], shapes[upto:], fresh[upto:]
-    if len(us) and (made := groups(len(us))) is not None:
-        yield made
-
-
-def descend(graph: DataFrame, shapes: DataFrame, scratch: Scratch) -> DataFrame:
+
+def turned(graph: DataFrame, most: int) -> DataFrame:
+    """The nearest reverse links of each node, so that a node that is everybody's neighbour joins no more than others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, links = _unpacked(b.column("links"), LINK)
+            back = links.copy()
+            back["b"] = b.column("node").to_numpy()[row]
+            node, packed = _lists(*_best(links["b"], back, most))
+            yield batch(node=pa.array(node), links=packed)
+
+    return merged(arrow_map(graph, run, LISTS), most)
+
+
+def gathered(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """part and the columns of table: each row that a part's lists name, once. Wanted has part, items (packed numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, items = _unpacked(b.column("items"), np.dtype("<i8"))
+            part = b.column("part").to_numpy()[row]
+            for p in np.unique(part).tolist():
+                node = np.unique(items[part == p])
+                yield batch(part=pa.array(np.full(len(node), p)), node=pa.array(node))
+
+    return arrow_map(wanted, run, "part long, node long").distinct().join(table, "node")
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of the lists of a unit and the vectors that they name: the neighbours of one node propose each other, if near
+    enough to be of use; those that both were there before have met already."""
+    none = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.binary())})
+    if not left.num_rows or not right.num_rows:
+        return none
+    right = right.sort_by("node")
+    ids, v = right["node"].to_numpy(), _packed(right["shape"].combine_chunks())
+    worst = right["worst"].to_numpy()
+    row, links = _unpacked(left["links"].combine_chunks(), LINK)
+    owner = left["node"].to_numpy()[row]
+    order = np.lexsort((1 - links["new"].astype(np.int8), links["b"], owner))
+    owner, b, fresh = owner[order], links["b"][order], links["new"][order] > 0
+    once = np.ones(len(owner), dtype=bool)
+    once[1:] = (owner[1:] != owner[:-1]) | (b[1:] != b[:-1])
+    owner, b, fresh = owner[once], np.searchsorted(ids, b[once]), fresh[once]
+    starts = _starts(owner).tolist()
+    most = right["most"][0].as_py()
+    kept: tuple[np.ndarray, np.ndarray] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=LINK))
+    found, held = [], 0
+    for i, j in zip(starts, [*starts[1:], len(owner)], strict=True):
+        new = fresh[i:j]
+        if j - i < 2 or not new.any():
+            continue
+        at = b[i:j]
+        s = v[at] @ v[at].T
+        np.fill_diagonal(s, -np.inf)
+        if not new.all():
+            old = np.flatnonzero(~new)
+            s[np.ix_(old, old)] = -np.inf
+        k = min(PROPOSED, j - i - 1)
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(s, top, 1)
+        x, y = np.nonzero(value > worst[at][:, None])
+        found.append((at[x], at[top[x, y]], value[x, y]))
+        held += len(x)
+        if held > AT_ONCE:
+            kept = _joined(kept, found, most)
+            found, held = [], 0
+    owner, links = _joined(kept, found, most)
+    links = links.copy()
+    links["b"] = ids[links["b"]]
+    node, packed = _lists(ids[owner], links)
+    return pa.table({"node": pa.array(node), "links": packed})
+
+
+def _joined(kept: tuple[np.ndarray, np.ndarray], found: list, most: int) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return kept
+    owner, links = _links(*(np.concatenate([f[k] for f in found]) for k in range(3)))
+    return _best(np.concatenate([kept[0], owner]), np.concatenate([kept[1], links]), most)
+
+
+def descend(graph: DataFrame, shapes: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     """One round of NN-descent: neighbours and reverse neighbours of a node are joined with each other.
 
-    A node brings its worst score along, so only what improves a list is proposed. Reverse lists keep
-    the nearest, so a node that is everybody's neighbour joins no more than others. Nodes whose
-    neighbours all met before are left out, so later rounds move less.
+    A node's worst score comes along with its vector, so only what improves a list is proposed, and a
+    task proposes to a node no more than its list holds.
     """
-    worst = graph.groupBy("a").agg(F.when(F.count("*") >= DEGREE, F.min("s")).otherwise(F.lit(-1e9)).cast("float").alias("worst"))
-    forward = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "s", "fresh")
-    back = best(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "s", "fresh"), "u", "v", "s", REVERSE)
-    pairs = forward.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-    pairs = pairs.withColumn("any", F.max("fresh").over(Window.partitionBy("u"))).where("any > 0").drop("any")
-    known = shapes.join(worst, shapes["node"] == worst["a"], "left").select(F.col("node").alias("v"), "shape", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"))
-    joined = pairs.join(known, "v").select("u", "v", "worst", "shape", "fresh").repartition("u").sortWithinPartitions("u")
-    proposals = arrow_map(joined, _local_join, "a long, b long, s float").withColumn("fresh", F.lit(1))
-    return scratch.save("graph", best(graph.withColumn("fresh", F.lit(0)).unionByName(proposals), "a", "b", "s", DEGREE))
+    most = degree(nodes)
 
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, links = _unpacked(b.column("links"), LINK)
+            starts = _starts(row)
+            full = np.diff(np.concatenate([starts, [len(row)]])) >= most
+            worst = np.where(full, np.minimum.reduceat(links["s"], starts) if len(starts) else np.zeros(0), -1e9)
+            yield batch(node=b.column("node"), worst=pa.array(worst.astype(np.float32)))
 
-def entries(asked: DataFrame, shapes: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """q, band, node, s and expanded: in every band, the best for each query of ENTRIES nodes, a bounded sample that goes to all tasks.
+    def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, links = _unpacked(b.column("links"), LINK)
+            part = b.column("node").to_numpy()[row] // UNIT
+            order = np.argsort(part, kind="stable")
+            part, items = _lists(part[order], links["b"][order])
+            yield batch(part=pa.array(part), items=items)
+
+    around = scratch.save("around", graph.unionByName(turned(graph, most)))
+    known = shapes.select("node", "shape").join(arrow_map(graph, floors, "node long, worst float"), "node", "left")
+    known = known.select("node", "shape", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"), F.lit(most).alias("most"))
+    named = gathered(arrow_map(around, wants, "part long, items binary"), known)
+    proposals = around.groupBy(unit("node")).cogroup(named.groupBy("part")).applyInArrow(_meet, LISTS)
+    met = arrow_map(graph, _met, LISTS)
+    return scratch.save("graph", merged(met.unionByName(proposals), most))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        row, links = _unpacked(b.column("links"), LINK)
+        links = links.copy()
+        links["new"] = 0
+        yield batch(node=b.column("node"), links=_lists(row, links)[1])
 
-    A band of up to ENTRIES nodes is compared as a whole, so nothing of it is left to expand.
-    """
-    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
-    rows = shapes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ENTRIES).drop("place").toArrow()
-    of, ids = rows["band"].to_numpy(), rows["node"].to_numpy()
-    held = rows["shape"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-    parts = [(k, ids[of == k], held.filter(pa.array(of == k)).to_pylist(), sizes[k] <= ENTRIES) for k in sorted(sizes)]
-    shared = shapes.sparkSession.sparkContext.broadcast(parts)
+
+def fresh_share(graph: DataFrame) -> float:
+    """The share of the graph's links that are new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = [(k, ids, _packed(pa.array(held, pa.binary()))[:, :-1], whole) for k, ids, held, whole in shared.value]
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 1_000):
-                b = whole_batch.slice(at, 1_000)
-                asked_shapes, q = _packed(b.column("query_shape"))[:, :-1], b.column("q").to_numpy()
-                for k, ids, shapes, whole in bands:
-                    s = asked_shapes @ shapes.T
-                    most = min(BEAM, len(ids))
-                    top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                    n = top.size
-                    yield batch(q=pa.array(np.repeat(q, most)), band=pa.array(np.full(n, k)), node=pa.array(ids[top].ravel()), s=pa.array(np.take_along_axis(s, top, 1).ravel()), expanded=pa.array(np.full(n, whole)))
+        for b in batches:
+            links = _unpacked(b.column("links"), LINK)[1]
+            yield batch(new=pa.array([int(links["new"].sum())]), links=pa.array([len(links)]))
 
-    return arrow_map(asked, run, "q long, band long, node long, s float, expanded boolean")
+    row = arrow_map(graph, run, "new long, links long").agg(F.sum("new"), F.sum("links")).first()
+    return (row[0] or 0) / max(1, row[1] or 0)
 
 
-def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """q, node: the best nodes of each query node in each band, by greedy search of the graph.
+def entries(asked: DataFrame, shapes: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
+    """part, q, beam: in every band, the best for each query of a sample of the band's nodes, which goes to all tasks."""
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
+    count = F.lit(0)
+    for band, held in sizes.items():
+        count = F.when(F.col("band") == band, entry_count(held)).otherwise(count)
+    rows = shapes.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= count).drop("turn").toArrow()
+    of, ids = rows["band"].to_numpy(), rows["node"].to_numpy()
+    held = rows["shape"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+    shared = shapes.sparkSession.sparkContext.broadcast([(k, ids[of == k], held.filter(pa.array(of == k)).to_pylist()) for k in sorted(sizes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = [(k, ids, _packed(pa.array(held, pa.binary()))[:, :-1]) for k, ids, held in shared.value]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                b = whole.slice(at, 1_000)
+                mine, n, found = _packed(b.column("shape"))[:, :-1], b.num_rows, []
+                for k, ids, v in bands:
+                    s = mine @ v.T
+                    kept = min(most, len(ids))
+                    top = np.argpartition(-s, kept - 1, axis=1)[:, :kept]
+                    seen = np.zeros(top.shape, dtype=SEEN)
+                    seen["node"], seen["s"], seen["band"] = ids[top], np.take_along_axis(s, top, 1), k
+                    found.append(seen)
+                beams = np.concatenate(found, axis=1)
+                packed = _lists(np.repeat(np.arange(n), beams.shape[1]), beams.ravel())[1]
+                yield batch(part=b.column("part"), q=b.column("q"), beam=packed)
+
+    return arrow_map(asked, run, BEAMS)
+
+
+def _turn(beam: np.ndarray, expanded: int) -> np.ndarray:
+    """Which nodes of a beam are expanded next: in each band the best that were not yet."""
+    open_ = np.flatnonzero(beam["expanded"] == 0)
+    order = open_[np.lexsort((beam["node"][open_], -beam["s"][open_], beam["band"][open_]))]
+    return order[_places(beam["band"][order]) < expanded]
+
+
+def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, sizes: dict[int, int], scratch: Scratch) -> DataFrame:
+    """part, q and beam: the best nodes of each query node in each band, by greedy search of the graph.
 
     In its own band a search begins at the node itself, in every band at the best of a sample. Each
     round expands the best nodes of a query's beam that were not expanded yet: their neighbours,
     in both directions, are scored and the best kept. A query's product leaves the added coordinate out.
+    Queries are dealt to parts; each vector that a part's queries reach comes to it once.
     """
-    back = best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "fresh"), "a", "b", "s", REVERSE)
-    links = scratch.save("links", graph.select("a", "b").unionByName(back.select("a", "b")).distinct())
-    asked = queries.join(shapes, queries["q"] == shapes["node"]).select("q", F.col("shape").alias("query_shape"))
-    sizes = band_sizes(shapes)
+    nodes = sum(sizes.values())
+    most = degree(nodes)
+    wide, expanded = 2 * most, max(8, most // 3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                s = (_packed(b.column("shape"))[:, :-1] * _packed(b.column("query_shape"))[:, :-1]).sum(1)
-                yield batch(q=b.column("q"), band=b.column("band"), node=b.column("node"), s=pa.array(s))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(shapes, "node").join(asked, "q").select("q", "band", "node", "shape", "query_shape")
-        return arrow_map(rows, run, "q long, band long, node long, s float").withColumn("expanded", F.lit(False))
-
-    def kept(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("q", "band").orderBy(F.desc("s"), "node")
-        return scratch.save("beam", rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM).drop("place"))
-
-    # a node's own list is where its search begins
-    first = graph.join(queries, graph["a"] == queries["q"], "left_semi").select(F.col("a").alias("q"), F.col("b").alias("node"))
-    first = scored(first.unionByName(queries.select("q", F.col("q").alias("node"))))
-    begun = first.unionByName(entries(asked, shapes, sizes)).groupBy("q", "band", "node").agg(F.max("s").alias("s"), F.max("expanded").alias("expanded"))
-    beam = kept(begun)
-    for _ in range(SEARCHES if len(sizes) < 2 else VISITS):
-        turn = F.row_number().over(Window.partitionBy("q", "band", "expanded").orderBy(F.desc("s"), "node"))
-        marked = beam.withColumn("now", ~F.col("expanded") & (turn <= EXPANDED))
-        fresh = marked.where("now").select("q", F.col("node").alias("a"))
-        reached = fresh.join(links, "a").select("q", F.col("b").alias("node")).distinct()
-        new = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti")
-        beam = kept(marked.select("q", "band", "node", "s", (F.col("expanded") | F.col("now")).alias("expanded")).unionByName(scored(new)))
-    return beam.select("q", "node")
-
-
-def exact_scores(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """q, node and s, the inner product of the original vectors in double precision."""
-    asked = nodes.select(F.col("node").alias("q"), F.col("vec").alias("query_vec"))
-    rows = pairs.join(nodes.select("node", "vec"), "node").join(asked, "q").select("q", "node", "vec", "query_vec")
+            row, links = _unpacked(b.column("links"), LINK)
+            node, packed = _lists(b.column("node").to_numpy()[row], links["b"])
+            yield batch(node=pa.array(node), items=packed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = scratch.save("links", arrow_map(merged(graph.unionByName(turned(graph, most)), 2 * most), targets, "node long, items binary"))
+    asked = numbered(queries.join(shapes, queries["q"] == shapes["node"]).select("q", "shape"), ["q"], "parts", scratch)
+    asked = asked.select(F.expr(f"number div {ASKED}").alias("part"), "q", "shape")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield batch(q=b.column("q"), node=b.column("node"), s=pa.array((_matrix(b.column("vec")) * _matrix(b.column("query_vec"))).sum(1)))
+            beams = [np.frombuffer(x, dtype=SEEN) for x in b.column("beam").to_pylist()]
+            turns = [x["node"][_turn(x, expanded)] for x in beams]
+            if turns:
+                row = np.repeat(np.arange(len(turns)), [len(x) for x in turns])
+                yield batch(part=pa.array(b.column("part").to_numpy()[row]), q=pa.array(b.column("q").to_numpy()[row]), node=pa.array(np.concatenate(turns)))
 
-    return arrow_map(rows, run, "q long, node long, s double")
+    def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(part=b.column("part"), q=b.column("q"), items=_lists(np.arange(b.num_rows), b.column("q").to_numpy())[1])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("node")
+        ids, v, bands = right["node"].to_numpy(), _packed(right["shape"].combine_chunks())[:, :-1], right["band"].to_numpy()
+        left = left.sort_by("q")
+        qs = left["q"].to_numpy()
+        beams, items = left["beam"].to_pylist(), left["items"].to_pylist()
+        starts = _starts(qs).tolist()
+        out = []
+        for i, j in zip(starts, [*starts[1:], len(qs)], strict=True):
+            beam = np.frombuffer(b"".join(x for x in beams[i:j] if x), dtype=SEEN).copy()
+            beam["expanded"][_turn(beam, expanded)] = 1
+            named = np.unique(np.frombuffer(b"".join(x for x in items[i:j] if x), dtype="<i8"))
+            named = np.setdiff1d(named, beam["node"], assume_unique=False)
+            at = np.searchsorted(ids, named)
+            fresh = np.zeros(len(at), dtype=SEEN)
+            fresh["node"], fresh["band"] = named, bands[at]
+            fresh["s"] = v[at] @ v[np.searchsorted(ids, qs[i])]
+            beam = np.concatenate([beam, fresh])
+            beam = beam[np.lexsort((beam["node"], -beam["s"], beam["band"]))]
+            out.append(beam[_places(beam["band"]) < wide])
+        owner = np.repeat(np.arange(len(out)), [len(x) for x in out])
+        packed = _lists(owner, np.concatenate(out))[1]
+        return pa.table({"part": pa.array(np.full(len(out), left["part"][0].as_py())), "q": pa.array(qs[starts]), "beam": packed})
+
+    known = shapes.select("node", "band", "shape")
+    own = arrow_map(asked, itself, "part long, q long, items binary")  # its vector is needed, and it is among its neighbours
+    beam = scratch.save("beam", entries(asked, shapes, sizes, wide))
+    for r in range(SEARCHES):
+        turn = arrow_map(beam, expand, "part long, q long, node long")
+        if not r:  # a node's own list is where its search begins
+            turn = turn.unionByName(asked.select("part", "q", F.col("q").alias("node")))
+        reached = scratch.save("reached", turn.distinct().join(links, "node").select("part", "q", "items").unionByName(own))
+        named = gathered(reached.select("part", "items"), known)
+        left = beam.withColumn("items", F.lit(None).cast("binary")).unionByName(reached.withColumn("beam", F.lit(None).cast("binary")))
+        beam = scratch.save("beam", left.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(score, BEAMS))
+    return beam
+
+
+def exact_scores(beams: DataFrame, vectors: DataFrame, kept: int) -> DataFrame:
+    """q, node and s, the inner product of the original vectors in double precision, for the best `kept` of a beam in each band."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, beam = _unpacked(b.column("beam"), SEEN)
+            order = np.lexsort((beam["node"], -beam["s"], beam["band"], row))
+            row, beam = row[order], beam[order]
+            few = _places(row * 256 + beam["band"]) < kept
+            row, node = row[few], beam["node"][few]
+            q = b.column("q").to_numpy()
+            row, node = np.concatenate([row, np.arange(len(q))]), np.concatenate([node, q])  # its own vector is needed too
+            order = np.argsort(row, kind="stable")
+            yield batch(part=b.column("part"), q=b.column("q"), items=_lists(row[order], node[order])[1])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("node")
+        ids, v = right["node"].to_numpy(), _matrix(right["vec"].combine_chunks())
+        qs, out = left["q"].to_numpy(), []
+        for q, items in zip(qs.tolist(), left["items"].to_pylist(), strict=True):
+            node = np.unique(np.frombuffer(items, dtype="<i8"))
+            s = (v[np.searchsorted(ids, node)] * v[np.searchsorted(ids, q)]).sum(1)
+            out.append((np.full(len(node), q), node, s))
+        q, node, s = (np.concatenate([o[k] for o in out]) for k in range(3))
+        return pa.table({"q": q, "node": node, "s": s})
+
+    pairs = arrow_map(beams, chosen, "part long, q long, items binary")
+    named = gathered(pairs.select("part", "items"), vectors.select("node", "vec"))
+    return pairs.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(score, "q long, node long, s double")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, most: int = NEAREST) -> DataFrame:
@@ -341,17 +547,23 @@ def nearest(vectors: DataFrame, every: int = EVERY, most: int = NEAREST) -> Data
 def _nearest(rows: DataFrame, every: int, most: int) -> DataFrame:
     scratch = Scratch(rows.sparkSession, "neighbours")
     nodes = scratch.save("nodes", rows.groupBy("vec").agg(F.min("vec_id").alias("node")))
-    shapes = scratch.save("shapes", _shape(nodes))
-    graph = first_graph(shapes, scratch)
+    drawn = scratch.save("drawn", _shape(nodes))
+    order = numbered(placed(drawn, "node", 0), ["band", "place", "node"], "order0", scratch)
+    shapes = scratch.save("shapes", order.select(F.col("number").alias("node"), F.col("node").alias("first_id"), "band", "shape"))
+    sizes = band_sizes(shapes)
+    count = sum(sizes.values())
+    graph = first_graph(shapes, sizes, scratch)
     for _ in range(DESCENTS):
-        graph = descend(graph, shapes, scratch)
-        if (graph.agg(F.avg("fresh")).first()[0] or 0.0) <= SETTLED:
+        graph = descend(graph, shapes, count, scratch)
+        if fresh_share(graph) <= SETTLED:
             break
-    owned = rows.join(nodes, "vec").select("vec_id", "node")
-    order = Window.partitionBy("node").orderBy("vec_id")
-    members = owned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1).drop("place")
+    vectors = scratch.save("vectors", nodes.withColumnRenamed("node", "first_id").join(shapes.select("first_id", "node"), "first_id").select("node", "vec"))
+    owned = scratch.save("owned", rows.join(vectors, "vec").select("vec_id", "node"))
+    by_id = Window.partitionBy("node").orderBy("vec_id")
+    members = owned.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= most + 1).drop("place")
     asked = scratch.save("asked", owned.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")))
-    found = exact_scores(search(asked.select("q").distinct(), graph, shapes, scratch), nodes)
+    beams = search(asked.select("q").distinct(), graph, shapes, sizes, scratch)
+    found = exact_scores(beams, vectors, 3 * most)
     # one more than asked for each node, as a query leaves itself out
     listed = found.join(members, "node").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("place") <= most + 1)
     each = asked.join(listed, "q").where("vec_id <> query_id")

@@ -259,10 +259,8 @@ def test_neighbours_few(spark):
 
 
 @pytest.mark.parametrize("spread", ["one", "all"])
-def test_neighbours_of_unlike_lengths(spark, monkeypatch, spread):
+def test_neighbours_of_unlike_lengths(spark, spread):
     """The graph is walked, not only the sample of a band."""
-    monkeypatch.setattr(neighbours, "ENTRIES", 40)
-    monkeypatch.setattr(neighbours, "BLOCK", 128)
     rng = np.random.default_rng(4)
     v = rng.normal(size=(2000, 32))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
