@@ -28,8 +28,8 @@ SETTLED, DESCENTS = 0.01, 12
 SEARCHES = 4
 #: Lengths differ at most twofold in a band, unless that took more than BANDS.
 BANDS = 32
-#: Proposals of one node for each of its neighbours in a descent, and links that are put in order at once.
-PROPOSED, AT_ONCE = 24, 1_000_000
+#: Proposals of one node for each of its neighbours in a descent, and about so many are put in order at once.
+PROPOSED, AT_ONCE = 16, 2_000_000
 
 LINK = np.dtype([("b", "<i8"), ("s", "<f4"), ("new", "u1")])
 LISTS = "node long, links binary"
@@ -151,12 +151,24 @@ def _places(owner: np.ndarray) -> np.ndarray:
 
 def _best(owner: np.ndarray, links: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The best `most` different links of each owner, sorted; a link that was there before isn't new."""
-    order = np.lexsort((links["new"], links["b"], owner))
+    if not len(owner):
+        return owner, links
+    # by owner and target in one integer, where it holds both
+    base, other = owner.min(), links["b"].min()
+    width = int(links["b"].max() - other) + 1
+    if (int(owner.max() - base) + 1) * width < 1 << 61:
+        order = np.argsort(((owner - base) * width + (links["b"] - other)) * 2 + links["new"])
+    else:
+        order = np.lexsort((links["new"], links["b"], owner))
     owner, links = owner[order], links[order]
     first = np.ones(len(owner), dtype=bool)
     first[1:] = (owner[1:] != owner[:-1]) | (links["b"][1:] != links["b"][:-1])
     owner, links = owner[first], links[first]
-    order = np.lexsort((links["b"], -links["s"], owner))
+    # then by owner, counted from 0, and nearness
+    bits = links["s"].copy().view(np.int32)
+    nearness = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64)
+    turn = np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]])).astype(np.int64)
+    order = np.argsort((turn << 32) - nearness, kind="stable")
     owner, links = owner[order], links[order]
     keep = _places(owner) < most
     return owner[keep], links[keep]
@@ -294,8 +306,16 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     owner, b, fresh = owner[once], np.searchsorted(ids, b[once]), fresh[once]
     starts = _starts(owner).tolist()
     most = right["most"][0].as_py()
-    kept: tuple[np.ndarray, np.ndarray] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=LINK))
-    found, held = [], 0
+    found, held, nodes, packed = [], 0, [], []
+
+    def put() -> None:
+        a, links = _links(*(np.concatenate([f[k] for f in found]) for k in range(3)))
+        a, links = _best(a, links, most)
+        links["b"] = ids[links["b"]]
+        node, lists = _lists(ids[a], links)
+        nodes.append(node)
+        packed.append(lists)
+
     for i, j in zip(starts, [*starts[1:], len(owner)], strict=True):
         new = fresh[i:j]
         if j - i < 2 or not new.any():
@@ -313,27 +333,20 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found.append((at[x], at[top[x, y]], value[x, y]))
         held += len(x)
         if held > AT_ONCE:
-            kept = _joined(kept, found, most)
+            put()
             found, held = [], 0
-    owner, links = _joined(kept, found, most)
-    links = links.copy()
-    links["b"] = ids[links["b"]]
-    node, packed = _lists(ids[owner], links)
-    return pa.table({"node": pa.array(node), "links": packed})
-
-
-def _joined(kept: tuple[np.ndarray, np.ndarray], found: list, most: int) -> tuple[np.ndarray, np.ndarray]:
-    if not found:
-        return kept
-    owner, links = _links(*(np.concatenate([f[k] for f in found]) for k in range(3)))
-    return _best(np.concatenate([kept[0], owner]), np.concatenate([kept[1], links]), most)
+    if found:
+        put()
+    if not nodes:
+        return none
+    return pa.table({"node": pa.chunked_array([pa.array(n) for n in nodes]), "links": pa.chunked_array(packed)})
 
 
 def descend(graph: DataFrame, shapes: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     """One round of NN-descent: neighbours and reverse neighbours of a node are joined with each other.
 
-    A node's worst score comes along with its vector, so only what improves a list is proposed, and a
-    task proposes to a node no more than its list holds.
+    A node's worst score comes along with its vector, so only what improves a list is proposed, and what
+    a task proposes to a node is cut to what its list holds.
     """
     most = degree(nodes)
 
@@ -430,7 +443,7 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, sizes: dict[
     """
     nodes = sum(sizes.values())
     most = degree(nodes)
-    wide, expanded = 2 * most, max(8, most // 3)
+    wide, expanded = 2 * most, max(8, most // 4)
 
     def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,7 +451,7 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, sizes: dict[
             node, packed = _lists(b.column("node").to_numpy()[row], links["b"])
             yield batch(node=pa.array(node), items=packed)
 
-    links = scratch.save("links", arrow_map(merged(graph.unionByName(turned(graph, most)), 2 * most), targets, "node long, items binary"))
+    links = scratch.save("links", arrow_map(merged(graph.unionByName(turned(graph, 2 * most)), 3 * most), targets, "node long, items binary"))
     asked = numbered(queries.join(shapes, queries["q"] == shapes["node"]).select("q", "shape"), ["q"], "parts", scratch)
     asked = asked.select(F.expr(f"number div {ASKED}").alias("part"), "q", "shape")
 
