@@ -66,7 +66,7 @@ class Lake:
     def rag_context(self, questions: list[str], asker: acl.Asker, most: int = 8, pool: int = 30, trade: float = 0.7, min_score: float = 0.3, min_hits: int = 1, max_chars: int = 12_000) -> DataFrame:
         """q and context: the strict pass, diversified, where it is relevant, else a broadened one if that is, packed; else no row."""
         seen, asked = self._visible(asker, None, None), self._asked(questions)
-        found = search.nearest(seen, asked, rag.pool_size(most, pool)).select("q", "key", "rank", F.col("cosine").alias("score"), "doc_id", "text", "vector")
+        found = search.nearest(seen, asked, rag.pool_size(most, pool), columns=("doc_id", "text", "vector")).select("q", "key", "rank", F.col("cosine").alias("score"), "doc_id", "text", "vector")
         strict = rag.mmr(found.where(F.col("score") >= min_score), most, trade)
         broad = rag.mmr(found, rag.broadened(most, pool), trade)
         hits = rag.gated(strict, broad, min_score, min_hits)

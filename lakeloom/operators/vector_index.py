@@ -11,6 +11,7 @@ import base64
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,22 +119,28 @@ class VectorIndex:
         angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(self.least, -1, 1))[None, :]
         return np.where(near < -1.5, 0.0, np.cos(np.maximum(angle, 0.0))) + search.SLACK
 
-    def _pass(self, probed: np.ndarray, rest: bool, queries: DataFrame, most: int, floor: float | None, condition) -> DataFrame:
+    def _rows(self, probed: np.ndarray, rest: bool, condition) -> tuple[DataFrame, dict[int, np.ndarray]]:
+        """The chunks of the lists that any query looks into, and which queries look into each."""
         masks = {int(self.numbers[k]): probed[:, k] for k in np.flatnonzero(probed.any(axis=0))}
         if rest and self.rest:
             masks[REST] = np.ones(len(probed), dtype=bool)
         rows = self.read(sorted(masks))
-        return search.candidates(rows if condition is None else rows.where(condition), queries, ("vector",), most, floor, masks).drop("leg", "list")
+        return rows if condition is None else rows.where(condition), masks
 
-    def nearest(self, queries: DataFrame, most: int, probes: int | None = None, floor: float | None = None, condition=None) -> DataFrame:
-        """q, rank, cosine and the chunks' columns of each query's nearest chunks.
+    def nearest(self, queries: DataFrame, most: int, probes: int | None = None, floor: float | None = None, condition=None, columns: tuple[str, ...] | None = None) -> DataFrame:
+        """q, rank, key, cosine and the chunks' columns (all, or those named) of each query's nearest chunks.
 
         With `probes` the nearest so many lists of each query are read, which may miss some of its chunks. Without, all
         that a list's bound doesn't rule out: a first pass over the nearest lists gives the score to beat, which is
         at most a number a query on the driver, and a second one reads the lists that could; the result is exact. Queries that
         have no vector of the index's kind are compared with all lists.
         """
+        parts = [self._nearest(block, most, probes, floor, condition, columns) for block in search.in_blocks(queries)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _nearest(self, queries: DataFrame, most: int, probes: int | None, floor: float | None, condition, columns: tuple[str, ...] | None) -> DataFrame:
         asked = search._Asked(queries)
+        q_type = queries.schema["q"].dataType
         near = self._near(asked)
         first = probes or max(1, len(self.numbers) // 16)
         probed = np.zeros(near.shape, dtype=bool)
@@ -141,14 +148,18 @@ class VectorIndex:
             top = np.argsort(-near, axis=1, kind="stable")[:, :first]
             probed[np.arange(len(near))[:, None], top] = True
         probed |= near < -1.5
-        found = self._pass(probed, True, queries, most, floor, condition)
+        rows, masks = self._rows(probed, True, condition)
+        found = search.best_of(rows, asked, q_type, ("vector",), most, floor, masks)
+        shown = lambda found, rows: search.with_columns(found, rows.drop("list"), columns).drop("leg")
         if probes is not None:
-            return found
+            return shown(found, rows)
         found = Scratch(self.spark, "index").save("first", found)
         worst = {r["q"]: (r["n"], r["least"]) for r in found.groupBy("q").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).collect()}
         beat = np.array([worst[q][1] if q in worst and worst[q][0] >= most else (-2.0 if floor is None else floor) for q in asked.q.to_pylist()])
         further = (self._bounds(near) >= beat[:, None]) & ~probed
         if not further.any():
-            return found
-        again = self._pass(further, False, queries, most, floor, condition)
-        return search.ranked(found.drop("rank").unionByName(again.drop("rank")), [F.desc("cosine"), F.asc("key")], most)
+            return shown(found, rows)
+        more, masks = self._rows(further, False, condition)
+        again = search.best_of(more, asked, q_type, ("vector",), most, floor, masks)
+        both = search.ranked(found.drop("rank").unionByName(again.drop("rank")), [F.desc("cosine"), F.asc("key")], most)
+        return shown(both, self._rows(probed | further, True, condition)[0])

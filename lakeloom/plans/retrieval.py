@@ -128,13 +128,13 @@ def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest chunks through an inverted file of vectors, built here, searched until no list can hold a nearer one."""
     index = VectorIndex.build(chunks(spark, sf_dir), f"{scratch_root(spark)}/lakeloom/vectors-{uuid.uuid4().hex}")
-    return shown(index.nearest(asked(spark, sf_dir), 20).select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score")), "score")
+    return shown(index.nearest(asked(spark, sf_dir), 20, columns=()).select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score")), "score")
 
 
 @query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0 QUALIFY rank <= 10) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r")
 def chunk_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms as a condition of the vector search."""
-    holding = search.candidates(chunks(spark, sf_dir), asked(spark, sf_dir), ("keyword",), 10)
+    holding = search.candidates(chunks(spark, sf_dir), asked(spark, sf_dir), ("keyword",), 10, columns=())
     return shown(holding.select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score")), "score")
 
 
@@ -150,7 +150,7 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = vectors.count()
     each = asked(spark, sf_dir).drop("vector").withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("turn", (F.col("q") + F.col("variant") * 7) % many)
     named = each.join(vectors, "turn").withColumn("q", F.struct("q", "variant"))
-    hits = search.nearest(chunks(spark, sf_dir), named.select("q", "vector", "terms", "tokens"), 20)
+    hits = search.nearest(chunks(spark, sf_dir), named.select("q", "vector", "terms", "tokens"), 20, columns=())
     return hits.select("q.q", "q.variant", "rank", "key", F.col("cosine").alias("score"))
 
 
@@ -181,7 +181,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 5) SELECT r.q, CAST(r.rank AS INT) AS rank, r.key AS doc_id, d.lang, d.source FROM r LEFT JOIN documents d ON d.doc_id = r.key")
 def enrich_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 5)
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 5, columns=())
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return search.enrich(hits.select("q", F.col("rank").cast("int").alias("rank"), F.col("key").alias("doc_id")), docs).select("q", "rank", "doc_id", "lang", "source")
 
@@ -338,7 +338,7 @@ def node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + SCORED + "r AS (SELECT q, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 10) SELECT q, count(*) FILTER (score >= 0.3) AS good, CASE WHEN count(*) FILTER (score >= 0.3) >= 3 THEN 'RELEVANT' ELSE 'WEAK' END AS verdict FROM r GROUP BY 1")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 10)
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 10, columns=())
     return status.relevance(hits.select("q", F.col("cosine").alias("score")), 0.3, 3)
 
 
@@ -353,13 +353,13 @@ picked AS (SELECT q, unnest(chosen) AS key, generate_subscripts(chosen, 1) AS ra
 
 @query("WITH RECURSIVE " + CORPUS + _MMR.format(pool=30, trade=0.6, k=8) + "SELECT picked.q, CAST(picked.rank AS INT) AS rank, picked.key, round(p.score, 9) AS score FROM picked JOIN p ON p.q = picked.q AND p.key = picked.key")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 30)
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 30, columns=("vector",))
     return shown(rag.mmr(hits.select("q", "rank", "key", F.col("cosine").alias("score"), "vector"), 8, 0.6).select("q", "rank", "key", "score"), "score")
 
 
 @query("WITH " + SCORED + "h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20), j AS (SELECT h.*, CASE WHEN key % 3 <> 0 THEN CAST(key * 7919 % 101 AS DOUBLE) END AS rs FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rs DESC NULLS LAST, rank) AS nr FROM j QUALIFY nr <= 8) SELECT q, key, CAST(nr AS INT) AS rank, round(coalesce(rs, score), 9) AS score FROM r")
 def rerank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 20).select("q", "key", "rank", F.col("cosine").alias("score"))
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 20, columns=()).select("q", "key", "rank", F.col("cosine").alias("score"))
     scores = hits.where("key % 3 <> 0").select("q", "key", (F.col("key") * 7919 % 101).cast("double").alias("rerank_score"))
     return shown(rag.rerank(hits, scores, 8, replace=True), "score")
 
@@ -367,7 +367,7 @@ def rerank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + SCORED + "h AS (SELECT q, key, cosine AS score, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20) SELECT q, key, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM h WHERE rank <= 8")
 def rerank_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without scores from the reranker the first hits stay as they are."""
-    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 20).select("q", "key", "rank", F.col("cosine").alias("score"))
+    hits = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), 20, columns=()).select("q", "key", "rank", F.col("cosine").alias("score"))
     return shown(rag.rerank(hits, None, 8, replace=True), "score")
 
 
@@ -386,6 +386,6 @@ def gated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
         hits = hits.select("q", "key", "rank", F.col("cosine").alias("score"))
         return rag.rerank(hits, hits.select("q", "key", (F.col("key") * 7919 % 101).cast("double").alias("rerank_score")), 12)
 
-    pool = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), rag.broadened(5, 12))
+    pool = search.nearest(chunks(spark, sf_dir), asked(spark, sf_dir), rag.broadened(5, 12), columns=())
     strict = pool.where("cosine >= 0.3 and rank <= 5")
     return shown(rag.gated(reranked(strict), reranked(pool), 0.35, 3), "score")
