@@ -26,6 +26,8 @@ from lakeloom.sources.committed import Storage
 #: Centroids are fitted to a sample of about so many vectors, in so many rounds; all chunks are indexed.
 SAMPLE, ROUNDS = 32_768, 12
 MOST_LISTS = 4_096
+#: Angles from cosines near 1 or -1 may be wrong by so much.
+ANGLE = 3e-8
 #: The list of chunks without a usable vector or with another number of dimensions: read by every search.
 REST = -1
 
@@ -116,7 +118,7 @@ class VectorIndex:
 
     def _bounds(self, near: np.ndarray) -> np.ndarray:
         """How near any chunk of a list can be to a query: the angle to the centroid less the list's widest."""
-        angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(self.least, -1, 1))[None, :]
+        angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(self.least, -1, 1))[None, :] - 2 * ANGLE
         return np.where(near < -1.5, 0.0, np.cos(np.maximum(angle, 0.0))) + search.SLACK
 
     def _rows(self, probed: np.ndarray, rest: bool, condition) -> tuple[DataFrame, dict[int, np.ndarray]]:
