@@ -6,8 +6,10 @@ Each function on events works on batch and streaming frames alike unless it says
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import timedelta
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -254,29 +256,52 @@ def _keep_until(state: GroupState, moment: int) -> None:
     state.setTimeoutTimestamp(max(moment, state.getCurrentWatermarkMs() + 1))
 
 
+#: Keys of a stream are dealt into so many groups, each with one state that holds its live keys: a call of Python for each key and batch
+#: costs milliseconds.
+GROUPS = 1_024
+
+
+def _group(*keys: Column) -> Column:
+    """The group of a key; null keys are apart, as pandas turns integers beside nulls into floats."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(GROUPS))
+    return F.when(reduce(lambda a, b: a | b, [k.isNull() for k in keys]), -1 - place).otherwise(place)
+
+
+def _live(state: GroupState, last: int) -> dict:
+    """The keys of a group's state whose time, at place `last` of their values (milliseconds), the watermark hasn't passed."""
+    passed = state.getCurrentWatermarkMs()
+    return {k: v for k, v in pickle.loads(state.get[0]).items() if v[last] > passed} if state.exists else {}
+
+
 def drop_repeats_stream(events: DataFrame, window: timedelta) -> DataFrame:
-    """drop_repeats for a stream: by key, the state is the time of the last event kept.
+    """drop_repeats for a stream: the state of a group of keys is the time of each one's last event kept.
 
-    It goes once the watermark, `window` behind the latest event, has passed its window; whatever comes
-    then is no repeat. Events older than the last one kept are judged as repeats of it.
+    A key goes from it once the watermark, `window` behind the latest event, has passed its window, and the state with the
+    last of them; whatever comes then is no repeat. Events older than the last one kept are judged as repeats of it.
     """
     seconds = max(1, int(window.total_seconds()))
+    step = int(window / timedelta(microseconds=1))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        keep = accepted(rows["ts"].tolist(), window, last)
-        if any(keep):
-            last = rows["ts"][keep].iloc[-1]
-        state.update((last.to_pydatetime(),))
-        _keep_until(state, _millis(last) + 1000 * seconds)
-        yield rows[keep]
+        held, kept = _live(state, 1), []
+        named = [None if kind != kind else kind for kind in rows["event_type"].tolist()]
+        for k, of in enumerate(zip(named, rows["node_id"].tolist(), rows["ts"].astype("datetime64[us]").astype("int64").tolist())):
+            name, at = of[:2], of[2]
+            last = held.get(name)
+            if last is None or step <= 0 or at >= last[0] + step:
+                kept.append(k)
+                held[name] = (at, at // 1000 + 1000 * seconds)
+        state.update((pickle.dumps(held),))
+        _keep_until(state, max(until for _, until in held.values()))
+        yield rows.iloc[kept][fields]
 
-    known = events.where("node_id is not null").withWatermark("ts", f"{seconds} seconds")
-    kept = known.groupBy("event_type", "node_id").applyInPandasWithState(fold, events.schema, "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    fields = list(events.columns)
+    known = events.where("node_id is not null").withWatermark("ts", f"{seconds} seconds").withColumn("__group", _group(F.col("event_type"), F.col("node_id")))
+    kept = known.groupBy("__group").applyInPandasWithState(fold, events.schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return kept.unionByName(events.where("node_id is null"))
 
 
@@ -365,25 +390,35 @@ def memory_stream(turns: DataFrame, most: int = 10, ttl: timedelta = timedelta(m
     remembered after it, and `block`, those as lines of User: and Assistant:.
 
     A session ends when it is left alone for longer than `ttl`; any access, also that of a blank turn,
-    which isn't remembered, keeps it alive. The role "reset" empties it. The state is the last `most`
-    turns and the time of the last access, and goes once the watermark has passed that by `ttl`.
+    which isn't remembered, keeps it alive. The role "reset" empties it. The state of a group of sessions is the last `most`
+    turns and the time of the last access of each; a session goes from it once the watermark has passed that by `ttl`.
     """
     schema = StructType([*turns.schema.fields, StructField("held", IntegerType()), StructField("block", StringType())])
     seconds = int(ttl.total_seconds())
+    fields = list(turns.columns)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(batches).sort_values(["ts", "seq"])
-        last, lines = (pd.Timestamp(state.get[0]), json.loads(state.get[1])) if state.exists else (None, [])
-        held, blocks, last, lines = remembered(rows["ts"], rows["role"], rows["text"], last, lines, most, ttl)
-        state.update((last.to_pydatetime(), json.dumps(lines)))
-        _keep_until(state, _millis(last) + 1000 * seconds + 1)
-        yield rows.assign(held=held, block=blocks)
+        kept, places = _live(state, 2), {}
+        for k, session in enumerate(rows["session"].tolist()):
+            places.setdefault(None if session != session else session, []).append(k)
+        times, roles, texts = rows["ts"].tolist(), rows["role"].tolist(), rows["text"].tolist()
+        held, blocks = [0] * len(rows), [""] * len(rows)
+        for session, at in places.items():
+            last, lines, _ = kept.get(session, (None, [], 0))
+            n, block, last, lines = remembered([times[k] for k in at], [roles[k] for k in at], [texts[k] for k in at], last, lines, most, ttl)
+            for k, of, b in zip(at, n, block):
+                held[k], blocks[k] = of, b
+            kept[session] = (last, lines, _millis(last) + 1000 * seconds + 1)
+        state.update((pickle.dumps(kept),))
+        _keep_until(state, max(until for _, _, until in kept.values()))
+        yield rows[fields].assign(held=held, block=blocks)
 
-    timed = turns.withWatermark("ts", f"{max(1, seconds)} seconds")
-    return timed.groupBy("session").applyInPandasWithState(fold, schema, "last timestamp, lines string", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = turns.withWatermark("ts", f"{max(1, seconds)} seconds").withColumn("__group", _group(F.col("session")))
+    return timed.groupBy("__group").applyInPandasWithState(fold, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(turns: DataFrame, gap: str = "30 minutes") -> DataFrame:
