@@ -22,14 +22,19 @@ TERMS = (("that", "with"), ("der", "keit"), ("que", "ment"), ("ción", "las"), (
 EVERY = 100
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; they take the vectors in turn. Readers are the group of the source, and everyone for each fifth."""
+def chunks(spark: SparkSession, sf_dir: str, queries: DataFrame | None = None) -> DataFrame:
+    """All documents; they take the vectors in turn. Readers are the group of the source, and everyone for each fifth.
+
+    With queries, `hits` of their terms stand for the text, which is not joined with the vectors then.
+    """
     docs = table(spark, sf_dir, "documents")
+    if queries is not None:
+        docs = search.with_hits(docs.select("doc_id", "lang", "source", "text"), queries)
     vectors = table(spark, sf_dir, "embeddings")
     many = vectors.count()
     vectors = vectors.select(F.col("vec_id").alias("turn"), F.col("embedding").cast("array<double>").alias("vector"))
     racl = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("__Everyone__"), F.concat(F.lit("g:GROUP_"), "source"))).otherwise(F.array(F.concat(F.lit("g:GROUP_"), "source")))
-    return docs.withColumn("turn", F.col("doc_id") % many).join(vectors, "turn").select(F.col("doc_id").alias("key"), "doc_id", "text", "lang", "source", racl.alias("racl"), "vector")
+    return docs.withColumn("turn", F.col("doc_id") % many).join(vectors, "turn").select(F.col("doc_id").alias("key"), "doc_id", "text" if queries is None else "hits", "lang", "source", racl.alias("racl"), "vector")
 
 
 def asked(spark: SparkSession, sf_dir: str, tokens: bool = True) -> DataFrame:
@@ -69,7 +74,8 @@ HYBRID = ("score", "vector_score", "keyword_score")
 
 @query("WITH " + SCORED + LEGS + RRF + RANKED.format(where=" WHERE score >= 0.01") + OUT)
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, 0.01), *HYBRID)
+    queries = asked(spark, sf_dir)
+    return shown(search.hybrid_search(chunks(spark, sf_dir, queries), queries, 30, 10, 0.01), *HYBRID)
 
 
 def _weighted(how: str, vector: float = 0.7, keyword: float = 0.3) -> str:
@@ -83,18 +89,21 @@ def _weighted(how: str, vector: float = 0.7, keyword: float = 0.3) -> str:
 
 @query(_weighted("max"))
 def hybrid_weighted_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", normalisation="max"), *HYBRID)
+    queries = asked(spark, sf_dir)
+    return shown(search.hybrid_search(chunks(spark, sf_dir, queries), queries, 30, 10, fusion="weighted", normalisation="max"), *HYBRID)
 
 
 @query(_weighted("minmax"))
 def hybrid_weighted_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", normalisation="minmax"), *HYBRID)
+    queries = asked(spark, sf_dir)
+    return shown(search.hybrid_search(chunks(spark, sf_dir, queries), queries, 30, 10, fusion="weighted", normalisation="minmax"), *HYBRID)
 
 
 @query(_weighted("max", 0.7, 0.9))
 def hybrid_weight_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weight of 0 in a request stands for the default one."""
-    return shown(search.hybrid_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30, 10, fusion="weighted", weights=(0.0, 0.9)), *HYBRID)
+    queries = asked(spark, sf_dir)
+    return shown(search.hybrid_search(chunks(spark, sf_dir, queries), queries, 30, 10, fusion="weighted", weights=(0.0, 0.9)), *HYBRID)
 
 
 def _semantic(least: float, most: int) -> str:
@@ -114,7 +123,8 @@ def semantic_default_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + SCORED + LEGS + "x AS (SELECT 1) SELECT q, CAST(r AS INT) AS rank, key, round(bm25, 9) AS score FROM kw")
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.keyword_search(chunks(spark, sf_dir), asked(spark, sf_dir), 30), "score")
+    queries = asked(spark, sf_dir)
+    return shown(search.keyword_search(chunks(spark, sf_dir, queries), queries, 30), "score")
 
 
 @query("WITH " + SCORED + LEGS + "x AS (SELECT 1) SELECT q, CAST(r AS INT) AS rank, key, round(bm25, 9) AS score FROM kw")
@@ -134,7 +144,8 @@ def semantic_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored WHERE len(list_filter(terms, lambda t: contains(low, t))) > 0 QUALIFY rank <= 10) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r")
 def chunk_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms as a condition of the vector search."""
-    holding = search.candidates(chunks(spark, sf_dir), asked(spark, sf_dir), ("keyword",), 10, columns=())
+    queries = asked(spark, sf_dir)
+    holding = search.candidates(chunks(spark, sf_dir, queries), queries, ("keyword",), 10, columns=())
     return shown(holding.select("q", F.col("rank").cast("int").alias("rank"), "key", F.col("cosine").alias("score")), "score")
 
 

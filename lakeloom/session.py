@@ -29,14 +29,14 @@ def spread(frame: DataFrame) -> DataFrame:
     """A frame dealt to all cores if it is so small that its scan has fewer partitions than there are.
 
     For work that is heavy for its bytes. What is dealt is bounded: less than one full partition of a
-    scan for each core; larger tables stay where they are.
+    scan for each core; larger tables stay where they are, and those of as many files as there are cores.
     """
     spark = frame.sparkSession
     cores = spark.sparkContext.defaultParallelism
     full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
-    return frame.repartition(cores) if read < full * cores else frame
+    return frame.repartition(cores) if read < full * cores and len(frame.inputFiles()) < cores else frame
 
 
 def scratch_root(spark: SparkSession) -> str:
