@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ PROPOSED, AT_ONCE = 16, 2_000_000
 
 LINK = np.dtype([("b", "<i8"), ("s", "<f4"), ("new", "u1")])
 LISTS = "node long, links binary"
+#: A link proposed to the node with that place in its unit; what one unit proposes to the nodes of another is one value.
+PROPOSAL = np.dtype([("place", "<u2"), ("b", "<i8"), ("s", "<f4")])
+PROPOSALS = "part long, proposed binary"
 #: A node in a query's beam.
 SEEN = np.dtype([("node", "<i8"), ("s", "<f4"), ("band", "u1"), ("expanded", "u1")])
 BEAMS = "part long, q long, beam binary"
@@ -184,15 +188,26 @@ def unit(node: str) -> Column:
     return F.expr(f"{node} div {UNIT}").alias("part")
 
 
-def merged(lists: DataFrame, most: int) -> DataFrame:
-    """The best links of each node out of all its lists. A list is cut at every batch, so that a node in very many lists is no burden."""
+def merged(lists: DataFrame, most: int, proposals: DataFrame | None = None) -> DataFrame:
+    """The best links of each node out of all its lists, and of what units propose to its unit. Both are cut a few at a time,
+    so that a node in very many lists is no burden."""
+
+    def few(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Proposals are long values, lists short ones."""
+        size = np.cumsum(pa.compute.binary_length(b.column("proposed")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // (PROPOSAL.itemsize * AT_ONCE)
+        starts = _starts(size)
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+            yield b.slice(begin, end - begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=LINK)
-        for b in batches:
-            row, items = _unpacked(b.column("links"), LINK)
-            owner, links = _best(np.concatenate([owner, b.column("node").to_numpy()[row]]), np.concatenate([links, items]), most)
-            if len(owner) and (cut := int(np.searchsorted(owner, owner[-1]))):
+        for b in (part for whole in batches for part in few(whole)):
+            lists, proposed = b.filter(b.column("proposed").is_null()), b.filter(b.column("proposed").is_valid())
+            row, items = _unpacked(lists.column("links"), LINK)
+            at, offers = _unpacked(proposed.column("proposed"), PROPOSAL)
+            to, offered = _links(proposed.column("part").to_numpy()[at] * UNIT + offers["place"], offers["b"], offers["s"])
+            owner, links = _best(np.concatenate([owner, lists.column("node").to_numpy()[row], to]), np.concatenate([links, items, offered]), most)
+            if len(owner) and (cut := int(np.searchsorted(owner, b.column("from")[-1].as_py()))):
                 node, packed = _lists(owner[:cut], links[:cut])
                 yield batch(node=pa.array(node), links=packed)
                 owner, links = owner[cut:], links[cut:]
@@ -200,7 +215,10 @@ def merged(lists: DataFrame, most: int) -> DataFrame:
             node, packed = _lists(owner, links)
             yield batch(node=pa.array(node), links=packed)
 
-    return arrow_map(lists.repartition(unit("node")).sortWithinPartitions("node"), run, LISTS)
+    rows = lists.select(unit("node"), "node", "links", F.lit(None).cast("binary").alias("proposed"), F.col("node").alias("from"))
+    if proposals is not None:
+        rows = rows.unionByName(proposals.withColumn("from", F.col("part") * UNIT), allowMissingColumns=True)
+    return arrow_map(rows.repartition("part").sortWithinPartitions("from"), run, LISTS)
 
 
 def placed(shapes: DataFrame, key: str, r: int) -> DataFrame:
@@ -290,8 +308,8 @@ def gathered(wanted: DataFrame, table: DataFrame) -> DataFrame:
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of the lists of a unit and the vectors that they name: the neighbours of one node propose each other, if near
-    enough to be of use; those that both were there before have met already."""
-    none = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.binary())})
+    enough to be of use; those that both were there before have met already. A row for each unit proposed to."""
+    none = pa.table({"part": pa.array([], pa.int64()), "proposed": pa.array([], pa.binary())})
     if not left.num_rows or not right.num_rows:
         return none
     right = right.sort_by("node")
@@ -306,14 +324,15 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     owner, b, fresh = owner[once], np.searchsorted(ids, b[once]), fresh[once]
     starts = _starts(owner).tolist()
     most = right["most"][0].as_py()
-    found, held, nodes, packed = [], 0, [], []
+    found, held, parts, packed = [], 0, [], []
 
     def put() -> None:
         a, links = _links(*(np.concatenate([f[k] for f in found]) for k in range(3)))
         a, links = _best(a, links, most)
-        links["b"] = ids[links["b"]]
-        node, lists = _lists(ids[a], links)
-        nodes.append(node)
+        offers = np.zeros(len(a), dtype=PROPOSAL)
+        offers["place"], offers["b"], offers["s"] = ids[a] % UNIT, ids[links["b"]], links["s"]
+        part, lists = _lists(ids[a] // UNIT, offers)
+        parts.append(part)
         packed.append(lists)
 
     for i, j in zip(starts, [*starts[1:], len(owner)], strict=True):
@@ -337,9 +356,9 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
             found, held = [], 0
     if found:
         put()
-    if not nodes:
+    if not parts:
         return none
-    return pa.table({"node": pa.chunked_array([pa.array(n) for n in nodes]), "links": pa.chunked_array(packed)})
+    return pa.table({"part": pa.chunked_array([pa.array(n) for n in parts]), "proposed": pa.chunked_array(packed)})
 
 
 def descend(graph: DataFrame, shapes: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
@@ -370,9 +389,9 @@ def descend(graph: DataFrame, shapes: DataFrame, nodes: int, scratch: Scratch) -
     known = shapes.select("node", "shape").join(arrow_map(graph, floors, "node long, worst float"), "node", "left")
     known = known.select("node", "shape", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"), F.lit(most).alias("most"))
     named = gathered(arrow_map(around, wants, "part long, items binary"), known)
-    proposals = around.groupBy(unit("node")).cogroup(named.groupBy("part")).applyInArrow(_meet, LISTS)
+    proposals = around.groupBy(unit("node")).cogroup(named.groupBy("part")).applyInArrow(_meet, PROPOSALS)
     met = arrow_map(graph, _met, LISTS)
-    return scratch.save("graph", merged(met.unionByName(proposals), most))
+    return scratch.save("graph", merged(met, most, proposals))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
