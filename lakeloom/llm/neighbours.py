@@ -37,6 +37,8 @@ LISTS = "node long, links binary"
 #: A link proposed to the node with that place in its unit; what one unit proposes to the nodes of another is one value.
 PROPOSAL = np.dtype([("place", "<u2"), ("b", "<i8"), ("s", "<f4")])
 PROPOSALS = "part long, proposed binary"
+#: Links that may have been there before, said for the whole value.
+TURNED = f"{PROPOSALS}, new int"
 #: A node in a query's beam.
 SEEN = np.dtype([("node", "<i8"), ("s", "<f4"), ("band", "u1"), ("expanded", "u1")])
 BEAMS = "part long, q long, beam binary"
@@ -178,7 +180,7 @@ def _best(owner: np.ndarray, links: np.ndarray, most: int) -> tuple[np.ndarray,
     return owner[keep], links[keep]
 
 
-def _links(a: np.ndarray, b: np.ndarray, s: np.ndarray, new: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def _links(a: np.ndarray, b: np.ndarray, s: np.ndarray, new: int | np.ndarray = 1) -> tuple[np.ndarray, np.ndarray]:
     links = np.zeros(len(a), dtype=LINK)
     links["b"], links["s"], links["new"] = b, s, new
     return a, links
@@ -205,7 +207,8 @@ def merged(lists: DataFrame, most: int, proposals: DataFrame | None = None) -> D
             lists, proposed = b.filter(b.column("proposed").is_null()), b.filter(b.column("proposed").is_valid())
             row, items = _unpacked(lists.column("links"), LINK)
             at, offers = _unpacked(proposed.column("proposed"), PROPOSAL)
-            to, offered = _links(proposed.column("part").to_numpy()[at] * UNIT + offers["place"], offers["b"], offers["s"])
+            fresh = proposed.column("new").to_numpy()[at]
+            to, offered = _links(proposed.column("part").to_numpy()[at] * UNIT + offers["place"], offers["b"], offers["s"], fresh)
             owner, links = _best(np.concatenate([owner, lists.column("node").to_numpy()[row], to]), np.concatenate([links, items, offered]), most)
             if len(owner) and (cut := int(np.searchsorted(owner, b.column("from")[-1].as_py()))):
                 node, packed = _lists(owner[:cut], links[:cut])
@@ -215,9 +218,10 @@ def merged(lists: DataFrame, most: int, proposals: DataFrame | None = None) -> D
             node, packed = _lists(owner, links)
             yield batch(node=pa.array(node), links=packed)
 
-    rows = lists.select(unit("node"), "node", "links", F.lit(None).cast("binary").alias("proposed"), F.col("node").alias("from"))
+    rows = lists.select(unit("node"), "node", "links", F.lit(None).cast("binary").alias("proposed"), F.lit(1).alias("new"), F.col("node").alias("from"))
     if proposals is not None:
-        rows = rows.unionByName(proposals.withColumn("from", F.col("part") * UNIT), allowMissingColumns=True)
+        new = F.col("new") if "new" in proposals.columns else F.lit(1)
+        rows = rows.unionByName(proposals.withColumns({"new": new, "from": F.col("part") * UNIT}), allowMissingColumns=True)
     return arrow_map(rows.repartition("part").sortWithinPartitions("from"), run, LISTS)
 
 
@@ -279,17 +283,25 @@ def first_graph(shapes: DataFrame, sizes: dict[int, int], scratch: Scratch) -> D
 
 
 def turned(graph: DataFrame, most: int) -> DataFrame:
-    """The nearest reverse links of each node, so that a node that is everybody's neighbour joins no more than others."""
+    """The nearest reverse links of each node, so that a node that is everybody's neighbour joins no more than others.
+
+    What a task turns for the nodes of a unit is one value of new links and one of others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, links = _unpacked(b.column("links"), LINK)
             back = links.copy()
             back["b"] = b.column("node").to_numpy()[row]
-            node, packed = _lists(*_best(links["b"], back, most))
-            yield batch(node=pa.array(node), links=packed)
-
-    return merged(arrow_map(graph, run, LISTS), most)
+            node, back = _best(links["b"], back, most)
+            for new in (0, 1):
+                to, held = node[back["new"] == new], back[back["new"] == new]
+                offers = np.zeros(len(to), dtype=PROPOSAL)
+                offers["place"], offers["b"], offers["s"] = to % UNIT, held["b"], held["s"]
+                part, packed = _lists(to // UNIT, offers)
+                yield batch(part=pa.array(part), proposed=packed, new=pa.array(np.full(len(part), new, dtype=np.int32)))
+
+    return merged(graph.limit(0), most, arrow_map(graph, run, TURNED))
 
 
 def gathered(wanted: DataFrame, table: DataFrame) -> DataFrame:
