@@ -37,8 +37,12 @@ LISTS = "node long, links binary"
 #: A link proposed to the node with that place in its unit; what one unit proposes to the nodes of another is one value.
 PROPOSAL = np.dtype([("place", "<u2"), ("b", "<i8"), ("s", "<f4")])
 PROPOSALS = "part long, proposed binary"
+#: A node's place in its unit; rows are told to parts in batches of about so many bytes.
+PLACE, ANSWERED = np.dtype("<u2"), 4 << 20
 #: Links that may have been there before, said for the whole value.
 TURNED = f"{PROPOSALS}, new int"
+#: Below all scores.
+LEAST = -1e9
 #: A node in a query's beam.
 SEEN = np.dtype([("node", "<i8"), ("s", "<f4"), ("band", "u1"), ("expanded", "u1")])
 BEAMS = "part long, q long, beam binary"
@@ -305,17 +309,85 @@ def turned(graph: DataFrame, most: int) -> DataFrame:
 
 
 def gathered(wanted: DataFrame, table: DataFrame) -> DataFrame:
-    """part and the columns of table: each row that a part's lists name, once. Wanted has part, items (packed numbers)."""
+    """part, unit, places and rows: of the nodes that a part's lists name, once, those of a unit as one value.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Wanted has part, items (packed numbers), table has node, row (bytes, all of one width). What a batch of lists names of a
+    unit is one value, too: rows for each pair of part and node grew with the square of the nodes until a part named them all.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, items = _unpacked(b.column("items"), np.dtype("<i8"))
             part = b.column("part").to_numpy()[row]
             for p in np.unique(part).tolist():
                 node = np.unique(items[part == p])
-                yield batch(part=pa.array(np.full(len(node), p)), node=pa.array(node))
+                of, places = _lists(node // UNIT, (node % UNIT).astype(PLACE))
+                yield batch(unit=pa.array(of), part=pa.array(np.full(len(of), p)), value=places)
 
-    return arrow_map(wanted, run, "part long, node long").distinct().join(table, "node")
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows as values that begin with their place; they come before all that is asked of their unit."""
+        for b in batches:
+            node = b.column("node").to_numpy()
+            value = [at.tobytes() + row for at, row in zip((node % UNIT).astype(PLACE), b.column("row").to_pylist(), strict=True)]
+            yield batch(unit=pa.array(node // UNIT), part=pa.array(np.full(len(node), -1)), value=(value, pa.binary()))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, by, rows, asked, out, size = None, None, [], [], [], 0
+
+        def told() -> Iterator[tuple[int, int, bytes, bytes]]:
+            nonlocal rows
+            if asked:
+                if isinstance(rows, list):  # of this unit nothing was asked so far
+                    rows = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, PLACE.itemsize), dtype=np.uint8)
+                    rows = rows[np.argsort(np.ascontiguousarray(rows[:, : PLACE.itemsize]).view(PLACE).ravel())]
+                places = np.ascontiguousarray(rows[:, : PLACE.itemsize]).view(PLACE).ravel()
+                at = np.flatnonzero(np.isin(places, np.frombuffer(b"".join(asked), dtype=PLACE)))
+                yield by, of, places[at].tobytes(), rows[at, PLACE.itemsize :].tobytes()
+
+        def put() -> pa.RecordBatch:
+            part, of, places, rows = zip(*out, strict=True)
+            return batch(part=pa.array(part), unit=pa.array(of), places=(places, pa.binary()), rows=(rows, pa.binary()))
+
+        for b in batches:
+            unit, part, value = b.column("unit").to_numpy(), b.column("part").to_numpy(), b.column("value").to_pylist()
+            first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (part[1:] != part[:-1])])).tolist() if len(unit) else []
+            for i, j in zip(first, [*first[1:], len(unit)], strict=True):
+                if (unit[i], part[i]) != (of, by):
+                    for x in told():
+                        out.append(x)
+                        size += len(x[-1])
+                    asked = []
+                    if unit[i] != of:
+                        rows = []
+                    of, by = int(unit[i]), int(part[i])
+                    if size > ANSWERED:
+                        yield put()
+                        out, size = [], 0
+                (rows if by < 0 else asked).extend(value[i:j])
+        out.extend(told())
+        if out:
+            yield put()
+
+    shape = "unit long, part long, value binary"
+    rows = arrow_map(table.select("node", "row"), own, shape).unionByName(arrow_map(wanted.select("part", "items"), ask, shape))
+    return arrow_map(rows.repartition("unit").sortWithinPartitions("unit", "part"), answer, "part long, unit long, places binary, rows binary")
+
+
+def _given(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that a part was given, in order, and their rows as a matrix of bytes."""
+    right = right.sort_by("unit")
+    row, places = _unpacked(right["places"].combine_chunks(), PLACE)
+    node = right["unit"].to_numpy()[row] * UNIT + places
+    rows = np.frombuffer(b"".join(right["rows"].to_pylist()), dtype=np.uint8)
+    return node, rows.reshape(len(node), -1) if len(node) else np.zeros((0, 0), dtype=np.uint8)
+
+
+def _shapes_of(rows: np.ndarray, head: int) -> tuple[np.ndarray, pa.Array]:
+    """The first bytes of rows, and the shapes that follow."""
+    n, width = rows.shape[0], max(0, rows.shape[1] - head)
+    ends = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    shapes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows[:, head:].tobytes())])
+    return np.ascontiguousarray(rows[:, :head]), shapes
 
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -386,8 +458,8 @@ def descend(graph: DataFrame, shapes: DataFrame, nodes: int, scratch: Scratch) -
             row, links = _unpacked(b.column("links"), LINK)
             starts = _starts(row)
             full = np.diff(np.concatenate([starts, [len(row)]])) >= most
-            worst = np.where(full, np.minimum.reduceat(links["s"], starts) if len(starts) else np.zeros(0), -1e9)
-            yield batch(node=b.column("node"), worst=pa.array(worst.astype(np.float32)))
+            worst = np.where(full, np.minimum.reduceat(links["s"], starts) if len(starts) else np.zeros(0), LEAST)
+            yield batch(node=b.column("node"), worst=([x.tobytes() for x in worst.astype(np.float32)], pa.binary()))
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -397,11 +469,16 @@ def descend(graph: DataFrame, shapes: DataFrame, nodes: int, scratch: Scratch) -
             part, items = _lists(part[order], links["b"][order])
             yield batch(part=pa.array(part), items=items)
 
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        node, rows = _given(right)
+        worst, shape = _shapes_of(rows, 4)
+        return _meet(left, pa.table({"node": node, "shape": shape, "worst": worst.view("<f4").ravel(), "most": np.full(len(node), most)}))
+
     around = scratch.save("around", graph.unionByName(turned(graph, most)))
-    known = shapes.select("node", "shape").join(arrow_map(graph, floors, "node long, worst float"), "node", "left")
-    known = known.select("node", "shape", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"), F.lit(most).alias("most"))
+    known = shapes.select("node", "shape").join(arrow_map(graph, floors, "node long, worst binary"), "node", "left")
+    known = known.select("node", F.concat(F.coalesce("worst", F.lit(bytearray(np.float32(LEAST).tobytes()))), "shape").alias("row"))
     named = gathered(arrow_map(around, wants, "part long, items binary"), known)
-    proposals = around.groupBy(unit("node")).cogroup(named.groupBy("part")).applyInArrow(_meet, PROPOSALS)
+    proposals = around.groupBy(unit("node")).cogroup(named.groupBy("part")).applyInArrow(meet, PROPOSALS)
     met = arrow_map(graph, _met, LISTS)
     return scratch.save("graph", merged(met, most, proposals))
 
@@ -499,8 +576,9 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, sizes: dict[
             yield batch(part=b.column("part"), q=b.column("q"), items=_lists(np.arange(b.num_rows), b.column("q").to_numpy())[1])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("node")
-        ids, v, bands = right["node"].to_numpy(), _packed(right["shape"].combine_chunks())[:, :-1], right["band"].to_numpy()
+        ids, rows = _given(right)
+        bands, shape = _shapes_of(rows, 1)
+        v, bands = _packed(shape)[:, :-1], bands.ravel()
         left = left.sort_by("q")
         qs = left["q"].to_numpy()
         beams, items = left["beam"].to_pylist(), left["items"].to_pylist()
@@ -522,7 +600,7 @@ def search(queries: DataFrame, graph: DataFrame, shapes: DataFrame, sizes: dict[
         packed = _lists(owner, np.concatenate(out))[1]
         return pa.table({"part": pa.array(np.full(len(out), left["part"][0].as_py())), "q": pa.array(qs[starts]), "beam": packed})
 
-    known = shapes.select("node", "band", "shape")
+    known = shapes.select("node", F.concat(F.unhex(F.lpad(F.hex("band"), 2, "0")), "shape").alias("row"))
     own = arrow_map(asked, itself, "part long, q long, items binary")  # its vector is needed, and it is among its neighbours
     beam = scratch.save("beam", entries(asked, shapes, sizes, wide))
     for r in range(SEARCHES):
@@ -552,8 +630,8 @@ def exact_scores(beams: DataFrame, vectors: DataFrame, kept: int) -> DataFrame:
             yield batch(part=b.column("part"), q=b.column("q"), items=_lists(row[order], node[order])[1])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("node")
-        ids, v = right["node"].to_numpy(), _matrix(right["vec"].combine_chunks())
+        ids, rows = _given(right)
+        v = rows.view("<f8")
         qs, out = left["q"].to_numpy(), []
         for q, items in zip(qs.tolist(), left["items"].to_pylist(), strict=True):
             node = np.unique(np.frombuffer(items, dtype="<i8"))
@@ -562,8 +640,12 @@ def exact_scores(beams: DataFrame, vectors: DataFrame, kept: int) -> DataFrame:
         q, node, s = (np.concatenate([o[k] for o in out]) for k in range(3))
         return pa.table({"q": q, "node": node, "s": s})
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(node=b.column("node"), row=([x.tobytes() for x in _matrix(b.column("vec"), "<f8")], pa.binary()))
+
     pairs = arrow_map(beams, chosen, "part long, q long, items binary")
-    named = gathered(pairs.select("part", "items"), vectors.select("node", "vec"))
+    named = gathered(pairs, arrow_map(vectors.select("node", "vec"), whole, "node long, row binary"))
     return pairs.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(score, "q long, node long, s double")
 
 

@@ -55,3 +55,19 @@ def test_proposals_are_merged_with_the_lists(spark):
         best = sorted({s for _, s, _ in links[n] + offered[n]}, reverse=True)
         assert len(got[n]) == 5 and [s for _, s, _ in got[n]] == sorted((s for _, s, _ in got[n]), reverse=True)
         assert {(b, s, new) for b, s, new in got[n]} <= set(links[n] + offered[n]) and got[n][0][1] == best[0]
+
+
+def test_a_unit_hands_its_rows_to_a_part_in_one_value(spark):
+    """Not in a row for each pair of part and node: those grew with the square of the nodes until a part named them all."""
+    rng = np.random.default_rng(7)
+    nodes, units = np.arange(0, 4 * N.UNIT, 41), 4
+    row = {int(n): rng.bytes(9) for n in nodes}
+    lists = [(p, rng.choice(nodes, 70)) for p in range(5) for _ in range(30)] + [(7, nodes[:1]), (8, nodes[:0])]
+    wanted = spark.createDataFrame([(p, bytearray(held.astype("<i8").tobytes())) for p, held in lists], "part long, items binary").repartition(3)
+    table = spark.createDataFrame([(n, bytearray(r)) for n, r in row.items()], "node long, row binary").repartition(5)
+    made = N.gathered(wanted, table).toArrow()
+    assert made.num_rows == 5 * units + 1
+    want = {p: sorted({int(n) for q, held in lists if q == p for n in held}) for p in range(9)}
+    for p in range(9):
+        node, rows = N._given(made.filter(np.array(made["part"]) == p))
+        assert node.tolist() == want[p] and [r.tobytes() for r in rows] == [row[n] for n in want[p]]
