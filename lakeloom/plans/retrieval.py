@@ -22,12 +22,12 @@ TERMS = (("that", "with"), ("der", "keit"), ("que", "ment"), ("ción", "las"), (
 EVERY = 100
 
 
-def chunks(spark: SparkSession, sf_dir: str, queries: DataFrame | None = None) -> DataFrame:
-    """All documents; they take the vectors in turn. Readers are the group of the source, and everyone for each fifth.
+def chunks(spark: SparkSession, sf_dir: str, queries: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """All documents, or those given; they take the vectors in turn. Readers are the group of the source, and everyone for each fifth.
 
     With queries, `hits` of their terms stand for the text, which is not joined with the vectors then.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
     if queries is not None:
         docs = search.with_hits(docs.select("doc_id", "lang", "source", "text"), queries)
     vectors = table(spark, sf_dir, "embeddings")
@@ -129,9 +129,10 @@ def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + SCORED + LEGS + "x AS (SELECT 1) SELECT q, CAST(r AS INT) AS rank, key, round(bm25, 9) AS score FROM kw")
 def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through an index of trigrams, built here."""
-    index = TermIndex.build(chunks(spark, sf_dir), f"{scratch_root(spark)}/lakeloom/terms-{uuid.uuid4().hex}")
-    return shown(index.keyword_search(asked(spark, sf_dir), 30), "score")
+    """The same through an index of trigrams, built here, of the texts; the vectors stay where they are."""
+    docs, queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "doc_id", "text", "lang", "source"), asked(spark, sf_dir)
+    index = TermIndex.build(docs, f"{scratch_root(spark)}/lakeloom/terms-{uuid.uuid4().hex}")
+    return shown(search.keyword_search(chunks(spark, sf_dir, queries, index.posted(queries)), queries, 30), "score")
 
 
 @query("WITH " + SCORED + "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, key) AS rank FROM scored QUALIFY rank <= 20) SELECT q, CAST(rank AS INT) AS rank, key, round(cosine, 9) AS score FROM r")

@@ -180,10 +180,14 @@ class CommittedTable:
 
     def rows_of(self, keys: DataFrame, number: int | None = None) -> DataFrame:
         """The rows of some keys; only the buckets that hold any of them are read. Their numbers come to the driver."""
+        wanted = keys.select(self.version(number).key).distinct()
+        return self.rows_near(wanted, number).join(wanted, wanted.columns, "left_semi")
+
+    def rows_near(self, keys: DataFrame, number: int | None = None) -> DataFrame:
+        """All rows of the buckets that hold any of some keys; the buckets' numbers come to the driver."""
         version = self.version(number)
-        wanted = keys.select(version.key).where(F.col(version.key).isNotNull())
-        buckets = [r[0] for r in wanted.select(self._bucket(version, version.key)).distinct().collect()]
-        return self._rows(version, buckets).join(wanted.distinct(), version.key, "left_semi")
+        buckets = [r[0] for r in keys.select(self._bucket(version, version.key)).distinct().collect()]
+        return self._rows(version, buckets)
 
     def _bucket(self, version: Version, key: str):
         return F.pmod(F.xxhash64(key), F.lit(version.buckets)).cast("string")
