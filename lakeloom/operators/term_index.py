@@ -109,7 +109,7 @@ class TermIndex:
 
         shape = f"gram string, n int, keys array<{chunks.schema['key'].dataType.simpleString()}>"
         posted = table.read().select("key", "text").mapInArrow(run, shape)
-        posted.hint("rebalance", "gram").sortWithinPartitions("gram").write.option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
+        posted.hint("rebalance", "gram").sortWithinPartitions("gram").write.option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(f"{root}/postings")
         postings = spark.read.schema(shape).parquet(f"{root}/postings")
         postings.groupBy("gram").agg(F.sum("n").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{root}/counts")
         if not Storage(spark, root).publish(f"{root}/index.json", json.dumps({"schema": json.loads(key.json()), "version": version.number})):

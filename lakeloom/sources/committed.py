@@ -178,11 +178,6 @@ class CommittedTable:
         paths = [f"{self.root}/data/{f}/{BUCKET}={b}" for b, f in version.folders.items() if buckets is None or b in buckets]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def rows_of(self, keys: DataFrame, number: int | None = None) -> DataFrame:
-        """The rows of some keys; only the buckets that hold any of them are read. Their numbers come to the driver."""
-        wanted = keys.select(self.version(number).key).distinct()
-        return self.rows_near(wanted, number).join(wanted, wanted.columns, "left_semi")
-
     def rows_near(self, keys: DataFrame, number: int | None = None) -> DataFrame:
         """All rows of the buckets that hold any of some keys; the buckets' numbers come to the driver."""
         version = self.version(number)
